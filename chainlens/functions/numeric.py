@@ -9,19 +9,16 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_lgamma = np.frompyfunc(math.lgamma, 1, 1)
-_erfc = np.frompyfunc(math.erfc, 1, 1)
-
 
 @F.pandas_udf(DoubleType())
 def lgamma(x: pd.Series) -> pd.Series:
-    return pd.Series(_lgamma(x.to_numpy(dtype=float)).astype(float))
+    return pd.Series([math.lgamma(v) for v in x], dtype=float)
 
 
 @F.pandas_udf(DoubleType())
 def normal_pvalue(z: pd.Series) -> pd.Series:
     """Lower-tail probability of a standard normal."""
-    return pd.Series(0.5 * _erfc(-z.to_numpy(dtype=float) / math.sqrt(2.0)).astype(float))
+    return pd.Series([0.5 * math.erfc(-v / math.sqrt(2.0)) for v in z], dtype=float)
 
 
 def fit_curve(model, start, x, y, sigma, low, high, steps: int = 200):

@@ -129,7 +129,7 @@ def match_norms(events: DataFrame, norms: Sequence[dict], nc_column: str | None
 def name_matches(pattern: Column, name: Column) -> Column:
     """Case-insensitive whole-name match where * stands for any text."""
     escaped = F.regexp_replace(F.lower(pattern), r"([.^$+?()\[\]{}|\\])", r"\\$1")
-    return F.lower(name).rlike(F.concat(F.lit("^"), F.regexp_replace(escaped, r"\*", ".*"), F.lit("$")))
+    return F.rlike(F.lower(name), F.concat(F.lit("^"), F.regexp_replace(escaped, r"\*", ".*"), F.lit("$")))
 
 
 def params_for_sample(params: DataFrame, samples: Sequence[str]) -> DataFrame:

@@ -272,16 +272,16 @@ def _(spark, path):
     return sources.load_data_spectrum(spectra(spark, path), data_spectrum(spark, path))
 
 
-@add("spectrum_mismatch", f"""{ES}, a AS (SELECT sample_id, {X_BIN_SQL} AS bin, min(x) AS lo, max(x) AS hi FROM es GROUP BY ALL),
- b AS (SELECT sample_id, {X_BIN_SQL} AS bin, min(x) AS lo, max(x) AS hi FROM es WHERE y > 95000 GROUP BY ALL)
+@add("spectrum_mismatch", f"""{ES}, a AS (SELECT sample_id, {X_BIN_SQL} AS bin, min(y) AS lo, max(y) AS hi FROM es GROUP BY ALL),
+ b AS (SELECT sample_id, {X_BIN_SQL} AS bin, min(y) AS lo, max(y) AS hi FROM es WHERE x > 3 GROUP BY ALL)
  SELECT coalesce(a.sample_id, b.sample_id) AS sample_id, coalesce(a.bin, b.bin) AS bin, a.lo AS data_lo, a.hi AS data_hi, b.lo AS mc_lo, b.hi AS mc_hi
  FROM a FULL JOIN b ON a.sample_id = b.sample_id AND a.bin = b.bin
  WHERE NOT coalesce(greatest(abs(a.lo - b.lo), abs(a.hi - b.hi)) <= 1e-6 AND a.lo IS NOT NULL AND b.lo IS NOT NULL, FALSE)""", "data_lo data_hi mc_lo mc_hi")
 def _(spark, path):
     binned = binned_sample(spark, path)
-    extent = [F.min("x").alias("lo"), F.max("x").alias("hi")]
+    extent = [F.min("y").alias("lo"), F.max("y").alias("hi")]
     return sources.spectrum_mismatch(binned.groupBy("sample_id", "bin").agg(*extent),
-                                     binned.filter("y > 95000").groupBy("sample_id", "bin").agg(*extent))
+                                     binned.filter("x > 3").groupBy("sample_id", "bin").agg(*extent))
 
 
 @add("var_hist_1d", f"""{ES} SELECT sample_id, CAST(floor(y / 10000) AS INTEGER) AS bin, sum(w0) AS content, sum(w0 * w0) AS err2,

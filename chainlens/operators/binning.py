@@ -19,6 +19,19 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_hot(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 32) -> DataFrame:
+    """Equi-join of events to a lookup table whose keys may be very unevenly hit.
+
+    A lookup table of checked size is broadcast.  A larger one is repeated per
+    salt, and rows of a hot key are spread over the salts by their own hash.
+    """
+    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), list(keys), how)
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
 def axis_bin(x: Column, edges: Sequence[float]) -> Column:
     """Bin with edge <= x < next edge, null outside; arithmetic when widths are equal."""
     edges = [float(e) for e in edges]
@@ -108,7 +121,7 @@ def assign_bin_boxes(events: DataFrame, boxes: DataFrame, variables: Sequence[st
         keyed = keyed.withColumn(f"_c{d}", cell(F.col(v), d))
     keyed = keyed.drop(*[f"_{m}{d}" for d in range(dims) for m in ("min", "max")])
     keys = ["sample_id", *[f"_c{d}" for d in range(dims)]]
-    joined = keyed.join(broadcast_if_small(cells), keys, "left")
+    joined = join_hot(keyed, cells, keys, "left")
 
     def inside(box: Column) -> Column:
         tests = [(F.col(v) > F.element_at(box["lo"], d + 1)) & (F.col(v) <= F.element_at(box["hi"], d + 1))

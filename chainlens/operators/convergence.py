@@ -84,34 +84,42 @@ def batch_variance_test(batches: DataFrame, nb: int, integer_division: bool = Fa
         (root**0.5 * (F.col("_lag") / F.col("_ss") + F.col("_ends") / (2 * F.col("_ss")))).alias("c_statistic"))
 
 
+def _slices(columns: Sequence[str], values: Sequence, width: int):
+    """Array of (slice, x) structs: the columns cut into short arrays, to bound a group's width."""
+    return F.array(*[
+        F.struct(F.lit(k // width).alias("slice"), F.array(*values[k:k + width]).alias("x"))
+        for k in range(0, len(columns), width)])
+
+
 def autocorrelation(chain: DataFrame, columns: Sequence[str], nlags: int = 25000,
-                    block: int = 1 << 16, contiguous: bool = True) -> DataFrame:
+                    block: int | None = None, contiguous: bool = True, width: int = 8) -> DataFrame:
     """r_k for k < nlags over all entries of each chain.
 
     Entries are cut into equal blocks; the first nlags entries of a block are
     copied to the block before, so each pair (i, i + k) meets in exactly one
-    group, whose size is fixed by the block length and not by the data.
+    group.  A group's size is fixed by block and slice, not by the data.
     """
-    block = max(block, nlags)
-    p = len(columns)
+    block = max(block or max(1 << 16, 8 * nlags), nlags)
+    columns = list(columns)
     means = chain.groupBy("chain_id").agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)])
     indexed = with_entry_index(chain.select("chain_id", "step", *columns), contiguous)
-    # Means: one row per chain.
-    centred = indexed.join(F.broadcast(means), "chain_id").select(
-        "chain_id", "entry", *[(F.col(c) - F.col(f"m{i}")).alias(f"x{i}") for i, c in enumerate(columns)])
+    centred = [F.col(c) - F.col(f"m{i}") for i, c in enumerate(columns)]
     own = F.floor(F.col("entry") / block)
     homes = F.when((F.col("entry") % block < nlags) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    spread = centred.withColumn("block", F.explode(homes))
-    names = [f"x{i}" for i in range(p)]
+    # Means: one row per chain.
+    spread = indexed.join(F.broadcast(means), "chain_id").select(
+        "chain_id", "entry", F.explode(homes).alias("block"), _slices(columns, centred, width).alias("_s")
+    ).select("chain_id", "entry", "block", F.inline("_s"))
 
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("entry")
-        here = pdf["block"].iloc[0]
+        here, k0 = pdf["block"].iloc[0], int(pdf["slice"].iloc[0]) * width
+        names = columns[k0:k0 + width]
         own_rows = int((pdf["entry"] // block == here).sum())
-        x = pdf[names].to_numpy()
-        first, whole = x[:own_rows], x
+        whole = np.stack(pdf["x"].to_numpy())
+        first = whole[:own_rows]
         lags = min(nlags, len(whole))
-        sums = np.zeros((p, nlags))
+        sums = np.zeros((len(names), nlags))
         if lags <= 32:
             for k in range(lags):
                 m = min(own_rows, len(whole) - k)
@@ -121,11 +129,11 @@ def autocorrelation(chain: DataFrame, columns: Sequence[str], nlags: int = 25000
             spec = np.conj(np.fft.rfft(first, size, axis=0)) * np.fft.rfft(whole, size, axis=0)
             sums[:, :lags] = np.fft.irfft(spec, size, axis=0)[:lags].T
         return pd.DataFrame({
-            "chain_id": pdf["chain_id"].iloc[0], "param": np.repeat(columns, nlags),
-            "lag": np.tile(np.arange(nlags, dtype=np.int32), p), "s": sums.ravel()})
+            "chain_id": pdf["chain_id"].iloc[0], "param": np.repeat(names, nlags),
+            "lag": np.tile(np.arange(nlags, dtype=np.int32), len(names)), "s": sums.ravel()})
 
     id_type = dict(chain.dtypes)["chain_id"]
-    parts = spread.groupBy("chain_id", "block").applyInPandas(
+    parts = spread.groupBy("chain_id", "block", "slice").applyInPandas(
         partial, f"chain_id {id_type}, param string, lag int, s double")
     sums = parts.groupBy("chain_id", "param", "lag").agg(F.sum("s").alias("s"))
     base = sums.filter("lag = 0").select("chain_id", "param", F.col("s").alias("_s0"))
@@ -232,37 +240,41 @@ def _bluestein(x: np.ndarray, step: float, count: int) -> np.ndarray:
 
 
 def power_spectrum(chain: DataFrame, columns: Sequence[str], max_coefficients: int = 10000,
-                   block: int = 1 << 16, contiguous: bool = True) -> DataFrame:
+                   block: int = 1 << 16, contiguous: bool = True, width: int = 8) -> DataFrame:
     """P(k_j) of each parameter at the lowest frequencies of a chain of even length.
 
     Each block of entries gives its share of every Fourier sum (a chirp
     transform, as the frequencies belong to the whole chain); shares are added
     by (param, j).  Values are real, so negative j repeat the positive ones.
     """
+    columns = list(columns)
     entries = chain.groupBy("chain_id").agg(F.count(F.lit(1)).alias("_n"))
     indexed = with_entry_index(chain.select("chain_id", "step", *columns), contiguous)
+    values = [F.col(c).cast("double") for c in columns]
+    # Entries: one row per chain.
     rows = indexed.join(F.broadcast(entries), "chain_id").withColumn(
-        "n_even", F.col("_n") - F.col("_n") % 2).filter("entry < n_even").withColumn(
-        "block", F.floor(F.col("entry") / block))
-    p, names = len(columns), list(columns)
+        "n_even", F.col("_n") - F.col("_n") % 2).filter("entry < n_even").select(
+        "chain_id", "entry", "_n", "n_even", F.floor(F.col("entry") / block).alias("block"),
+        F.inline(_slices(columns, values, width)))
 
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("entry")
         n_all, n_even = int(pdf["_n"].iloc[0]), int(pdf["n_even"].iloc[0])
+        k0 = int(pdf["slice"].iloc[0]) * width
+        names = columns[k0:k0 + width]
         count = min(max_coefficients, n_all) // 2
-        step = 2 * np.pi / n_even
         start = int(pdf["entry"].iloc[0])
         j = np.arange(count)
         # Phase of the block start, reduced exactly in integers.
         phase = np.exp(2j * np.pi * ((j * start) % n_even) / n_even)
-        sums = _bluestein(pdf[names].to_numpy(dtype=float), step, count) * phase[:, None]
+        sums = _bluestein(np.stack(pdf["x"].to_numpy()), 2 * np.pi / n_even, count) * phase[:, None]
         return pd.DataFrame({
             "chain_id": pdf["chain_id"].iloc[0], "param": np.repeat(names, count),
-            "j": np.tile(j.astype(np.int32), p), "re": sums.real.T.ravel(),
+            "j": np.tile(j.astype(np.int32), len(names)), "re": sums.real.T.ravel(),
             "im": sums.imag.T.ravel(), "n_even": n_even, "count": count})
 
     id_type = dict(chain.dtypes)["chain_id"]
-    parts = rows.groupBy("chain_id", "block").applyInPandas(
+    parts = rows.groupBy("chain_id", "block", "slice").applyInPandas(
         partial, f"chain_id {id_type}, param string, j int, re double, im double, n_even long, count int")
     sums = parts.groupBy("chain_id", "param", "j", "n_even", "count").agg(
         F.sum("re").alias("re"), F.sum("im").alias("im"))

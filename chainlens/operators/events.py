@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainlens.functions.expr import weight_column
-from chainlens.operators.binning import axis_bin, broadcast_if_small
+from chainlens.operators.binning import axis_bin, join_hot
 
 
 def _all(tests: Sequence[Column]) -> Column:
@@ -86,13 +86,13 @@ def duplicate_codes(modes: DataFrame) -> DataFrame:
 def map_modes(events: DataFrame, modes: DataFrame, key: str = "generator_code") -> DataFrame:
     """Analysis mode of each generator code; unknown codes become UNKNOWN_BAD."""
     table = modes.select(F.col("generator_code").alias(key), "mode", F.col("name").alias("mode_name"))
-    return events.join(broadcast_if_small(table), key, "left").withColumn(
+    return join_hot(events, table, [key], "left").withColumn(
         "mode_name", F.coalesce("mode_name", F.lit("UNKNOWN_BAD")))
 
 
 def map_channels(events: DataFrame, channels: DataFrame, keys: Sequence[str] = ("init_pdg", "final_pdg")) -> DataFrame:
     """Oscillation channel of each event by its flavours before and after."""
-    return events.join(broadcast_if_small(channels.select(*keys, "channel")), list(keys))
+    return join_hot(events, channels.select(*keys, "channel"), keys)
 
 
 def unmapped_channels(events: DataFrame, channels: DataFrame, keys: Sequence[str] = ("init_pdg", "final_pdg")) -> DataFrame:
@@ -151,8 +151,8 @@ def osc_weight_lookup(events: DataFrame, probabilities: DataFrame, e_edges: Sequ
     binned = events.withColumn("e_bin", axis_bin(F.col(energy), e_edges)).withColumn(
         "z_bin", axis_bin(F.col(cosine), z_edges))
     keys = ["channel", "e_bin", "z_bin"]
-    joined = binned.join(broadcast_if_small(cells), keys)
-    return joined.select(*[c for c in joined.columns if c not in ("_p",)], F.inline("_p"))
+    joined = join_hot(binned, cells, keys)
+    return joined.select(*[c for c in joined.columns if c != "_p"], F.inline("_p"))
 
 
 # -- aggregation --------------------------------------------------------------

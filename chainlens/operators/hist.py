@@ -21,6 +21,22 @@ def column_ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[floa
             if row[f"lo_{i}"] is not None}
 
 
+def fill_gaps(counts: DataFrame, keys: Sequence[str], last) -> DataFrame:
+    """Add the empty bins of each histogram; ``last`` is its last bin number.
+
+    Each filled bin also emits the empty ones up to the next, so a window
+    partition and its output are bounded by the bins of one histogram.
+    """
+    order = Window.partitionBy(*keys).orderBy("bin")
+    start = F.when(F.lag("bin").over(order).isNull(), 0).otherwise(F.col("bin"))
+    stop = F.coalesce(F.lead("bin").over(order) - 1, last)
+    kept = [c for c in counts.columns if c not in ("bin", "content")]
+    spread = counts.withColumns({"_from": start, "_to": stop}).select(
+        *kept, "bin", "content", F.explode(F.sequence("_from", "_to")).alias("_b"))
+    return spread.select(
+        *kept, F.col("_b").alias("bin"), F.when(F.col("_b") == F.col("bin"), F.col("content")).otherwise(0.0).alias("content"))
+
+
 def posterior_hist(chain: DataFrame, columns: Sequence[str], nbins: int = 70,
                    ranges: dict[str, tuple[float, float]] | None = None,
                    edges: dict[str, Sequence[float]] | None = None,
@@ -40,32 +56,31 @@ def posterior_hist(chain: DataFrame, columns: Sequence[str], nbins: int = 70,
     for c in columns:
         if c in edges:
             bins.append(edge_bin(F.col(c), edges[c]).alias(c))
-            layout += [(c, b, edges[c][b], edges[c][b + 1], len(edges[c]) - 1)
-                       for b in range(len(edges[c]) - 1)]
+            layout.append((c, 0.0, 0.0, len(edges[c]) - 1, edges[c]))
         elif c in ranges:
             lo, hi = ranges[c]
             inside = (F.col(c) >= lo) & (F.col(c) < hi)
             bins.append(F.when(inside, uniform_bin(F.col(c), lo, hi, nbins)).alias(c))
-            width = (hi - lo) / nbins
-            layout += [(c, b, lo + b * width, lo + (b + 1) * width, nbins) for b in range(nbins)]
-    names = [c for c in columns if c in edges or c in ranges]
-    # Parameters x bins rows; a local relation whose size Spark knows.
-    axis = chain.sparkSession.createDataFrame(layout, "param string, bin int, lo double, hi double, nbins int")
+            layout.append((c, lo, (hi - lo) / nbins, nbins, None))
+    names = [row[0] for row in layout]
+    axis = chain.sparkSession.createDataFrame(
+        layout, "param string, _first double, _width double, _nbins int, _edges array<double>")
+    by = [*keys, "param"]
     counts = (
         chain.select(*keys, weight_column(weight).alias("_w"), *bins)
         .unpivot([*keys, "_w"], names, "param", "bin")
         .filter("bin is not null")
-        .groupBy(*keys, "param", "bin")
+        .groupBy(*by, "bin")
         .agg(F.sum("_w").alias("content"))
     )
-    by = [*keys, "param"]
-    packed = counts.groupBy(*by).agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "content"))).alias("_m")
-    )
-    return packed.join(F.broadcast(axis), "param").select(
-        *by, "bin", "lo", "hi",
-        F.coalesce(F.element_at("_m", F.col("bin")), F.lit(0.0)).alias("content"),
-    )
+    # The axis has one row per parameter.
+    dense = fill_gaps(counts.join(F.broadcast(axis), "param"), by, F.col("_nbins") - 1)
+
+    def edge(offset: int):
+        place = F.col("bin") + offset
+        return F.coalesce(F.get("_edges", place), F.col("_first") + place * F.col("_width"))
+
+    return dense.select(*by, "bin", edge(0).alias("lo"), edge(1).alias("hi"), "content")
 
 
 def posterior_hist_2d(chain: DataFrame, pairs: Sequence[tuple[str, str]], nbins: int = 70,

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainlens.functions.expr import OUT_OF_BOUNDS_LLH
-from chainlens.operators.binning import broadcast_if_small
+from chainlens.operators.binning import broadcast_if_small, join_hot
 from chainlens.operators.chain import random_draws
 
 POINT_CHUNK = 64
@@ -258,39 +258,50 @@ def pack_factors(factors: DataFrame, chunk: int = POINT_CHUNK) -> DataFrame:
         "factor", "chunk", F.col("_v.point").alias("points"), F.col("_v.f").alias("values"))
 
 
-def _weights(rows: DataFrame, keys: Sequence[str], factors: DataFrame, chunk: int) -> DataFrame:
-    """(keys, points, weights): product of all factors of a row for a chunk of points."""
-    spread = rows.select(*keys, F.explode("factors").alias("factor"))
-    joined = spread.join(pack_factors(factors, chunk), "factor")
-    # A group holds the factors of one row, a handful of short arrays.
+def list_weights(lists: DataFrame, factors: DataFrame, chunk: int = POINT_CHUNK) -> DataFrame:
+    """(factors, points, weights): product of the factors of each distinct list, by chunk of points."""
+    spread = lists.select("factors", F.explode("factors").alias("factor"))
+    joined = join_hot(spread, pack_factors(factors, chunk), ["factor"])
+    # A group holds the factors of one list, a handful of short arrays.
     product = F.aggregate(
         F.slice("_lists", 2, F.size("_lists")), F.element_at("_lists", 1),
         lambda total, values: F.zip_with(total, values, lambda a, b: a * b))
-    return joined.groupBy(*keys, "chunk").agg(
+    return joined.groupBy("factors", "chunk").agg(
         F.first("points").alias("points"), F.collect_list("values").alias("_lists")
-    ).select(*keys, "points", product.alias("weights"))
+    ).select("factors", "points", product.alias("weights"))
+
+
+def weigh(rows: DataFrame, factors: DataFrame, n_points: int, chunk: int = POINT_CHUNK) -> DataFrame:
+    """Rows at every point with their weight: columns point and weight are added.
+
+    Weights are worked out once per distinct list of factors, however many
+    rows share it; rows without factors weigh 1.
+    """
+    kept = [c for c in rows.columns if c != "factors"]
+    moving = rows.filter(F.size("factors") > 0)
+    weights = list_weights(moving.select("factors").distinct(), factors, chunk)
+    moved = join_hot(moving, weights, ["factors"]).select(
+        *kept, F.inline(F.arrays_zip(F.col("points").alias("point"), F.col("weights").alias("weight"))))
+    moved = moved.toDF(*kept, "point", "weight")
+    ids = F.sequence(F.lit(0).cast("long"), F.lit(n_points - 1).cast("long"))
+    still = rows.filter(F.size("factors") == 0).select(*kept, F.explode(ids).alias("point"), F.lit(1.0).alias("weight"))
+    return moved.unionByName(still)
 
 
 def predict_spectra(summed: DataFrame, factors: DataFrame, n_points: int,
                     keys: Sequence[str] = ("sample_id", "bin"), chunk: int = POINT_CHUNK) -> DataFrame:
     """Spectra (point, keys, mc, w2) of all points from signatures and factors.
 
-    Signatures meet only their own factors, by equi-joins; what no factor
-    touches is summed once per bin and repeated per point at the end.
+    Signatures meet only their own factors, by equi-joins; those that no
+    factor touches are summed per bin before they are repeated per point.
     """
     keys = list(keys)
-    own = [*keys, "factors", "sw", "sw2"]
-    moving = summed.filter(F.size("factors") > 0)
-    spread = _weights(moving, own, factors, chunk).select(
-        *keys, "sw", "sw2", F.inline(F.arrays_zip("points", "weights")))
-    varied = spread.filter("weights > 0").select(
-        F.col("points").alias("point"), *keys, (F.col("sw") * F.col("weights")).alias("mc"),
-        (F.col("sw2") * F.col("weights") * F.col("weights")).alias("w2"))
-    still = summed.filter(F.size("factors") == 0).groupBy(*keys).agg(
-        F.sum("sw").alias("mc"), F.sum("sw2").alias("w2")).withColumn(
-        "point", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_points - 1).cast("long"))))
-    return varied.unionByName(still.select("point", *keys, "mc", "w2")).groupBy("point", *keys).agg(
-        F.sum("mc").alias("mc"), F.sum("w2").alias("w2"))
+    still = summed.filter(F.size("factors") == 0).groupBy(*keys, "factors").agg(
+        F.sum("sw").alias("sw"), F.sum("sw2").alias("sw2"))
+    rows = weigh(summed.filter(F.size("factors") > 0).unionByName(still), factors, n_points, chunk)
+    return rows.filter("weight > 0").groupBy("point", *keys).agg(
+        F.sum(F.col("sw") * F.col("weight")).alias("mc"),
+        F.sum(F.col("sw2") * F.col("weight") * F.col("weight")).alias("w2"))
 
 
 def reweight_events(events: DataFrame, factors: DataFrame, n_points: int, key: str = "event_id",
@@ -301,14 +312,9 @@ def reweight_events(events: DataFrame, factors: DataFrame, n_points: int, key: s
     For analyses that need events one by one; spectra come cheaper from
     ``predict_spectra``.
     """
-    own = [key, *keep, weight]
-    moving = _weights(events.filter(F.size("factors") > 0).select(*own, "factors"), own, factors, chunk).select(
-        *own, F.inline(F.arrays_zip("points", "weights"))).select(
-        F.col("points").alias("point"), key, *keep, (F.col(weight) * F.col("weights")).alias("w"))
-    still = events.filter(F.size("factors") == 0).select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_points - 1).cast("long"))).alias("point"),
-        key, *keep, F.col(weight).alias("w"))
-    return moving.unionByName(still).filter("w > 0")
+    rows = events.select(key, *keep, F.col(weight).alias("_w0"), "factors")
+    out = weigh(rows, factors, n_points, chunk)
+    return out.select("point", key, *keep, (F.col("_w0") * F.col("weight")).alias("w")).filter("w > 0")
 
 
 def shift_events(events: DataFrame, shifts: dict[str, Callable[[dict[str, Column]], Column]],

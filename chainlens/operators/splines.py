@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainlens.operators.binning import axis_bin, broadcast_if_small
+from chainlens.operators.binning import axis_bin, join_hot
 
 FLAT_TOLERANCE = 1e-5
 METHODS = ("linear", "cubic", "akima", "monotonic", "kochanek_bartels")
@@ -168,6 +168,6 @@ def match_splines(events: DataFrame, splines: DataFrame, axes: Sequence[tuple[st
     binned = events
     for b, (var, edges) in zip(bins, axes):
         binned = binned.withColumn(b, axis_bin(F.col(var), edges))
-    joined = binned.join(broadcast_if_small(lists), keys, "left").drop(*bins)
+    joined = join_hot(binned, lists, keys, "left").drop(*bins)
     empty = F.array().cast(dict(lists.dtypes)[name])
     return joined.withColumn(name, F.coalesce(F.col(name), empty))

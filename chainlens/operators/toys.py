@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from chainlens.functions import llh as stats
 from chainlens.functions.expr import uniform_bin, z_score
 from chainlens.functions.numeric import normal_pvalue
+from chainlens.operators.binning import broadcast_if_small
 
 
 def binned_llh(spectra: DataFrame, stat: str = "poisson", data: str = "data", mc: str = "mc",
@@ -104,7 +105,8 @@ def with_weights(toys: DataFrame, info: DataFrame | None) -> DataFrame:
 def weighted_moments(df: DataFrame, keys: Sequence[str], values: dict[str, str], weight: str = "weight") -> DataFrame:
     """Weighted mean and population RMS of columns, summed about each group's plain mean."""
     base = df.groupBy(*keys).agg(*[F.avg(v).alias(f"_a_{n}") for n, v in values.items()])
-    joined = df.join(base, list(keys))
+    # One row per group, which is a bin; rows themselves are not shuffled for it.
+    joined = df.join(broadcast_if_small(base), list(keys))
     w = F.col(weight)
     sums = [F.sum(w).alias("_w")]
     for n, v in values.items():
@@ -187,19 +189,43 @@ def rate_correlation(toys: DataFrame, by: str = "sample_id", keys: Sequence[str]
                      value: str = "mc") -> DataFrame:
     """Correlation over toys of the integrals of samples, modes or bins.
 
-    Integrals of a toy are packed into one row in order of ``by`` (their number
-    is the number of samples, modes or bins), and pair sums are made from the
-    packed rows, centred on the mean over toys.
+    Rates of a toy become one short vector; each task sums its vectors to one
+    matrix, so pairs are shuffled per task and not per toy.  What reaches the
+    driver is one mean per sample, mode or bin.
     """
     keys = list(keys)
     rates = toys.groupBy("toy", *keys, by).agg(F.sum(value).alias("r"))
-    means = rates.groupBy(*keys, by).agg(F.avg("r").alias("_m"))
-    centred = rates.join(means, [*keys, by]).withColumn("d", F.col("r") - F.col("_m"))
-    packed = centred.groupBy("toy", *keys).agg(F.sort_array(F.collect_list(F.struct(by, "d"))).alias("_v"))
-    left = packed.select(*keys, "_v", F.posexplode("_v").alias("_i", "_a"))
-    pairs = left.select(*keys, "_a", F.explode(F.slice("_v", F.col("_i") + 1, F.size("_v"))).alias("_b"))
-    sums = pairs.groupBy(*keys, F.col(f"_a.{by}").alias("i"), F.col(f"_b.{by}").alias("j")).agg(
-        F.sum(F.col("_a.d") * F.col("_b.d")).alias("s"))
+    n_toys = toys.select("toy").distinct().count()
+    labels: dict[tuple, dict] = {}
+    for row in rates.groupBy(*keys, by).agg(F.sum("r").alias("s")).collect():
+        labels.setdefault(tuple(row[k] for k in keys), {})[row[by]] = row["s"] / n_toys
+    packed = rates.groupBy("toy", *keys).agg(
+        F.collect_list(by).alias("names"), F.collect_list("r").alias("rates"))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            groups = pdf.groupby(keys, sort=False) if keys else [((), pdf)]
+            for key, part in groups:
+                key = tuple(k.item() if hasattr(k, "item") else k for k in key)
+                place = {name: i for i, name in enumerate(labels[key])}
+                x = np.zeros((len(part), len(place)))
+                for r, (names, values) in enumerate(zip(part["names"], part["rates"])):
+                    x[r, [place[n] for n in names]] = values
+                x -= np.array(list(labels[key].values()))
+                sums[key] = sums.get(key, 0.0) + x.T @ x
+        for key, m in sums.items():
+            i, j = np.triu_indices(len(m))
+            names = np.array(list(labels[key]), dtype=object)
+            low, high = np.minimum(names[i], names[j]), np.maximum(names[i], names[j])
+            out = pd.DataFrame({"i": low, "j": high, "s": m[i, j]})
+            for name, value in zip(keys, key):
+                out[name] = value
+            yield out
+
+    types = dict(toys.dtypes)
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"i {types[by]}, j {types[by]}, s double"])
+    sums = packed.mapInPandas(partial, schema).groupBy(*keys, "i", "j").agg(F.sum("s").alias("s"))
     diagonal = sums.filter("i = j")
     vi = diagonal.select(*keys, "i", F.col("s").alias("_vi"))
     vj = diagonal.select(*keys, "j", F.col("s").alias("_vj"))

@@ -5,19 +5,32 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from chainlens.operators import convergence as ops
+from chainlens.operators.chain import with_entry_index
+from chainlens.session import checkpoint_folder
 
 
-def diagnose(chain: DataFrame, columns: Sequence[str], nlags: int = 25000, batches: int = 20,
-             contiguous: bool = True) -> dict[str, DataFrame]:
+def prepare(chain: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Chain numbered 0..n-1 per chain_id, written once so that each diagnostic rereads it.
+
+    The rows go to the checkpoint folder that the executors share.
+    """
+    checkpoint_folder(chain.sparkSession)
+    indexed = with_entry_index(chain.select("chain_id", "step", *columns))
+    return indexed.withColumn("step", F.col("entry")).drop("entry").checkpoint()
+
+
+def diagnose(chain: DataFrame, columns: Sequence[str], nlags: int = 25000, batches: int = 20) -> dict[str, DataFrame]:
     """Traces, batches, autocorrelation, spectrum and Geweke scores of each chain."""
-    means = ops.batched_means(chain, columns, batches, contiguous)
-    acf = ops.autocorrelation(chain, columns, nlags, contiguous=contiguous)
-    spectrum = ops.power_spectrum(chain, columns, contiguous=contiguous)
+    chain = prepare(chain, columns)
+    means = ops.batched_means(chain, columns, batches, contiguous=True)
+    acf = ops.autocorrelation(chain, columns, nlags)
+    spectrum = ops.power_spectrum(chain, columns)
     return {
         "trace": ops.trace(chain, columns),
-        "trace_level": ops.trace_level(chain, columns, contiguous),
+        "trace_level": ops.trace_level(chain, columns, contiguous=True),
         "batched_means": means,
         "batch_variance": ops.batch_variance_test(means, batches),
         "autocorrelation": acf,

@@ -327,7 +327,7 @@ def _(spark, path):
 
 @add("postfit_gauss")
 def _(spark, path):
-    return hist.postfit_gauss(li_hist(spark, path))
+    return hist.postfit_gauss(hist.posterior_hist(ev_chain(spark, path), EV))
 
 
 BUCKETS = """bk AS (SELECT *, CAST(least(floor((step - 1) / CAST((SELECT max(step) // 5 FROM ch) AS DOUBLE)), 5) AS INTEGER)
@@ -493,7 +493,16 @@ def _(spark, path):
 IVL = "iv AS (SELECT *, least(floor((step - 1) / CAST((SELECT max(step) // 5 FROM ch) AS DOUBLE)), 4) AS b FROM ch WHERE step > 0)"
 
 
-@add("suboptimality")
+SUBOPT = f"""WITH {EV1}, {IVL}, m AS (SELECT avg(val) AS mv, avg(root) AS mr, avg(k) AS mk FROM ch),
+ c AS (SELECT i.range AS "interval", var_pop(val - mv) AS a, covar_pop(val - mv, root - mr) AS b, covar_pop(val - mv, k - mk) AS c,
+ var_pop(root - mr) AS d, covar_pop(root - mr, k - mk) AS e, var_pop(k - mk) AS f FROM iv, m, range(5) i WHERE iv.b <= i.range GROUP BY 1),
+ g AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM c),
+ h AS (SELECT *, (d * f - e * e) / det AS p, (c * e - b * f) / det AS q, (b * e - c * d) / det AS r, (a * f - c * c) / det AS s, (b * c - a * e) / det AS t,
+ (a * d - b * b) / det AS u FROM g)
+ SELECT CAST("interval" AS INTEGER) AS "interval", 3 * (p * p + s * s + u * u + 2 * (q * q + r * r + t * t)) / ((p + s + u) * (p + s + u)) AS suboptimality FROM h"""
+
+
+@add("suboptimality", SUBOPT, "suboptimality", digits=7)
 def _(spark, path):
     chain = ev_chain(spark, path)
     return moments.suboptimality(chain, EV, 5, ops.last_step(chain))

@@ -92,14 +92,60 @@ def _(spark, path):
     return built(spark, path).select("spline_id", F.inline(rows)).toDF("spline_id", "knot", "y", "slope")
 
 
+# Four knots at unit distance: y0..y3 with secants s0..s2.
+FOUR = f"""{SPLINE_SQL}, y AS (SELECT spline_id, max(CASE WHEN x = -1 THEN y END) AS y0, max(CASE WHEN x = 0 THEN y END) AS y1,
+ max(CASE WHEN x = 1 THEN y END) AS y2, max(CASE WHEN x = 2 THEN y END) AS y3 FROM kt GROUP BY 1),
+ s AS (SELECT *, y1 - y0 AS s0, y2 - y1 AS s1, y3 - y2 AS s2 FROM y)"""
+
+
+def hermite_sql(slopes: str) -> str:
+    """Coefficients per segment from slopes m0..m3 at the knots."""
+    rows = " UNION ALL ".join(
+        f"SELECT spline_id, {i} AS segment, m{i} AS b, 3 * s{i} - 2 * m{i} - m{i + 1} AS c, m{i} + m{i + 1} - 2 * s{i} AS d FROM m" for i in range(3))
+    return f"WITH {FOUR}, m AS (SELECT *, {slopes} FROM s), r AS ({rows}) SELECT CAST(spline_id AS INTEGER) AS spline_id, CAST(segment AS INTEGER) AS segment, b, c, d FROM r"
+
+
+def akima_sql(i: int) -> str:
+    m = ["(2 * (2 * s0 - s1) - s0)", "(2 * s0 - s1)", "s0", "s1", "s2", "(2 * s2 - s1)", "(2 * (2 * s2 - s1) - s2)"]
+    after, before = f"abs({m[i + 3]} - {m[i + 2]})", f"abs({m[i + 1]} - {m[i]})"
+    return (f"CASE WHEN {after} + {before} = 0 THEN {m[i + 2]} ELSE ({after} * {m[i + 1]} + {before} * {m[i + 2]}) / ({after} + {before}) END AS m{i}")
+
+
+SPLINE_ORACLE = {
+    "kochanek_bartels": hermite_sql("s0 AS m0, (s0 + s1) / 2 AS m1, (s1 + s2) / 2 AS m2, s2 AS m3"),
+    "akima": hermite_sql(", ".join(akima_sql(i) for i in range(4))),
+    # Without a knot in the middle two conditions the spline is one cubic through four points.
+    "cubic": f"""WITH {FOUR}, p AS (SELECT *, (s2 - 2 * s1 + s0) / 6 AS e, (s1 - s0) / 2 AS f FROM s),
+ q AS (SELECT *, i.range AS segment, i.range AS t FROM p, range(3) i)
+ SELECT CAST(spline_id AS INTEGER) AS spline_id, CAST(segment AS INTEGER) AS segment, s0 + f * (2 * t - 1) + e * (3 * t * t - 6 * t + 2) AS b,
+ f + e * (3 * t - 3) AS c, e AS d FROM q""",
+    "monotonic": None,
+}
+
+
+def shrink_sql(i: int) -> str:
+    """Scale the slopes of segment i into the circle of radius 3."""
+    a, b = f"m{i}", f"m{i + 1}"
+    k = (f"(CASE WHEN s{i} = 0 THEN 0 WHEN {a} * {a} + {b} * {b} > 9 * s{i} * s{i} THEN 3 * abs(s{i}) / sqrt({a} * {a} + {b} * {b}) ELSE 1 END)")
+    return f"SELECT * REPLACE ({a} * {k} AS {a}, {b} * {k} AS {b}) FROM z{i}"
+
+
+SPLINE_ORACLE["monotonic"] = hermite_sql("0 AS m0").replace(
+    "m AS (SELECT *, 0 AS m0 FROM s)",
+    """z0 AS (SELECT *, s0 AS m0, CASE WHEN (s0 >= 0) = (s1 >= 0) THEN (s0 + s1) / 2 ELSE 0 END AS m1,
+ CASE WHEN (s1 >= 0) = (s2 >= 0) THEN (s1 + s2) / 2 ELSE 0 END AS m2, s2 AS m3 FROM s), """
+    + f"z1 AS ({shrink_sql(0)}), z2 AS ({shrink_sql(1)}), m AS ({shrink_sql(2)})")
+
+
 def register_splines(method: str) -> None:
-    @add(f"build_splines_{method}")
+    @add(f"build_splines_{method}", SPLINE_ORACLE[method], "b c d", digits=6)
     def _(spark, path):
-        return built(spark, path, method).select(
-            "spline_id", *[F.concat_ws(",", F.transform(c, lambda v: F.format_string("%.6f", v))).alias(c) for c in "bcd"])
+        rows = built(spark, path, method).select("spline_id", F.posexplode(F.arrays_zip("b", "c", "d")).alias("segment", "_r"))
+        return rows.select("spline_id", "segment", *[
+            F.when(F.abs(F.col(f"_r.{v}")) < 1e-11, 0.0).otherwise(F.col(f"_r.{v}")).alias(v) for v in "bcd"])
 
 
-for _method in ("cubic", "akima", "monotonic", "kochanek_bartels"):
+for _method in SPLINE_ORACLE:
     register_splines(_method)
 
 POINTS = [  # norm_a, norm_n, norm_o, shape
@@ -434,7 +480,11 @@ def _(spark, path):
     return toys.event_rates(toy_table(spark, path), toy_data(spark, path))
 
 
-@add("rate_significance")
+# The normal distribution as a series: 1/2 + density(z) * sum of z^(2n+1) / (2n+1)!!
+@add("rate_significance", f"""{RATES}, z AS (SELECT *, (data_rate - mean) / sigma AS z FROM er), t AS (SELECT z.sample_id, sum(exp((2 * n.range + 1) * ln(abs(z))
+ - ((n.range + 1) * ln(2.0) + lgamma(n.range + 1.5) - 0.5 * ln(pi())))) AS series FROM z, range(150) n GROUP BY z.sample_id)
+ SELECT z.*, 0.5 + sign(z) * series * exp(-0.5 * z * z) / sqrt(2 * pi()) AS z_pvalue FROM z JOIN t ON z.sample_id IS NOT DISTINCT FROM t.sample_id""",
+     "mean sigma data_rate p_value frac_error z z_pvalue", digits=7)
 def _(spark, path):
     return toys.rate_significance(toys.event_rates(toy_table(spark, path), toy_data(spark, path)))
 

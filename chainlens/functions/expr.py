@@ -37,7 +37,7 @@ def uniform_bin(x: Column, lo, hi, nbins: int) -> Column:
     """Bin number in 0..nbins-1; -1 is underflow, nbins is overflow (x >= hi)."""
     lo, hi = F.lit(lo), F.lit(hi)
     inside = F.least(
-        F.floor(nbins * (x - lo) / (hi - lo)).cast("int"), F.lit(nbins - 1)
+        F.floor(F.try_divide(nbins * (x - lo), hi - lo)).cast("int"), F.lit(nbins - 1)
     )
     return (
         F.when(x < lo, F.lit(-1))
@@ -152,4 +152,4 @@ def dunne_kaboth_label(value: Column) -> Column:
 
 
 def z_score(value: Column, mean: Column, sigma: Column) -> Column:
-    return (value - mean) / sigma
+    return F.try_divide(value - mean, sigma)

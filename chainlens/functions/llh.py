@@ -15,7 +15,7 @@ def poisson(data: Column, mc) -> Column:
     """mc - data + data ln(data / mc), with the prediction bounded from below."""
     mc = mc if isinstance(mc, Column) else F.lit(float(mc))
     low = LOW_MC_BOUND
-    plain = mc - data + data * F.log(data / mc)
+    plain = mc - data + data * F.log(F.try_divide(data, mc))
     return (
         F.when(data == 0, mc)
         .when((mc < low) & (data > low), low - data + data * F.log(data / low))
@@ -35,7 +35,7 @@ def no_information(data: Column, mc: Column) -> Column:
 
 def quadratic_beta(data: Column, mc: Column, w2: Column) -> Column:
     """Positive root of b^2 + (mc f - 1) b - data f = 0 with f = w2 / mc^2."""
-    f = w2 / (mc * mc)
+    f = F.try_divide(w2, mc * mc)
     b = mc * f - 1
     return (F.sqrt(b * b + 4 * data * f) - b) / 2
 
@@ -43,27 +43,27 @@ def quadratic_beta(data: Column, mc: Column, w2: Column) -> Column:
 def beta(data: Column, mc: Column, w2: Column, stat: str = "barlow_beeston") -> Column:
     """Scale between true and generated prediction."""
     if stat == "dembinski_abdelmotteleb":
-        k = mc * mc / w2
-        return (data + k) / (mc + k)
+        k = F.try_divide(mc * mc, w2)
+        return F.try_divide(data + k, mc + k)
     return quadratic_beta(data, mc, w2)
 
 
 def barlow_beeston(data: Column, mc: Column, w2: Column) -> Column:
     m = bounded_mc(data, mc)
-    f = w2 / (m * m)
+    f = F.try_divide(w2, m * m)
     b = quadratic_beta(data, m, w2)
-    stat = F.when(data > 0, m * b - data + data * F.log(data / (m * b))).otherwise(mc * b)
-    penalty = F.when(f > 0, (b - 1) * (b - 1) / (2 * f)).otherwise(0.0)
+    stat = F.when(data > 0, m * b - data + data * F.log(F.try_divide(data, m * b))).otherwise(mc * b)
+    penalty = F.when(f > 0, F.try_divide((b - 1) * (b - 1), 2 * f)).otherwise(0.0)
     return F.when(no_information(data, mc), 0.0).otherwise(stat + penalty)
 
 
 def dembinski_abdelmotteleb(data: Column, mc: Column, w2: Column) -> Column:
     m = bounded_mc(data, mc)
-    k = m * m / w2
-    b = (data + k) / (m + k)
+    k = F.try_divide(m * m, w2)
+    b = F.try_divide(data + k, m + k)
     scaled = m * b
     penalty = k * b - k - k * F.log(b)
-    stat = F.when(data > 0, scaled - data + data * F.log(data / scaled)).otherwise(scaled)
+    stat = F.when(data > 0, scaled - data + data * F.log(F.try_divide(data, scaled))).otherwise(scaled)
     return (
         F.when(w2 == 0, poisson(data, mc))
         .when(no_information(data, mc), 0.0)
@@ -92,7 +92,7 @@ def pearson(data: Column, mc: Column, w2: Column | None = None) -> Column:
         F.when(data == 0, mc / 2)
         .when((mc < low) & (data > low), (data - low) * (data - low) / (2 * low))
         .when((mc < low) & (data >= mc), 0.0)
-        .otherwise((data - mc) * (data - mc) / (2 * mc))
+        .otherwise(F.try_divide((data - mc) * (data - mc), 2 * mc))
     )
 
 

@@ -41,17 +41,18 @@ def savage_dickey(hist: DataFrame, cases: DataFrame, params: DataFrame) -> DataF
     ``cases``: (param, point, lo, hi); the bounds hold for flat priors.
     """
     whole = Window.partitionBy("param")
-    density = hist.withColumn("posterior", F.col("content") / F.sum("content").over(whole) / (F.col("hi") - F.col("lo")))
+    density = hist.withColumn("posterior", F.try_divide(
+        F.try_divide("content", F.sum("content").over(whole)), F.col("hi") - F.col("lo")))
     c = cases.select("param", "point", F.col("lo").alias("case_lo"), F.col("hi").alias("case_hi"))
     model = params.select(F.col("branch").alias("param"), "prior", "error", "flat")
     at = density.join(F.broadcast(c), "param").filter(
         (F.col("lo") <= F.col("point")) & (F.col("point") < F.col("hi"))).join(F.broadcast(model), "param")
     inside = (F.col("point") >= F.col("case_lo")) & (F.col("point") < F.col("case_hi"))
-    flat = F.when(inside, 1 / (F.col("case_hi") - F.col("case_lo"))).otherwise(0.0)
+    flat = F.when(inside, F.try_divide(F.lit(1.0), F.col("case_hi") - F.col("case_lo"))).otherwise(0.0)
     normal = gauss(F.col("point"), F.col("prior"), F.col("error"))
     prior = F.when(F.col("flat"), flat).otherwise(normal)
     return at.select("param", "point", "posterior", prior.alias("prior_density")).withColumn(
-        "savage_dickey", F.when(F.col("prior_density") > 0, F.col("posterior") / F.col("prior_density"))
+        "savage_dickey", F.when(F.col("prior_density") > 0, F.try_divide("posterior", "prior_density"))
     ).withColumn("dunne_kaboth", dunne_kaboth_label(F.col("savage_dickey")))
 
 
@@ -66,7 +67,7 @@ def prior_pull(postfit: DataFrame, params: DataFrame) -> DataFrame:
 
 def relative_to_prior(params: DataFrame, hide_flat: bool = False) -> DataFrame:
     """Errors relative to the prior, around 1; the plain error where the prior is 0."""
-    error = F.when(F.col("prior") == 0, F.col("error")).otherwise(F.col("error") / F.col("prior"))
+    error = F.when(F.col("prior") == 0, F.col("error")).otherwise(F.try_divide("error", "prior"))
     if hide_flat:
         error = F.when(F.col("flat"), 0.0).otherwise(error)
     return params.select("name", F.lit(1.0).alias("central"), error.alias("error"))

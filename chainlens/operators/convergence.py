@@ -81,7 +81,7 @@ def batch_variance_test(batches: DataFrame, nb: int, integer_division: bool = Fa
         factor, root = F.col("_len") / (nb - 1), (nb * nb - 1) / (nb - 2)
     return sums.select(
         "chain_id", "param", (factor * F.col("_ss")).alias("batch_variance"),
-        (root**0.5 * (F.col("_lag") / F.col("_ss") + F.col("_ends") / (2 * F.col("_ss")))).alias("c_statistic"))
+        (root**0.5 * F.try_divide(F.col("_lag") + F.col("_ends") / 2, F.col("_ss"))).alias("c_statistic"))
 
 
 def _slices(columns: Sequence[str], values: Sequence, width: int):
@@ -147,15 +147,15 @@ def effective_sample_size(acf: DataFrame, chain: DataFrame, from_lag: int = 0) -
     entries = chain.groupBy("chain_id").agg(F.count(F.lit(1)).alias("n"))
     sums = acf.filter(F.col("lag") >= from_lag).groupBy("chain_id", "param").agg(
         (1 + 2 * F.sum("r")).alias("_d"))
-    share = F.abs(1 / F.col("_d"))
+    share = F.abs(F.try_divide(F.lit(1.0), F.col("_d")))
     # Upper limits of the five classes of N_eff / N.
     limits = [1.0, 0.02, 0.005, 0.001, 0.0001, 0.0]
     label = F.lit(None).cast("int")
     for k in range(5):
         label = F.when((share <= limits[k]) & (share > limits[k + 1]), k).otherwise(label)
     return sums.join(F.broadcast(entries), "chain_id").select(
-        "chain_id", "param", (F.col("n") / F.col("_d")).alias("ess"),
-        (100 / F.col("_d")).alias("efficiency"), label.alias("ess_class"))
+        "chain_id", "param", F.try_divide("n", "_d").alias("ess"),
+        F.try_divide(F.lit(100.0), F.col("_d")).alias("efficiency"), label.alias("ess_class"))
 
 
 def average_autocorrelation(acf: DataFrame) -> DataFrame:
@@ -182,15 +182,13 @@ def geweke(chain: DataFrame, columns: Sequence[str], checks: int = 100, end: int
         end = chain.agg(F.max("step")).first()[0]
     thresholds = [int((1.0 / checks) * k * end) for k in range(checks + 1)]
     limit = F.lit(thresholds)
-    guess = F.greatest(F.lit(1), F.least(
-        F.lit(checks), F.floor(F.col("step") * checks / F.lit(max(end, 1))).cast("int")))
+    guess = F.ceil((F.col("step") + 1) * checks / F.lit(max(end, 1))).cast("int")
 
     def below(offset: int):
         return F.col("step") < F.get(limit, guess + offset)
 
-    # Smallest k with step < threshold k; truncated thresholds move the guess by one or two.
-    bucket = F.when(below(-1) & (guess > 1), guess - 1).when(below(0), guess).when(
-        below(1), guess + 1).otherwise(guess + 2)
+    # Smallest k with step < threshold k; rounding can move the guess by one.
+    bucket = F.when((guess > 1) & below(-1), guess - 1).when(below(0), guess).otherwise(guess + 1)
     late = F.col("step") > 0.5 * end
     stats = []
     for i, c in enumerate(columns):
@@ -208,7 +206,8 @@ def geweke(chain: DataFrame, columns: Sequence[str], checks: int = 100, end: int
         "_q", F.col("n") * (F.col("v") + F.col("m") * F.col("m")))
 
     def mean_var(n, s, q):
-        return s / n, q / n - (s / n) * (s / n)
+        mean = F.try_divide(s, n)
+        return mean, F.try_divide(q, n) - mean * mean
 
     upper = parts.filter("late").groupBy("chain_id", "param").agg(
         F.sum("n").alias("un"), F.sum(F.col("n") * F.col("m")).alias("us"), F.sum("_q").alias("uq"))
@@ -222,7 +221,7 @@ def geweke(chain: DataFrame, columns: Sequence[str], checks: int = 100, end: int
     scored = prefix.join(upper, ["chain_id", "param"])
     lm, lv = mean_var(F.col("n"), F.col("s"), F.col("q"))
     um, uv = mean_var(F.col("un"), F.col("us"), F.col("uq"))
-    score = F.when((F.col("n") > 0) & (lv + uv > 0), F.abs(lm - um) / F.sqrt(lv + uv))
+    score = F.try_divide(F.abs(lm - um), F.sqrt(lv + uv))
     return scored.select("chain_id", "param", "k", score.alias("t_score"))
 
 

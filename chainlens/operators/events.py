@@ -62,14 +62,14 @@ def quasi_elastic_energy(p_lep: Column, cos_theta: Column, binding: float = 0.0,
     hit = hit - binding / 1000.0
     energy = F.sqrt(p_lep * p_lep + MUON * MUON)
     top = 2 * hit * energy + (left * left - hit * hit - MUON * MUON)
-    return top / (2 * (hit - energy + p_lep * cos_theta))
+    return F.try_divide(top, 2 * (hit - energy + p_lep * cos_theta))
 
 
 def q2_shift(p_lep: Column, p_new: Column, e_true: Column, q2: Column) -> Column:
     """Change of Q2 when the lepton momentum moves at fixed angle."""
     m2 = MUON * MUON
     before, after = F.sqrt(p_lep * p_lep + m2), F.sqrt(p_new * p_new + m2)
-    cos_theta = (2 * e_true * before - m2 - q2) / (2 * e_true * p_lep)
+    cos_theta = F.try_divide(2 * e_true * before - m2 - q2, 2 * e_true * p_lep)
     return 2 * e_true * (after - p_new * cos_theta) - m2 - q2
 
 

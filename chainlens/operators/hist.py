@@ -44,7 +44,7 @@ def posterior_hist(chain: DataFrame, columns: Sequence[str], nbins: int = 70,
     """Weighted histogram of every parameter in one scan.
 
     Automatic ranges run from the minimum to the maximum of the chain, so the
-    maximum itself is overflow.  Values are binned in wide form; only small
+    maximum itself is overflow, and a constant parameter has no bins.  Values are binned in wide form; only small
     integers are unpivoted, and partial sums of at most parameters x bins rows
     per task are shuffled.
     """
@@ -57,7 +57,7 @@ def posterior_hist(chain: DataFrame, columns: Sequence[str], nbins: int = 70,
         if c in edges:
             bins.append(edge_bin(F.col(c), edges[c]).alias(c))
             layout.append((c, 0.0, 0.0, len(edges[c]) - 1, edges[c]))
-        elif c in ranges:
+        elif c in ranges and ranges[c][0] < ranges[c][1]:
             lo, hi = ranges[c]
             inside = (F.col(c) >= lo) & (F.col(c) < hi)
             bins.append(F.when(inside, uniform_bin(F.col(c), lo, hi, nbins)).alias(c))
@@ -193,7 +193,7 @@ def parameter_evolution(chain: DataFrame, columns: Sequence[str], n: int, end: i
     return (
         counts.withColumn("content", F.sum("content").over(suffix))
         .filter("bucket >= 1")
-        .withColumn("density", F.col("content") / F.sum("content").over(whole))
+        .withColumn("density", F.try_divide("content", F.sum("content").over(whole)))
         .select((F.col("bucket") - 1).alias("interval"), "param", "bin", "lo", "hi", "content", "density")
     )
 
@@ -239,11 +239,11 @@ def best_fit_2d(hist2d: DataFrame, keys: Sequence[str] = ("param_x", "param_y"))
 
 def normalise(hist: DataFrame, keys: Sequence[str] = ("param",)) -> DataFrame:
     whole = Window.partitionBy(*keys)
-    return hist.withColumn("density", F.col("content") / F.sum("content").over(whole))
+    return hist.withColumn("density", F.try_divide("content", F.sum("content").over(whole)))
 
 
 def scale_by_width(hist: DataFrame, scale: float = 1.0) -> DataFrame:
-    return hist.withColumn("density", F.col("content") / ((F.col("hi") - F.col("lo")) * scale))
+    return hist.withColumn("density", F.try_divide(F.col("content"), (F.col("hi") - F.col("lo")) * scale))
 
 
 def integrals(hist: DataFrame, keys: Sequence[str] = ("param",)) -> DataFrame:
@@ -258,7 +258,7 @@ def ratio(top: DataFrame, bottom: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Bin by bin ratio; null where the denominator is 0."""
     below = bottom.select(*keys, F.col("content").alias("below"))
     return top.join(below, list(keys)).withColumn(
-        "ratio", F.when(F.col("below") != 0, F.col("content") / F.col("below")))
+        "ratio", F.try_divide("content", "below"))
 
 
 def hist_iqr(hist: DataFrame, keys: Sequence[str] = ("param",)) -> DataFrame:
@@ -267,12 +267,13 @@ def hist_iqr(hist: DataFrame, keys: Sequence[str] = ("param",)) -> DataFrame:
     whole = Window.partitionBy(*keys)
     cdf = (
         hist.withColumn("_t", F.sum("content").over(whole))
-        .withColumn("_c", F.sum("content").over(upto) / F.col("_t"))
-        .withColumn("_p", F.col("content") / F.col("_t"))
+        .withColumn("_c", F.try_divide(F.sum("content").over(upto), F.col("_t")))
+        .withColumn("_p", F.try_divide("content", "_t"))
     )
 
     def quantile(q: float):
-        at = F.col("lo") + (F.col("hi") - F.col("lo")) * (q - (F.col("_c") - F.col("_p"))) / F.col("_p")
+        at = F.col("lo") + F.try_divide(
+            (F.col("hi") - F.col("lo")) * (q - (F.col("_c") - F.col("_p"))), F.col("_p"))
         return F.min_by(at, F.when((F.col("_c") >= q) & (F.col("_p") > 0), F.col("bin")))
 
     quartiles = cdf.groupBy(*keys).agg(
@@ -283,10 +284,10 @@ def hist_iqr(hist: DataFrame, keys: Sequence[str] = ("param",)) -> DataFrame:
 def kl_divergence(data: DataFrame, model: DataFrame, keys: Sequence[str], bins: Sequence[str] = ("bin",)) -> DataFrame:
     """Sum of p ln(p/q) over bins with both above 0."""
     whole = Window.partitionBy(*keys)
-    p = data.withColumn("p", F.col("content") / F.sum("content").over(whole)).select(*keys, *bins, "p")
-    q = model.withColumn("q", F.col("content") / F.sum("content").over(whole)).select(*keys, *bins, "q")
+    p = data.withColumn("p", F.try_divide("content", F.sum("content").over(whole))).select(*keys, *bins, "p")
+    q = model.withColumn("q", F.try_divide("content", F.sum("content").over(whole))).select(*keys, *bins, "q")
     both = p.join(q, [*keys, *bins]).filter("p > 0 and q > 0")
-    return both.groupBy(*keys).agg(F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("kl"))
+    return both.groupBy(*keys).agg(F.sum(F.col("p") * F.log(F.try_divide("p", "q"))).alias("kl"))
 
 
 def hist_min_in_range(hist: DataFrame, lo: float, hi: float, keys: Sequence[str] = ("param",)) -> DataFrame:
@@ -314,7 +315,7 @@ def project_bins(boxes: DataFrame, dim: int, edges: Sequence[float], keys: Seque
     low_edge = F.element_at(F.lit(edges), F.col("bin") + 1)
     high_edge = F.element_at(F.lit(edges), F.col("bin") + 2)
     overlap = F.least(F.col("_hi"), high_edge) - F.greatest(F.col("_lo"), low_edge)
-    share = spread.withColumn("_f", overlap / (hi - lo)).filter("_f > 0")
+    share = spread.withColumn("_f", F.try_divide(overlap, hi - lo)).filter("_f > 0")
     return share.groupBy(*keys, "bin").agg(
         F.sum(F.col("_f") * F.col("content")).alias("content"),
         F.sqrt(F.sum(F.pow(F.col("_f") * F.col("err"), 2))).alias("err"),

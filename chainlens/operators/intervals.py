@@ -29,7 +29,7 @@ def _kept_bins(hist: DataFrame, levels, order, keys) -> DataFrame:
         "_before", F.coalesce(F.sum("content").over(above.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     ).withColumn("_total", F.sum("content").over(Window.partitionBy(*keys)))
     spread = ranked.withColumn("level", F.explode(F.lit([float(v) for v in levels])))
-    return spread.filter(F.col("_before") / F.col("_total") < F.col("level")).drop("_before", "_total")
+    return spread.filter(F.try_divide("_before", "_total") < F.col("level")).drop("_before", "_total")
 
 
 def credible_bins(hist: DataFrame, levels: Sequence[float] = (0.99, 0.90, 0.68),
@@ -80,7 +80,7 @@ def _two_sided(peaked: DataFrame, keys: Sequence[str], coverage: float) -> DataF
     )
     upto = Window.partitionBy(*keys).orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reached = by_distance.withColumn("_sum", F.sum("_both").over(upto)).filter(
-        F.col("_sum") / F.col("_total") >= coverage)
+        F.try_divide("_sum", "_total") >= coverage)
     stop = reached.groupBy(*keys).agg(F.min_by(F.struct("_d", "_low", "_high", "_peak", "_last"), "_d").alias("_s"))
     return stop.select(
         *keys,
@@ -118,8 +118,8 @@ def hpd(hist: DataFrame, coverage: float = 0.6827, keys: Sequence[str] = ("param
     falling = whole.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     walked = peaked.withColumn("_up", up).withColumn("_down", down).select(
         *keys, "bin", "_peak", "_last",
-        (F.sum("_up").over(rising) / F.sum("_up").over(whole)).alias("_fu"),
-        (F.sum("_down").over(falling) / F.sum("_down").over(whole)).alias("_fd"),
+        F.try_divide(F.sum("_up").over(rising), F.sum("_up").over(whole)).alias("_fu"),
+        F.try_divide(F.sum("_down").over(falling), F.sum("_down").over(whole)).alias("_fd"),
     )
     one_sided = walked.groupBy(*keys, "_peak", "_last").agg(
         F.min(F.when((F.col("bin") >= F.col("_peak")) & (F.col("_fu") >= coverage), F.col("bin"))).alias("_bu"),
@@ -157,7 +157,7 @@ def cumulative(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Normalised cumulative distribution."""
     whole = Window.partitionBy(*keys)
     upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return hist.withColumn("cdf", F.sum("content").over(upto) / F.sum("content").over(whole))
+    return hist.withColumn("cdf", F.try_divide(F.sum("content").over(upto), F.sum("content").over(whole)))
 
 
 def compare_chains(hist: DataFrame, first: int = 0) -> DataFrame:
@@ -192,10 +192,10 @@ def anderson_darling_curve(data: DataFrame, model: DataFrame, keys: Sequence[str
     upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def cdf(value):
-        return F.sum(value).over(upto) / F.sum(value).over(whole)
+        return F.try_divide(F.sum(value).over(upto), F.sum(value).over(whole))
 
     joint = cdf(F.col("d") + F.col("m"))
-    stat = F.abs(F.col("f_d") - F.col("f_m")) / F.sqrt(F.col("f_j") * (1 - F.col("f_j")))
+    stat = F.try_divide(F.abs(F.col("f_d") - F.col("f_m")), F.sqrt(F.col("f_j") * (1 - F.col("f_j"))))
     return both.select(*keys, "bin", cdf(F.col("d")).alias("f_d"), cdf(F.col("m")).alias("f_m"),
                        joint.alias("f_j")).withColumn(
         "ad", F.when(F.col("f_j") * (1 - F.col("f_j")) > 0, finite_or(stat, 0.0)).otherwise(0.0))

@@ -80,9 +80,8 @@ def gram(chain: DataFrame, columns: Sequence[str], weight: str | None = None,
     return (_gram_sql if method == "sql" else _gram_blocks)(shifted, columns, list(keys))
 
 
-def _cov(population: bool = True):
-    centred = F.col("sij") / F.col("sw") - F.col("si") / F.col("sw") * (F.col("sj") / F.col("sw"))
-    return centred if population else centred * F.col("sw") / (F.col("sw") - 1)
+def _cov():
+    return F.try_divide("sij", "sw") - F.try_divide("si", "sw") * F.try_divide("sj", "sw")
 
 
 def matrix_from_gram(sums: DataFrame, columns: Sequence[str], keys: Sequence[str] = (),
@@ -100,7 +99,7 @@ def matrix_from_gram(sums: DataFrame, columns: Sequence[str], keys: Sequence[str
     vj = diagonal.select(*keys, F.col("i").alias("j"), F.col("v").alias("vj"))
     with_corr = upper.join(vi, [*keys, "i"]).join(vj, [*keys, "j"]).withColumn(
         "corr", F.when((F.col("vi") > 0) & (F.col("vj") > 0),
-                       F.col("cov") / F.sqrt(F.col("vi") * F.col("vj"))).otherwise(F.lit(0.0)))
+                       F.try_divide(F.col("cov"), F.sqrt(F.col("vi") * F.col("vj")))).otherwise(F.lit(0.0)))
     both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(
         F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
     return with_corr.select(*keys, "cov", "corr", F.explode(both).alias("_p")).select(
@@ -163,7 +162,7 @@ def covariance_stability(chain: DataFrame, columns: Sequence[str], n: int, end:
     def change(c: str):
         now, before = F.col(c), F.lag(c).over(ordered)
         tiny = (F.abs(now) < 1e-5) & (F.abs(before) < 1e-5)
-        return F.when(~tiny & (before != 0), now / before)
+        return F.when(~tiny, F.try_divide(now, before))
 
     return table.select("interval", "param_i", "param_j", "cov", "corr",
                         change("cov").alias("cov_ratio"), change("corr").alias("corr_ratio")
@@ -200,7 +199,7 @@ def running_covariance(chain: DataFrame, pairs: Sequence[tuple[str, str]], block
             (F.lit(float(shift[a])) + F.col(f"s{index[a]}") / F.col("n")).alias("mean_i"),
             F.when(F.col("n") > 1,
                    (F.col(f"q{k}") - F.col(f"s{index[a]}") * F.col(f"s{index[b]}") / F.col("n"))
-                   / (F.col("n") - 1)).otherwise(F.lit(0.0)).alias("cov"))
+                   / F.greatest(F.col("n") - 1, F.lit(1.0))).otherwise(F.lit(0.0)).alias("cov"))
         for k, (a, b) in enumerate(pairs)
     ])
     return full.select("chain_id", "step", F.inline(rows))

@@ -419,15 +419,15 @@ def step_scale_from_scan(scan: DataFrame, n_params: int) -> DataFrame:
     ends = scan.groupBy("param").agg(
         F.greatest(F.min_by("llh", "x"), F.max_by("llh", "x")).alias("end_llh"))
     # Scale of a random walk in n dimensions, lowest LLH used.
-    return ends.withColumn("step_scale", F.when(
-        F.col("end_llh") >= 0.001, 1 / F.sqrt("end_llh") * 2.38 / F.sqrt(F.lit(float(n_params)))))
+    scale = F.try_divide(F.lit(2.38 / n_params**0.5), F.sqrt("end_llh"))
+    return ends.withColumn("step_scale", F.when(F.col("end_llh") >= 0.001, scale))
 
 
 def sigma_var_ratio(spectra: DataFrame, keys: Sequence[str] = ("scanned", "sample_id", "bin")) -> DataFrame:
     """Spectra of each variation over the nominal one (sigma 0) of the same parameter."""
     nominal = spectra.filter("sigma = 0").select(*keys, F.col("mc").alias("nominal"))
     return spectra.filter("sigma <> 0").join(nominal, list(keys)).withColumn(
-        "ratio", F.when(F.col("nominal") != 0, F.col("mc") / F.col("nominal")))
+        "ratio", F.try_divide("mc", "nominal"))
 
 
 def sigma_var_rates(spectra: DataFrame, keys: Sequence[str] = ("scanned", "sigma", "sample_id")) -> DataFrame:

@@ -115,9 +115,9 @@ def weighted_moments(df: DataFrame, keys: Sequence[str], values: dict[str, str],
     grouped = joined.groupBy(*keys).agg(*sums)
     out = []
     for n in values:
-        shift = F.col(f"_s_{n}") / F.col("_w")
+        shift = F.try_divide(f"_s_{n}", "_w")
         out += [(F.col(f"_a_{n}") + shift).alias(f"{n}_mean"),
-                F.sqrt(F.greatest(F.lit(0.0), F.col(f"_q_{n}") / F.col("_w") - shift * shift)).alias(f"{n}_rms")]
+                F.sqrt(F.greatest(F.lit(0.0), F.try_divide(f"_q_{n}", "_w") - shift * shift)).alias(f"{n}_rms")]
     return grouped.select(*keys, *out)
 
 
@@ -176,7 +176,7 @@ def event_rates(toys: DataFrame, data: DataFrame | None = None) -> DataFrame:
     summary = rates.groupBy("sample_id").agg(
         F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("sigma"), F.first("data_rate").alias("data_rate"),
         F.avg(F.when(F.col("rate") >= F.col("data_rate"), 1.0).otherwise(0.0)).alias("p_value"))
-    return summary.withColumn("frac_error", 100 * F.col("sigma") / F.col("mean"))
+    return summary.withColumn("frac_error", F.try_divide(100 * F.col("sigma"), F.col("mean")))
 
 
 def rate_significance(rates: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def rate_correlation(toys: DataFrame, by: str = "sample_id", keys: Sequence[str]
     vj = diagonal.select(*keys, "j", F.col("s").alias("_vj"))
     joined = sums.filter("i < j").join(vi, [*keys, "i"]).join(vj, [*keys, "j"])
     return joined.select(*keys, "i", "j", F.when(
-        (F.col("_vi") > 0) & (F.col("_vj") > 0), F.col("s") / F.sqrt(F.col("_vi") * F.col("_vj"))).alias("corr"))
+        (F.col("_vi") > 0) & (F.col("_vj") > 0), F.try_divide(F.col("s"), F.sqrt(F.col("_vi") * F.col("_vj")))).alias("corr"))
 
 
 # -- model checks -------------------------------------------------------------
@@ -292,7 +292,7 @@ def predictive_pvalue(chi2: DataFrame, info: DataFrame | None = None, nbins: int
     inside = (x < nbins) & (y < nbins)
     return joined.groupBy("sample_id").agg(
         F.avg(F.when(F.col("fluct_llh") >= F.col("data_llh"), 1.0).otherwise(0.0)).alias("p_exact"),
-        (F.sum(F.when(inside & (x >= y), 1.0).otherwise(0.0)) / F.sum(F.when(inside, 1.0))).alias("p_binned"),
+        F.try_divide(F.sum(F.when(inside & (x >= y), 1.0).otherwise(0.0)), F.sum(F.when(inside, 1.0))).alias("p_binned"),
         F.count(F.lit(1)).alias("n_toys"))
 
 
@@ -322,9 +322,8 @@ def llh_tail_pvalue(values: DataFrame, column: str, reference: float, keys: Sequ
 def hist_tail_pvalue(hist: DataFrame, reference: float, keys: Sequence[str] = ("param",)) -> DataFrame:
     """Share of a histogram in bins whose centre is at or above a reference."""
     centre = (F.col("lo") + F.col("hi")) / 2
-    return hist.groupBy(*keys).agg((
-        F.sum(F.when(centre >= F.lit(float(reference)), F.col("content")).otherwise(0.0)) / F.sum("content")
-    ).alias("p_value"))
+    above = F.sum(F.when(centre >= F.lit(float(reference)), F.col("content")).otherwise(0.0))
+    return hist.groupBy(*keys).agg(F.try_divide(above, F.sum("content")).alias("p_value"))
 
 
 def combine_pvalues(pvalues: DataFrame, keys: Sequence[str] = (), column: str = "p_value") -> DataFrame:

@@ -98,10 +98,10 @@ def union_chains(chains: Sequence[DataFrame]) -> DataFrame:
 
 def normalised_config(config: Column) -> Column:
     """Configuration text without the lines that may differ."""
-    lines = F.split(config, "\n")
-    for free in FREE_CONFIG_LINES:
-        lines = F.filter(lines, lambda line, free=free: ~line.contains(free))
-    return F.array_join(lines, "\n")
+    def stays(line: Column) -> Column:
+        return ~reduce(lambda a, b: a | b, [line.contains(free) for free in FREE_CONFIG_LINES])
+
+    return F.array_join(F.filter(F.split(config, "\n"), stays), "\n")
 
 
 def config_groups(configs: DataFrame, group: Sequence[str] = ()) -> DataFrame:

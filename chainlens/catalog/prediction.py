@@ -15,6 +15,7 @@ from chainlens.catalog.registry import (
 )
 from chainlens.operators import binning, chain as chain_ops, events, hist, moments, predict, splines, toys
 from chainlens.plans import predictive as plans
+from chainlens.session import stored
 
 LOW = "CAST(1e-5 AS DOUBLE)"
 
@@ -81,7 +82,7 @@ KEYS = ("spline_id", "sample_id", "channel", "mode", "b1")
 
 def built(spark, path, method="linear"):
     packed = splines.pack_knots(knots(spark, path), KEYS, 0.6, 1.6)
-    return splines.build_splines(packed, method, KEYS).withColumn("param", F.lit("shape"))
+    return stored(splines.build_splines(packed, method, KEYS).withColumn("param", F.lit("shape")), "splines")
 
 
 @add("build_splines_linear", f"""WITH {SPLINE_SQL} SELECT CAST(spline_id AS INTEGER) AS spline_id, x AS knot, y, (ny - y) / (nx - x) AS slope FROM (
@@ -180,10 +181,10 @@ def _(spark, path):
 SPLINE_AXES = [("x", [0.5, 20.5, 45.5])]
 
 
-def labelled(spark, path):
+def labelled(spark, path, responses=None):
     """Binned events with their norms, splines and list of factors."""
     matched = events.match_norms(binned_sample(spark, path), NORMS, None, {"modes": "mode", "channels": "channel"})
-    table_ = built(spark, path).select(*KEYS)
+    table_ = (responses or built(spark, path)).select(*KEYS)
     return predict.factor_ids(splines.match_splines(matched, table_, SPLINE_AXES), "norm_ids", "spline_ids")
 
 
@@ -197,10 +198,10 @@ def _(spark, path):
         F.count(F.lit(1)).alias("n"), F.sum("w0").alias("rate"))
 
 
-def factors(spark, path):
+def factors(spark, responses):
     values = points(spark)
     return predict.norm_factors(values, NORMS).unionByName(
-        predict.spline_factors(splines.evaluate_splines(built(spark, path), values)))
+        predict.spline_factors(splines.evaluate_splines(responses, values)))
 
 
 WEIGHTED = f"""{SPLINE_SQL}, {POINT_SQL}, {VALUE_SQL}, {EV_ID}, wt AS (SELECT pt.point, sid.sample_id, sid.mode, {X_BIN_SQL} AS bin,
@@ -211,8 +212,9 @@ WEIGHTED = f"""{SPLINE_SQL}, {POINT_SQL}, {VALUE_SQL}, {EV_ID}, wt AS (SELECT pt
 
 
 def predicted(spark, path):
-    summed = predict.signatures(labelled(spark, path))
-    return predict.predict_spectra(summed, factors(spark, path), len(POINTS))
+    responses = built(spark, path)
+    summed = stored(predict.signatures(labelled(spark, path, responses)), "signatures")
+    return predict.predict_spectra(summed, factors(spark, responses), len(POINTS))
 
 
 @add("predict_spectra", f"WITH {WEIGHTED} SELECT * FROM pr", "mc w2", digits=8)
@@ -297,7 +299,7 @@ def sigma_spectra(spark, path):
     moved = predict.sigma_points(spark, SIGMA_PARAMS)
     matched = events.match_norms(binned_sample(spark, path), NORMS, None, {"modes": "mode", "channels": "channel"})
     keys = ("sample_id", "mode", "bin")
-    summed = predict.signatures(predict.factor_ids(matched), keys)
+    summed = stored(predict.signatures(predict.factor_ids(matched), keys), "signatures")
     values = moved.select("point", "param", "value")
     out = predict.predict_spectra(summed, predict.norm_factors(values, NORMS), 15, keys)
     label = moved.select("point", "scanned", "sigma").distinct()
@@ -403,7 +405,7 @@ TOYS = f"WITH {toy_sql()}"
 
 
 def toy_table(spark, path, extra=()):
-    return events.fill_spectra(binned_sample(spark, path), keys=("toy", "sample_id", *extra, "bin"))
+    return stored(events.fill_spectra(binned_sample(spark, path), keys=("toy", "sample_id", *extra, "bin")), "toys")
 
 
 def toy_data(spark, path):

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+# The same queries without rounding, for timing.
+RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def _rounded(x: Column, digits: int) -> Column:
@@ -27,6 +29,7 @@ def add(name: str, sql: str | None = None, doubles: str = "", digits: int = 9):
     """Register a query; ``doubles`` names the double columns of the SQL result."""
 
     def register(function):
+        RAW[name] = function
         QUERIES[name] = lambda spark, path: round_doubles(function(spark, path), digits)
         if sql is not None:
             swaps = ", ".join(

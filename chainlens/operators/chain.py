@@ -203,34 +203,37 @@ def reweight_graph_1d(chain: DataFrame, column: str, graph: Sequence[tuple[float
     )
 
 
-def grid_chi2(x: Column, y: Column, xs: Sequence[float], ys: Sequence[float],
-              chi2: Sequence[Sequence[float]]) -> Column:
-    """Bilinear interpolation on a rectangular grid chi2[ix][iy]; null outside."""
-    xs, ys = [float(v) for v in xs], [float(v) for v in ys]
-    flat = F.lit([float(v) for row in chi2 for v in row])
-    ny = len(ys)
-    ix, iy = edge_bin(x, xs), edge_bin(y, ys)
-    x0, x1 = F.element_at(F.lit(xs), ix + 1), F.element_at(F.lit(xs), ix + 2)
-    y0, y1 = F.element_at(F.lit(ys), iy + 1), F.element_at(F.lit(ys), iy + 2)
-
-    def corner(dx: int, dy: int) -> Column:
-        return F.element_at(flat, (ix + dx) * ny + iy + dy + 1)
-
-    fx, fy = (x - x0) / (x1 - x0), (y - y0) / (y1 - y0)
-    low = corner(0, 0) * (1 - fx) + corner(1, 0) * fx
-    high = corner(0, 1) * (1 - fx) + corner(1, 1) * fx
-    open_range = (x > xs[0]) & (x < xs[-1]) & (y > ys[0]) & (y < ys[-1])
-    return F.when(open_range, low * (1 - fy) + high * fy)
+def grid_cells(xs: Sequence[float], ys: Sequence[float], chi2: Sequence[Sequence[float]]) -> list[tuple]:
+    """Corner and bilinear coefficients of every grid cell, x-major."""
+    cells = []
+    for i in range(len(xs) - 1):
+        for j in range(len(ys) - 1):
+            dx, dy = xs[i + 1] - xs[i], ys[j + 1] - ys[j]
+            a, b, c, d = chi2[i][j], chi2[i + 1][j], chi2[i][j + 1], chi2[i + 1][j + 1]
+            cells.append((xs[i], ys[j], a, (b - a) / dx, (c - a) / dy, (a - b - c + d) / (dx * dy)))
+    return cells
 
 
 def reweight_graph_2d(chain: DataFrame, x: str, dm2: str, normal: dict, inverted: dict,
                       name: str = "Weight") -> DataFrame:
     """2D graph chosen by the sign of the mass splitting; its absolute value is used.
 
-    ``normal`` and ``inverted`` are dicts of ``xs``, ``ys`` and ``chi2``.
+    ``normal`` and ``inverted`` are dicts of ``xs``, ``ys`` and ``chi2`` on a
+    rectangular grid, interpolated bilinearly.  The cell of a row is found once
+    and names the coefficients of both graphs, which are kept in one list.
     """
-    split = F.col(dm2)
-    chi2 = F.when(split > 0, grid_chi2(F.col(x), split, **normal)).otherwise(
-        grid_chi2(F.col(x), F.abs(split), **inverted)
-    )
-    return chain.withColumn(name, F.coalesce(F.exp(-0.5 * chi2), F.lit(0.0)))
+    cells, place, offset = [], F.lit(None).cast("int"), 0
+    u, v = F.col(x), F.abs(F.col(dm2))
+    for graph, chosen in ((inverted, F.col(dm2) <= 0), (normal, F.col(dm2) > 0)):
+        xs, ys = [float(e) for e in graph["xs"]], [float(e) for e in graph["ys"]]
+        own = grid_cells(xs, ys, graph["chi2"])
+        # The range is open: the first edges lie outside too.
+        inside = chosen & (u > xs[0]) & (v > ys[0])
+        place = F.when(inside, edge_bin(u, xs) * (len(ys) - 1) + edge_bin(v, ys) + offset).otherwise(place)
+        cells += own
+        offset += len(own)
+    x0, y0, a, b, c, d = [F.get(F.lit([float(cell[k]) for cell in cells]), F.col("_cell")) for k in range(6)]
+    dx, dy = u - x0, v - y0
+    chi2 = a + b * dx + c * dy + d * dx * dy
+    return chain.withColumn("_cell", place).withColumn(
+        name, F.coalesce(F.exp(-0.5 * chi2), F.lit(0.0))).drop("_cell")

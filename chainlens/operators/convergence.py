@@ -136,10 +136,9 @@ def autocorrelation(chain: DataFrame, columns: Sequence[str], nlags: int = 25000
     parts = spread.groupBy("chain_id", "block", "slice").applyInPandas(
         partial, f"chain_id {id_type}, param string, lag int, s double")
     sums = parts.groupBy("chain_id", "param", "lag").agg(F.sum("s").alias("s"))
-    base = sums.filter("lag = 0").select("chain_id", "param", F.col("s").alias("_s0"))
-    # Chains x parameters rows.
-    return sums.join(F.broadcast(base), ["chain_id", "param"]).select(
-        "chain_id", "param", "lag", finite_or(F.try_divide("s", "_s0"), 0.0).alias("r"))
+    # A window partition is one curve of nlags rows.
+    at_zero = F.max(F.when(F.col("lag") == 0, F.col("s"))).over(Window.partitionBy("chain_id", "param"))
+    return sums.select("chain_id", "param", "lag", finite_or(F.try_divide(F.col("s"), at_zero), 0.0).alias("r"))
 
 
 def effective_sample_size(acf: DataFrame, chain: DataFrame, from_lag: int = 0) -> DataFrame:
@@ -164,10 +163,10 @@ def average_autocorrelation(acf: DataFrame) -> DataFrame:
     A parameter is left out when its curve is flat (at most 100 lags after the
     first differ from 1 by more than 0.001) or nowhere above 0.
     """
+    curve = Window.partitionBy("chain_id", "param")  # nlags rows
     off = F.when((F.col("lag") >= 1) & (F.abs(F.col("r") - 1) > 0.001), 1).otherwise(0)
-    kept = acf.groupBy("chain_id", "param").agg(F.sum(off).alias("_off"), F.max("r").alias("_top")).filter(
-        "_off > 100 and _top > 0").select("chain_id", "param")
-    return acf.join(F.broadcast(kept), ["chain_id", "param"]).groupBy("chain_id", "lag").agg(
+    marked = acf.withColumn("_off", F.sum(off).over(curve)).withColumn("_top", F.max("r").over(curve))
+    return marked.filter("_off > 100 and _top > 0").groupBy("chain_id", "lag").agg(
         F.avg("r").alias("mean_r"), F.min("r").alias("min_r"), F.max("r").alias("max_r"),
         F.count(F.lit(1)).alias("n_params"))
 
@@ -199,30 +198,33 @@ def geweke(chain: DataFrame, columns: Sequence[str], checks: int = 100, end: int
         F.struct(F.lit(c).alias("param"), F.col(f"m_{i}").alias("m"), F.col(f"v_{i}").alias("v"))
         for i, c in enumerate(columns)])
     parts = sums.select("chain_id", "k", "late", F.col("n_0").alias("n"), F.inline(table))
-    # At most 2 * checks rows per chain and parameter from here on.
+    # At most 2 * checks rows per chain and parameter from here on: one window partition.
     whole = Window.partitionBy("chain_id", "param")
-    centre = F.sum(F.col("n") * F.col("m")).over(whole) / F.sum("n").over(whole)
-    parts = parts.withColumn("_c", centre).withColumn("m", F.col("m") - F.col("_c")).withColumn(
-        "_q", F.col("n") * (F.col("v") + F.col("m") * F.col("m")))
+    centre = F.try_divide(F.sum(F.col("n") * F.col("m")).over(whole), F.sum("n").over(whole))
+    parts = parts.withColumn("_c", centre).withColumn("m", F.col("m") - F.col("_c")).withColumns({
+        "s": F.col("n") * F.col("m"), "q": F.col("n") * (F.col("v") + F.col("m") * F.col("m"))})
+    upto = whole.orderBy("k").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = ("n", "s", "q")
+    upper = {f"u{c}": F.sum(F.when(F.col("late"), F.col(c))).over(whole) for c in sums}
+    prefix = {f"p{c}": F.sum(c).over(upto) for c in sums}
+    cumulated = parts.withColumns({**upper, **prefix}).groupBy("chain_id", "param", "k").agg(
+        *[F.max(f"{a}{c}").alias(f"{a}{c}") for a in "up" for c in sums])
+    # A bucket's prefix holds up to the next filled bucket; before the first there is none.
+    order = whole.orderBy("k")
+    first = F.lag("k").over(order).isNull()
+    last = F.least(F.coalesce(F.lead("k").over(order) - 1, F.lit(checks)), F.lit(checks))
+    start = F.when(first, 1).otherwise(F.col("k"))
+    spread = cumulated.withColumns({"_from": start, "_to": last}).filter("_from <= _to").select(
+        "*", F.explode(F.sequence("_from", "_to")).alias("_k"))
 
     def mean_var(n, s, q):
         mean = F.try_divide(s, n)
         return mean, F.try_divide(q, n) - mean * mean
 
-    upper = parts.filter("late").groupBy("chain_id", "param").agg(
-        F.sum("n").alias("un"), F.sum(F.col("n") * F.col("m")).alias("us"), F.sum("_q").alias("uq"))
-    buckets = parts.groupBy("chain_id", "param", "k").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum("_q").alias("q"))
-    grid = upper.select("chain_id", "param", F.explode(F.sequence(F.lit(1), F.lit(checks))).alias("k"))
-    upto = Window.partitionBy("chain_id", "param").orderBy("k").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    prefix = grid.join(buckets, ["chain_id", "param", "k"], "left").select(
-        "chain_id", "param", "k", *[F.sum(F.coalesce(c, F.lit(0.0))).over(upto).alias(c) for c in ("n", "s", "q")])
-    scored = prefix.join(upper, ["chain_id", "param"])
-    lm, lv = mean_var(F.col("n"), F.col("s"), F.col("q"))
+    lm, lv = mean_var(F.col("pn"), F.col("ps"), F.col("pq"))
     um, uv = mean_var(F.col("un"), F.col("us"), F.col("uq"))
-    score = F.try_divide(F.abs(lm - um), F.sqrt(lv + uv))
-    return scored.select("chain_id", "param", "k", score.alias("t_score"))
+    score = F.when(F.col("_k") >= F.col("k"), F.try_divide(F.abs(lm - um), F.sqrt(lv + uv)))
+    return spread.select("chain_id", "param", F.col("_k").alias("k"), score.alias("t_score"))
 
 
 def _bluestein(x: np.ndarray, step: float, count: int) -> np.ndarray:
@@ -319,18 +321,19 @@ def after_burn_in(chain: DataFrame) -> DataFrame:
 
 
 def _rhat_from_moments(moments: DataFrame, keys: Sequence[str], equal_sizes: bool) -> DataFrame:
-    """moments: (keys, chain_id, n, m, v); a group holds one row per chain."""
-    overall = moments.groupBy(*keys).agg(
-        (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("_mu"), F.sum("n").alias("total"),
-        F.count(F.lit(1)).alias("chains"), F.avg("m").alias("_plain"))
-    centre = F.col("_plain") if equal_sizes else F.col("_mu")
-    joined = moments.join(F.broadcast(overall), list(keys)).groupBy(*keys).agg(
-        F.first("total").alias("total"), F.first("chains").alias("chains"), F.avg("v").alias("within"),
-        F.sum(F.col("n") * F.pow(F.col("m") - centre, 2)).alias("_b"))
+    """moments: (keys, chain_id, n, m, v); a window partition holds one row per chain."""
+    chains = Window.partitionBy(*keys)
+    if equal_sizes:
+        centre = F.avg("m").over(chains)
+    else:
+        centre = F.try_divide(F.sum(F.col("n") * F.col("m")).over(chains), F.sum("n").over(chains))
+    joined = moments.withColumn("_c", centre).groupBy(*keys).agg(
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("chains"), F.avg("v").alias("within"),
+        F.sum(F.col("n") * F.pow(F.col("m") - F.col("_c"), 2)).alias("_b"))
     size = F.floor(F.col("total") / F.col("chains"))
-    between = F.when(F.col("chains") > 1, F.col("_b") / (F.col("chains") - 1)).otherwise(0.0)
+    between = F.when(F.col("chains") > 1, F.try_divide(F.col("_b"), F.col("chains") - 1)).otherwise(0.0)
     table = joined.withColumn("n", size.cast("double")).withColumn("between", between).withColumn(
-        "pooled", (F.col("n") - 1) * F.col("within") / F.col("n") + F.col("between") / F.col("n"))
+        "pooled", F.try_divide((F.col("n") - 1) * F.col("within") + F.col("between"), F.col("n")))
     return table.select(
         *keys, "chains", F.col("total").cast("long").alias("total"), "within", "between",
         F.sqrt(F.try_divide("pooled", "within")).alias("rhat"),
@@ -414,12 +417,19 @@ def rhat_folded(chain: DataFrame, columns: Sequence[str]) -> DataFrame:
         stats += [F.avg(c).alias(f"m_{i}"), F.var_samp(c).alias(f"v_{i}"),
                   F.avg(folded).alias(f"fm_{i}"), F.var_samp(folded).alias(f"fv_{i}")]
     sums = chain.groupBy("chain_id").agg(F.count(F.lit(1)).cast("double").alias("n"), *stats)
-    plain = _rhat_from_moments(_long(sums, ["chain_id", "n"], columns, {"m": "m", "v": "v"}), ["param"], True)
-    folded = _rhat_from_moments(_long(sums, ["chain_id", "n"], columns, {"fm": "m", "fv": "v"}), ["param"], True)
-    return plain.select("param", "chains", "rhat", "ess").join(
-        folded.select("param", F.col("rhat").alias("rhat_folded"), F.col("ess").alias("ess_folded")), "param"
-    ).withColumn("median", F.element_at(F.create_map(*[v for c in columns for v in (F.lit(c), F.lit(medians[c]))]),
-                                        F.col("param")))
+    rows = F.array(*[
+        F.struct(F.lit(c).alias("param"), F.lit(kind).alias("kind"), F.col(f"{a}m_{i}").alias("m"), F.col(f"{a}v_{i}").alias("v"))
+        for i, c in enumerate(columns) for kind, a in (("plain", ""), ("folded", "f"))])
+    both = _rhat_from_moments(sums.select("chain_id", "n", F.inline(rows)), ["param", "kind"], True)
+
+    def of(kind: str, column: str):
+        return F.max(F.when(F.col("kind") == kind, F.col(column)))
+
+    median = F.create_map(*[v for c in columns for v in (F.lit(c), F.lit(medians[c]))])
+    return both.groupBy("param").agg(
+        F.max("chains").alias("chains"), of("plain", "rhat").alias("rhat"), of("plain", "ess").alias("ess"),
+        of("folded", "rhat").alias("rhat_folded"), of("folded", "ess").alias("ess_folded"),
+    ).withColumn("median", F.element_at(median, F.col("param")))
 
 
 def count_runs(df: DataFrame, label: str, step: str = "step", keys: Sequence[str] = ("chain_id",),

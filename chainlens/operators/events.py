@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainlens.functions.expr import weight_column
@@ -202,5 +202,5 @@ def hists_by(events: DataFrame, key: str, var: str, edges: Sequence[float], cuts
              weight: str | None = "w0") -> DataFrame:
     """Histogram per mode or channel, each bin next to the integral of its histogram."""
     hist = var_hist_1d(events, var, edges, cuts, weight, keys=(key,))
-    sums = hist.groupBy(key).agg(F.sum("content").alias("integral"))
-    return hist.join(F.broadcast(sums), key)  # one row per mode or channel
+    # A window partition holds the bins of one histogram.
+    return hist.withColumn("integral", F.sum("content").over(Window.partitionBy(key)))

@@ -63,42 +63,40 @@ def _with_peak(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
         .withColumn("_last", F.max("bin").over(whole))
         .withColumn("_total", F.sum("content").over(whole))
         .drop("_top")
+        .filter("_total > 0")
     )
 
 
-def _two_sided(peaked: DataFrame, keys: Sequence[str], coverage: float) -> DataFrame:
-    """Widen by one bin on both sides at a time; the last step takes the larger side.
+def _widened(peaked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the share inside each bin's distance from the peak, and both sides' content at it.
 
-    Returns (keys, low_bin, high_bin, low_side), the bins reached on each side
-    and whether the lower one held more at the last step.
+    Bins at equal distance are peers of one range frame, so no join is needed.
     """
+    by_distance = Window.partitionBy(*keys).orderBy("_d")
+    inside = by_distance.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    here = by_distance.rangeBetween(0, 0)
     side = F.col("bin") - F.col("_peak")
-    by_distance = peaked.groupBy(*keys, "_peak", "_last", "_total", F.abs(side).alias("_d")).agg(
-        F.sum(F.when(side < 0, F.col("content")).otherwise(0.0)).alias("_low"),
-        F.sum(F.when(side > 0, F.col("content")).otherwise(0.0)).alias("_high"),
-        F.sum("content").alias("_both"),
-    )
-    upto = Window.partitionBy(*keys).orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = by_distance.withColumn("_sum", F.sum("_both").over(upto)).filter(
-        F.try_divide("_sum", "_total") >= coverage)
-    stop = reached.groupBy(*keys).agg(F.min_by(F.struct("_d", "_low", "_high", "_peak", "_last"), "_d").alias("_s"))
-    return stop.select(
-        *keys,
-        F.greatest(F.lit(0), F.col("_s._peak") - F.col("_s._d")).alias("low_bin"),
-        F.least(F.col("_s._last"), F.col("_s._peak") + F.col("_s._d")).alias("high_bin"),
-        (F.col("_s._low") > F.col("_s._high")).alias("low_side"),
-    )
+    return peaked.withColumn("_d", F.abs(side)).withColumns({
+        "_share": F.try_divide(F.sum("content").over(inside), F.col("_total")),
+        "_low": F.sum(F.when(side < 0, F.col("content")).otherwise(0.0)).over(here),
+        "_high": F.sum(F.when(side > 0, F.col("content")).otherwise(0.0)).over(here),
+    })
+
+
+def _two_sided_stop(coverage: float):
+    """Aggregate: the distance at which widening by one bin on both sides covers enough."""
+    reached = F.col("_share") >= coverage
+    return F.min_by(F.struct("_d", (F.col("_low") > F.col("_high")).alias("low_side")), F.when(reached, F.col("_d")))
 
 
-def _edges_at(hist: DataFrame, keys, table: DataFrame, bins: dict[str, str]) -> DataFrame:
-    """Edges of the bins named in ``bins`` (column -> prefix), by one grouped pass."""
-    joined = hist.select(*keys, "bin", "lo", "hi").join(table, list(keys))
-    picks = [
-        F.max(F.when(F.col("bin") == F.col(column), F.col(e))).alias(f"{prefix}_{e}")
-        for column, prefix in bins.items() for e in ("lo", "hi")
-    ]
-    carried = [c for c in table.columns if c not in keys]
-    return joined.groupBy(*keys, *carried).agg(*picks)
+def _bin_map(column):
+    return F.map_from_entries(F.collect_list(F.struct(F.col("bin"), column)))
+
+
+def _reached_bin():
+    """Bin at the stop distance, on the side that held more; clipped to the histogram."""
+    return F.when(F.col("_s.low_side"), F.greatest(F.lit(0), F.col("_peak") - F.col("_s._d"))).otherwise(
+        F.least(F.col("_last"), F.col("_peak") + F.col("_s._d")))
 
 
 def hpd(hist: DataFrame, coverage: float = 0.6827, keys: Sequence[str] = ("param",)) -> DataFrame:
@@ -106,9 +104,10 @@ def hpd(hist: DataFrame, coverage: float = 0.6827, keys: Sequence[str] = ("param
 
     Upward the error ends at the upper edge of the last bin; downward it is the
     distance from the centre of the last bin to the low edge of the peak bin.
+    The histogram is read once: windows over its bins, then one row per key.
     """
     keys = list(keys)
-    peaked = _with_peak(hist.filter("content is not null"), keys).filter("_total > 0")
+    wide = _widened(_with_peak(hist, keys), keys)
     at_peak = F.col("bin") == F.col("_peak")
     half = F.col("_peak_content") / 2
     up = F.when(at_peak, half).when(F.col("bin") > F.col("_peak"), F.col("content")).otherwise(0.0)
@@ -116,41 +115,39 @@ def hpd(hist: DataFrame, coverage: float = 0.6827, keys: Sequence[str] = ("param
     whole = Window.partitionBy(*keys)
     rising = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     falling = whole.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    walked = peaked.withColumn("_up", up).withColumn("_down", down).select(
-        *keys, "bin", "_peak", "_last",
-        F.try_divide(F.sum("_up").over(rising), F.sum("_up").over(whole)).alias("_fu"),
-        F.try_divide(F.sum("_down").over(falling), F.sum("_down").over(whole)).alias("_fd"),
-    )
-    one_sided = walked.groupBy(*keys, "_peak", "_last").agg(
+    walked = wide.withColumns({"_up": up, "_down": down}).withColumns({
+        "_fu": F.try_divide(F.sum("_up").over(rising), F.sum("_up").over(whole)),
+        "_fd": F.try_divide(F.sum("_down").over(falling), F.sum("_down").over(whole))})
+    row = walked.groupBy(*keys, "_peak", "_last").agg(
+        _two_sided_stop(coverage).alias("_s"),
         F.min(F.when((F.col("bin") >= F.col("_peak")) & (F.col("_fu") >= coverage), F.col("bin"))).alias("_bu"),
         F.max(F.when((F.col("bin") <= F.col("_peak")) & (F.col("_fd") >= coverage), F.col("bin"))).alias("_bd"),
-    ).select(*keys, F.col("_peak").alias("peak_bin"),
-             F.coalesce("_bu", "_last").alias("up_bin"), F.coalesce("_bd", F.lit(0)).alias("down_bin"))
-    stops = one_sided.join(_two_sided(peaked, keys, coverage), keys)
-    at = _edges_at(hist, keys, stops, {"peak_bin": "p", "up_bin": "u", "down_bin": "d",
-                                       "low_bin": "l", "high_bin": "h"})
-    centre = (F.col("p_lo") + F.col("p_hi")) / 2
-    return at.select(
+        _bin_map(F.struct("lo", "hi")).alias("_edges"),
+    )
+
+    def edge(place, name: str):
+        return F.element_at("_edges", place)[name]
+
+    peak_lo, peak_hi = edge(F.col("_peak"), "lo"), edge(F.col("_peak"), "hi")
+    centre = (peak_lo + peak_hi) / 2
+    up_bin, down_bin = F.coalesce("_bu", "_last"), F.coalesce("_bd", F.lit(0))
+    return row.select(
         *keys, centre.alias("peak"),
-        F.when(F.col("low_side"), F.abs(F.col("l_lo") - centre)).otherwise(F.abs(F.col("h_hi") - centre)).alias("hpd_error"),
-        F.abs(F.col("u_hi") - centre).alias("error_up"),
-        F.abs((F.col("d_lo") + F.col("d_hi")) / 2 - F.col("p_lo")).alias("error_down"),
+        F.abs(F.when(F.col("_s.low_side"), edge(_reached_bin(), "lo")).otherwise(edge(_reached_bin(), "hi"))
+              - centre).alias("hpd_error"),
+        F.abs(edge(up_bin, "hi") - centre).alias("error_up"),
+        F.abs((edge(down_bin, "lo") + edge(down_bin, "hi")) / 2 - peak_lo).alias("error_down"),
     )
 
 
 def mode_error(hist: DataFrame, keys: Sequence[str] = ("param",), coverage: float = 0.6827) -> DataFrame:
     """Half-width of the central coverage around the mode, centre to centre."""
     keys = list(keys)
-    peaked = _with_peak(hist, keys).filter("_total > 0")
-    peaks = peaked.filter("bin = _peak").select(*keys, F.col("bin").alias("peak_bin"))
-    stops = _two_sided(peaked, keys, coverage).join(peaks, keys)
-    at = _edges_at(hist, keys, stops, {"peak_bin": "p", "low_bin": "l", "high_bin": "h"})
-    centre = (F.col("p_lo") + F.col("p_hi")) / 2
-    return at.select(
-        *keys, centre.alias("mode"),
-        F.abs(F.when(F.col("low_side"), (F.col("l_lo") + F.col("l_hi")) / 2)
-              .otherwise((F.col("h_lo") + F.col("h_hi")) / 2) - centre).alias("mode_error"),
-    )
+    row = _widened(_with_peak(hist, keys), keys).groupBy(*keys, "_peak", "_last").agg(
+        _two_sided_stop(coverage).alias("_s"), _bin_map((F.col("lo") + F.col("hi")) / 2).alias("_centres"))
+    mode = F.element_at("_centres", F.col("_peak"))
+    return row.select(*keys, mode.alias("mode"),
+                      F.abs(F.element_at("_centres", _reached_bin()) - mode).alias("mode_error"))
 
 
 def cumulative(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -160,21 +157,25 @@ def cumulative(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
     return hist.withColumn("cdf", F.try_divide(F.sum("content").over(upto), F.sum("content").over(whole)))
 
 
+def _beside_first(hist: DataFrame, column: str, first: int) -> DataFrame:
+    """Add the column's value in the first chain; a window partition holds one row per chain."""
+    per_bin = Window.partitionBy("param", "bin")
+    mine = F.when(F.col("chain_id") == first, F.col(column))
+    return hist.withColumn(f"first_{column}", F.max(mine).over(per_bin)).filter(
+        (F.col("chain_id") != first) & F.col(f"first_{column}").isNotNull())
+
+
 def compare_chains(hist: DataFrame, first: int = 0) -> DataFrame:
     """Each chain's bins next to those of the first chain; parameters both have.
 
     ``hist`` is keyed by chain_id and binned on edges shared by all chains.
     """
-    base = hist.filter(F.col("chain_id") == first).select(
-        "param", "bin", F.col("content").alias("first_content"))
-    return hist.filter(F.col("chain_id") != first).join(base, ["param", "bin"])
+    return _beside_first(hist, "content", first)
 
 
 def ks_distance(hist: DataFrame, first: int = 0) -> DataFrame:
     """Largest distance of the cumulative distributions to the first chain and its place."""
-    cdf = cumulative(hist, ["chain_id", "param"])
-    base = cdf.filter(F.col("chain_id") == first).select("param", "bin", F.col("cdf").alias("first_cdf"))
-    gap = cdf.filter(F.col("chain_id") != first).join(base, ["param", "bin"]).withColumn(
+    gap = _beside_first(cumulative(hist, ["chain_id", "param"]), "cdf", first).withColumn(
         "d", F.abs(F.col("cdf") - F.col("first_cdf")))
     best = F.max_by(F.struct("d", ((F.col("lo") + F.col("hi")) / 2).alias("at")),
                     F.struct("d", -F.col("bin")))

@@ -93,11 +93,10 @@ def matrix_from_gram(sums: DataFrame, columns: Sequence[str], keys: Sequence[str
     upper = sums.select(
         *keys, "i", "j",
         F.when(at(is_fixed, "i") | at(is_fixed, "j"), F.lit(0.0)).otherwise(_cov()).alias("cov"))
-    diagonal = upper.filter("i = j").select(*keys, "i", F.col("cov").alias("v"))
-    # Parameters x keys rows.
-    vi = diagonal.select(*keys, "i", F.col("v").alias("vi"))
-    vj = diagonal.select(*keys, F.col("i").alias("j"), F.col("v").alias("vj"))
-    with_corr = upper.join(vi, [*keys, "i"]).join(vj, [*keys, "j"]).withColumn(
+    # Variances stand on the diagonal; a window partition is one row or column of a matrix.
+    own = F.when(F.col("i") == F.col("j"), F.col("cov"))
+    with_corr = upper.withColumn("vi", F.max(own).over(Window.partitionBy(*keys, "i"))).withColumn(
+        "vj", F.max(own).over(Window.partitionBy(*keys, "j"))).withColumn(
         "corr", F.when((F.col("vi") > 0) & (F.col("vj") > 0),
                        F.try_divide(F.col("cov"), F.sqrt(F.col("vi") * F.col("vj")))).otherwise(F.lit(0.0)))
     both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(

@@ -11,12 +11,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainlens.functions.expr import OUT_OF_BOUNDS_LLH
 from chainlens.operators.binning import broadcast_if_small, join_hot
 from chainlens.operators.chain import random_draws
+from chainlens.session import stored
 
 POINT_CHUNK = 64
 
@@ -258,47 +259,40 @@ def pack_factors(factors: DataFrame, chunk: int = POINT_CHUNK) -> DataFrame:
         "factor", "chunk", F.col("_v.point").alias("points"), F.col("_v.f").alias("values"))
 
 
-def list_weights(lists: DataFrame, factors: DataFrame, chunk: int = POINT_CHUNK) -> DataFrame:
-    """(factors, points, weights): product of the factors of each distinct list, by chunk of points."""
-    spread = lists.select("factors", F.explode("factors").alias("factor"))
-    joined = join_hot(spread, pack_factors(factors, chunk), ["factor"])
+def list_weights(lists: DataFrame, factors: DataFrame, n_points: int, chunk: int = POINT_CHUNK) -> DataFrame:
+    """(factors, points, weights): product of the factors of each distinct list, by chunk of points.
+
+    Each list also holds a unit factor, so that empty lists weigh 1 at every point.
+    """
+    unit = lists.sparkSession.range(n_points).select(
+        F.col("id").alias("point"), F.lit("1").alias("factor"), F.lit(1.0).alias("f"))
+    packed = pack_factors(unit.unionByName(factors.select("point", "factor", "f")), chunk)
+    spread = lists.select("factors", F.explode(F.concat(F.array(F.lit("1")), F.col("factors"))).alias("factor"))
     # A group holds the factors of one list, a handful of short arrays.
     product = F.aggregate(
         F.slice("_lists", 2, F.size("_lists")), F.element_at("_lists", 1),
         lambda total, values: F.zip_with(total, values, lambda a, b: a * b))
-    return joined.groupBy("factors", "chunk").agg(
+    return spread.join(packed, "factor").groupBy("factors", "chunk").agg(
         F.first("points").alias("points"), F.collect_list("values").alias("_lists")
     ).select("factors", "points", product.alias("weights"))
 
 
-def weigh(rows: DataFrame, factors: DataFrame, n_points: int, chunk: int = POINT_CHUNK) -> DataFrame:
-    """Rows at every point with their weight: columns point and weight are added.
-
-    Weights are worked out once per distinct list of factors, however many
-    rows share it; rows without factors weigh 1.
-    """
-    kept = [c for c in rows.columns if c != "factors"]
-    moving = rows.filter(F.size("factors") > 0)
-    weights = list_weights(moving.select("factors").distinct(), factors, chunk)
-    moved = join_hot(moving, weights, ["factors"]).select(
-        *kept, F.inline(F.arrays_zip(F.col("points").alias("point"), F.col("weights").alias("weight"))))
-    moved = moved.toDF(*kept, "point", "weight")
-    ids = F.sequence(F.lit(0).cast("long"), F.lit(n_points - 1).cast("long"))
-    still = rows.filter(F.size("factors") == 0).select(*kept, F.explode(ids).alias("point"), F.lit(1.0).alias("weight"))
-    return moved.unionByName(still)
+def _at_points(joined: DataFrame, kept: Sequence[str]) -> DataFrame:
+    pairs = F.arrays_zip(F.col("points").alias("point"), F.col("weights").alias("weight"))
+    return joined.select(*kept, F.inline(pairs)).toDF(*kept, "point", "weight")
 
 
 def predict_spectra(summed: DataFrame, factors: DataFrame, n_points: int,
                     keys: Sequence[str] = ("sample_id", "bin"), chunk: int = POINT_CHUNK) -> DataFrame:
     """Spectra (point, keys, mc, w2) of all points from signatures and factors.
 
-    Signatures meet only their own factors, by equi-joins; those that no
-    factor touches are summed per bin before they are repeated per point.
+    Weights are worked out once per distinct list of factors and meet the
+    signatures by an equi-join on the list.  Signatures are read twice: pass
+    them stored, so that the events are read once.
     """
     keys = list(keys)
-    still = summed.filter(F.size("factors") == 0).groupBy(*keys, "factors").agg(
-        F.sum("sw").alias("sw"), F.sum("sw2").alias("sw2"))
-    rows = weigh(summed.filter(F.size("factors") > 0).unionByName(still), factors, n_points, chunk)
+    weights = list_weights(summed.select("factors").distinct(), factors, n_points, chunk)
+    rows = _at_points(summed.join(weights, "factors"), [*keys, "sw", "sw2"])
     return rows.filter("weight > 0").groupBy("point", *keys).agg(
         F.sum(F.col("sw") * F.col("weight")).alias("mc"),
         F.sum(F.col("sw2") * F.col("weight") * F.col("weight")).alias("w2"))
@@ -313,7 +307,8 @@ def reweight_events(events: DataFrame, factors: DataFrame, n_points: int, key: s
     ``predict_spectra``.
     """
     rows = events.select(key, *keep, F.col(weight).alias("_w0"), "factors")
-    out = weigh(rows, factors, n_points, chunk)
+    weights = list_weights(rows.select("factors").distinct(), factors, n_points, chunk)
+    out = _at_points(join_hot(rows, stored(weights, "weights"), ["factors"]), [key, *keep, "_w0"])
     return out.select("point", key, *keep, (F.col("_w0") * F.col("weight")).alias("w")).filter("w > 0")
 
 
@@ -425,8 +420,9 @@ def step_scale_from_scan(scan: DataFrame, n_params: int) -> DataFrame:
 
 def sigma_var_ratio(spectra: DataFrame, keys: Sequence[str] = ("scanned", "sample_id", "bin")) -> DataFrame:
     """Spectra of each variation over the nominal one (sigma 0) of the same parameter."""
-    nominal = spectra.filter("sigma = 0").select(*keys, F.col("mc").alias("nominal"))
-    return spectra.filter("sigma <> 0").join(nominal, list(keys)).withColumn(
+    # A window partition holds the variations of one bin.
+    nominal = F.max(F.when(F.col("sigma") == 0, F.col("mc"))).over(Window.partitionBy(*keys))
+    return spectra.withColumn("nominal", nominal).filter("sigma <> 0").withColumn(
         "ratio", F.try_divide("mc", "nominal"))
 
 

@@ -6,13 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainlens.functions import llh as stats
 from chainlens.functions.expr import uniform_bin, z_score
 from chainlens.functions.numeric import normal_pvalue
-from chainlens.operators.binning import broadcast_if_small
+from chainlens.session import stored
 
 
 def binned_llh(spectra: DataFrame, stat: str = "poisson", data: str = "data", mc: str = "mc",
@@ -105,8 +105,8 @@ def with_weights(toys: DataFrame, info: DataFrame | None) -> DataFrame:
 def weighted_moments(df: DataFrame, keys: Sequence[str], values: dict[str, str], weight: str = "weight") -> DataFrame:
     """Weighted mean and population RMS of columns, summed about each group's plain mean."""
     base = df.groupBy(*keys).agg(*[F.avg(v).alias(f"_a_{n}") for n, v in values.items()])
-    # One row per group, which is a bin; rows themselves are not shuffled for it.
-    joined = df.join(broadcast_if_small(base), list(keys))
+    # One row per group, which is a bin of a spectrum; the rows are not shuffled for it.
+    joined = df.join(F.broadcast(base), list(keys))
     w = F.col(weight)
     sums = [F.sum(w).alias("_w")]
     for n, v in values.items():
@@ -157,15 +157,19 @@ def violin_summary(violin: DataFrame, keys: Sequence[str] = ("sample_id",)) -> D
     return weighted_moments(table, [*keys, "bin"], {"content": "content"})
 
 
+def with_totals(per_toy: DataFrame, values: Sequence[str]) -> DataFrame:
+    """Add to each toy the sum over its samples, as a row without sample."""
+    none = F.lit(None).cast(dict(per_toy.dtypes)["sample_id"])
+    twice = per_toy.select("toy", *values, F.explode(F.array(F.col("sample_id"), none)).alias("sample_id"))
+    return twice.groupBy("toy", "sample_id").agg(*[F.sum(v).alias(v) for v in values])
+
+
 def event_rates(toys: DataFrame, data: DataFrame | None = None) -> DataFrame:
     """Rates per toy, then mean, sigma, fractional error and P(rate >= data).
 
     A null sample is the total of all samples.
     """
-    per_toy = toys.groupBy("toy", "sample_id").agg(F.sum("mc").alias("rate"))
-    total = per_toy.groupBy("toy").agg(F.sum("rate").alias("rate")).withColumn(
-        "sample_id", F.lit(None).cast(dict(toys.dtypes)["sample_id"]))
-    rates = per_toy.unionByName(total)
+    rates = with_totals(toys.groupBy("toy", "sample_id").agg(F.sum("mc").alias("rate")), ["rate"])
     if data is None:
         rates = rates.withColumn("data_rate", F.lit(None).cast("double"))
     else:
@@ -226,12 +230,13 @@ def rate_correlation(toys: DataFrame, by: str = "sample_id", keys: Sequence[str]
     types = dict(toys.dtypes)
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"i {types[by]}, j {types[by]}, s double"])
     sums = packed.mapInPandas(partial, schema).groupBy(*keys, "i", "j").agg(F.sum("s").alias("s"))
-    diagonal = sums.filter("i = j")
-    vi = diagonal.select(*keys, "i", F.col("s").alias("_vi"))
-    vj = diagonal.select(*keys, "j", F.col("s").alias("_vj"))
-    joined = sums.filter("i < j").join(vi, [*keys, "i"]).join(vj, [*keys, "j"])
-    return joined.select(*keys, "i", "j", F.when(
-        (F.col("_vi") > 0) & (F.col("_vj") > 0), F.try_divide(F.col("s"), F.sqrt(F.col("_vi") * F.col("_vj")))).alias("corr"))
+    # A window partition is one row or column of a matrix.
+    own = F.when(F.col("i") == F.col("j"), F.col("s"))
+    scaled = sums.withColumn("_vi", F.max(own).over(Window.partitionBy(*keys, "i"))).withColumn(
+        "_vj", F.max(own).over(Window.partitionBy(*keys, "j")))
+    return scaled.filter("i < j").select(*keys, "i", "j", F.when(
+        (F.col("_vi") > 0) & (F.col("_vj") > 0),
+        F.try_divide(F.col("s"), F.sqrt(F.col("_vi") * F.col("_vj")))).alias("corr"))
 
 
 # -- model checks -------------------------------------------------------------
@@ -276,13 +281,12 @@ def predictive_pvalue(chi2: DataFrame, info: DataFrame | None = None, nbins: int
     ``chi2`` is (toy, sample_id, data_llh, fluct_llh).  The total of a toy also
     holds its penalty.
     """
-    total = chi2.groupBy("toy").agg(F.sum("data_llh").alias("data_llh"), F.sum("fluct_llh").alias("fluct_llh"))
+    every = with_totals(chi2, ["data_llh", "fluct_llh"])
     if info is not None:
-        total = total.join(info.select("toy", "penalty"), "toy").select(
-            "toy", (F.col("data_llh") + F.col("penalty")).alias("data_llh"),
-            (F.col("fluct_llh") + F.col("penalty")).alias("fluct_llh"))
-    total = total.withColumn("sample_id", F.lit(None).cast(dict(chi2.dtypes)["sample_id"]))
-    every = chi2.select("toy", "sample_id", "data_llh", "fluct_llh").unionByName(total)
+        extra = F.when(F.col("sample_id").isNull(), F.col("penalty")).otherwise(0.0)
+        every = every.join(info.select("toy", "penalty"), "toy").select(
+            "toy", "sample_id", (F.col("data_llh") + extra).alias("data_llh"), (F.col("fluct_llh") + extra).alias("fluct_llh"))
+    every = stored(every, "deviances")  # read twice: for the limits and for the counts
     limits = every.groupBy(F.col("sample_id").alias("_s")).agg(
         F.min(F.least("data_llh", "fluct_llh")).alias("_lo"), F.max(F.greatest("data_llh", "fluct_llh")).alias("_hi"))
     # Samples + 1 rows.
@@ -345,12 +349,9 @@ def combine_pvalues(pvalues: DataFrame, keys: Sequence[str] = (), column: str =
 
 def bonferroni(pvalues: DataFrame, threshold: float = 0.05, keys: Sequence[str] = (), column: str = "p_value") -> DataFrame:
     """Flag p-values that disagree at the threshold divided by the number of tests."""
-    counts = pvalues.groupBy(*keys).agg((threshold / F.count(F.lit(1))).alias("level"))
-    if keys:
-        table = pvalues.join(F.broadcast(counts), list(keys))
-    else:
-        table = pvalues.withColumn("_k", F.lit(1)).join(
-            F.broadcast(counts.withColumn("_k", F.lit(1))), "_k").drop("_k")  # a single row
+    # A window partition holds the tests of one family, one per sample.
+    tests = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    table = pvalues.withColumn("level", F.lit(float(threshold)) / tests)
     p = F.col(column)
     return table.withColumn("flag", F.when((p < 0.5) & (p < F.col("level")), "low").when(
         (p > 0.5) & (p > 1 - F.col("level")), "high"))

@@ -9,17 +9,13 @@ from pyspark.sql import functions as F
 
 from chainlens.operators import convergence as ops
 from chainlens.operators.chain import with_entry_index
-from chainlens.session import checkpoint_folder
+from chainlens.session import stored
 
 
 def prepare(chain: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Chain numbered 0..n-1 per chain_id, written once so that each diagnostic rereads it.
-
-    The rows go to the checkpoint folder that the executors share.
-    """
-    checkpoint_folder(chain.sparkSession)
+    """Chain numbered 0..n-1 per chain_id, written once so that each diagnostic rereads it."""
     indexed = with_entry_index(chain.select("chain_id", "step", *columns))
-    return indexed.withColumn("step", F.col("entry")).drop("entry").checkpoint()
+    return stored(indexed.withColumn("step", F.col("entry")).drop("entry"), "chain")
 
 
 def diagnose(chain: DataFrame, columns: Sequence[str], nlags: int = 25000, batches: int = 20) -> dict[str, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from chainlens.operators import chain as chain_ops
 from chainlens.operators import hist, intervals, moments
+from chainlens.session import stored
 
 
 def credible_intervals(chain: DataFrame, columns: Sequence[str], cut: int | None = None, nbins: int = 70,
@@ -21,7 +22,7 @@ def postfit_table(chain: DataFrame, columns: Sequence[str], params: DataFrame |
                   nbins: int = 70, weight: str | None = None) -> DataFrame:
     """Prior, arithmetic, Gaussian and highest-density values of each parameter."""
     kept = chain_ops.burn_in(chain, cut)
-    histogram = hist.posterior_hist(kept, columns, nbins, weight=weight)
+    histogram = stored(hist.posterior_hist(kept, columns, nbins, weight=weight), "posteriors")
     table = hist.postfit_summary(kept, columns, weight, params)
     return table.join(hist.postfit_gauss(histogram), "param", "left").join(
         intervals.hpd(histogram), "param", "left")

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from chainlens.operators import events as event_ops
 from chainlens.operators import predict, toys
+from chainlens.session import stored
 
 
 def toys_from_chain(chain: DataFrame, binned: DataFrame, norms: Sequence[dict], codes: dict[str, str], n: int,
                     params: Sequence[str], weight: str | None = None, seed: int = 1, cut: int | None = None):
     """Spectra for n random chain rows with normalisation parameters; returns (toys, info).
 
-    Events are read once into signatures; each toy costs signatures, not events.
+    Events are read once into stored signatures; each toy costs signatures, not events.
     """
     matched = event_ops.match_norms(binned, norms, None, codes)
-    summed = predict.signatures(predict.factor_ids(matched))
+    summed = stored(predict.signatures(predict.factor_ids(matched)), "signatures")
     return predict.produce_toys(chain, summed, n, params, lambda pts: predict.norm_factors(pts, norms),
                                 weight=weight, seed=seed, cut=cut)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "8", memory: str = "12g") -> SparkSession:
@@ -25,9 +25,23 @@ def local_session(cores: int | str = "8", memory: str = "12g") -> SparkSession:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary one only where none is set, as in tests."""
+    """Shared folder that the cluster names; a temporary one only for local runs without one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(folder)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="run-")
+    spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """The table written once to the shared folder and read back.
+
+    For results that several later steps read: they are computed once, survive
+    the loss of executors, and have sizes the planner knows.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -182,10 +182,10 @@ SPLINE_AXES = [("x", [0.5, 20.5, 45.5])]
 
 
 def labelled(spark, path, responses=None):
-    """Binned events with their norms, splines and list of factors."""
+    """Binned events with their norms and splines."""
     matched = events.match_norms(binned_sample(spark, path), NORMS, None, {"modes": "mode", "channels": "channel"})
     table_ = (responses or built(spark, path)).select(*KEYS)
-    return predict.factor_ids(splines.match_splines(matched, table_, SPLINE_AXES), "norm_ids", "spline_ids")
+    return splines.match_splines(matched, table_, SPLINE_AXES)
 
 
 EV_ID = """sid AS (SELECT *, CASE WHEN x < 45.5 THEN sample_id * 1000 + (ascii(mode) - 65) * 20 + CASE WHEN channel = 'F' THEN 0 ELSE 10 END
@@ -213,7 +213,7 @@ WEIGHTED = f"""{SPLINE_SQL}, {POINT_SQL}, {VALUE_SQL}, {EV_ID}, wt AS (SELECT pt
 
 def predicted(spark, path):
     responses = built(spark, path)
-    summed = stored(predict.signatures(labelled(spark, path, responses)), "signatures")
+    summed = stored(predict.signatures(labelled(spark, path, responses), spline_ids="spline_ids"), "signatures")
     return predict.predict_spectra(summed, factors(spark, responses), len(POINTS))
 
 
@@ -299,7 +299,7 @@ def sigma_spectra(spark, path):
     moved = predict.sigma_points(spark, SIGMA_PARAMS)
     matched = events.match_norms(binned_sample(spark, path), NORMS, None, {"modes": "mode", "channels": "channel"})
     keys = ("sample_id", "mode", "bin")
-    summed = stored(predict.signatures(predict.factor_ids(matched), keys), "signatures")
+    summed = stored(predict.signatures(matched, keys), "signatures")
     values = moved.select("point", "param", "value")
     out = predict.predict_spectra(summed, predict.norm_factors(values, NORMS), 15, keys)
     label = moved.select("point", "scanned", "sigma").distinct()

@@ -46,6 +46,12 @@ def uniform_bin(x: Column, lo, hi, nbins: int) -> Column:
     )
 
 
+def inner_bin(x: Column, lo: float, hi: float, nbins: int) -> Column:
+    """Bin number of lo <= x < hi, null outside; lo < hi are numbers."""
+    place = F.floor(nbins * (x - F.lit(lo)) / F.lit(hi - lo)).cast("int")
+    return F.when((x >= lo) & (x < hi), F.least(place, F.lit(nbins - 1)))
+
+
 def is_equal_width(edges: Sequence[float]) -> bool:
     width = (edges[-1] - edges[0]) / (len(edges) - 1)
     return all(

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainlens.functions.expr import edge_bin, is_equal_width, uniform_bin
+from chainlens.functions.expr import edge_bin, inner_bin, is_equal_width
 
 # A side is broadcast only after counting at most this many rows of it.
 BROADCAST_ROWS = 200_000
@@ -37,8 +37,7 @@ def axis_bin(x: Column, edges: Sequence[float]) -> Column:
     edges = [float(e) for e in edges]
     n = len(edges) - 1
     if n > 256 and is_equal_width(edges):
-        inside = (x >= edges[0]) & (x < edges[-1])
-        return F.when(inside, uniform_bin(x, edges[0], edges[-1], n))
+        return inner_bin(x, edges[0], edges[-1], n)
     return edge_bin(x, edges)
 
 

@@ -49,16 +49,19 @@ def select_parameters(chain: DataFrame, params: DataFrame, keep: Sequence[str] =
     return chain.select(*keep, *[c for c in chain.columns if c in names])
 
 
-def with_entry_index(chain: DataFrame, contiguous: bool = False, block: int = ENTRY_BLOCK) -> DataFrame:
+def with_entry_index(chain: DataFrame, contiguous: bool = False, block: int = ENTRY_BLOCK,
+                     per_chain: dict[str, Column] | None = None) -> DataFrame:
     """Add ``entry``, the position of a row within its chain, from 0.
 
     A chain without gaps needs only its first step.  Otherwise rows are counted
     per block of steps, block offsets are cumulated (one row per block), and
     rows are numbered inside a block, which holds at most ``block`` rows
-    because a step occurs once per chain.
+    because a step occurs once per chain.  ``per_chain`` are aggregates to
+    attach to each row; they share the first pass of a chain without gaps.
     """
+    extra = [column.alias(name) for name, column in (per_chain or {}).items()]
     if contiguous:
-        first = chain.groupBy("chain_id").agg(F.min("step").alias("_first"))
+        first = chain.groupBy("chain_id").agg(F.min("step").alias("_first"), *extra)
         # One row per chain file.
         return (
             chain.join(F.broadcast(first), "chain_id")
@@ -72,12 +75,16 @@ def with_entry_index(chain: DataFrame, contiguous: bool = False, block: int = EN
         "chain_id", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
     inside = Window.partitionBy("chain_id", "_block").orderBy("step")
-    return (
+    indexed = (
         keyed.withColumn("_rank", F.row_number().over(inside))
         .join(offsets, ["chain_id", "_block"])
         .withColumn("entry", F.col("_offset") + F.col("_rank") - 1)
         .drop("_block", "_rank", "_offset")
     )
+    if not extra:
+        return indexed
+    # One row per chain file.
+    return indexed.join(F.broadcast(chain.groupBy("chain_id").agg(*extra)), "chain_id")
 
 
 def thin(chain: DataFrame, k: int, contiguous: bool = False) -> DataFrame:

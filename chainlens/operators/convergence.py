@@ -33,8 +33,7 @@ def trace(chain: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def trace_level(chain: DataFrame, columns: Sequence[str], contiguous: bool = False) -> DataFrame:
     """Constant fitted to the second half of each trace, which is its mean."""
-    entries = chain.groupBy("chain_id").agg(F.count(F.lit(1)).alias("_n"))
-    indexed = with_entry_index(chain, contiguous).join(F.broadcast(entries), "chain_id")
+    indexed = with_entry_index(chain, contiguous, per_chain={"_n": F.count(F.lit(1))})
     late = indexed.filter(F.col("entry") >= F.floor(F.col("_n") / 2))
     sums = late.groupBy("chain_id").agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(columns)])
     return _long(sums, ["chain_id"], columns, {"m": "level"})
@@ -46,13 +45,11 @@ def batched_means(chain: DataFrame, columns: Sequence[str], nb: int = 20, contig
 
     The short last batch is divided by the full length unless ``exact_last``.
     """
-    # One row per chain.
-    entries = chain.groupBy("chain_id").agg(F.count(F.lit(1)).alias("_n"))
     length = F.floor(F.col("_n") / nb) + 1
-    indexed = with_entry_index(chain.select("chain_id", "step", *columns), contiguous)
+    indexed = with_entry_index(chain.select("chain_id", "step", *columns), contiguous,
+                               per_chain={"_n": F.count(F.lit(1))})
     sums = (
-        indexed.join(F.broadcast(entries), "chain_id")
-        .withColumn("length", length)
+        indexed.withColumn("length", length)
         .withColumn("batch", F.floor(F.col("entry") / F.col("length")).cast("int"))
         .groupBy("chain_id", "batch", "length")
         .agg(F.count(F.lit(1)).alias("filled"), *[F.sum(c).alias(f"s_{i}") for i, c in enumerate(columns)])
@@ -101,13 +98,12 @@ def autocorrelation(chain: DataFrame, columns: Sequence[str], nlags: int = 25000
     """
     block = max(block or max(1 << 16, 8 * nlags), nlags)
     columns = list(columns)
-    means = chain.groupBy("chain_id").agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)])
-    indexed = with_entry_index(chain.select("chain_id", "step", *columns), contiguous)
+    indexed = with_entry_index(chain.select("chain_id", "step", *columns), contiguous,
+                               per_chain={f"m{i}": F.avg(c) for i, c in enumerate(columns)})
     centred = [F.col(c) - F.col(f"m{i}") for i, c in enumerate(columns)]
     own = F.floor(F.col("entry") / block)
     homes = F.when((F.col("entry") % block < nlags) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    # Means: one row per chain.
-    spread = indexed.join(F.broadcast(means), "chain_id").select(
+    spread = indexed.select(
         "chain_id", "entry", F.explode(homes).alias("block"), _slices(columns, centred, width).alias("_s")
     ).select("chain_id", "entry", "block", F.inline("_s"))
 
@@ -249,11 +245,10 @@ def power_spectrum(chain: DataFrame, columns: Sequence[str], max_coefficients: i
     by (param, j).  Values are real, so negative j repeat the positive ones.
     """
     columns = list(columns)
-    entries = chain.groupBy("chain_id").agg(F.count(F.lit(1)).alias("_n"))
-    indexed = with_entry_index(chain.select("chain_id", "step", *columns), contiguous)
+    indexed = with_entry_index(chain.select("chain_id", "step", *columns), contiguous,
+                               per_chain={"_n": F.count(F.lit(1))})
     values = [F.col(c).cast("double") for c in columns]
-    # Entries: one row per chain.
-    rows = indexed.join(F.broadcast(entries), "chain_id").withColumn(
+    rows = indexed.withColumn(
         "n_even", F.col("_n") - F.col("_n") % 2).filter("entry < n_even").select(
         "chain_id", "entry", "_n", "n_even", F.floor(F.col("entry") / block).alias("block"),
         F.inline(_slices(columns, values, width)))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainlens.functions.expr import edge_bin, uniform_bin, weight_column
+from chainlens.functions.expr import edge_bin, inner_bin, weight_column
 from chainlens.functions.numeric import fit_curve
 
 
@@ -59,8 +59,7 @@ def posterior_hist(chain: DataFrame, columns: Sequence[str], nbins: int = 70,
             layout.append((c, 0.0, 0.0, len(edges[c]) - 1, edges[c]))
         elif c in ranges and ranges[c][0] < ranges[c][1]:
             lo, hi = ranges[c]
-            inside = (F.col(c) >= lo) & (F.col(c) < hi)
-            bins.append(F.when(inside, uniform_bin(F.col(c), lo, hi, nbins)).alias(c))
+            bins.append(inner_bin(F.col(c), lo, hi, nbins).alias(c))
             layout.append((c, lo, (hi - lo) / nbins, nbins, None))
     names = [row[0] for row in layout]
     axis = chain.sparkSession.createDataFrame(
@@ -92,7 +91,7 @@ def posterior_hist_2d(chain: DataFrame, pairs: Sequence[tuple[str, str]], nbins:
 
     def cell(c):
         lo, hi = ranges[c]
-        return F.when((F.col(c) >= lo) & (F.col(c) < hi), uniform_bin(F.col(c), lo, hi, nbins))
+        return inner_bin(F.col(c), lo, hi, nbins)
 
     binned = chain.select(*keys, weight_column(weight).alias("_w"), *[cell(c).alias(f"b_{c}") for c in names])
     cells = F.array(*[

@@ -230,9 +230,9 @@ def osc_key() -> Column:
     return F.concat(F.lit("o"), F.concat_ws("_", *[F.col(c).cast("string") for c in ("channel", "e_bin", "z_bin")]))
 
 
-def factor_ids(events: DataFrame, norm_ids: str | None = "norm_ids", spline_ids: str | None = None,
+def factor_ids(table: DataFrame, norm_ids: str | None = "norm_ids", spline_ids: str | None = None,
                osc: bool = False) -> DataFrame:
-    """Add ``factors``, the sorted list of all factors that apply to an event."""
+    """Add ``factors``, the sorted list of all factors that apply to an event or signature."""
     parts = []
     if norm_ids:
         parts.append(F.transform(norm_ids, lambda i: F.concat(F.lit("n"), i.cast("string"))))
@@ -240,16 +240,21 @@ def factor_ids(events: DataFrame, norm_ids: str | None = "norm_ids", spline_ids:
         parts.append(F.transform(spline_ids, lambda i: F.concat(F.lit("s"), i.cast("string"))))
     if osc:
         parts.append(F.array(osc_key()))
-    return events.withColumn("factors", F.sort_array(F.concat(*parts)))
+    return table.withColumn("factors", F.sort_array(F.concat(*parts)))
 
 
-def signatures(events: DataFrame, keys: Sequence[str] = ("sample_id", "bin"), weight: str = "w0") -> DataFrame:
+def signatures(events: DataFrame, keys: Sequence[str] = ("sample_id", "bin"), weight: str = "w0",
+               norm_ids: str | None = "norm_ids", spline_ids: str | None = None, osc: bool = False) -> DataFrame:
     """Sum of weights and squared weights per bin and list of factors.
 
-    The one pass over the events; partial sums are made before the shuffle.
+    The one pass over the events; partial sums are made before the shuffle, and
+    factor names are built for the sums and not for each event.
     """
+    labels = [c for c in (norm_ids, spline_ids) if c] + (["channel", "e_bin", "z_bin"] if osc else [])
+    by = list(dict.fromkeys([*keys, *labels]))
     w = F.col(weight)
-    return events.filter(w > 0).groupBy(*keys, "factors").agg(F.sum(w).alias("sw"), F.sum(w * w).alias("sw2"))
+    summed = events.filter(w > 0).groupBy(*by).agg(F.sum(w).alias("sw"), F.sum(w * w).alias("sw2"))
+    return factor_ids(summed, norm_ids, spline_ids, osc).select(*keys, "factors", "sw", "sw2")
 
 
 def pack_factors(factors: DataFrame, chunk: int = POINT_CHUNK) -> DataFrame:

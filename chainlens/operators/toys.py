@@ -264,9 +264,9 @@ def information_criteria(toys: DataFrame, data: DataFrame, predicted: DataFrame,
         F.log(F.avg(F.exp("ll"))).alias("lppd"))
     waic = per_bin.agg(F.sum("lppd").alias("lppd"), F.sum(F.col("q") - F.col("m") * F.col("m")).alias("p_waic"),
                        (-2 * F.sum("m")).alias("d_bar"))
-    one = F.lit(1).alias("_k")
-    # Both sides are single rows.
-    table = point.select("*", one).join(F.broadcast(waic.select("*", one)), "_k")
+    # Two single rows side by side.
+    table = point.unionByName(waic, allowMissingColumns=True).agg(*[
+        F.max(c).alias(c) for c in ("d_hat", "n_data", "n_bins", "lppd", "p_waic", "d_bar")])
     p_dic = F.abs(F.col("d_bar") - F.col("d_hat"))
     return table.select(
         "d_hat", "d_bar", (n_params * F.log(F.floor("n_data")) + F.col("d_hat")).alias("bic_events"),

@@ -19,7 +19,7 @@ def toys_from_chain(chain: DataFrame, binned: DataFrame, norms: Sequence[dict],
     Events are read once into stored signatures; each toy costs signatures, not events.
     """
     matched = event_ops.match_norms(binned, norms, None, codes)
-    summed = stored(predict.signatures(predict.factor_ids(matched)), "signatures")
+    summed = stored(predict.signatures(matched), "signatures")
     return predict.produce_toys(chain, summed, n, params, lambda pts: predict.norm_factors(pts, norms),
                                 weight=weight, seed=seed, cut=cut)
 

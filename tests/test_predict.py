@@ -123,7 +123,7 @@ def test_spectra_match_event_by_event_weights(spark, sample, monkeypatch, limit,
     values = rng.uniform(-0.2, 2, (5, 3))
     wide = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(values)], "point long, a double, o double, b double")
     factors = predict.norm_factors(predict.to_points(wide, ["a", "o", "b"]), NORMS)
-    binned = predict.factor_ids(events.match_norms(binning.assign_bin_uniform(sample, AXES), NORMS, None, CODES))
+    binned = events.match_norms(binning.assign_bin_uniform(sample, AXES), NORMS, None, CODES)
     want = {}
     for r in sample.collect():
         for p, (a, o, b) in enumerate(values):
@@ -137,7 +137,7 @@ def test_spectra_match_event_by_event_weights(spark, sample, monkeypatch, limit,
     got = {(r["point"], r["sample_id"], r["bin"]): (r["mc"], r["w2"]) for r in spectra.collect()}
     assert set(got) == set(want)
     assert all(got[k] == pytest.approx(tuple(want[k])) for k in want)
-    single = predict.reweight_events(binned.filter("w0 > 0"), factors, 5, chunk=chunk)
+    single = predict.reweight_events(predict.factor_ids(binned.filter("w0 > 0")), factors, 5, chunk=chunk)
     again = {(r["point"], r["sample_id"], r["bin"]): r["s"] for r in single.groupBy("point", "sample_id", "bin").agg(F.sum("w").alias("s")).collect()}
     assert all(again[k] == pytest.approx(want[k][0]) for k in want)
 
@@ -146,7 +146,7 @@ def test_weights_of_one_change_nothing(spark, sample):
     wide = spark.createDataFrame([(0, 1.0, 1.0, 1.0)], "point long, a double, o double, b double")
     factors = predict.norm_factors(predict.to_points(wide, ["a", "o", "b"]), NORMS)
     binned = binning.assign_bin_uniform(sample, AXES)
-    tagged = predict.factor_ids(events.match_norms(binned, NORMS, None, CODES))
+    tagged = events.match_norms(binned, NORMS, None, CODES)
     got = {(r["sample_id"], r["bin"]): r["mc"] for r in predict.predict_spectra(predict.signatures(tagged), factors, 1).collect()}
     want = {(r["sample_id"], r["bin"]): r["mc"] for r in events.fill_spectra(binned).collect()}
     assert got == pytest.approx(want)

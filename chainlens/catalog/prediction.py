@@ -281,6 +281,19 @@ def _(spark, path):
     return predict.scan_grid_1d(spark, ranges, {p: found[p][0] for p in ("qty", "tax")})
 
 
+@add("scan_grid_2d", f"""WITH {LI_SQL}, s AS (SELECT avg(qty) - stddev_pop(qty) AS a, 2 * stddev_pop(qty) / 4 AS da, avg(tax) - stddev_pop(tax) AS b, 2 * stddev_pop(tax) / 3 AS db,
+ avg(disc) - stddev_pop(disc) AS c, 2 * stddev_pop(disc) / 2 AS dc, avg(qty) AS mq, avg(tax) AS mt, avg(disc) AS md FROM ch),
+ ax AS (SELECT 'qty' AS p, 0 AS ord, i.range AS i, 4 AS n, a + (i.range + 0.5) * da AS v FROM s, range(4) i UNION ALL SELECT 'tax', 1, i.range, 3, b + (i.range + 0.5) * db FROM s, range(3) i
+ UNION ALL SELECT 'disc', 2, i.range, 2, c + (i.range + 0.5) * dc FROM s, range(2) i),
+ g AS (SELECT CASE WHEN f.ord = 0 AND t.ord = 1 THEN 0 WHEN f.ord = 0 THEN 12 ELSE 20 END + f.i + t.i * f.n AS point, f.p AS param_x, t.p AS param_y, f.v AS x, t.v AS y FROM ax f JOIN ax t ON f.ord < t.ord),
+ l AS (SELECT g.*, k.p AS param, CASE WHEN k.p = param_x THEN x WHEN k.p = param_y THEN y WHEN k.p = 'qty' THEN mq WHEN k.p = 'tax' THEN mt ELSE md END AS value
+ FROM g, s, (VALUES ('qty'), ('tax'), ('disc')) k(p)) SELECT CAST(point AS BIGINT) AS point, param_x, param_y, x, y, param, value FROM l""", "x y value")
+def _(spark, path):
+    found = grid_ranges(spark, path)
+    ranges = [(p, n, *predict.scan_range(*found[p], None, None)) for p, n in (("qty", 4), ("tax", 3), ("disc", 2))]
+    return predict.scan_grid_2d(spark, ranges, {p: found[p][0] for p in ("qty", "tax", "disc")})
+
+
 @add("scan_grid_lattice", f"""WITH {LI_SQL}, s AS (SELECT avg(qty) - stddev_pop(qty) AS a, 2 * stddev_pop(qty) AS da, avg(tax) - stddev_pop(tax) AS b, 2 * stddev_pop(tax) AS db,
  avg(disc) - stddev_pop(disc) AS c, 2 * stddev_pop(disc) AS dc FROM ch)
  SELECT i.range + 5 * j.range + 20 * k.range AS point, a + da * i.range / 4 AS qty, b + db * j.range / 3 AS tax, c + dc * k.range / 2 AS disc
@@ -296,14 +309,10 @@ SIGMA_PARAMS = [{"name": "norm_a", "prior": 1.0, "error": 0.1, "low": 0.8, "up":
 
 
 def sigma_spectra(spark, path):
-    moved = predict.sigma_points(spark, SIGMA_PARAMS)
     matched = events.match_norms(binned_sample(spark, path), NORMS, None, {"modes": "mode", "channels": "channel"})
     keys = ("sample_id", "mode", "bin")
     summed = stored(predict.signatures(matched, keys), "signatures")
-    values = moved.select("point", "param", "value")
-    out = predict.predict_spectra(summed, predict.norm_factors(values, NORMS), 15, keys)
-    label = moved.select("point", "scanned", "sigma").distinct()
-    return out.join(F.broadcast(label), "point")  # parameters x sigmas rows
+    return predict.sigma_variations(summed, SIGMA_PARAMS, lambda values: predict.norm_factors(values, NORMS), keys=keys)
 
 
 SIGMA_SQL = f"""{SAMPLE_SQL}, sg AS (SELECT * FROM (VALUES (-3.0), (-1.0), (0.0), (1.0), (3.0)) t(sigma)),
@@ -315,9 +324,28 @@ SIGMA_SQL = f"""{SAMPLE_SQL}, sg AS (SELECT * FROM (VALUES (-3.0), (-1.0), (0.0)
  sp AS (SELECT scanned, sigma, sample_id, mode, bin, sum(w) AS mc, sum(w * w) AS w2 FROM sw WHERE w > 0 GROUP BY ALL)"""
 
 
+SCAN_PARAMS = [("norm_a", 6, 0.8, 1.2), ("norm_n", 6, 0.7, 1.3), ("norm_o", 6, 0.9, 1.1)]
+SCAN_SQL = f"""{SAMPLE_SQL}, ax AS (SELECT p AS scanned, start + i.range AS point, lo + (i.range + 0.5) * ((hi - lo) / 6) AS x FROM (VALUES ('norm_a', 0, 0.8::DOUBLE, 1.2::DOUBLE),
+ ('norm_n', 6, 0.7::DOUBLE, 1.3::DOUBLE), ('norm_o', 12, 0.9::DOUBLE, 1.1::DOUBLE)) t(p, start, lo, hi), range(6) i),
+ sw AS (SELECT point, scanned, ax.x AS x, sample_id, CAST(floor((es.x - 0.5) / 5) AS INTEGER) AS bin, w0 * CASE WHEN scanned = 'norm_a' AND mode = 'A' THEN ax.x
+ WHEN scanned = 'norm_n' AND mode = 'N' AND es.x > 10 AND es.x <= 40 THEN ax.x WHEN scanned = 'norm_o' AND channel = 'O' THEN ax.x ELSE 1 END AS w FROM es, ax),
+ sp AS (SELECT point, scanned, x, sample_id, bin, sum(w) AS mc FROM sw GROUP BY ALL), dat AS (SELECT sample_id, {X_BIN_SQL} AS bin, count(*)::DOUBLE AS data FROM es GROUP BY ALL)"""
+
+
+@add("llh_scan_1d", f"""WITH {SCAN_SQL} SELECT CAST(point AS BIGINT) AS point, scanned, x, sp.sample_id, 2 * sum({poisson_sql()}) AS llh FROM sp JOIN dat ON sp.sample_id = dat.sample_id AND sp.bin = dat.bin
+ GROUP BY ALL""", "x llh", digits=7)
+def _(spark, path):
+    grid = predict.scan_grid_1d(spark, SCAN_PARAMS, {p[0]: 1.0 for p in SCAN_PARAMS})
+    matched = events.match_norms(binned_sample(spark, path), NORMS, None, {"modes": "mode", "channels": "channel"})
+    summed = stored(predict.signatures(matched), "signatures")
+    out = predict.predict_spectra(summed, predict.norm_factors(grid.select("point", "param", "value"), NORMS), 18)
+    label = grid.select("point", "scanned", "x").distinct()
+    return toys.llh_scan(out, data_spectrum(spark, path)).join(F.broadcast(label), "point")  # one row per point
+
+
 @add("sigma_variations", f"WITH {SIGMA_SQL} SELECT scanned, sigma, sample_id, mode, bin, mc, w2 FROM sp", "sigma mc w2", digits=11)
 def _(spark, path):
-    return sigma_spectra(spark, path).drop("point")
+    return sigma_spectra(spark, path)
 
 
 @add("sigma_var_ratio", f"""WITH {SIGMA_SQL} SELECT a.scanned, a.sigma, a.sample_id, a.mode, a.bin, a.mc / b.mc AS ratio FROM sp a JOIN sp b
@@ -437,7 +465,7 @@ def _(spark, path):
 @add("predictive_by_mode", f"WITH {toy_sql(', mode')}, tw AS (SELECT *, 1 + toy % 3 AS weight FROM toys) {moments_sql('sample_id, mode, bin', 'mc=mc w2=w2')}",
      "mc_mean mc_rms w2_mean w2_rms", digits=8)
 def _(spark, path):
-    return toys.predictive_mean(weighted_toys(spark, path, ("mode",)), ("sample_id", "mode", "bin"))
+    return toys.predictive_by_mode(weighted_toys(spark, path, ("mode",)))
 
 
 BETA = f"{TW}, bt AS (SELECT tw.*, (sqrt(power(mc * (w2 / (mc * mc)) - 1, 2) + 4 * data * (w2 / (mc * mc))) - (mc * (w2 / (mc * mc)) - 1)) / 2 AS beta FROM tw JOIN dat ON tw.sample_id = dat.sample_id AND tw.bin = dat.bin)"

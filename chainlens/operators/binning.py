@@ -164,3 +164,13 @@ def gap_points(boxes: DataFrame, dims: int, points: int = 100, grid: int = 32) -
         names.append(f"x{d}")
     mesh = mesh.select("sample_id", *names)
     return assign_bin_boxes(mesh, boxes, names, grid, keep_outside=True).filter("bin is null").drop("bin")
+
+
+def check_bins(boxes: DataFrame, dims: int, points: int = 100, grid: int = 32) -> None:
+    """Refuse boxes that overlap or leave a gap at a midpoint of a regular grid."""
+    overlap = overlapping_bins(boxes, dims, grid).take(1)
+    if overlap:
+        raise ValueError(f"bins overlap: {tuple(overlap[0])}")
+    gap = gap_points(boxes, dims, points, grid).take(1)
+    if gap:
+        raise ValueError(f"no bin covers the point {tuple(gap[0])}")

@@ -53,7 +53,7 @@ def with_entry_index(chain: DataFrame, contiguous: bool = False, block: int = EN
                      per_chain: dict[str, Column] | None = None) -> DataFrame:
     """Add ``entry``, the position of a row within its chain, from 0.
 
-    A chain without gaps needs only its first step.  Otherwise rows are counted
+    A chain without gaps, which is checked, needs only its first step.  Otherwise rows are counted
     per block of steps, block offsets are cumulated (one row per block), and
     rows are numbered inside a block, which holds at most ``block`` rows
     because a step occurs once per chain.  ``per_chain`` are aggregates to
@@ -61,12 +61,15 @@ def with_entry_index(chain: DataFrame, contiguous: bool = False, block: int = EN
     """
     extra = [column.alias(name) for name, column in (per_chain or {}).items()]
     if contiguous:
-        first = chain.groupBy("chain_id").agg(F.min("step").alias("_first"), *extra)
+        first = chain.groupBy("chain_id").agg(
+            F.min("step").alias("_first"),
+            (F.max("step") - F.min("step") + 1 == F.count(F.lit(1))).alias("_whole"), *extra)
+        gap = F.raise_error(F.lit("chain has step gaps; use contiguous=False"))
         # One row per chain file.
         return (
             chain.join(F.broadcast(first), "chain_id")
-            .withColumn("entry", F.col("step") - F.col("_first"))
-            .drop("_first")
+            .withColumn("entry", F.when(F.col("_whole"), F.col("step") - F.col("_first")).otherwise(gap.cast("long")))
+            .drop("_first", "_whole")
         )
     keyed = chain.withColumn("_block", F.floor(F.col("step") / block))
     counts = keyed.groupBy("chain_id", "_block").agg(F.count(F.lit(1)).alias("_n"))

@@ -76,6 +76,33 @@ def scan_grid_1d(spark: SparkSession, ranges: Sequence[tuple[str, int, float, fl
         F.when(F.col("param") == F.col("scanned"), F.col("x")).otherwise(F.col("nominal")).alias("value"))
 
 
+def scan_grid_2d(spark: SparkSession, ranges: Sequence[tuple[str, int, float, float]],
+                 nominal: dict[str, float]) -> DataFrame:
+    """Long points: each pair of parameters over a grid of bin centres, others at nominal.
+
+    Each unordered pair is scanned once.  Adds ``param_x``, ``param_y`` and
+    their values ``x`` and ``y``.
+    """
+    pairs, start = [], 0
+    for i, a in enumerate(ranges):
+        for b in ranges[i + 1:]:
+            pairs.append((a, b, start))
+            start += a[1] * b[1]
+    scans = F.array(*[
+        F.struct(F.lit(a[0]).alias("param_x"), F.lit(b[0]).alias("param_y"), F.lit(first).alias("start"),
+                 F.lit(a[1]).alias("nx"), _axis(*a[1:], False).alias("xs"), _axis(*b[1:], False).alias("ys"))
+        for a, b, first in pairs])
+    rows = spark.range(1).select(F.inline(scans)).select(
+        "param_x", "param_y", "start", "nx", "ys", F.posexplode("xs").alias("i", "x")).select(
+        "param_x", "param_y", "start", "nx", "i", "x", F.posexplode("ys").alias("j", "y"))
+    point = (F.col("start") + F.col("i") + F.col("j") * F.col("nx")).cast("long")
+    values = F.array(*[F.struct(F.lit(p).alias("param"), F.lit(float(v)).alias("nominal")) for p, v in nominal.items()])
+    return rows.select(point.alias("point"), "param_x", "param_y", "x", "y", F.inline(values)).select(
+        "point", "param_x", "param_y", "x", "y", "param",
+        F.when(F.col("param") == F.col("param_x"), F.col("x")).when(
+            F.col("param") == F.col("param_y"), F.col("y")).otherwise(F.col("nominal")).alias("value"))
+
+
 def to_points(wide: DataFrame, columns: Sequence[str], point: str = "point") -> DataFrame:
     return wide.select(F.col(point).alias("point"), *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         ["point"], list(columns), "param", "value")
@@ -423,6 +450,19 @@ def step_scale_from_scan(scan: DataFrame, n_params: int) -> DataFrame:
     return ends.withColumn("step_scale", F.when(F.col("end_llh") >= 0.001, scale))
 
 
+def sigma_variations(summed: DataFrame, params: Sequence[dict], factors_at: Callable[[DataFrame], DataFrame],
+                     sigmas: Sequence[float] = (-3, -1, 0, 1, 3),
+                     keys: Sequence[str] = ("sample_id", "bin")) -> DataFrame:
+    """Spectra (scanned, sigma, keys, mc, w2) with one parameter moved at a time.
+
+    Signatures keyed by mode or channel as well give spectra by mode or channel.
+    """
+    moved = sigma_points(summed.sparkSession, params, sigmas)
+    spectra = predict_spectra(summed, factors_at(moved.select("point", "param", "value")), len(params) * len(sigmas), keys)
+    # Parameters x sigmas rows.
+    return spectra.join(F.broadcast(moved.select("point", "scanned", "sigma").distinct()), "point").drop("point")
+
+
 def sigma_var_ratio(spectra: DataFrame, keys: Sequence[str] = ("scanned", "sample_id", "bin")) -> DataFrame:
     """Spectra of each variation over the nominal one (sigma 0) of the same parameter."""
     # A window partition holds the variations of one bin.

@@ -126,6 +126,11 @@ def predictive_mean(toys: DataFrame, keys: Sequence[str] = ("sample_id", "bin"),
     return weighted_moments(toys, keys, {"mc": "mc", "w2": "w2"}, weight)
 
 
+def predictive_by_mode(toys: DataFrame, weight: str = "weight") -> DataFrame:
+    """The same per mode, for toys filled with the mode as a key."""
+    return predictive_mean(toys, ("sample_id", "mode", "bin"), weight)
+
+
 def apply_beta(predicted: DataFrame, betas: DataFrame, keys: Sequence[str] = ("sample_id", "bin")) -> DataFrame:
     """Prediction times beta with propagated error."""
     table = predicted.join(betas.select(*keys, "beta_mean", "beta_rms"), list(keys))

@@ -24,6 +24,9 @@ def local_session(cores: int | str = "8", memory: str = "12g") -> SparkSession:
     )
 
 
+_local_folder: list[str] = []
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """Shared folder that the cluster names; a temporary one only for local runs without one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,9 +34,9 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="run-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _local_folder:
+        _local_folder.append(tempfile.mkdtemp(prefix="run-"))
+    return _local_folder[0]
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:

@@ -41,6 +41,12 @@ def test_random_draws_are_rows_after_burn_in(ar1):
         ops.random_draws(gaps, 5)
 
 
+def test_gaps_are_noticed(ar1):
+    chain, _, _ = ar1
+    with pytest.raises(Exception, match="step gaps"):
+        ops.thin(chain.filter("step % 3 <> 0"), 2, contiguous=True).collect()
+
+
 def test_random_draws_cover_all_chains(spark):
     chain = spark.range(600).select((F.col("id") % 3).cast("int").alias("chain_id"), F.floor(F.col("id") / 3).alias("step"))
     draws = ops.random_draws(chain, 900, cut=99, seed=2)

@@ -40,6 +40,15 @@ def test_overlaps_and_gaps(spark):
     assert all(r["x0"] > 7 and r["x1"] > 3.5 for r in gaps if r["sample_id"] == 0)
 
 
+def test_a_bad_binning_is_refused(spark):
+    with pytest.raises(ValueError, match="overlap"):
+        binning.check_bins(boxes(spark), 2, 20)
+    with pytest.raises(ValueError, match="covers"):
+        binning.check_bins(boxes(spark).filter("sample_id = 0"), 2, 20)
+    good = spark.createDataFrame([(0, 0, [0.0], [1.0]), (0, 1, [1.0], [5.0])], "sample_id int, bin int, lo array<double>, hi array<double>")
+    binning.check_bins(good, 1)
+
+
 def test_edges_are_half_open_on_opposite_sides(spark, sample):
     axes = [{"sample_id": s, "dim": 0, "var": "x", "edges": [0.0, 5.0, 10.0]} for s in (0, 1)]
     low = binning.assign_bin_uniform(sample, axes)

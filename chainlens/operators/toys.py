@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from chainlens.functions import llh as stats
 from chainlens.functions.expr import uniform_bin, z_score
@@ -64,32 +65,41 @@ def llh_map(points: DataFrame, spectra: DataFrame, data: DataFrame, samples: Seq
 # -- fluctuations -------------------------------------------------------------
 
 
-def poisson_fluctuate(spectra: DataFrame, mean: str = "mc", name: str = "fluctuated", seed: int = 1,
-                      keys: Sequence[str] = ("toy", "sample_id", "bin")) -> DataFrame:
-    """Independent Poisson draw per bin, seeded by the numbers that name the bin."""
+def _fluctuate(spectra: DataFrame, mean: str, name: str, seed: int, keys: Sequence[str], draw_one) -> DataFrame:
+    """Draw per spectrum: packed to one row of at most its bins, in bin order.
+
+    Each spectrum is seeded by the numbers that name it, so a draw does not
+    depend on the partitioning; a batch of spectra is drawn per Arrow batch.
+    """
 
-    @F.pandas_udf("double")
-    def draw(ids: pd.Series, mu: pd.Series) -> pd.Series:
-        out = [np.random.default_rng([seed, *map(int, k)]).poisson(max(m, 0.0)) for k, m in zip(ids, mu)]
-        return pd.Series(out, dtype=float)
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def draw(ids: pd.Series, means: pd.Series) -> pd.Series:
+        return pd.Series([
+            draw_one(np.random.default_rng([seed, *map(int, k)]), np.maximum(np.asarray(m, float), 0.0)).astype(float)
+            for k, m in zip(ids, means)])
 
-    return spectra.withColumn(name, draw(F.array(*[F.col(k).cast("long") for k in keys]), F.col(mean)))
+    rest = [c for c in spectra.columns if c not in keys and c != "bin"]
+    packed = spectra.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", *rest))).alias("_r"))
+    drawn = packed.withColumn("_d", draw(F.array(*[F.col(k).cast("long") for k in keys]), F.col(f"_r.{mean}")))
+    spread = drawn.select(*keys, F.inline(F.arrays_zip("_r", "_d")))
+    return spread.select(*[F.col(c) if c in keys else F.col(f"_r.{c}") for c in spectra.columns], F.col("_d").alias(name))
+
+
+def poisson_fluctuate(spectra: DataFrame, mean: str = "mc", name: str = "fluctuated", seed: int = 1,
+                      keys: Sequence[str] = ("toy", "sample_id")) -> DataFrame:
+    """Independent Poisson draw per bin."""
+    return _fluctuate(spectra, mean, name, seed, keys, lambda rng, mu: rng.poisson(mu))
 
 
 def multinomial_fluctuate(spectra: DataFrame, mean: str = "mc", name: str = "fluctuated", seed: int = 1,
                           keys: Sequence[str] = ("toy", "sample_id")) -> DataFrame:
-    """Poisson total per spectrum, spread over its bins; a group is one spectrum."""
+    """Poisson total per spectrum, spread over its bins."""
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin")
-        mu = pdf[mean].clip(lower=0).to_numpy(dtype=float)
-        rng = np.random.default_rng([seed, *[int(pdf[k].iloc[0]) for k in keys]])
+    def spread(rng: np.random.Generator, mu: np.ndarray) -> np.ndarray:
         n = rng.poisson(mu.sum())
-        out = rng.multinomial(n, mu / mu.sum()) if mu.sum() > 0 else np.zeros(len(mu))
-        return pdf.assign(**{name: out.astype(float)})
+        return rng.multinomial(n, mu / mu.sum()) if n else np.zeros(len(mu))
 
-    schema = ", ".join([f"{c} {t}" for c, t in spectra.dtypes] + [f"{name} double"])
-    return spectra.groupBy(*keys).applyInPandas(draw, schema)
+    return _fluctuate(spectra, mean, name, seed, keys, spread)
 
 
 # -- summaries over toys ------------------------------------------------------

@@ -398,11 +398,11 @@ def _(spark, path):
     return predict.throw_prior(spark, params, cov, 500, seed=11)
 
 
-@add("apply_tune", """SELECT s_name AS name, CASE WHEN s_nationkey % 2 = 0 THEN s_acctbal / 100 ELSE 1 END AS prior FROM supplier""", "prior")
+@add("apply_tune", """SELECT s_name AS name, CASE WHEN s_acctbal > 0 THEN s_acctbal / 100 ELSE 1 END AS prior FROM supplier""", "prior")
 def _(spark, path):
     params = supplier_params(spark, path)
     base = table(spark, path, "supplier")
-    tunes = base.filter("s_nationkey % 2 = 0").select(
+    tunes = base.filter("s_acctbal > 0").select(
         F.explode(F.array(F.lit("low"), F.lit("high"))).alias("tune"), F.col("s_name").alias("param"), F.col("s_acctbal").alias("value"))
     tunes = tunes.withColumn("value", F.when(F.col("tune") == "low", F.col("value") / 100).otherwise(F.col("value") * 100))
     return predict.apply_tune(params, tunes, "low").select("name", "prior")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chainlens.llm import circulant, mixing, spaced
+from chainlens.llm import chat, circulant, crf, language, mixing, paragraphs, quality, spaced, tiff, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,11 @@ def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
+def op1_importance_resampling(spark: SparkSession, path: str) -> DataFrame:
+    return quality.resample(_read(spark, path, "documents").select("doc_id", "text"), _read(spark, path, "labels")).select(
+        "doc_id", "log_weight", "score", "kept")
+
+
 def op2_decontaminate(spark: SparkSession, path: str) -> DataFrame:
     return spaced.overlaps(_read(spark, path, "documents"), _read(spark, path, "benchmark")).select(
         "doc_id", "item_id", "n_tokens", "n_matched")
@@ -25,9 +31,67 @@ def op3_mix_sources(spark: SparkSession, path: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_tiff_pages(spark: SparkSession, path: str) -> DataFrame:
+    stored_texts = tiff.store_texts(_read(spark, path, "documents").select("doc_id", "text"))
+    return tiff.features(stored_texts).drop("error")
+
+
+def op5_warc_derivatives(spark: SparkSession, path: str) -> DataFrame:
+    return warc.derivatives(warc.responses(_read(spark, path, "pages"))).select(
+        "page_id", "warc_type", "record_id", "refers_to", "target_uri", "source_digest", "digest_ok", "block_digest",
+        "content_length", "n_links", F.sha2("record", 256).alias("record_sha256"))
+
+
+def op6_format_chats(spark: SparkSession, path: str) -> DataFrame:
+    saying = "\\### Assistant: </turn> ok"
+    extra = spark.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"),
+                 F.lit(saying).alias("text")) for i, r in enumerate(("user", "assistant"))])).alias("m")).select("m.*")
+    rows = _read(spark, path, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    shown = chat.render(chat.fold(chat.event_log(rows)))
+    turns = shown.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"))
+    line = F.transform("turns", lambda m: F.concat(m["role"], F.lit("\n"), m["text"], F.lit("\n")))
+    loss = F.array_join(F.transform(F.filter("turns", lambda m: m["role"] == chat.LEARNED), lambda m: m["text"]), "")
+    return turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"),
+                        F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"), loss.alias("loss"),
+                        F.char_length("formatted").cast("long").alias("formatted_chars")).select(
+        "conv_id", "n_turns", "turns_sha256", F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+OP6_SQL = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+ a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS t,
+   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS l,
+   sum(15 + length(role) + length(text) + 2 * length(role) - length(replace(replace(role, '<', ''), '\', ''))
+     - length(replace(role, '>', '')) + length(text) - length(replace(replace(text, '<', ''), '\', ''))) AS n
+   FROM c GROUP BY conv_id)
+ SELECT conv_id, n_turns, sha256(t) AS turns_sha256, length(l) AS loss_chars, sha256(l) AS loss_sha256,
+   CAST(n AS BIGINT) AS formatted_chars FROM a"""
+
+
+def op7_compression_language(spark: SparkSession, path: str) -> DataFrame:
+    docs = _read(spark, path, "documents").select("doc_id", "text", "lang")
+    content = language.learned_pieces(docs.where(~language.held_out(F.col("doc_id"))))
+    return language.predict(docs, content).select(
+        "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 def op8_circulant_minhash(spark: SparkSession, path: str) -> DataFrame:
     return circulant.near_duplicates(_read(spark, path, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontaminate, op3_mix_sources, op8_circulant_minhash)}
-ORACLE: dict[str, str] = {}
+def op9_repeated_paragraphs(spark: SparkSession, path: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(_read(spark, path, "documents"))
+
+
+def op10_skip_chain_pii(spark: SparkSession, path: str) -> DataFrame:
+    docs = _read(spark, path, "documents").select("doc_id", "text")
+    return crf.find(docs, crf.fitted(crf.observations(docs))).drop("text")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_importance_resampling, op2_decontaminate, op3_mix_sources, op4_tiff_pages, op5_warc_derivatives,
+    op6_format_chats, op7_compression_language, op8_circulant_minhash, op9_repeated_paragraphs,
+    op10_skip_chain_pii)}
+ORACLE: dict[str, str] = {"op6_format_chats": OP6_SQL}

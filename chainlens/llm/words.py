@@ -15,8 +15,12 @@ import pyarrow as pa
 SLICE = 1 << 21
 PIECE = 1 << 20
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+# 0 for white space, 1 for all other bytes; and with ASCII symbols as a kind of their own.
+_KIND = np.ones(256, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_SYMBOLS = _KIND.copy()
+_SYMBOLS[[x for x in range(128) if _KIND[x] and not chr(x).isalnum()]] = 2
+_SPACE = _KIND == 0
 _LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _LOWER[65:91] += np.uint64(32)
 _ODD = 0x9E3779B97F4A7C15
@@ -63,8 +67,12 @@ def slices(offsets: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all rows, A-Z in lower case, and the first word of each row."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, symbols: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all rows, A-Z in lower case, and the first word of each row.
+
+    With ``symbols``, runs of ASCII symbols are words of their own.
+    """
+    kinds = _SYMBOLS if symbols else _KIND
     starts, hashes = [], []
     at, total = int(offsets[0]), int(offsets[-1])
     while at < total:
@@ -84,15 +92,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
                     ahead += PIECE
             end = cut
         piece = data[at:end]
-        inside = ~_SPACE[piece]
+        kind = kinds[piece]
+        inside = kind > 0
+        change = kind[1:] != kind[:-1]
         edge = np.zeros(len(piece) + 1, bool)
         here = offsets[(offsets >= at) & (offsets < end)] - at
         edge[here] = True
         edge[0] = edge[-1] = True
         first = inside.copy()
-        first[1:] &= ~inside[:-1] | edge[1:-1]
+        first[1:] &= change | edge[1:-1]
         last = inside.copy()
-        last[:-1] &= ~inside[1:] | edge[1:-1]
+        last[:-1] &= change | edge[1:-1]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
         up, down = _power_tables(len(piece) + 1)
         sums = np.zeros(len(piece) + 1, np.uint64)

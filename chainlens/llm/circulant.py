@@ -58,3 +58,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5,
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
     return rows_.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """The documents that :func:`near_duplicates` keeps, with all their columns.
+
+    Rows that share a doc_id stay if one of them is kept, equal ones (id and text) once.
+    """
+    found = stored(near_duplicates(docs, **options), "kept")
+    ids = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("kept")
+    once = ids.where("n = 1").select(F.col("doc_id").alias("_id"))
+    out = docs.join(once, docs["doc_id"].eqNullSafe(once["_id"]), "left_semi")
+    again = ids.where("n > 1").select(F.col("doc_id").alias("_id"))
+    if again.isEmpty():
+        return out
+    return out.union(docs.join(again, docs["doc_id"].eqNullSafe(again["_id"]), "left_semi").dropDuplicates(
+        ["doc_id", "text"]))

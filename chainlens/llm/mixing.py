@@ -53,11 +53,8 @@ def _sized(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
         "_block", F.pmod("_row", F.lit(blocks)).cast("int"))
 
 
-def _draw(*parts) -> Column:
-    return F.xxhash64(*[F.lit(p) if isinstance(p, (int, str)) and p not in _NAMES else F.col(p) for p in parts])
-
-
-_NAMES = {"source", "copy", "block", "unit", "lo", "hi"}
+def _draw(seed: int, *columns: str) -> Column:
+    return F.xxhash64(F.lit(seed), *columns)
 
 
 def leaf_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -66,7 +63,8 @@ def leaf_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     for level in range((shards - 1).bit_length()):
         unit = nodes.withColumn("unit", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
         node = Window.partitionBy("lo", "hi")
-        unit = unit.withColumn("rank", F.row_number().over(node.orderBy(_draw(seed, level, "source", "unit", "lo"), "source", "unit")))
+        unit = unit.withColumn("rank", F.row_number().over(
+            node.orderBy(_draw(seed + 1000 * level, "source", "unit", "lo"), "source", "unit")))
         unit = unit.withColumn("middle", F.ceil((F.col("lo") + F.col("hi")) / 2).cast("int")).withColumn(
             "left", F.col("rank") <= F.ceil(
                 F.count("*").over(node) * (F.col("middle") - F.col("lo")) / (F.col("hi") - F.col("lo"))))
@@ -136,22 +134,23 @@ def allocate(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, limit:
     repeated count each. Result columns replace columns of these names. An empty
     table gives an empty result.
     """
-    ours = {"size", "source_size", "target", "taken", "copies", "_size", "_row", "_block"}
-    docs = docs.drop(*[c for c in docs.columns if c in ours])
-    slim = stored(_sized(docs, blocks, seed).select("source", "_size", "_row", "_block"), "sizes")
+    slim = stored(_sized(docs.select("doc_id", "text", "source"), blocks, seed).select(
+        "source", "_size", "_row", "_block"), "sizes")
     plan = stored(block_plan(slim, blocks, shards, limit, seed), "plan").withColumnsRenamed(
         {"source": "_source", "block": "_at"})
-    rows = _sized(docs, blocks, seed).join(
+    # Documents travel as one struct, so that their columns' names clash with nothing here.
+    rows = _sized(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("doc")), blocks, seed).join(
         plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_at")))
     words = lambda c: F.when(c["whole"] | (F.col("_row") < F.col("cut_row")), F.col("_size")).when(
         F.col("_row") == F.col("cut_row"), F.col("cut_words")).otherwise(0)
     copies = F.filter(F.transform(F.coalesce("copies", F.array().cast("array<struct<copy:int,shard:int,whole:boolean>>")),
                                   lambda c: F.struct(c["copy"], c["shard"], words(c).alias("words"))),
                       lambda c: c["words"] > 0)
-    rows = rows.withColumn("copies", copies)
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
-    return rows.select(*[F.col(c) for c in docs.columns], F.col("_size").alias("size"), "source_size", "target",
-                       taken.alias("taken"), "copies")
+    ours = ("size", "source_size", "target", "taken", "copies")
+    rows = rows.withColumn("copies", copies).select(
+        "doc", F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"), "copies")
+    return rows.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c not in ours], *ours)
 
 
 def mix(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, limit: int = LIMIT,
@@ -161,11 +160,13 @@ def mix(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, limit: int
     Adds copy, shard and words to the documents' columns; ``text`` of a copy that is
     taken in part ends with its last taken word. Edge cases as in :func:`allocate`.
     """
-    rows = allocate(docs, blocks, shards, limit, seed)
-    keep = [c for c in docs.columns if c in rows.columns and c not in ("size", "source_size", "target", "taken", "copy", "shard", "words")]
-    rows = rows.select(*keep, "size", F.explode("copies").alias("c")).select(*keep, "size", "c.*")
-    head = F.concat(F.lit(r"^([\x20\x09-\x0D]*(?:" + WORD + r"[\x20\x09-\x0D]*){"), F.col("words"), F.lit("}).*"))
+    ours = ("copy", "shard", "words")
+    rows = allocate(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("doc")), blocks, shards, limit, seed)
+    rows = rows.select("doc_id", "text", "size", "doc", F.explode("copies").alias("c")).select("*", "c.*")
+    parts = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     text = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(
-        F.regexp_extract("text", F.concat(F.lit("(?s)"), head), 1))
-    rows = rows.withColumn("text", text).drop("size").repartition(shards, "shard")
-    return rows.sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "doc_id", "copy", F.xxhash64("text")))
+        F.array_join(F.slice(parts, F.lit(1), F.col("words").cast("int")), ""))
+    rows = rows.withColumn("text", text).repartition(shards, "shard").sortWithinPartitions(
+        "shard", _draw(seed, "doc_id", "copy", "text"))
+    return rows.select(*[F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns if c not in ours],
+                       *ours)

@@ -78,7 +78,9 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """The documents without their removed paragraphs; other columns stay as they are."""
     gone = repeated_paragraphs(docs, **options).where("removed").groupBy(F.col("doc_id").alias("_id")).agg(
         F.collect_set("line").alias("_gone"))
-    lines = F.split("text", "\n")
-    left = F.filter(lines, lambda x, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")), "left").withColumn(
-        "text", F.when(F.col("text").isNotNull(), F.array_join(left, "\n"))).drop("_id", "_gone")
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("doc")).join(
+        gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(
+        F.coalesce("_gone", F.array().cast("array<int>")), i))
+    text = F.when(F.col("text").isNotNull(), F.array_join(left, "\n")).alias("text")
+    return rows.select(*[text if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])

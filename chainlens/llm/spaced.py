@@ -82,5 +82,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
     found = overlaps(docs, benchmark, **options).select(
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (
-        F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (
+        F.xxhash64(docs["text"]) == found["_hash"]), "left_anti")

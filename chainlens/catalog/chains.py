@@ -298,15 +298,20 @@ def _(spark, path):
     return hist.posterior_hist(li_chain(spark, path), ["qty", "disc"], edges=EDGES, weight="Weight", keys=("chain_id",))
 
 
-HIST2D = f"""WITH {LI_SQL}, r AS (SELECT min(qty) a1, max(qty) b1, min(price) a2, max(price) b2, min(tax) a3, max(tax) b3 FROM ch),
- h2 AS (SELECT 'qty' AS param_x, 'price' AS param_y, CAST(least(floor(70 * (qty - a1) / (b1 - a1)), 69) AS INTEGER) AS bin_x,
- CAST(least(floor(70 * (price - a2) / (b2 - a2)), 69) AS INTEGER) AS bin_y, sum(Weight) AS content FROM ch, r
- WHERE qty < b1 AND price < b2 GROUP BY ALL UNION ALL SELECT 'qty', 'tax', CAST(least(floor(70 * (qty - a1) / (b1 - a1)), 69) AS INTEGER),
- CAST(least(floor(70 * (tax - a3) / (b3 - a3)), 69) AS INTEGER), sum(Weight) FROM ch, r WHERE qty < b1 AND tax < b3 GROUP BY ALL)"""
+PAIRS = [(a, b) for i, a in enumerate(LI) for b in LI[i + 1:]]
+
+
+def bin_sql(c: str) -> str:
+    return f"CAST(least(floor(70 * ({c} - {c}_a) / ({c}_b - {c}_a)), 69) AS INTEGER)"
+
+
+HIST2D = f"WITH {LI_SQL}, r AS (SELECT " + ", ".join(f"min({c}) AS {c}_a, max({c}) AS {c}_b" for c in LI) + " FROM ch), h2 AS (" + " UNION ALL ".join(
+    f"SELECT '{x}' AS param_x, '{y}' AS param_y, {bin_sql(x)} AS bin_x, {bin_sql(y)} AS bin_y, sum(Weight) AS content FROM ch, r"
+    f" WHERE {x} < {x}_b AND {y} < {y}_b GROUP BY ALL" for x, y in PAIRS) + ")"
 
 
 def li_hist_2d(spark, path):
-    return hist.posterior_hist_2d(li_chain(spark, path), [("qty", "price"), ("qty", "tax")], weight="Weight")
+    return hist.posterior_hist_2d(li_chain(spark, path), PAIRS, weight="Weight")
 
 
 @add("posterior_hist_2d", f"{HIST2D} SELECT * FROM h2", "content")
@@ -466,13 +471,15 @@ def weighted_cov_sql(names=LI, source="ch", keys: str = "", weight: str = "Weigh
     k = f"{keys}, " if keys else ""
     group = f"GROUP BY {keys}" if keys else ""
     means = ", ".join(f"avg({a}) AS {a}_m" for a in names)
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = ", ".join([f"sum({weight}) AS sw"] + [f"sum({weight} * ({a} - {a}_m)) AS s{i}" for i, a in enumerate(names)]
+                     + [f"sum({weight} * ({names[i]} - {names[i]}_m) * ({names[j]} - {names[j]}_m)) AS q{i}_{j}" for i, j in pairs])
     parts = " UNION ALL ".join(
-        f"SELECT {k}'{a}' AS param_i, '{b}' AS param_j, sum({weight} * ({a} - {a}_m) * ({b} - {b}_m)) / sum({weight})"
-        f" - sum({weight} * ({a} - {a}_m)) / sum({weight}) * (sum({weight} * ({b} - {b}_m)) / sum({weight})) AS cov FROM {source}, m {group}"
-        for a in names for b in names)
+        f"SELECT {k}'{a}' AS param_i, '{b}' AS param_j, q{min(i, j)}_{max(i, j)} / sw - s{i} / sw * (s{j} / sw) AS cov FROM sums"
+        for i, a in enumerate(names) for j, b in enumerate(names))
     join = "".join(f" AND c.{x.strip()} = v.{x.strip()}" for x in keys.split(",") if x.strip())
     ck = "".join(f"c.{x.strip()}, " for x in keys.split(",") if x.strip())
-    return f"""m AS (SELECT {means} FROM ch), c AS ({parts}), v AS (SELECT * FROM c WHERE param_i = param_j),
+    return f"""m AS (SELECT {means} FROM ch), sums AS MATERIALIZED (SELECT {k}{sums} FROM {source}, m {group}), c AS ({parts}), v AS (SELECT * FROM c WHERE param_i = param_j),
  mat AS (SELECT {ck}c.param_i, c.param_j, c.cov, c.cov / sqrt(v.cov * v2.cov) AS corr FROM c
  JOIN v ON v.param_i = c.param_i{join} JOIN v v2 ON v2.param_i = c.param_j{join.replace('v.', 'v2.')})"""
 
@@ -527,12 +534,16 @@ def _(spark, path):
     return moments.covariance_stability(chain, EV, 5, ops.last_step(chain))
 
 
-@add("running_covariance", f"""WITH {ev_sql(4)} SELECT chain_id, step, 'root' AS param_i, 'k' AS param_j, avg(root) OVER w AS mean_i,
- coalesce(covar_samp(root, k) OVER w, 0.0) AS cov FROM ch WINDOW w AS (PARTITION BY chain_id ORDER BY step) UNION ALL
- SELECT chain_id, step, 'root', 'root', avg(root) OVER w, coalesce(var_samp(root) OVER w, 0.0) FROM ch WINDOW w AS (PARTITION BY chain_id ORDER BY step)""",
-     "mean_i cov", digits=8)
+# Roots, whose means have no short decimals: these would be rounded up or down by chance.
+RUNNING = [("root", "rk"), ("root", "root"), ("fourth", "root"), ("fourth", "fourth"), ("fourth", "rk"), ("rk", "rk")]
+
+
+@add("running_covariance", f"WITH {ev_sql(4)}, th AS (SELECT *, sqrt(root) AS fourth, sqrt(k) AS rk FROM ch) " + " UNION ALL ".join(
+    f"SELECT chain_id, step, '{a}' AS param_i, '{b}' AS param_j, avg({a}) OVER w AS mean_i, coalesce(covar_samp({a}, {b}) OVER w, 0.0) AS cov"
+    " FROM th WINDOW w AS (PARTITION BY chain_id ORDER BY step)" for a, b in RUNNING), "mean_i cov", digits=8)
 def _(spark, path):
-    return moments.running_covariance(ev_chain(spark, path, 4), [("root", "k"), ("root", "root")], block=1000)
+    chain = ev_chain(spark, path, 4).withColumns({"fourth": F.sqrt("root"), "rk": F.sqrt("k")})
+    return moments.running_covariance(chain, RUNNING, block=1000)
 
 
 @add("strong_correlations", f"""{MAT} SELECT param_i, param_j, corr, CAST(CASE WHEN abs(corr) < 0.25 THEN 0 WHEN abs(corr) < 0.5 THEN 1
@@ -559,10 +570,14 @@ def _(spark, path):
     return moments.sub_matrix(matrix, _names(spark, ["qty", "tax", "absent"])).select("param_i", "param_j", "cov")
 
 
-@add("sub_matrix_missing", "SELECT 'absent' AS name")
+# Names of a correlation matrix over the days of orders that its table lacks: days without an order of high price.
+@add("sub_matrix_missing", """SELECT DISTINCT 'day_' || l_linenumber || l_returnflag AS name FROM lineitem
+ EXCEPT SELECT 'day_' || l_linenumber || l_returnflag FROM lineitem WHERE l_quantity > 48 AND l_linestatus = 'F'""")
 def _(spark, path):
-    matrix = moments.covariance(li_chain(spark, path), LI, "Weight")
-    return moments.missing_names(matrix, _names(spark, ["qty", "tax", "absent"]))
+    named = table(spark, path, "lineitem").withColumn("name", F.concat(F.lit("day_"), F.col("l_linenumber").cast("string"), "l_returnflag"))
+    kept = named.filter("l_quantity > 48 and l_linestatus = 'F'").select("name").distinct()
+    matrix = kept.select(F.col("name").alias("param_i"), F.col("name").alias("param_j"), F.lit(1.0).alias("cov"))
+    return moments.missing_names(matrix, named.select("name").distinct())
 
 
 @add("matrix_compare", f"""WITH {LI_SQL}, {weighted_cov_sql()}, mat2 AS (SELECT * FROM ({corr_sql().split('mat AS (')[1][:-1]}))

@@ -106,7 +106,7 @@ def _(spark, path):
         F.col("l_linenumber").alias("generator_code"), F.col("l_returnflag").alias("mode")))
 
 
-CHANNELS = [("A", "F", 0), ("A", "O", 1), ("R", "F", 2), ("N", "O", 3)]
+CHANNELS = [("A", "F", 0), ("A", "O", 1), ("R", "F", 2), ("N", "O", 3), ("R", "O", 4), ("N", "F", 5)]
 
 
 def flavours(spark, path):
@@ -247,19 +247,26 @@ def _(spark, path):
 
 # -- spectra -------------------------------------------------------------------
 
-SPECTRA = f"{ES}, sp AS (SELECT sample_id, {X_BIN_SQL} AS bin, sum(w0) AS mc, sum(w0 * w0) AS w2, count(*)::DOUBLE AS data FROM es GROUP BY ALL)"
+SPECTRA = f"""{ES}, hits AS (SELECT sample_id, {X_BIN_SQL} AS bin, sum(w0) AS mc, sum(w0 * w0) AS w2, count(*)::DOUBLE AS data FROM es GROUP BY ALL),
+ sp AS (SELECT CAST(s.range AS INTEGER) AS sample_id, CAST(b.range AS INTEGER) AS bin, coalesce(mc, 0.0) AS mc, coalesce(w2, 0.0) AS w2, coalesce(data, 0.0) AS data
+   FROM range(3) s, range(10) b LEFT JOIN hits ON hits.sample_id = s.range AND hits.bin = b.range)"""
 
 
 def binned_sample(spark, path):
     return binning.assign_bin_uniform(event_sample(spark, path), AXES)
 
 
+def model_bins(spark):
+    return binning.every_bin(spark, AXES)
+
+
 def spectra(spark, path):
-    return ops.fill_spectra(binned_sample(spark, path))
+    return ops.fill_spectra(binned_sample(spark, path), bins=model_bins(spark))
 
 
 def data_spectrum(spark, path):
-    return binned_sample(spark, path).groupBy("sample_id", "bin").agg(F.count(F.lit(1)).cast("double").alias("data"))
+    counted = binned_sample(spark, path).groupBy("sample_id", "bin").agg(F.count(F.lit(1)).cast("double").alias("data"))
+    return model_bins(spark).join(counted, ["sample_id", "bin"], "left").fillna(0.0)
 
 
 @add("fill_spectra", f"{SPECTRA} SELECT sample_id, bin, mc, w2 FROM sp", "mc w2")
@@ -272,6 +279,24 @@ def _(spark, path):
     return sources.load_data_spectrum(spectra(spark, path), data_spectrum(spark, path))
 
 
+# Prediction of events with x >= 13 only: the data's first bins have no prediction, and its bins 8 and 9 no data.
+HALVES = f"""{ES}, m AS (SELECT sample_id, {X_BIN_SQL} AS bin, sum(w0) AS mc, sum(w0 * w0) AS w2 FROM es WHERE x >= 13 GROUP BY ALL),
+ d AS (SELECT sample_id, {X_BIN_SQL} AS bin, count(*)::DOUBLE AS data FROM es WHERE x < 40.5 GROUP BY ALL),
+ hv AS (SELECT coalesce(m.sample_id, d.sample_id) AS sample_id, coalesce(m.bin, d.bin) AS bin, coalesce(mc, 0.0) AS mc, coalesce(w2, 0.0) AS w2, coalesce(data, 0.0) AS data
+   FROM m FULL JOIN d ON m.sample_id = d.sample_id AND m.bin = d.bin)"""
+
+
+def halves(spark, path):
+    binned = binned_sample(spark, path)
+    counted = binned.filter("x < 40.5").groupBy("sample_id", "bin").agg(F.count(F.lit(1)).cast("double").alias("data"))
+    return ops.fill_spectra(binned.filter("x >= 13")), counted
+
+
+@add("load_data_spectrum_data_only", f"{HALVES} SELECT sample_id, bin, mc, w2, data FROM hv", "mc w2 data")
+def _(spark, path):
+    return sources.load_data_spectrum(*halves(spark, path))
+
+
 @add("spectrum_mismatch", f"""{ES}, a AS (SELECT sample_id, {X_BIN_SQL} AS bin, min(y) AS lo, max(y) AS hi FROM es GROUP BY ALL),
  b AS (SELECT sample_id, {X_BIN_SQL} AS bin, min(y) AS lo, max(y) AS hi FROM es WHERE x > 3 GROUP BY ALL)
  SELECT coalesce(a.sample_id, b.sample_id) AS sample_id, coalesce(a.bin, b.bin) AS bin, a.lo AS data_lo, a.hi AS data_hi, b.lo AS mc_lo, b.hi AS mc_hi
@@ -315,7 +340,7 @@ def _(spark, path):
     return ops.rate_table(event_sample(spark, path))
 
 
-@add("sample_rates", f"""{SPECTRA} SELECT sample_id, sum(data) AS data, sum(mc) AS mc, sum(mc - data + data * ln(data / mc)) AS llh
+@add("sample_rates", f"""{SPECTRA} SELECT sample_id, sum(data) AS data, sum(mc) AS mc, sum(CASE WHEN data = 0 THEN mc ELSE mc - data + data * ln(data / mc) END) AS llh
  FROM sp GROUP BY ROLLUP (sample_id)""", "data mc llh", digits=7)
 def _(spark, path):
     return toys.sample_rates(sources.load_data_spectrum(spectra(spark, path), data_spectrum(spark, path)))

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from chainlens.catalog.chains import li_hist, HIST, supplier_params
 from chainlens.catalog.comparing import BOUNDS, COV, FLAT, PRIOR
 from chainlens.catalog.event_samples import (
-    ES, SPECTRA, binned_sample, data_spectrum, sources, spectra,
+    ES, HALVES, SPECTRA, binned_sample, data_spectrum, halves, model_bins, sources, spectra,
 )
 from chainlens.catalog.registry import (
     AXES, EV, LI, LI_SQL, SAMPLE_SQL, X_BIN_SQL, add, ev_chain, ev_sql, event_sample, li_chain, table, toy_sql,
 )
+from chainlens.functions.numeric import normal_pvalue
 from chainlens.operators import binning, chain as chain_ops, events, hist, moments, predict, splines, toys
 from chainlens.plans import predictive as plans
 from chainlens.session import stored
@@ -39,7 +40,7 @@ STAT_CTE = """st AS (SELECT *, mc * mc / w2 AS k, w2 / (mc * mc) AS f, mc / w2 A
 
 
 def register_llh(stat: str) -> None:
-    @add(f"binned_llh_{stat}", f"{SPECTRA}, {STAT_CTE} SELECT sample_id, bin, {STAT_SQL[stat]} AS llh FROM st", "llh",
+    @add(f"binned_llh_{stat}", f"""{SPECTRA}, {STAT_CTE} SELECT sample_id, bin, CASE WHEN mc = 0 AND data = 0 THEN 0.0 ELSE {STAT_SQL[stat]} END AS llh FROM st""", "llh",
          digits=6 if stat == "icecube" else 7)
     def _(spark, path):
         table_ = sources.load_data_spectrum(spectra(spark, path), data_spectrum(spark, path))
@@ -59,9 +60,9 @@ def _(spark, path):
 
 KNOTS = [-1.0, 0.0, 1.0, 2.0]
 KNOT_ROWS = ", ".join(f"(CAST({x} AS DOUBLE))" for x in KNOTS)
-SPLINE_SQL = f"""{SAMPLE_SQL}, kn AS (SELECT sample_id, channel, mode, CASE WHEN x >= 0.5 AND x < 20.5 THEN 0 WHEN x >= 20.5 AND x < 45.5 THEN 1 END AS b1,
+SPLINE_SQL = f"""{SAMPLE_SQL}, kn AS (SELECT sample_id, channel, mode, CASE WHEN x >= 0.5 AND x < 20.5 THEN 0 WHEN x >= 20.5 AND x < 50.5 THEN 1 END AS b1,
  sample_id * 1000 + (ascii(mode) - 65) * 20 + CASE WHEN channel = 'F' THEN 0 ELSE 10 END + CASE WHEN x < 20.5 THEN 0 ELSE 1 END AS spline_id,
- avg(tax) AS t, avg(w0) - 0.9 AS u FROM es WHERE x >= 0.5 AND x < 45.5 GROUP BY ALL),
+ avg(tax) AS t, avg(w0) - 0.9 AS u FROM es WHERE x >= 0.5 AND x < 50.5 GROUP BY ALL),
  kt AS (SELECT kn.*, kx AS x, least(greatest(1 + kx * t * 8 - kx * kx * u * 2, 0.6), 1.6) AS y FROM kn, (VALUES {KNOT_ROWS}) k(kx))"""
 
 
@@ -69,7 +70,7 @@ def knots(spark, path):
     """Responses per (sample, channel, mode, coarse bin), with slopes taken from the events."""
     x = F.col("x")
     first = x < 20.5
-    keyed = event_sample(spark, path).filter((x >= 0.5) & (x < 45.5)).withColumn("b1", F.when(first, 0).otherwise(1))
+    keyed = event_sample(spark, path).filter((x >= 0.5) & (x < 50.5)).withColumn("b1", F.when(first, 0).otherwise(1))
     number = (F.col("sample_id") * 1000 + (F.ascii("mode") - 65) * 20 + F.when(F.col("channel") == "F", 0).otherwise(10) + F.col("b1"))
     keys = ["sample_id", "channel", "mode", "b1"]
     stats = keyed.groupBy(*keys, number.alias("spline_id")).agg(F.avg("tax").alias("t"), (F.avg("w0") - 0.9).alias("u"))
@@ -103,7 +104,8 @@ def hermite_sql(slopes: str) -> str:
     """Coefficients per segment from slopes m0..m3 at the knots."""
     rows = " UNION ALL ".join(
         f"SELECT spline_id, {i} AS segment, m{i} AS b, 3 * s{i} - 2 * m{i} - m{i + 1} AS c, m{i} + m{i + 1} - 2 * s{i} AS d FROM m" for i in range(3))
-    return f"WITH {FOUR}, m AS (SELECT *, {slopes} FROM s), r AS ({rows}) SELECT CAST(spline_id AS INTEGER) AS spline_id, CAST(segment AS INTEGER) AS segment, b, c, d FROM r"
+    tidy = ", ".join(f"CASE WHEN abs({v}) < 1e-11 THEN 0.0 ELSE {v} END AS {v}" for v in "bcd")
+    return f"WITH {FOUR}, m AS (SELECT *, {slopes} FROM s), r AS ({rows}) SELECT CAST(spline_id AS INTEGER) AS spline_id, CAST(segment AS INTEGER) AS segment, {tidy} FROM r"
 
 
 def akima_sql(i: int) -> str:
@@ -119,7 +121,7 @@ SPLINE_ORACLE = {
     "cubic": f"""WITH {FOUR}, p AS (SELECT *, (s2 - 2 * s1 + s0) / 6 AS e, (s1 - s0) / 2 AS f FROM s),
  q AS (SELECT *, i.range AS segment, i.range AS t FROM p, range(3) i)
  SELECT CAST(spline_id AS INTEGER) AS spline_id, CAST(segment AS INTEGER) AS segment, s0 + f * (2 * t - 1) + e * (3 * t * t - 6 * t + 2) AS b,
- f + e * (3 * t - 3) AS c, e AS d FROM q""",
+ CASE WHEN abs(f + e * (3 * t - 3)) < 1e-11 THEN 0.0 ELSE f + e * (3 * t - 3) END AS c, CASE WHEN abs(e) < 1e-11 THEN 0.0 ELSE e END AS d FROM q""",
     "monotonic": None,
 }
 
@@ -178,7 +180,7 @@ def _(spark, path):
     return splines.evaluate_splines(built(spark, path), points(spark))
 
 
-SPLINE_AXES = [("x", [0.5, 20.5, 45.5])]
+SPLINE_AXES = [("x", [0.5, 20.5, 50.5])]
 
 
 def labelled(spark, path, responses=None):
@@ -188,7 +190,7 @@ def labelled(spark, path, responses=None):
     return splines.match_splines(matched, table_, SPLINE_AXES)
 
 
-EV_ID = """sid AS (SELECT *, CASE WHEN x < 45.5 THEN sample_id * 1000 + (ascii(mode) - 65) * 20 + CASE WHEN channel = 'F' THEN 0 ELSE 10 END
+EV_ID = """sid AS (SELECT *, CASE WHEN x < 50.5 THEN sample_id * 1000 + (ascii(mode) - 65) * 20 + CASE WHEN channel = 'F' THEN 0 ELSE 10 END
  + CASE WHEN x < 20.5 THEN 0 ELSE 1 END END AS spline_id FROM es)"""
 
 
@@ -222,6 +224,44 @@ def _(spark, path):
     return predicted(spark, path)
 
 
+def line_responses(spark, path):
+    """Straight lines through 1 with the slopes of the knots."""
+    first = knots(spark, path).filter("x = 0")
+    return first.select("spline_id", F.lit("shape").alias("param"), (F.col("t") * 8.0).alias("a"), F.lit(1.0).alias("b"))
+
+
+LINE_WEIGHTED = WEIGHTED.replace(VALUE_SQL, "ev AS (SELECT pt.point, spline_id, greatest(t * 8 * sh + 1, 0) AS weight FROM kn, pt)")
+
+
+@add("predict_spectra_linear", f"WITH {LINE_WEIGHTED} SELECT * FROM pr", "mc w2", digits=8)
+def _(spark, path):
+    responses, values = built(spark, path), points(spark)
+    summed = stored(predict.signatures(labelled(spark, path, responses), spline_ids="spline_ids"), "signatures")
+    lines = predict.spline_factors(splines.evaluate_lines(line_responses(spark, path), values))
+    return predict.predict_spectra(summed, predict.norm_factors(values, NORMS).unionByName(lines), len(POINTS))
+
+
+# Probability by (point, channel, energy bin, zenith bin); events with x >= 40 are outside the table and left out.
+OSC_SQL = f"""{SAMPLE_SQL}, {POINT_SQL}, o AS (SELECT *, CASE WHEN channel = 'F' THEN 0 ELSE 1 END AS c, CASE WHEN x < 20.5 THEN 0 WHEN x < 40 THEN 1 END AS e,
+ CASE WHEN tax < 0.035 THEN 0 ELSE 1 END AS z FROM es),
+ wt AS (SELECT point, sample_id, {X_BIN_SQL} AS bin, w0 * CASE WHEN mode = 'A' THEN na ELSE 1 END * CASE WHEN mode = 'N' AND x > 10 AND x <= 40 THEN nn ELSE 1 END
+ * CASE WHEN channel = 'O' THEN no ELSE 1 END * (0.3::DOUBLE + ((point * 7 + c * 5 + e * 3 + z) % 10) / 20.0::DOUBLE) AS w FROM o, pt WHERE e IS NOT NULL)"""
+
+
+@add("predict_spectra_osc", f"WITH {OSC_SQL} SELECT point, sample_id, bin, sum(w) AS mc, sum(w * w) AS w2 FROM wt WHERE w > 0 GROUP BY ALL", "mc w2", digits=11)
+def _(spark, path):
+    matched = events.match_norms(binned_sample(spark, path), NORMS, None, {"modes": "mode", "channels": "channel"})
+    placed = matched.withColumn("channel", F.when(F.col("channel") == "F", 0).otherwise(1)).withColumn(
+        "e_bin", binning.axis_bin(F.col("x"), [0.5, 20.5, 40.0])).withColumn("z_bin", binning.axis_bin(F.col("tax"), [0.0, 0.035, 1.0]))
+    n = F.col("id")
+    table_ = spark.range(len(POINTS) * 8).select(
+        F.floor(n / 8).alias("point"), (F.floor(n / 4) % 2).alias("channel"), (F.floor(n / 2) % 2).alias("e_bin"), (n % 2).alias("z_bin"))
+    prob = F.lit(0.3) + ((F.col("point") * 7 + F.col("channel") * 5 + F.col("e_bin") * 3 + F.col("z_bin")) % 10) / 20.0
+    parts = predict.norm_factors(points(spark), NORMS).unionByName(predict.osc_factors(table_.withColumn("prob", prob)))
+    summed = stored(predict.signatures(placed, osc=True), "signatures")
+    return predict.predict_spectra(summed, parts, len(POINTS))
+
+
 @add("reweight_events", f"""WITH {ev_sql()}, pt AS (SELECT point::BIGINT AS point, a::DOUBLE AS a, b::DOUBLE AS b FROM (VALUES (0, 1.0, 1.0), (1, 1.2, 0.8), (2, 0.5, 1.5)) t(point, a, b)),
  w AS (SELECT point, step AS event_id, Weight * CASE WHEN event_type IN ('click', 'view') THEN a ELSE 1 END * CASE WHEN k > 20 AND k <= 60 THEN b ELSE 1 END AS w FROM ch, pt)
  SELECT point, event_id, w FROM w WHERE w > 0""", "w")
@@ -243,11 +283,23 @@ def _(spark, path):
 
 
 @add("llh_scan", f"""WITH {WEIGHTED} SELECT point, pr.sample_id, 2 * sum({poisson_sql()}) AS llh FROM pr JOIN dat ON pr.sample_id = dat.sample_id AND pr.bin = dat.bin
- GROUP BY ALL""", "llh", digits=7)
+ GROUP BY point, ROLLUP (pr.sample_id)""", "llh", digits=7)
 def _(spark, path):
     return toys.llh_scan(predicted(spark, path), data_spectrum(spark, path))
 
 
+@add("llh_scan_empty_bins", f"""{HALVES}, pt AS (SELECT * FROM (VALUES (0, 1.0::DOUBLE), (1, 1.25::DOUBLE), (2, 0.5::DOUBLE)) t(point, f)),
+ s AS (SELECT CAST(point AS BIGINT) AS point, sample_id, mc * f AS mc, data FROM hv, pt)
+ SELECT point, sample_id, 2 * sum({poisson_sql()}) AS llh FROM s GROUP BY point, ROLLUP (sample_id)""", "llh", digits=7)
+def _(spark, path):
+    mc, counted = halves(spark, path)
+    scales = F.array(*[F.struct(F.lit(i).cast("long").alias("point"), F.lit(f).alias("f")) for i, f in enumerate((1.0, 1.25, 0.5))])
+    scaled = mc.select("*", F.inline(scales)).select(
+        "point", "sample_id", "bin", (F.col("mc") * F.col("f")).alias("mc"), (F.col("w2") * F.col("f") * F.col("f")).alias("w2"))
+    data = model_bins(spark).join(counted, ["sample_id", "bin"], "left").fillna(0.0)
+    return toys.llh_scan(scaled, data)
+
+
 SHAPE_PRIOR = "0.5 * (shape / CAST(1.0 AS DOUBLE)) * (shape / CAST(1.0 AS DOUBLE))"
 
 
@@ -333,7 +385,7 @@ SCAN_SQL = f"""{SAMPLE_SQL}, ax AS (SELECT p AS scanned, start + i.range AS poin
 
 
 @add("llh_scan_1d", f"""WITH {SCAN_SQL} SELECT CAST(point AS BIGINT) AS point, scanned, x, sp.sample_id, 2 * sum({poisson_sql()}) AS llh FROM sp JOIN dat ON sp.sample_id = dat.sample_id AND sp.bin = dat.bin
- GROUP BY ALL""", "x llh", digits=7)
+ GROUP BY point, scanned, x, ROLLUP (sp.sample_id)""", "x llh", digits=7)
 def _(spark, path):
     grid = predict.scan_grid_1d(spark, SCAN_PARAMS, {p[0]: 1.0 for p in SCAN_PARAMS})
     matched = events.match_norms(binned_sample(spark, path), NORMS, None, {"modes": "mode", "channels": "channel"})
@@ -439,7 +491,8 @@ def toy_table(spark, path, extra=()):
 def toy_data(spark, path):
     binned = binned_sample(spark, path)
     n = binned.select("toy").distinct().count()
-    return binned.groupBy("sample_id", "bin").agg(F.ceil(F.count(F.lit(1)) / n).cast("double").alias("data"))
+    counted = binned.groupBy("sample_id", "bin").agg(F.ceil(F.count(F.lit(1)) / n).cast("double").alias("data"))
+    return model_bins(spark).join(counted, ["sample_id", "bin"], "left").fillna(0.0)
 
 
 TW = TOYS + ", tw AS (SELECT *, 1 + toy % 3 AS weight FROM toys)"
@@ -459,7 +512,7 @@ def moments_sql(keys: str, values: str, source: str = "tw") -> str:
 
 @add("predictive_mean", f"{TW} {moments_sql('sample_id, bin', 'mc=mc w2=w2')}", "mc_mean mc_rms w2_mean w2_rms", digits=8)
 def _(spark, path):
-    return toys.predictive_mean(weighted_toys(spark, path))
+    return toys.predictive_mean(weighted_toys(spark, path), bins=model_bins(spark))
 
 
 @add("predictive_by_mode", f"WITH {toy_sql(', mode')}, tw AS (SELECT *, 1 + toy % 3 AS weight FROM toys) {moments_sql('sample_id, mode, bin', 'mc=mc w2=w2')}",
@@ -468,7 +521,7 @@ def _(spark, path):
     return toys.predictive_by_mode(weighted_toys(spark, path, ("mode",)))
 
 
-BETA = f"{TW}, bt AS (SELECT tw.*, (sqrt(power(mc * (w2 / (mc * mc)) - 1, 2) + 4 * data * (w2 / (mc * mc))) - (mc * (w2 / (mc * mc)) - 1)) / 2 AS beta FROM tw JOIN dat ON tw.sample_id = dat.sample_id AND tw.bin = dat.bin)"
+BETA = f"{TW}, bt AS (SELECT tw.*, (sqrt(power(mc * (w2 / (mc * mc)) - 1, 2) + 4 * data * (w2 / (mc * mc))) - (mc * (w2 / (mc * mc)) - 1)) / 2 AS beta FROM tw JOIN dat ON tw.sample_id = dat.sample_id AND tw.bin = dat.bin WHERE mc > 0)"
 
 
 @add("beta_study", f"{BETA} {moments_sql('sample_id, bin', 'beta=beta', 'bt')}", "beta_mean beta_rms", digits=8)
@@ -476,8 +529,8 @@ def _(spark, path):
     return toys.beta_study(weighted_toys(spark, path), toy_data(spark, path))
 
 
-@add("apply_beta", f"""{BETA}, b AS ({moments_sql('sample_id, bin', 'beta=beta mc=mc', 'bt')}) SELECT sample_id, bin, mc_mean * beta_mean AS corrected,
- sqrt(power(beta_mean * mc_rms, 2) + power(mc_mean * beta_rms, 2)) AS corrected_error FROM b""", "corrected corrected_error", digits=8)
+@add("apply_beta", f"""{BETA}, b AS ({moments_sql('sample_id, bin', 'beta=beta', 'bt')}), m AS ({moments_sql('sample_id, bin', 'mc=mc')}) SELECT sample_id, bin, mc_mean * beta_mean AS corrected,
+ sqrt(power(beta_mean * mc_rms, 2) + power(mc_mean * beta_rms, 2)) AS corrected_error FROM b JOIN m USING (sample_id, bin)""", "corrected corrected_error", digits=8)
 def _(spark, path):
     table_ = weighted_toys(spark, path)
     out = toys.apply_beta(toys.predictive_mean(table_), toys.beta_study(table_, toy_data(spark, path)))
@@ -491,12 +544,12 @@ VIOLIN = f"""{TOYS}, mx AS (SELECT sample_id, max(mc) * 1.05 AS top FROM toys GR
 
 @add("toy_violin", f"{VIOLIN} SELECT * FROM v", "content", digits=12)
 def _(spark, path):
-    return toys.toy_violin(toy_table(spark, path))
+    return toys.toy_violin(toy_table(spark, path), bins=model_bins(spark))
 
 
-@add("violin_summary", f"{VIOLIN}, w AS (SELECT *, n_toys AS weight FROM v) {moments_sql('sample_id, bin', 'content=content', 'w')}", "content_mean content_rms", digits=8)
+@add("violin_summary", f"{VIOLIN}, w AS (SELECT *, n_toys AS weight FROM v) {moments_sql('sample_id, bin', 'content=content', 'w')}", "content_mean content_rms", digits=10)
 def _(spark, path):
-    return toys.violin_summary(toys.toy_violin(toy_table(spark, path)))
+    return toys.violin_summary(toys.toy_violin(toy_table(spark, path), bins=model_bins(spark)))
 
 
 RATES = f"""{TOYS}, r AS (SELECT toy, sample_id, sum(mc) AS rate FROM toys GROUP BY ALL), a AS (SELECT * FROM r UNION ALL SELECT toy, NULL, sum(rate) FROM r GROUP BY toy),
@@ -547,7 +600,23 @@ def _(spark, path):
  SELECT d_hat, d_bar, 4 * ln(floor(n_data)) + d_hat AS bic_events, 4 * ln(n_bins) + d_hat AS bic_bins, abs(d_bar - d_hat) AS p_dic, d_hat + 2 * abs(d_bar - d_hat) AS dic, p_waic,
  -2 * (lppd - p_waic) AS waic FROM b, w""", "d_hat d_bar bic_events bic_bins p_dic dic p_waic waic", digits=7)
 def _(spark, path):
-    return toys.information_criteria(toy_table(spark, path), toy_data(spark, path), toys.predictive_mean(weighted_toys(spark, path)), 4)
+    table_ = toy_table(spark, path)
+    mean = toys.predictive_mean(table_.withColumn("weight", 1.0 + F.col("toy") % 3))
+    return toys.information_criteria(table_, toy_data(spark, path), mean, 4)
+
+
+# WAIC on whole data counts: likelihoods of thousands per bin, which no exponential holds.
+BIG = f"""{TOYS}, big AS (SELECT dat.sample_id, dat.bin, coalesce(n, 0)::DOUBLE AS data FROM dat LEFT JOIN hits USING (sample_id, bin)),
+ l AS (SELECT toys.sample_id, toys.bin, -({poisson_sql()}) AS ll FROM toys JOIN big ON toys.sample_id = big.sample_id AND toys.bin = big.bin),
+ t AS (SELECT *, max(ll) OVER (PARTITION BY sample_id, bin) AS top FROM l),
+ q AS (SELECT avg(ll) AS m, avg(ll * ll) AS q, max(top) + ln(avg(exp(ll - top))) AS lppd FROM t GROUP BY sample_id, bin)"""
+
+
+@add("waic_whole_counts", f"{BIG} SELECT sum(q - m * m) AS p_waic, -2 * (sum(lppd) - sum(q - m * m)) AS waic FROM q", "p_waic waic", digits=7)
+def _(spark, path):
+    table_ = toy_table(spark, path)
+    mean = toys.predictive_mean(table_.withColumn("weight", F.lit(1.0)))
+    return toys.information_criteria(table_, data_spectrum(spark, path), mean, 4).select("p_waic", "waic")
 
 
 CHI2 = f"""{TOYS}, c AS (SELECT toy, toys.sample_id, 2 * sum({poisson_sql()}) AS data_llh, 2 * sum({poisson_sql('ceil(w2)')}) AS fluct_llh FROM toys
@@ -615,6 +684,21 @@ def _(spark, path):
     return toys.combine_pvalues(pvalues(spark, path), ("grp",))
 
 
+# More than a thousand ordinary p-values a group at any scale of the tables; their combination is an ordinary one.
+@add("combine_many_pvalues", """WITH pv AS (SELECT l_linenumber % 3 AS grp, ((l_orderkey * 13 + l_partkey * 7 + l_suppkey) % 1009 + 0.5) / 1009.0::DOUBLE AS p_value FROM lineitem),
+ s AS (SELECT grp, -2 * sum(ln(greatest(p_value, 1e-5))) AS statistic, count(*) AS n FROM pv GROUP BY grp)
+ SELECT grp, statistic, n, TRUE AS ordinary FROM s""", "statistic", digits=8)
+def _(spark, path):
+    place = (F.col("l_orderkey") * 13 + F.col("l_partkey") * 7 + F.col("l_suppkey")) % 1009
+    out = toys.combine_pvalues(table(spark, path, "lineitem").select(
+        (F.col("l_linenumber") % 3).alias("grp"), ((place + 0.5) / 1009.0).alias("p_value")), ("grp",))
+    # By the cube-root approximation of the chi2 distribution: the tail must be its normal tail.
+    m = 2.0 * F.col("n")
+    z = (F.pow(F.col("statistic") / m, 1 / 3) - 1 + 2 / (9 * m)) / F.sqrt(2 / (9 * m))
+    return out.withColumn("_t", normal_pvalue(-z)).select(
+        "grp", "statistic", "n", (F.abs(F.col("combined") - F.col("_t")) < 1e-3).alias("ordinary"))
+
+
 @add("bonferroni", f"""WITH {PVALUES} SELECT grp, test, p_value, 0.2 / count(*) OVER (PARTITION BY grp) AS level, CASE WHEN p_value < 0.5 AND p_value < 0.2 / count(*) OVER (PARTITION BY grp) THEN 'low'
  WHEN p_value > 0.5 AND p_value > 1 - 0.2 / count(*) OVER (PARTITION BY grp) THEN 'high' END AS flag FROM pv""", "p_value level")
 def _(spark, path):

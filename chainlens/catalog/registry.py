@@ -16,7 +16,7 @@ RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 def _rounded(x: Column, digits: int) -> Column:
     """Significant digits; sums differ in the last bits by order of addition."""
     text = F.format_string(f"%.{digits - 1}e", x)
-    return F.when(F.abs(x) < 1e-11, 0.0).when(x.isNotNull(), text.cast("double"))
+    return F.when(x == 0, 0.0).when(x.isNotNull(), text.cast("double"))
 
 
 def round_doubles(df: DataFrame, digits: int = 9) -> DataFrame:
@@ -33,7 +33,7 @@ def add(name: str, sql: str | None = None, doubles: str = "", digits: int = 9):
         QUERIES[name] = lambda spark, path: round_doubles(function(spark, path), digits)
         if sql is not None:
             swaps = ", ".join(
-                f"CASE WHEN abs({c}) < 1e-11 THEN CAST(0 AS DOUBLE) ELSE"
+                f"CASE WHEN {c} = 0 THEN CAST(0 AS DOUBLE) ELSE"
                 f" CAST(printf('%.{digits - 1}e', CAST({c} AS DOUBLE)) AS DOUBLE) END AS {c}" for c in doubles.split())
             ORACLE[name] = f"SELECT * REPLACE ({swaps}) FROM ({sql})" if swaps else sql
         return function
@@ -124,7 +124,13 @@ AXES = [{"sample_id": s, "dim": 0, "var": "x", "edges": X_EDGES} for s in range(
 
 
 def toy_sql(extra: str = "") -> str:
-    return f"""{SAMPLE_SQL}, toys AS (SELECT toy, sample_id{extra}, {X_BIN_SQL} AS bin, sum(w0) AS mc, sum(w0 * w0) AS w2
- FROM es GROUP BY ALL),
- dat AS (SELECT sample_id, {X_BIN_SQL} AS bin,
-   CAST(ceil(count(*) / (SELECT count(DISTINCT toy) FROM es)) AS DOUBLE) AS data FROM es GROUP BY ALL)"""
+    """Toys and data with every bin, 0 where nothing fell; with a further key, every cell that any toy fills."""
+    keys = "sample_id" + extra + ", bin"
+    cells = (f"SELECT DISTINCT {keys} FROM seen" if extra else
+             "SELECT CAST(s.range AS INTEGER) AS sample_id, CAST(b.range AS INTEGER) AS bin FROM range(3) s, range(10) b")
+    return f"""{SAMPLE_SQL}, seen AS (SELECT toy, sample_id{extra}, {X_BIN_SQL} AS bin, sum(w0) AS mc, sum(w0 * w0) AS w2 FROM es GROUP BY ALL),
+ cells AS ({cells}), every_toy AS (SELECT DISTINCT toy FROM es),
+ toys AS (SELECT toy, {keys}, coalesce(mc, 0.0) AS mc, coalesce(w2, 0.0) AS w2 FROM (SELECT * FROM every_toy, cells) LEFT JOIN seen USING (toy, {keys})),
+ hits AS (SELECT sample_id, {X_BIN_SQL} AS bin, count(*) AS n FROM es GROUP BY ALL),
+ dat AS (SELECT s.range::INTEGER AS sample_id, b.range::INTEGER AS bin, CAST(ceil(coalesce(n, 0) / (SELECT count(*) FROM every_toy)) AS DOUBLE) AS data
+   FROM range(3) s, range(10) b LEFT JOIN hits ON hits.sample_id = s.range AND hits.bin = b.range)"""

@@ -159,3 +159,29 @@ def dunne_kaboth_label(value: Column) -> Column:
 
 def z_score(value: Column, mean: Column, sigma: Column) -> Column:
     return F.try_divide(value - mean, sigma)
+
+
+def uniform(seed: int, *keys: str | Column) -> Column:
+    """Uniform number in (0, 1) that depends on the seed and the row's keys alone, not on the partitioning."""
+    columns = [F.col(k) if isinstance(k, str) else k for k in keys]
+    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11).cast("double") + 0.5) / float(1 << 53)
+
+
+def normal(seed: int, *keys: str | Column) -> Column:
+    """Standard normal number of the row's keys, from two uniform ones."""
+    radius = F.sqrt(-2 * F.log(uniform(2 * seed, *keys)))
+    return radius * F.cos(2 * F.pi() * uniform(2 * seed + 1, *keys))
+
+
+def row_keys(chain: DataFrame) -> list[str]:
+    """What tells the entries of a chain apart: chain and step, or all columns where there is no step.
+
+    Without a step, entries that are alike share their draws.
+    """
+    return ["chain_id", "step"] if {"chain_id", "step"} <= set(chain.columns) else chain.columns
+
+
+def number(column: str) -> Column:
+    """The column as a double, with NaN as null."""
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x), x)

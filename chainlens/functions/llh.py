@@ -81,6 +81,7 @@ def icecube(data: Column, mc: Column, w2: Column) -> Column:
     return (
         F.when(w2 == 0, poisson(data, mc))
         .when((mc <= data) & (data <= LOW_MC_BOUND), 0.0)
+        .when((mc <= 0) & (data > LOW_MC_BOUND), bound)  # the statistic is infinite there
         .when((mc <= data) & (stat > bound), bound)
         .otherwise(stat)
     )

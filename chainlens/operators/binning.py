@@ -5,40 +5,73 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainlens.functions.expr import edge_bin, inner_bin, is_equal_width
 
-# A side is broadcast only after counting at most this many rows of it.
-BROADCAST_ROWS = 200_000
+# A side is broadcast only after its rows and their bytes were counted.
+BROADCAST_BYTES = 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a side whose row count was checked; else leave it to the planner."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes_of(df: DataFrame) -> Column:
+    """Rough bytes of a row: fixed columns by their width, others by their text form."""
+    wide = [F.length(F.to_json(F.struct(F.col(f"`{c}`").alias("v")))) if t.startswith(("array", "struct", "map"))
+            else F.length(F.col(f"`{c}`")) for c, t in df.dtypes if t in ("string", "binary") or t.startswith(("array", "struct", "map"))]
+    total = F.lit(16 + 8 * len(df.columns))
+    for w in wide:
+        total = total + F.coalesce(w, F.lit(0))
+    return total
+
+
+def broadcast_if_small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Broadcast hint for a side whose bytes were counted; else it is left to the planner.
+
+    A row has 16 bytes at least, so rows beyond the limit are not even counted.
+    """
+    most = BROADCAST_BYTES if most is None else most
+    size = df.limit(most // 16 + 1).agg(F.sum(_bytes_of(df))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def join_hot(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 32) -> DataFrame:
     """Equi-join of events to a lookup table whose keys may be very unevenly hit.
 
-    A lookup table of checked size is broadcast.  A larger one is repeated per
-    salt, and rows of a hot key are spread over the salts by their own hash.
+    A lookup table of checked size is broadcast. A larger one is repeated per salt, and
+    rows are dealt to the salts by their place in their task (not by their values, which
+    may all be equal), so that a hot key is spread. A repeated task deals its rows to
+    other salts at most; the joined rows are the same.
     """
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return big.join(F.broadcast(small), list(keys), how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
+    hinted = broadcast_if_small(small)
+    if hinted is not small:
+        return big.join(hinted, list(keys), how)
+    salted = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def axis_bin(x: Column, edges: Sequence[float]) -> Column:
-    """Bin with edge <= x < next edge, null outside; arithmetic when widths are equal."""
+    """Bin with edge <= x < next edge, null outside, by comparison with the edges as they are given.
+
+    On a long axis of equal widths the bin is worked out and then corrected by its edges,
+    which gives the same bin without a search.
+    """
     edges = [float(e) for e in edges]
     n = len(edges) - 1
-    if n > 256 and is_equal_width(edges):
-        return inner_bin(x, edges[0], edges[-1], n)
-    return edge_bin(x, edges)
+    if n <= 256 or not is_equal_width(edges):
+        return edge_bin(x, edges)
+    table, place = F.lit(edges), F.coalesce(inner_bin(x, edges[0], edges[-1], n), F.lit(0))
+    place = F.when(x < F.get(table, place), place - 1).when(x >= F.get(table, place + 1), place + 1).otherwise(place)
+    return F.when((x >= edges[0]) & (x < edges[-1]), place)
+
+
+def every_bin(spark: SparkSession, axes: Sequence[dict]) -> DataFrame:
+    """All bins (sample_id, bin) of the axes; the records are configuration."""
+    sizes: dict[int, int] = {}
+    for axis in axes:
+        sizes[axis["sample_id"]] = sizes.get(axis["sample_id"], 1) * (len(axis["edges"]) - 1)
+    rows = spark.createDataFrame(sorted(sizes.items()), "sample_id int, n int")
+    return rows.select("sample_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bin"))
 
 
 def sample_offsets(axes: Sequence[dict]) -> dict[int, int]:

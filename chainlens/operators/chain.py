@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainlens.functions.expr import edge_bin, product, starts_with_any
+from chainlens.functions.expr import edge_bin, normal, product, row_keys, starts_with_any, uniform
 
 ENTRY_BLOCK = 1 << 20
 
@@ -116,7 +116,7 @@ def random_draws(chain: DataFrame, n: int, cut: int | None = None, seed: int = 1
     edges = [0]
     for r in ranges:
         edges.append(edges[-1] + r["n"])
-    position = F.floor(F.rand(seed) * edges[-1]).cast("long")
+    position = F.least(F.floor(uniform(seed, "id") * edges[-1]).cast("long"), F.lit(edges[-1] - 1))
     slot = edge_bin(F.col("_pos"), edges).cast("int")
 
     def pick(values):
@@ -157,9 +157,12 @@ def add_jarlskog(chain: DataFrame, sin2_12: str, sin2_23: str, sin2_13: str, del
 
 
 def smear_chain(chain: DataFrame, errors: dict[str, float], keep: bool = False, seed: int = 1) -> DataFrame:
-    """Add Gaussian noise to the named parameters, optionally keeping the old value."""
+    """Add Gaussian noise to the named parameters, optionally keeping the old value.
+
+    The noise of a step is a function of the seed, the parameter and the row's keys.
+    """
     smeared = {
-        p: F.col(p) + F.randn(seed + i) * float(e) for i, (p, e) in enumerate(errors.items())
+        p: F.col(p) + normal(seed + i, *row_keys(chain)) * float(e) for i, (p, e) in enumerate(errors.items())
     }
     old = {f"{p}_unsmeared": F.col(p) for p in errors} if keep else {}
     return chain.withColumns({**old, **smeared})

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainlens.functions.expr import dunne_kaboth_label, gauss, jeffreys_label
+from chainlens.functions.expr import dunne_kaboth_label, gauss, jeffreys_label, normal, row_keys, uniform
 from chainlens.operators.chain import jarlskog
 from chainlens.operators.hist import posterior_hist, posterior_hist_2d
 from chainlens.operators.intervals import credible_interval
@@ -123,13 +123,13 @@ def jarlskog_prior(chain: DataFrame, priors: dict[str, tuple[float, float] | Non
     ``priors`` gives (mean, sigma) of a Gaussian for sin2_12, sin2_23 and
     sin2_13, or None for a flat one on 0..1; phases are flat.
     """
-    draws = {}
+    row, draws = row_keys(chain), {}
     for i, name in enumerate(("sin2_12", "sin2_23", "sin2_13")):
         given = priors.get(name)
-        draws[name] = F.rand(seed + i) if given is None else F.lit(given[0]) + F.randn(seed + i) * given[1]
-    phase = F.rand(seed + 3) * (2 * PI) - PI
+        draws[name] = uniform(seed + i, *row) if given is None else F.lit(given[0]) + normal(seed + i, *row) * given[1]
+    phase = uniform(seed + 103, *row) * (2 * PI) - PI
     thrown = chain.select(*[v.alias(k) for k, v in draws.items()], phase.alias("delta"),
-                          (F.rand(seed + 4) * 2 - 1).alias("sine"))
+                          (uniform(seed + 104, *row) * 2 - 1).alias("sine"))
     size = jarlskog(F.col("sin2_12"), F.col("sin2_23"), F.col("sin2_13"), F.lit(PI / 2))
     both = thrown.select(size.alias("size"), "delta", "sine").select(F.inline(F.array(
         F.struct(F.lit("flat").alias("phase_prior"), (F.col("size") * F.sin("delta")).alias("J")),

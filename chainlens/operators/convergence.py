@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainlens.functions.expr import finite_or
+from chainlens.functions.expr import finite_or, number
 from chainlens.functions.numeric import fit_curve
+from chainlens.session import stored
 from chainlens.operators.chain import with_entry_index
 
 # Columns the chain comparison leaves out.
@@ -116,14 +117,9 @@ def autocorrelation(chain: DataFrame, columns: Sequence[str], nlags: int = 25000
         first = whole[:own_rows]
         lags = min(nlags, len(whole))
         sums = np.zeros((len(names), nlags))
-        if lags <= 32:
-            for k in range(lags):
-                m = min(own_rows, len(whole) - k)
-                sums[:, k] = np.einsum("ij,ij->j", first[:m], whole[k:k + m])
-        else:
-            size = 1 << int(np.ceil(np.log2(own_rows + len(whole))))
-            spec = np.conj(np.fft.rfft(first, size, axis=0)) * np.fft.rfft(whole, size, axis=0)
-            sums[:, :lags] = np.fft.irfft(spec, size, axis=0)[:lags].T
+        size = 1 << int(np.ceil(np.log2(own_rows + len(whole))))
+        spec = np.conj(np.fft.rfft(first, size, axis=0)) * np.fft.rfft(whole, size, axis=0)
+        sums[:, :lags] = np.fft.irfft(spec, size, axis=0)[:lags].T
         return pd.DataFrame({
             "chain_id": pdf["chain_id"].iloc[0], "param": np.repeat(names, nlags),
             "lag": np.tile(np.arange(nlags, dtype=np.int32), len(names)), "s": sums.ravel()})
@@ -240,6 +236,9 @@ def power_spectrum(chain: DataFrame, columns: Sequence[str], max_coefficients: i
                    block: int = 1 << 16, contiguous: bool = True, width: int = 8) -> DataFrame:
     """P(k_j) of each parameter at the lowest frequencies of a chain of even length.
 
+    ``max_coefficients`` bounds the frequencies: higher ones are left out, and so is the
+    last entry of a chain of odd length.
+
     Each block of entries gives its share of every Fourier sum (a chirp
     transform, as the frequencies belong to the whole chain); shares are added
     by (param, j).  Values are real, so negative j repeat the positive ones.
@@ -291,7 +290,7 @@ def power_spectrum_fit(spectrum: DataFrame) -> DataFrame:
         out = {"chain_id": [pdf["chain_id"].iloc[0]], "param": [pdf["param"].iloc[0]]}
         if len(use) < 3:
             return pd.DataFrame({**out, "p0": [np.nan], "k_star": [np.nan], "alpha": [np.nan],
-                                 "step_size": [np.nan]})
+                                 "step_size": [np.nan], "converged": [False]})
         x, y = use["k"].to_numpy(), use["power"].to_numpy()
 
         def model(v, q):
@@ -299,13 +298,13 @@ def power_spectrum_fit(spectrum: DataFrame) -> DataFrame:
             return q[0] * r / (r + 1)
 
         # Start and limits of amplitude, turnover and slope.
-        p = fit_curve(model, [10.0, 0.1, 2.0], x, y, np.ones(len(x)), [0.0, 0.001, 0.0], [100.0, 1.0, 5.0])
+        p, done = fit_curve(model, [10.0, 0.1, 2.0], x, y, np.ones(len(x)), [0.0, 0.001, 0.0], [100.0, 1.0, 5.0])
         return pd.DataFrame({**out, "p0": [p[0]], "k_star": [p[1]], "alpha": [p[2]],
-                             "step_size": [np.sqrt(p[0] / (0.5 * len(pdf)))]})
+                             "step_size": [np.sqrt(p[0] / (0.5 * len(pdf)))], "converged": [done]})
 
     id_type = dict(spectrum.dtypes)["chain_id"]
     return spectrum.groupBy("chain_id", "param").applyInPandas(
-        fit, f"chain_id {id_type}, param string, p0 double, k_star double, alpha double, step_size double")
+        fit, f"chain_id {id_type}, param string, p0 double, k_star double, alpha double, step_size double, converged boolean")
 
 
 def after_burn_in(chain: DataFrame) -> DataFrame:
@@ -352,8 +351,11 @@ def exact_medians(df: DataFrame, columns: Sequence[str], bins: int = 4096, leaf:
     Each round counts values in ``bins`` slices of the bracket that holds the
     middle ranks and narrows the bracket to that slice; a bracket with few
     distinct values is finished by counting (column, value) pairs.  Per round
-    only brackets, one per column, and slice counts reach the driver.
+    only brackets, one per column, and slice counts reach the driver. Null and NaN are
+    left out; a column without other values has no median. The columns are written to the
+    shared folder once, so rounds read them and not the chain.
     """
+    df = stored(df.select(*[number(c).alias(c) for c in columns]), "columns")
     spark = df.sparkSession
     state = {}
     row = df.agg(*[e for i, c in enumerate(columns) for e in (
@@ -408,7 +410,7 @@ def rhat_folded(chain: DataFrame, columns: Sequence[str]) -> DataFrame:
     medians = exact_medians(chain, columns)
     stats = []
     for i, c in enumerate(columns):
-        folded = F.abs(F.col(c) - F.lit(medians[c]))
+        folded = F.abs(F.col(c) - F.lit(medians.get(c)).cast("double"))
         stats += [F.avg(c).alias(f"m_{i}"), F.var_samp(c).alias(f"v_{i}"),
                   F.avg(folded).alias(f"fm_{i}"), F.var_samp(folded).alias(f"fv_{i}")]
     sums = chain.groupBy("chain_id").agg(F.count(F.lit(1)).cast("double").alias("n"), *stats)
@@ -420,7 +422,7 @@ def rhat_folded(chain: DataFrame, columns: Sequence[str]) -> DataFrame:
     def of(kind: str, column: str):
         return F.max(F.when(F.col("kind") == kind, F.col(column)))
 
-    median = F.create_map(*[v for c in columns for v in (F.lit(c), F.lit(medians[c]))])
+    median = F.create_map(*[v for c in columns for v in (F.lit(c), F.lit(medians.get(c)).cast("double"))])
     return both.groupBy("param").agg(
         F.max("chains").alias("chains"), of("plain", "rhat").alias("rhat"), of("plain", "ess").alias("ess"),
         of("folded", "rhat").alias("rhat_folded"), of("folded", "ess").alias("ess_folded"),

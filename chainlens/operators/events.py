@@ -91,8 +91,16 @@ def map_modes(events: DataFrame, modes: DataFrame, key: str = "generator_code")
 
 
 def map_channels(events: DataFrame, channels: DataFrame, keys: Sequence[str] = ("init_pdg", "final_pdg")) -> DataFrame:
-    """Oscillation channel of each event by its flavours before and after."""
-    return join_hot(events, channels.select(*keys, "channel"), keys)
+    """Oscillation channel of each event by its flavours before and after.
+
+    An event that no channel describes is an error when the result is computed;
+    ``unmapped_channels`` lists such flavours beforehand.
+    """
+    found = join_hot(events, channels.select(*keys, "channel"), keys, "left")
+    missing = F.raise_error(F.concat(F.lit("no channel for flavours "), F.concat_ws(" -> ", *[
+        F.col(k).cast("string") for k in keys])))
+    return found.withColumn("channel", F.when(F.col("channel").isNull(), missing.cast(
+        dict(channels.dtypes)["channel"])).otherwise(F.col("channel")))
 
 
 def unmapped_channels(events: DataFrame, channels: DataFrame, keys: Sequence[str] = ("init_pdg", "final_pdg")) -> DataFrame:
@@ -158,10 +166,18 @@ def osc_weight_lookup(events: DataFrame, probabilities: DataFrame, e_edges: Sequ
 # -- aggregation --------------------------------------------------------------
 
 
-def fill_spectra(events: DataFrame, weight: str = "w0", keys: Sequence[str] = ("sample_id", "bin")) -> DataFrame:
-    """Sum of weights and of squared weights per bin; events with weight <= 0 are left out."""
+def fill_spectra(events: DataFrame, weight: str = "w0", keys: Sequence[str] = ("sample_id", "bin"),
+                 bins: DataFrame | None = None) -> DataFrame:
+    """Sum of weights and of squared weights per bin; events with weight <= 0 are left out.
+
+    With ``bins`` (keys), every bin has a row, 0 where no event fell. Spectra of many toys
+    or points are better kept without empty rows: their summaries count these as 0.
+    """
     w = F.col(weight)
-    return events.filter(w > 0).groupBy(*keys).agg(F.sum(w).alias("mc"), F.sum(w * w).alias("w2"))
+    filled = events.filter(w > 0).groupBy(*keys).agg(F.sum(w).alias("mc"), F.sum(w * w).alias("w2"))
+    if bins is None:
+        return filled
+    return bins.select(*keys).distinct().join(filled, list(keys), "left").fillna(0.0, ["mc", "w2"])
 
 
 def rate_table(events: DataFrame, weight: str = "w0", mode: str = "mode", channel: str = "channel") -> DataFrame:

@@ -9,18 +9,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainlens.functions.expr import edge_bin, inner_bin, weight_column
+from chainlens.functions.expr import edge_bin, inner_bin, normal, number, row_keys, weight_column
 from chainlens.functions.numeric import fit_curve
 
 
 def column_ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Min and max per column from one scan; two numbers per parameter reach the driver."""
-    row = df.agg(*[f(F.col(c)).alias(f"{n}_{i}") for i, c in enumerate(columns)
+    """Min and max per column from one scan, NaN left out; two numbers per parameter reach the driver."""
+    row = df.agg(*[f(number(c)).alias(f"{n}_{i}") for i, c in enumerate(columns)
                    for n, f in (("lo", F.min), ("hi", F.max))]).first()
     return {c: (float(row[f"lo_{i}"]), float(row[f"hi_{i}"])) for i, c in enumerate(columns)
             if row[f"lo_{i}"] is not None}
 
 
+def value_problems(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(param, n, n_null, n_nan) of each column: values that no histogram or range counts."""
+    count = lambda test: F.sum(F.when(test, 1).otherwise(0))
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[e for i, c in enumerate(columns) for e in (
+        count(F.col(c).isNull()).alias(f"u{i}"), count(F.isnan(F.col(c).cast("double"))).alias(f"a{i}"))])
+    return row.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("param"), F.col("n"), F.col(f"u{i}").alias("n_null"), F.col(f"a{i}").alias("n_nan"))
+        for i, c in enumerate(columns)])))
+
+
 def fill_gaps(counts: DataFrame, keys: Sequence[str], last) -> DataFrame:
     """Add the empty bins of each histogram; ``last`` is its last bin number.
 
@@ -44,7 +54,9 @@ def posterior_hist(chain: DataFrame, columns: Sequence[str], nbins: int = 70,
     """Weighted histogram of every parameter in one scan.
 
     Automatic ranges run from the minimum to the maximum of the chain, so the
-    maximum itself is overflow, and a constant parameter has no bins.  Values are binned in wide form; only small
+    maximum itself is overflow; a constant parameter gets an axis of width 1 about its
+    value. NaN and null are in no bin (``value_problems`` counts them), and a parameter
+    without any other value has no bins.  Values are binned in wide form; only small
     integers are unpivoted, and partial sums of at most parameters x bins rows
     per task are shuffled.
     """
@@ -57,8 +69,10 @@ def posterior_hist(chain: DataFrame, columns: Sequence[str], nbins: int = 70,
         if c in edges:
             bins.append(edge_bin(F.col(c), edges[c]).alias(c))
             layout.append((c, 0.0, 0.0, len(edges[c]) - 1, edges[c]))
-        elif c in ranges and ranges[c][0] < ranges[c][1]:
+        elif c in ranges and ranges[c][0] <= ranges[c][1]:
             lo, hi = ranges[c]
+            if lo == hi:
+                lo, hi = lo - 0.5, hi + 0.5
             bins.append(inner_bin(F.col(c), lo, hi, nbins).alias(c))
             layout.append((c, lo, (hi - lo) / nbins, nbins, None))
     names = [row[0] for row in layout]
@@ -91,6 +105,8 @@ def posterior_hist_2d(chain: DataFrame, pairs: Sequence[tuple[str, str]], nbins:
 
     def cell(c):
         lo, hi = ranges[c]
+        if lo == hi:
+            lo, hi = lo - 0.5, hi + 0.5
         return inner_bin(F.col(c), lo, hi, nbins)
 
     binned = chain.select(*keys, weight_column(weight).alias("_w"), *[cell(c).alias(f"b_{c}") for c in names])
@@ -145,26 +161,27 @@ def _gauss_fit(pdf: pd.DataFrame) -> pd.DataFrame:
     x = ((pdf["lo"] + pdf["hi"]) / 2).to_numpy()
     y = pdf["content"].to_numpy()
     sum_y = y.sum()
-    out = {"param": [pdf["param"].iloc[0]], "gauss_mean": [np.nan], "gauss_sigma": [np.nan]}
+    out = {"param": [pdf["param"].iloc[0]], "gauss_mean": [np.nan], "gauss_sigma": [np.nan],
+           "converged": [False]}
     if sum_y > 0:
         mean = (x * y).sum() / sum_y
         rms = float(np.sqrt(max((y * (x - mean) ** 2).sum() / sum_y, 0.0)))
         use = (np.abs(x - mean) <= 1.5 * rms) & (y > 0)
         if use.sum() >= 3:
             span = x[-1] - x[0]
-            p = fit_curve(
+            p, done = fit_curve(
                 lambda v, q: q[0] * np.exp(-0.5 * ((v - q[1]) / q[2]) ** 2),
                 [y.max(), x[int(y.argmax())], rms], x[use], y[use], np.sqrt(y[use]),
                 [0.0, x[0] - span, span * 1e-6], [np.inf, x[-1] + span, span * 100],
             )
-            out["gauss_mean"], out["gauss_sigma"] = [p[1]], [p[2]]
+            out["gauss_mean"], out["gauss_sigma"], out["converged"] = [p[1]], [p[2]], [done]
     return pd.DataFrame(out)
 
 
 def postfit_gauss(hist: DataFrame) -> DataFrame:
-    """Gaussian fit within mean +- 1.5 RMS; a group is one histogram."""
+    """Gaussian fit within mean +- 1.5 RMS, and whether it converged; a group is one histogram."""
     return hist.groupBy("param").applyInPandas(
-        _gauss_fit, "param string, gauss_mean double, gauss_sigma double"
+        _gauss_fit, "param string, gauss_mean double, gauss_sigma double, converged boolean"
     )
 
 
@@ -217,7 +234,7 @@ def prior_violin(chain: DataFrame, priors: dict[str, tuple[float, float]], seed:
     columns = list(priors)
     ranges = column_ranges(chain, columns)
     draws = chain.select(*[
-        (F.lit(float(m)) + F.randn(seed + i) * float(s)).alias(c)
+        (F.lit(float(m)) + normal(seed + i, *row_keys(chain)) * float(s)).alias(c)
         for i, (c, (m, s)) in enumerate(priors.items())
     ])
     return violin(draws, columns, scale=4.0, ranges=ranges)

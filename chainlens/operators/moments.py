@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainlens.functions.expr import weight_column
+from chainlens.functions.expr import number, weight_column
 
-# Up to this many parameters the pair sums are plain SQL aggregates.
+# Up to this many parameters the pair sums are plain SQL aggregates; both ways give the same sums.
 SQL_PAIRS_LIMIT = 16
 
 
@@ -71,9 +71,18 @@ def _gram_blocks(df: DataFrame, columns, keys) -> DataFrame:
 def gram(chain: DataFrame, columns: Sequence[str], weight: str | None = None,
          keys: Sequence[str] = (), method: str = "auto",
          shift: dict[str, float] | None = None) -> DataFrame:
-    """Weighted sums (keys, i <= j, sw, si, sj, sij) of the shifted columns."""
+    """Weighted sums (keys, i <= j, sw, si, sj, sij) of the shifted columns.
+
+    Rows count that are complete: a row with null or NaN in its weight or in any of the
+    columns is left out of all sums, whatever the method.
+    """
+    w = weight_column(weight).cast("double")
+    complete = w.isNotNull() & ~F.isnan(w)
+    for c in columns:
+        complete = complete & number(c).isNotNull()
+    chain = chain.filter(complete)
     shift = shift or column_means(chain, columns)
-    shifted = chain.select(*keys, weight_column(weight).alias("_w"), *[
+    shifted = chain.select(*keys, w.alias("_w"), *[
         (F.col(c).cast("double") - F.lit(float(shift[c]))).alias(f"x{i}") for i, c in enumerate(columns)])
     if method == "auto":
         method = "sql" if len(columns) <= SQL_PAIRS_LIMIT else "blocks"

@@ -32,15 +32,6 @@ def scan_range(prior: float, error: float, low: float | None, up: float | None,
     return (lo if low is None else max(lo, low)), (hi if up is None else min(hi, up))
 
 
-def _axis(n: int, lo: float, hi: float, ends: bool) -> Column:
-    """Values of one axis: bin centres, or a lattice that includes both ends."""
-    index = F.sequence(F.lit(0), F.lit(n - 1))
-    if ends:
-        return F.transform(index, lambda i: F.lit(lo) + F.lit(hi - lo) * i / F.lit(max(n - 1, 1)))
-    width = (hi - lo) / n
-    return F.transform(index, lambda i: F.lit(lo) + (i + 0.5) * F.lit(width))
-
-
 def scan_grid(spark: SparkSession, axes: Sequence[tuple[str, int, float, float]], ends: bool = False) -> DataFrame:
     """Wide grid (point, <param>...) over (name, n, lo, hi) axes, first parameter fastest.
 
@@ -64,12 +55,14 @@ def scan_grid_1d(spark: SparkSession, ranges: Sequence[tuple[str, int, float, fl
 
     Adds ``scanned``, the name of the moving parameter, and ``x``, its value.
     """
-    starts = np.cumsum([0] + [r[1] for r in ranges])
-    scans = F.array(*[
-        F.struct(F.lit(name).alias("scanned"), F.lit(int(start)).alias("start"), _axis(n, lo, hi, False).alias("xs"))
-        for (name, n, lo, hi), start in zip(ranges, starts)])
-    moved = spark.range(1).select(F.inline(scans)).select("scanned", "start", F.posexplode("xs").alias("i", "x")).select(
-        "scanned", (F.col("start") + F.col("i")).cast("long").alias("point"), "x")
+    starts = [int(x) for x in np.cumsum([0] + [r[1] for r in ranges])]
+    place = F.col("point")
+    name, x = F.lit(None).cast("string"), F.lit(None).cast("double")
+    for (p, n, lo, hi), start in zip(ranges, starts):
+        here = (place >= start) & (place < start + n)
+        name = F.when(here, p).otherwise(name)
+        x = F.when(here, F.lit(float(lo)) + (place - start + 0.5) * F.lit((hi - lo) / n)).otherwise(x)
+    moved = spark.range(starts[-1]).select(F.col("id").alias("point")).select("point", name.alias("scanned"), x.alias("x"))
     values = F.array(*[F.struct(F.lit(p).alias("param"), F.lit(float(v)).alias("nominal")) for p, v in nominal.items()])
     return moved.select("point", "scanned", "x", F.inline(values)).select(
         "point", "scanned", "x", "param",
@@ -88,16 +81,18 @@ def scan_grid_2d(spark: SparkSession, ranges: Sequence[tuple[str, int, float, fl
         for b in ranges[i + 1:]:
             pairs.append((a, b, start))
             start += a[1] * b[1]
-    scans = F.array(*[
-        F.struct(F.lit(a[0]).alias("param_x"), F.lit(b[0]).alias("param_y"), F.lit(first).alias("start"),
-                 F.lit(a[1]).alias("nx"), _axis(*a[1:], False).alias("xs"), _axis(*b[1:], False).alias("ys"))
-        for a, b, first in pairs])
-    rows = spark.range(1).select(F.inline(scans)).select(
-        "param_x", "param_y", "start", "nx", "ys", F.posexplode("xs").alias("i", "x")).select(
-        "param_x", "param_y", "start", "nx", "i", "x", F.posexplode("ys").alias("j", "y"))
-    point = (F.col("start") + F.col("i") + F.col("j") * F.col("nx")).cast("long")
+    place = F.col("point")
+    columns = {"param_x": F.lit(None).cast("string"), "param_y": F.lit(None).cast("string"),
+               "x": F.lit(None).cast("double"), "y": F.lit(None).cast("double")}
+    for (p, n, lo, hi), (q, m, low, high), first in pairs:
+        here = (place >= first) & (place < first + n * m)
+        i, j = (place - first) % n, F.floor((place - first) / n)
+        for c, v in {"param_x": F.lit(p), "param_y": F.lit(q), "x": F.lit(float(lo)) + (i + 0.5) * F.lit((hi - lo) / n),
+                     "y": F.lit(float(low)) + (j + 0.5) * F.lit((high - low) / m)}.items():
+            columns[c] = F.when(here, v).otherwise(columns[c])
+    rows = spark.range(start).select(F.col("id").alias("point")).select("point", *[v.alias(c) for c, v in columns.items()])
     values = F.array(*[F.struct(F.lit(p).alias("param"), F.lit(float(v)).alias("nominal")) for p, v in nominal.items()])
-    return rows.select(point.alias("point"), "param_x", "param_y", "x", "y", F.inline(values)).select(
+    return rows.select("point", "param_x", "param_y", "x", "y", F.inline(values)).select(
         "point", "param_x", "param_y", "x", "y", "param",
         F.when(F.col("param") == F.col("param_x"), F.col("x")).when(
             F.col("param") == F.col("param_y"), F.col("y")).otherwise(F.col("nominal")).alias("value"))
@@ -129,13 +124,15 @@ def sigma_points(spark: SparkSession, params: Sequence[dict], sigmas: Sequence[f
 
 def throw_prior(spark: SparkSession, params: Sequence[dict], cov: np.ndarray, n: int, seed: int = 1,
                 groups: Sequence[str] = (), names: Sequence[str] = (), max_tries: int = 10000) -> DataFrame:
-    """n correlated Gaussian draws (point, <param>...) about the priors.
+    """n correlated Gaussian draws (point, <param>..., n_given_up) about the priors.
 
-    Every draw has its own seeded generator, so results do not depend on the
-    partitioning.  An out-of-bounds parameter is drawn again; circular ones
-    wrap into (low, up); flagged ones flip about a point half of the time.
-    Fixed parameters, and those outside the chosen groups or names, stay.
+    Draws come in blocks of 1024 with a seeded generator each, so results do not depend
+    on the partitioning. An out-of-bounds parameter is drawn again, all rows of a block
+    at once; after ``max_tries`` it is left at its prior and counted in ``n_given_up``.
+    Circular parameters wrap into (low, up); flagged ones flip about a point half of the
+    time. Fixed parameters, and those outside the chosen groups or names, stay.
     """
+    block = 1024
     prior = np.array([p["prior"] for p in params], float)
     lower = np.array([-np.inf if p.get("low") is None else p["low"] for p in params], float)
     upper = np.array([np.inf if p.get("up") is None else p["up"] for p in params], float)
@@ -147,33 +144,39 @@ def throw_prior(spark: SparkSession, params: Sequence[dict], cov: np.ndarray, n:
     flips = [(i, p["flip"]) for i, p in enumerate(params) if p.get("flip") is not None and not stays[i]]
     columns = [p["name"] for p in params]
 
-    def one(draw: int) -> np.ndarray:
-        rng = np.random.default_rng([seed, draw])
-        z = rng.standard_normal(len(prior))
-        value = prior + factor @ z
-        for i in np.flatnonzero(~stays & ((value > upper) | (value < lower))):
+    def drawn(number: int) -> tuple[np.ndarray, np.ndarray]:
+        rng = np.random.default_rng([seed, number])
+        z = rng.standard_normal((block, len(prior)))
+        value = prior + z @ factor.T
+        given_up = np.zeros(block, int)
+        for i in np.flatnonzero(~stays):
+            rows = np.flatnonzero((value[:, i] > upper[i]) | (value[:, i] < lower[i]))
             for _ in range(max_tries):
-                z[i] = rng.standard_normal()
-                value[i] = prior[i] + factor[i] @ z
-                if lower[i] <= value[i] <= upper[i]:
+                if not len(rows):
                     break
-            else:
-                value[i] = prior[i]
+                z[rows, i] = rng.standard_normal(len(rows))
+                value[rows, i] = prior[i] + z[rows] @ factor[i]
+                rows = rows[(value[rows, i] > upper[i]) | (value[rows, i] < lower[i])]
+            value[rows, i] = prior[i]
+            given_up[rows] += 1
         for i, lo, hi in circular:
-            if value[i] > hi or value[i] < lo:
-                value[i] = lo + (value[i] - lo) % (hi - lo)
+            out = (value[:, i] > hi) | (value[:, i] < lo)
+            value[out, i] = lo + (value[out, i] - lo) % (hi - lo)
         for i, centre in flips:
-            if rng.random() < 0.5:
-                value[i] = 2 * centre - value[i]
-        return np.where(stays, prior, value)
+            turned = rng.random(block) < 0.5
+            value[turned, i] = 2 * centre - value[turned, i]
+        return np.where(stays, prior, value), given_up
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            values = np.array([one(int(i)) for i in pdf["id"]]).reshape(len(pdf), len(columns))
-            yield pd.DataFrame({"point": pdf["id"].to_numpy(), **dict(zip(columns, values.T))})
+            for number in pdf["id"]:
+                values, given_up = drawn(int(number))
+                rows = min(block, n - int(number) * block)
+                yield pd.DataFrame({"point": int(number) * block + np.arange(rows), **dict(zip(columns, values[:rows].T)),
+                                    "n_given_up": given_up[:rows]})
 
-    schema = ", ".join(["point long"] + [f"`{c}` double" for c in columns])
-    return spark.range(n).mapInPandas(draw, schema)
+    schema = ", ".join(["point long"] + [f"`{c}` double" for c in columns] + ["n_given_up long"])
+    return spark.range(-(-n // block)).mapInPandas(draw, schema)
 
 
 def apply_tune(params: DataFrame, tunes: DataFrame, name: str) -> DataFrame:
@@ -275,38 +278,56 @@ def signatures(events: DataFrame, keys: Sequence[str] = ("sample_id", "bin"), we
     """Sum of weights and squared weights per bin and list of factors.
 
     The one pass over the events; partial sums are made before the shuffle, and
-    factor names are built for the sums and not for each event.
+    factor names are built for the sums and not for each event. With ``osc``, events
+    outside the probability table are left out, as ``osc_weight_lookup`` does.
     """
     labels = [c for c in (norm_ids, spline_ids) if c] + (["channel", "e_bin", "z_bin"] if osc else [])
     by = list(dict.fromkeys([*keys, *labels]))
     w = F.col(weight)
-    summed = events.filter(w > 0).groupBy(*by).agg(F.sum(w).alias("sw"), F.sum(w * w).alias("sw2"))
+    inside = F.col("e_bin").isNotNull() & F.col("z_bin").isNotNull() if osc else F.lit(True)
+    summed = events.filter((w > 0) & inside).groupBy(*by).agg(F.sum(w).alias("sw"), F.sum(w * w).alias("sw2"))
     return factor_ids(summed, norm_ids, spline_ids, osc).select(*keys, "factors", "sw", "sw2")
 
 
-def pack_factors(factors: DataFrame, chunk: int = POINT_CHUNK) -> DataFrame:
-    """One row per (factor, chunk of points) with the values in point order."""
-    return factors.withColumn("chunk", F.floor(F.col("point") / chunk)).groupBy("factor", "chunk").agg(
-        F.sort_array(F.collect_list(F.struct("point", "f"))).alias("_v")).select(
-        "factor", "chunk", F.col("_v.point").alias("points"), F.col("_v.f").alias("values"))
+def pack_factors(factors: DataFrame, n_points: int, chunk: int = POINT_CHUNK) -> DataFrame:
+    """One row per (factor, chunk of points) with the values in point order.
+
+    A factor that lacks a point of a chunk, or has one twice, is an error.
+    """
+    packed = factors.filter(F.col("point") < n_points).withColumn("chunk", F.floor(F.col("point") / chunk)).groupBy(
+        "factor", "chunk").agg(F.sort_array(F.collect_list(F.struct("point", "f"))).alias("_v"))
+    first = F.col("chunk") * chunk
+    wanted = F.sequence(first, F.least(first + chunk, F.lit(n_points).cast("long")) - 1)
+    checked = F.when(F.col("_v.point") == wanted, F.col("_v.f")).otherwise(F.raise_error(
+        F.concat(F.lit("factor "), F.col("factor"), F.lit(" does not have one value per point"))).cast("array<double>"))
+    return packed.select("factor", "chunk", checked.alias("values"))
 
 
 def list_weights(lists: DataFrame, factors: DataFrame, n_points: int, chunk: int = POINT_CHUNK) -> DataFrame:
     """(factors, points, weights): product of the factors of each distinct list, by chunk of points.
 
-    Each list also holds a unit factor, so that empty lists weigh 1 at every point.
+    Values are placed by point; a factor of a list without values, or without some point,
+    is an error. An empty list weighs 1 at every point.
     """
-    unit = lists.sparkSession.range(n_points).select(
-        F.col("id").alias("point"), F.lit("1").alias("factor"), F.lit(1.0).alias("f"))
-    packed = pack_factors(unit.unionByName(factors.select("point", "factor", "f")), chunk)
-    spread = lists.select("factors", F.explode(F.concat(F.array(F.lit("1")), F.col("factors"))).alias("factor"))
+    last = (n_points - 1) // chunk
+    packed = pack_factors(factors.select("point", "factor", "f"), n_points, chunk)
+    every_chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))
+    spread = lists.filter(F.size("factors") > 0).select("factors", F.explode("factors").alias("factor")).select(
+        "factors", "factor", every_chunk.alias("chunk"))
+    found = join_hot(spread, packed, ["factor", "chunk"], "left")
+    values = F.when(F.col("values").isNull(), F.raise_error(F.concat(
+        F.lit("no values for factor "), F.col("factor"))).cast("array<double>")).otherwise(F.col("values"))
     # A group holds the factors of one list, a handful of short arrays.
     product = F.aggregate(
         F.slice("_lists", 2, F.size("_lists")), F.element_at("_lists", 1),
         lambda total, values: F.zip_with(total, values, lambda a, b: a * b))
-    return spread.join(packed, "factor").groupBy("factors", "chunk").agg(
-        F.first("points").alias("points"), F.collect_list("values").alias("_lists")
-    ).select("factors", "points", product.alias("weights"))
+    weighed = found.groupBy("factors", "chunk").agg(F.collect_list(values).alias("_lists")).select(
+        "factors", "chunk", product.alias("weights"))
+    first = F.col("chunk") * chunk
+    points = F.sequence(first, F.least(first + chunk, F.lit(n_points).cast("long")) - 1)
+    free = lists.filter(F.size("factors") == 0).select("factors", every_chunk.alias("chunk")).select(
+        "factors", "chunk", F.transform(points, lambda _: F.lit(1.0)).alias("weights"))
+    return weighed.unionByName(free).select("factors", points.alias("points"), "weights")
 
 
 def _at_points(joined: DataFrame, kept: Sequence[str]) -> DataFrame:
@@ -365,29 +386,21 @@ def shift_events(events: DataFrame, shifts: dict[str, Callable[[dict[str, Column
 
 def prior_terms(columns: Sequence[str], prior: Sequence[float], inverse: np.ndarray,
                 flat: Sequence[bool] | None = None, use: Sequence[bool] | None = None) -> Column:
-    """Half the quadratic form of (x - prior); flat or unused parameters are left out.
+    """Half the quadratic form of (x - prior), a matrix product per Arrow batch.
 
-    Small matrices become one expression; large ones a batch product.
+    Flat or unused parameters are left out; a row that lacks a value has none.
     """
     p = len(columns)
     kept = [i for i in range(p) if not (flat and flat[i]) and (use is None or use[i])]
     if not kept:
         return F.lit(0.0)
-    if len(kept) <= 16:
-        d = {i: F.col(columns[i]) - F.lit(float(prior[i])) for i in kept}
-        total = F.lit(0.0)
-        for a, i in enumerate(kept):
-            for j in kept[:a + 1]:
-                if inverse[i][j] != 0:
-                    total = total + d[i] * d[j] * F.lit(float(inverse[i][j]) * (0.5 if i == j else 1.0))
-        return total
     centre = np.array([prior[i] for i in kept], float)
     matrix = np.asarray(inverse, float)[np.ix_(kept, kept)]
 
     @F.pandas_udf("double")
     def quadratic(x: pd.Series) -> pd.Series:
         d = np.stack(x.to_numpy()).astype(float) - centre
-        return pd.Series(0.5 * np.einsum("ri,ij,rj->r", d, matrix, d, optimize=True))
+        return pd.Series(0.5 * ((d @ matrix) * d).sum(1))
 
     return quadratic(F.array(*[F.col(columns[i]).cast("double") for i in kept]))
 

@@ -144,15 +144,18 @@ def spline_value(x: Column, clip: bool = True) -> Column:
 def evaluate_splines(splines: DataFrame, points: DataFrame, clip: bool = True) -> DataFrame:
     """Weight of every spline at every point: an equi-join on the parameter.
 
-    The segment search runs once per (point, spline), never per event.
+    All splines of a parameter share its key, so they are spread over the salts of
+    ``join_hot``. The segment search runs once per (point, spline), never per event.
     """
-    joined = points.join(splines, "param").withColumn("segment", spline_segment(F.col("xs"), F.col("value")))
+    joined = join_hot(splines, points, ["param"]).withColumn("segment", spline_segment(F.col("xs"), F.col("value")))
     return joined.select("point", "spline_id", "param", "segment", spline_value(F.col("value"), clip).alias("weight"))
 
 
-def linear_response(a: Column, b: Column, x: Column) -> Column:
-    """Response a x + b of a parameter kept as a straight line."""
-    return a * x + b
+def evaluate_lines(lines: DataFrame, points: DataFrame, clip: bool = True) -> DataFrame:
+    """Weight a x + b of every straight-line response (spline_id, param, a, b) at every point."""
+    value = F.col("a") * F.col("value") + F.col("b")
+    return join_hot(lines, points, ["param"]).select(
+        "point", "spline_id", "param", (F.greatest(value, F.lit(0.0)) if clip else value).alias("weight"))
 
 
 def match_splines(events: DataFrame, splines: DataFrame, axes: Sequence[tuple[str, Sequence[float]]],

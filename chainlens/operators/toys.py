@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from chainlens.functions import llh as stats
 from chainlens.functions.expr import uniform_bin, z_score
 from chainlens.functions.numeric import normal_pvalue
+from chainlens.operators.binning import broadcast_if_small
 from chainlens.session import stored
 
 
@@ -32,13 +33,43 @@ def sample_rates(spectra: DataFrame, stat: str = "poisson") -> DataFrame:
         F.sum("data").alias("data"), F.sum("mc").alias("mc"), F.sum("llh").alias("llh"))
 
 
-def llh_scan(spectra: DataFrame, data: DataFrame, stat: str = "poisson") -> DataFrame:
-    """-2lnL per point and sample, and in total (null sample).
+def every_bin_llh(spectra: DataFrame, data: DataFrame, by: str, stat: str = "poisson", column: str = "data") -> DataFrame:
+    """-lnL (by, sample_id, llh) over all bins of ``data``, filled or not.
 
-    ``data`` (sample_id, bin, data) is bounded by the bins.
+    A bin that a spectrum lacks holds a prediction of 0, and the low-prediction bound
+    applies there. Such terms depend on the data alone: they are summed once per sample
+    and corrected by the bins that are there, so no (spectrum x bin) frame is made. A bin
+    without data has 0. Spectra that are empty in a sample get their row.
     """
-    joined = spectra.join(F.broadcast(data), ["sample_id", "bin"])
-    return binned_llh(joined, stat).groupBy("point", "sample_id").agg((2 * F.sum("llh")).alias("llh"))
+    none = F.lit(0.0)
+    zero = data.select("sample_id", "bin", F.col(column).alias("_data"), stats.bin_llh(
+        stat, F.col(column), none, none).alias("_zero"))
+    base = zero.groupBy("sample_id").agg(F.sum("_zero").alias("_base"))
+    observed = F.coalesce("_data", none)
+    term = stats.bin_llh(stat, observed, F.col("mc"), F.col("w2")) - F.coalesce("_zero", none)
+    there = spectra.select(by, "sample_id", "bin", "mc", "w2").join(
+        broadcast_if_small(zero), ["sample_id", "bin"], "left").groupBy(by, "sample_id").agg(F.sum(term).alias("_there"))
+    samples = [r[0] for r in base.select("sample_id").collect()]  # one row per sample
+    frame = spectra.select(by).distinct().withColumn(
+        "sample_id", F.explode(F.lit(samples).cast(f"array<{dict(data.dtypes)['sample_id']}>")))
+    return frame.join(F.broadcast(base), "sample_id").join(there, [by, "sample_id"], "left").select(
+        by, "sample_id", (F.col("_base") + F.coalesce("_there", none)).alias("llh"))
+
+
+def llh_scan(spectra: DataFrame, data: DataFrame, stat: str = "poisson", systematics: DataFrame | None = None) -> DataFrame:
+    """-2lnL per point and sample, and in total (null sample), over all bins of the data.
+
+    ``systematics`` (point, set, llh) holds the -lnL of systematic sets: they become rows
+    with their ``set`` and count in the total.
+    """
+    rows = every_bin_llh(spectra, data, "point", stat).withColumn("llh", 2 * F.col("llh"))
+    if systematics is not None:
+        none = F.lit(None)
+        sets = systematics.select("point", none.cast(dict(rows.dtypes)["sample_id"]).alias("sample_id"), "set",
+                                  (2 * F.col("llh")).alias("llh"))
+        rows = rows.select("point", "sample_id", none.cast("string").alias("set"), "llh").union(sets)
+    total = rows.groupBy("point").agg(F.sum("llh").alias("llh"))
+    return rows.unionByName(total, allowMissingColumns=True)
 
 
 def llh_map(points: DataFrame, spectra: DataFrame, data: DataFrame, samples: Sequence[int],
@@ -112,28 +143,48 @@ def with_weights(toys: DataFrame, info: DataFrame | None) -> DataFrame:
     return toys.join(info.select("toy", "weight"), "toy")
 
 
-def weighted_moments(df: DataFrame, keys: Sequence[str], values: dict[str, str], weight: str = "weight") -> DataFrame:
-    """Weighted mean and population RMS of columns, summed about each group's plain mean."""
+def total_weight(toys: DataFrame, weight: str = "weight") -> float:
+    """Sum of the weights of all toys, each counted once."""
+    return toys.groupBy("toy").agg(F.first(weight).alias("w")).agg(F.sum("w")).first()[0] or 0.0
+
+
+def weighted_moments(df: DataFrame, keys: Sequence[str], values: dict[str, str], weight: str = "weight",
+                     total: float | None = None) -> DataFrame:
+    """Weighted mean and population RMS of columns, summed about each group's plain mean.
+
+    With ``total``, the weight of a group is that, and what its rows lack of it counts as
+    rows of value 0.
+    """
     base = df.groupBy(*keys).agg(*[F.avg(v).alias(f"_a_{n}") for n, v in values.items()])
     # One row per group, which is a bin of a spectrum; the rows are not shuffled for it.
-    joined = df.join(F.broadcast(base), list(keys))
+    joined = df.join(broadcast_if_small(base), list(keys))
     w = F.col(weight)
     sums = [F.sum(w).alias("_w")]
     for n, v in values.items():
         d = F.col(v) - F.col(f"_a_{n}")
         sums += [F.sum(w * d).alias(f"_s_{n}"), F.sum(w * d * d).alias(f"_q_{n}"), F.first(f"_a_{n}").alias(f"_a_{n}")]
     grouped = joined.groupBy(*keys).agg(*sums)
+    share = F.lit(1.0) if total is None else F.least(F.lit(1.0), F.try_divide("_w", F.lit(float(total))))
     out = []
     for n in values:
         shift = F.try_divide(f"_s_{n}", "_w")
-        out += [(F.col(f"_a_{n}") + shift).alias(f"{n}_mean"),
-                F.sqrt(F.greatest(F.lit(0.0), F.try_divide(f"_q_{n}", "_w") - shift * shift)).alias(f"{n}_rms")]
+        mean = F.col(f"_a_{n}") + shift
+        spread = F.greatest(F.lit(0.0), F.try_divide(f"_q_{n}", "_w") - shift * shift)
+        out += [(share * mean).alias(f"{n}_mean"), F.sqrt(share * (spread + (1 - share) * mean * mean)).alias(f"{n}_rms")]
     return grouped.select(*keys, *out)
 
 
-def predictive_mean(toys: DataFrame, keys: Sequence[str] = ("sample_id", "bin"), weight: str = "weight") -> DataFrame:
-    """Weighted mean and RMS of content and of squared weights per bin over toys."""
-    return weighted_moments(toys, keys, {"mc": "mc", "w2": "w2"}, weight)
+def predictive_mean(toys: DataFrame, keys: Sequence[str] = ("sample_id", "bin"), weight: str = "weight",
+                    bins: DataFrame | None = None) -> DataFrame:
+    """Weighted mean and RMS of content and of squared weights per bin over all toys.
+
+    A toy without events in a bin counts there with 0. With ``bins`` (keys), bins that no
+    toy fills are in the result, too.
+    """
+    out = weighted_moments(toys, keys, {"mc": "mc", "w2": "w2"}, weight, total_weight(toys, weight))
+    if bins is None:
+        return out
+    return bins.select(*keys).distinct().join(out, list(keys), "left").fillna(0.0)
 
 
 def predictive_by_mode(toys: DataFrame, weight: str = "weight") -> DataFrame:
@@ -150,20 +201,35 @@ def apply_beta(predicted: DataFrame, betas: DataFrame, keys: Sequence[str] = ("s
 
 def beta_study(toys: DataFrame, data: DataFrame, stat: str = "barlow_beeston",
                keys: Sequence[str] = ("sample_id", "bin")) -> DataFrame:
-    """Mean and RMS over toys of the scale parameter of each bin."""
-    joined = toys.join(F.broadcast(data), list(keys))  # bins of the data
+    """Mean and RMS over toys of the scale parameter of each bin.
+
+    A toy that predicts nothing in a bin has no scale there.
+    """
+    joined = toys.filter("mc > 0").join(broadcast_if_small(data), list(keys))
     value = stats.beta(F.col("data"), F.col("mc"), F.col("w2"), stat)
     return weighted_moments(joined.withColumn("beta", value), keys, {"beta": "beta"})
 
 
-def toy_violin(toys: DataFrame, keys: Sequence[str] = ("sample_id",), nbins: int = 400) -> DataFrame:
-    """Count of toys per bin and content bin; content runs from 0 to 1.05 x the largest."""
+def toy_violin(toys: DataFrame, keys: Sequence[str] = ("sample_id",), nbins: int = 400,
+               bins: DataFrame | None = None) -> DataFrame:
+    """Count of toys per bin and content bin; content runs from 0 to 1.05 x the largest.
+
+    Toys without events in a bin are in its first content bin. With ``bins`` (keys, bin),
+    bins that no toy fills are there, too, if their sample has any events.
+    """
+    n = toys.select("toy").distinct().count()
     top = toys.groupBy(*keys).agg((F.max("mc") * 1.05).alias("_top"))
-    binned = toys.join(F.broadcast(top), list(keys)).withColumn(  # one row per sample
-        "content_bin", uniform_bin(F.col("mc"), F.lit(0.0), F.col("_top"), nbins))
-    return binned.filter((F.col("content_bin") >= 0) & (F.col("content_bin") < nbins)).groupBy(
-        *keys, "bin", "content_bin", "_top").agg(F.count(F.lit(1)).alias("n_toys")).withColumn(
-        "content", (F.col("content_bin") + 0.5) * F.col("_top") / nbins).drop("_top")
+    content = F.least(uniform_bin(F.col("mc"), F.lit(0.0), F.col("_top"), nbins), F.lit(nbins - 1))
+    counts = toys.join(F.broadcast(top), list(keys)).groupBy(  # one row per sample
+        *keys, "bin", "_top", content.alias("content_bin")).agg(F.count(F.lit(1)).alias("n_toys"))
+    places = (toys if bins is None else toys.select(*keys, "bin").union(bins.select(*keys, "bin"))).select(
+        *keys, "bin").distinct().join(F.broadcast(top), list(keys))
+    seen = counts.groupBy(*keys, "bin", "_top").agg(F.sum("n_toys").alias("_seen"))
+    empty = places.join(seen, [*keys, "bin", "_top"], "left").select(
+        *keys, "bin", "_top", F.lit(0).alias("content_bin"), (F.lit(n) - F.coalesce("_seen", F.lit(0))).alias("n_toys"))
+    every = counts.unionByName(empty).groupBy(*keys, "bin", "_top", "content_bin").agg(
+        F.sum("n_toys").alias("n_toys")).filter("n_toys > 0")
+    return every.withColumn("content", (F.col("content_bin") + 0.5) * F.col("_top") / nbins).drop("_top")
 
 
 def violin_summary(violin: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
@@ -179,23 +245,40 @@ def with_totals(per_toy: DataFrame, values: Sequence[str]) -> DataFrame:
     return twice.groupBy("toy", "sample_id").agg(*[F.sum(v).alias(v) for v in values])
 
 
-def event_rates(toys: DataFrame, data: DataFrame | None = None) -> DataFrame:
-    """Rates per toy, then mean, sigma, fractional error and P(rate >= data).
+def event_rates(toys: DataFrame, data: DataFrame | None = None, weight: str | None = None) -> DataFrame:
+    """Rates per toy, then mean, sigma, fractional error and P(rate >= data) over all toys.
 
-    A null sample is the total of all samples.
+    A null sample is the total of all samples. A toy without events in a sample has rate 0
+    there. ``weight`` names the toys' weight column.
     """
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     rates = with_totals(toys.groupBy("toy", "sample_id").agg(F.sum("mc").alias("rate")), ["rate"])
+    every = toys.groupBy("toy").agg(F.first(w).alias("weight"))
+    rates = rates.join(every, "toy")
+    total = every.agg(F.sum("weight")).first()[0] or 0.0
     if data is None:
         rates = rates.withColumn("data_rate", F.lit(None).cast("double"))
     else:
         # Samples + 1 rows.
         observed = data.rollup("sample_id").agg(F.sum("data").alias("data_rate"))
-        o = observed.withColumnRenamed("sample_id", "_s")
-        rates = rates.join(F.broadcast(o), F.col("sample_id").eqNullSafe(F.col("_s")), "left").drop("_s")
-    summary = rates.groupBy("sample_id").agg(
-        F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("sigma"), F.first("data_rate").alias("data_rate"),
-        F.avg(F.when(F.col("rate") >= F.col("data_rate"), 1.0).otherwise(0.0)).alias("p_value"))
-    return summary.withColumn("frac_error", F.try_divide(100 * F.col("sigma"), F.col("mean")))
+        o = observed.withColumnRenamed("sample_id", "_o")
+        rates = rates.join(F.broadcast(o), F.col("sample_id").eqNullSafe(F.col("_o")), "left").drop("_o")
+    # Toys that are not there have rate 0: their weight is what is missing of the total.
+    grouped = rates.groupBy("sample_id").agg(
+        F.sum("weight").alias("_w"), F.sum(F.col("weight") * F.col("rate")).alias("_s"), F.avg("rate").alias("_a"),
+        F.first("data_rate").alias("data_rate"),
+        F.sum(F.when(F.col("rate") >= F.col("data_rate"), F.col("weight")).otherwise(0.0)).alias("_p"))
+    centred = rates.join(F.broadcast(grouped.select(F.col("sample_id").alias("_g"), (F.col("_s") / F.lit(total)).alias("mean"))),  # samples + 1 rows
+                         F.col("sample_id").eqNullSafe(F.col("_g")))
+    d = F.col("rate") - F.col("mean")
+    spread = centred.groupBy("sample_id").agg(F.first("mean").alias("mean"), F.sum(F.col("weight") * d * d).alias("_q")).withColumnRenamed(
+        "sample_id", "_g")
+    out = grouped.join(F.broadcast(spread), F.col("sample_id").eqNullSafe(F.col("_g")))
+    absent = F.greatest(F.lit(0.0), F.lit(total) - F.col("_w"))
+    sigma = F.sqrt((F.col("_q") + absent * F.col("mean") * F.col("mean")) / F.lit(total))
+    p = (F.col("_p") + F.when(F.col("data_rate") <= 0, absent).otherwise(0.0)) / F.lit(total)
+    out = out.select("sample_id", "mean", sigma.alias("sigma"), "data_rate", p.alias("p_value"))
+    return out.withColumn("frac_error", F.try_divide(100 * F.col("sigma"), F.col("mean")))
 
 
 def rate_significance(rates: DataFrame) -> DataFrame:
@@ -258,25 +341,37 @@ def rate_correlation(toys: DataFrame, by: str = "sample_id", keys: Sequence[str]
 
 
 def deviance(toys: DataFrame, data: DataFrame, stat: str, name: str = "llh", column: str = "data") -> DataFrame:
-    """-2lnL per toy and sample of observed counts against the toy."""
-    joined = toys.join(F.broadcast(data), ["sample_id", "bin"])  # bins of the data
-    return binned_llh(joined, stat, data=column).groupBy("toy", "sample_id").agg((2 * F.sum("llh")).alias(name))
+    """-2lnL per toy and sample of observed counts against the toy, over all bins of the data."""
+    return every_bin_llh(toys, data, "toy", stat, column).select("toy", "sample_id", (2 * F.col("llh")).alias(name))
 
 
 def information_criteria(toys: DataFrame, data: DataFrame, predicted: DataFrame, n_params: int,
                          stat: str = "poisson") -> DataFrame:
     """BIC by events and by bins, DIC and WAIC, with effective parameter numbers.
 
-    ``predicted`` (sample_id, bin, mc_mean, w2_mean) gives the point estimate.
+    ``predicted`` (sample_id, bin, mc_mean, w2_mean) gives the point estimate. All bins of
+    the data count, with a prediction of 0 where a toy or the estimate has none. Means of
+    likelihoods are taken about the largest one of the bin, so they do not underflow.
     """
-    best = data.join(predicted, ["sample_id", "bin"]).withColumn(
-        "_l", stats.bin_llh(stat, F.col("data"), F.col("mc_mean"), F.col("w2_mean")))
+    none = F.lit(0.0)
+    best = data.join(predicted.select("sample_id", "bin", "mc_mean", "w2_mean"), ["sample_id", "bin"], "left").fillna(
+        0.0, ["mc_mean", "w2_mean"]).withColumn("_l", stats.bin_llh(stat, F.col("data"), F.col("mc_mean"), F.col("w2_mean")))
     point = best.agg((2 * F.sum("_l")).alias("d_hat"), F.sum("data").alias("n_data"),
                      F.count(F.lit(1)).alias("n_bins"))
-    joined = binned_llh(toys.join(F.broadcast(data), ["sample_id", "bin"]), stat).withColumn("ll", -F.col("llh"))
-    per_bin = joined.groupBy("sample_id", "bin").agg(
-        F.avg("ll").alias("m"), F.avg(F.col("ll") * F.col("ll")).alias("q"),
-        F.log(F.avg(F.exp("ll"))).alias("lppd"))
+    n_toys = toys.select("toy").distinct().count()
+    keys = ["sample_id", "bin"]
+    empty = data.select(*keys, "data", (-stats.bin_llh(stat, F.col("data"), none, none)).alias("ll0"))
+    joined = binned_llh(toys.join(broadcast_if_small(empty), keys), stat).withColumn("ll", -F.col("llh"))
+    tops = joined.groupBy(*keys).agg(F.max("ll").alias("_max"), F.count(F.lit(1)).alias("_n"))
+    tops = empty.join(tops, keys, "left").withColumn("_absent", F.lit(n_toys) - F.coalesce("_n", F.lit(0))).withColumn(
+        "_top", F.when(F.col("_absent") > 0, F.greatest("ll0", "_max")).otherwise(F.col("_max"))).drop("data", "_n", "_max")
+    sums = joined.drop("ll0").join(broadcast_if_small(tops.select(*keys, "_top")), keys).groupBy(*keys).agg(
+        F.sum("ll").alias("_m"), F.sum(F.col("ll") * F.col("ll")).alias("_q"), F.sum(F.exp(F.col("ll") - F.col("_top"))).alias("_e"))
+    per_bin = tops.join(sums, keys, "left").fillna(0.0, ["_m", "_q", "_e"])
+    n, ll0, absent = F.lit(float(n_toys)), F.col("ll0"), F.col("_absent")
+    per_bin = per_bin.select(
+        ((F.col("_m") + absent * ll0) / n).alias("m"), ((F.col("_q") + absent * ll0 * ll0) / n).alias("q"),
+        (F.col("_top") + F.log((F.col("_e") + F.when(absent > 0, absent * F.exp(ll0 - F.col("_top"))).otherwise(0.0)) / n)).alias("lppd"))
     waic = per_bin.agg(F.sum("lppd").alias("lppd"), F.sum(F.col("q") - F.col("m") * F.col("m")).alias("p_waic"),
                        (-2 * F.sum("m")).alias("d_bar"))
     # Two single rows side by side.
@@ -319,10 +414,11 @@ def fluctuated_deviances(toys: DataFrame, data: DataFrame, predicted: DataFrame,
                          seed: int = 1, standard: bool = True) -> DataFrame:
     """-2lnL per toy and sample of data, a fluctuated toy, and a fluctuated prediction."""
     fluctuate = poisson_fluctuate if standard else multinomial_fluctuate
-    drawn = fluctuate(toys, "mc", "fluct_draw", seed)
-    with_pred = drawn.join(F.broadcast(predicted.select("sample_id", "bin", "mc_mean")), ["sample_id", "bin"])
+    drawn = fluctuate(every_toy_bin(toys, data), "mc", "fluct_draw", seed)
+    keys = ["sample_id", "bin"]
+    with_pred = drawn.join(broadcast_if_small(predicted.select(*keys, "mc_mean")), keys, "left").fillna(0.0, ["mc_mean"])
     both = fluctuate(with_pred, "mc_mean", "fluct_pred", seed + 1)
-    joined = both.join(F.broadcast(data), ["sample_id", "bin"])
+    joined = both.join(broadcast_if_small(data), keys)
 
     def against(column: str):
         return 2 * F.sum(stats.bin_llh(stat, F.col(column), F.col("mc"), F.col("w2")))
@@ -332,6 +428,20 @@ def fluctuated_deviances(toys: DataFrame, data: DataFrame, predicted: DataFrame,
         against("fluct_pred").alias("pred_llh"))
 
 
+def every_toy_bin(toys: DataFrame, bins: DataFrame) -> DataFrame:
+    """Toys with a row for every bin (sample_id, bin), 0 where there were no events.
+
+    A row per toy and bin by nature, for draws in every bin; made in parallel from the
+    toys' numbers and one list of bins.
+    """
+    places = bins.select("sample_id", "bin").distinct().agg(F.collect_list(F.struct("sample_id", "bin")).alias("_b"))
+    listed = toys.select("toy").distinct().withColumn("_1", F.lit(1)).join(
+        F.broadcast(places.withColumn("_1", F.lit(1))), "_1")  # one row: the bins of a model
+    frame = listed.select("toy", F.inline("_b"))
+    return frame.join(toys.select("toy", "sample_id", "bin", "mc", "w2"), ["toy", "sample_id", "bin"], "left").fillna(
+        0.0, ["mc", "w2"])
+
+
 def llh_tail_pvalue(values: DataFrame, column: str, reference: float, keys: Sequence[str] = ()) -> DataFrame:
     """Share of values at or above a reference."""
     return values.groupBy(*keys).agg(
@@ -348,18 +458,21 @@ def hist_tail_pvalue(hist: DataFrame, reference: float, keys: Sequence[str] = ("
 def combine_pvalues(pvalues: DataFrame, keys: Sequence[str] = (), column: str = "p_value") -> DataFrame:
     """Fisher's combination; the chi2 tail with 2n degrees of freedom is a finite sum.
 
-    exp(-t/2) * sum_{i<n} (t/2)^i / i!
+    exp(-t/2) * sum_{i<n} (t/2)^i / i!, added up by logarithms: neither factor underflows.
     """
     p = F.greatest(F.col(column), F.lit(1e-5))
     sums = pvalues.groupBy(*keys).agg((-2 * F.sum(F.log(p))).alias("statistic"), F.count(F.lit(1)).alias("n"))
     half = F.col("statistic") / 2
+    # The logarithm of a term and of the sum so far; a term is the one before times (t/2)/i.
+    larger = lambda a, b: F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
     tail = F.aggregate(
-        F.sequence(F.lit(1), F.col("n").cast("int")),
-        F.struct(F.lit(0.0).alias("total"), F.exp(-half).alias("term")),
-        lambda acc, i: F.struct((acc["total"] + acc["term"]).alias("total"),
-                                (acc["term"] * half / i).alias("term")),
-        lambda acc: acc["total"])
-    return sums.withColumn("combined", tail)
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n").cast("int") - 1)),
+        F.struct((-half).alias("total"), (-half).alias("term")),
+        lambda acc, i: F.struct(larger(acc["total"], acc["term"] + F.log(half / i)).alias("total"),
+                                (acc["term"] + F.log(half / i)).alias("term")),
+        lambda acc: F.exp(acc["total"]))
+    return sums.withColumn("combined", F.when(half == 0, 1.0).when(F.col("n") == 1, F.exp(-half)).otherwise(
+        F.least(F.lit(1.0), tail)))
 
 
 def bonferroni(pvalues: DataFrame, threshold: float = 0.05, keys: Sequence[str] = (), column: str = "p_value") -> DataFrame:

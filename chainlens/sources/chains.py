@@ -58,7 +58,11 @@ def parameter_columns(chain: DataFrame, params: DataFrame | None = None,
 
 
 def read_chain(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """Read one or more chain files; each path is a chain unless it names its own."""
+    """Read one or more chain files; each path is a chain unless it names its own.
+
+    If two files name the same ``chain_id``, they are different chains all the same: all
+    chains are then numbered anew, by file and old number.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     parts = []
     for i, path in enumerate(paths):
@@ -66,6 +70,14 @@ def read_chain(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
         if "chain_id" not in part.columns:
             part = part.withColumn("chain_id", F.lit(i))
         parts.append(part)
+    if len(parts) == 1:
+        return parts[0]
+    named = [sorted(r[0] for r in part.select("chain_id").distinct().collect()) for part in parts]  # one row per chain
+    if len({c for ids in named for c in ids}) < sum(map(len, named)):
+        first = 0
+        for i, (part, ids) in enumerate(zip(parts, named)):
+            place = F.array_position(F.lit(ids), F.col("chain_id")).cast("int") - 1 + first
+            parts[i], first = part.withColumn("chain_id", place), first + len(ids)
     return union_chains(parts)
 
 

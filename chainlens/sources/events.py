@@ -35,9 +35,19 @@ def spectrum_mismatch(data: DataFrame, mc: DataFrame, tolerance: float = 1e-6) -
 
 
 def load_data_spectrum(mc: DataFrame, data: DataFrame, check: bool = True) -> DataFrame:
-    """Attach observed counts to predicted bins; a bin without data has 0."""
-    if check and {"lo", "hi"} <= set(mc.columns) & set(data.columns):
-        if spectrum_mismatch(data, mc).limit(1).count():
+    """Observed counts beside the prediction, for every bin that either side has; 0 where one has none.
+
+    Edges ``lo``, ``hi`` are compared if both sides have them; if only one has, that is an
+    error as well unless ``check`` is off.
+    """
+    edges = [{"lo", "hi"} <= set(df.columns) for df in (mc, data)]
+    if check and any(edges):
+        if not all(edges):
+            raise ValueError("only one of data and prediction has bin edges")
+        # A bin that only one side has is empty on the other, not binned differently.
+        if spectrum_mismatch(data, mc).filter("data_lo is not null and mc_lo is not null").limit(1).count():
             raise ValueError("data and prediction are binned differently")
-    counts = data.select("sample_id", "bin", "data")
-    return mc.join(counts, ["sample_id", "bin"], "left").withColumn("data", F.coalesce("data", F.lit(0.0)))
+    counts = data.select("sample_id", "bin", "data", *[F.col(c).alias(f"_{c}") for c in ("lo", "hi") if all(edges)])
+    filled = [c for c in ("data", "mc", "w2") if c == "data" or c in mc.columns]
+    out = mc.join(counts, ["sample_id", "bin"], "full_outer").fillna(0.0, filled)
+    return out.withColumns({c: F.coalesce(c, f"_{c}") for c in ("lo", "hi")}).drop("_lo", "_hi") if all(edges) else out

@@ -24,7 +24,7 @@ def boxes(spark):
 
 @pytest.mark.parametrize("limit", [0, 200_000])
 def test_boxes_match_a_scan_of_all_boxes(spark, sample, monkeypatch, limit):
-    monkeypatch.setattr(binning, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(binning, "BROADCAST_BYTES", limit)
     got = {r["event_id"]: r["bin"] for r in binning.assign_bin_boxes(sample, boxes(spark), ["x", "y"], grid=5, keep_outside=True).collect()}
     assert len(got) == 3000
     for r in sample.collect():
@@ -65,7 +65,7 @@ def test_hot_key_lookup_is_whole_on_both_ways(spark, monkeypatch):
     small = spark.range(40).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("v"))
     want = sorted(map(tuple, big.join(small, "k", "left").select("id", "k", "v").collect()), key=str)
     for limit in (0, 1000):
-        monkeypatch.setattr(binning, "BROADCAST_ROWS", limit)
+        monkeypatch.setattr(binning, "BROADCAST_BYTES", limit)
         got = sorted(map(tuple, binning.join_hot(big, small, ["k"], "left").select("id", "k", "v").collect()), key=str)
         assert got == want
 

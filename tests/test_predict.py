@@ -118,7 +118,7 @@ CODES = {"modes": "mode", "channels": "channel"}
 
 @pytest.mark.parametrize("limit,chunk", [(200_000, 64), (0, 2)])
 def test_spectra_match_event_by_event_weights(spark, sample, monkeypatch, limit, chunk):
-    monkeypatch.setattr(binning, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(binning, "BROADCAST_BYTES", limit)
     rng = np.random.default_rng(6)
     values = rng.uniform(-0.2, 2, (5, 3))
     wide = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(values)], "point long, a double, o double, b double")

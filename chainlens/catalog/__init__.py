@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chainlens.catalog import chains, comparing, convergence, draws, event_samples, prediction
+from chainlens.catalog import chains, comparing, convergence, draws, event_samples, prediction, shapes
 from chainlens.catalog.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "chains", "comparing", "convergence", "draws", "event_samples", "prediction"]
+__all__ = ["ORACLE", "QUERIES", "chains", "comparing", "convergence", "draws", "event_samples", "prediction", "shapes"]

@@ -385,8 +385,8 @@ def _(spark, path):
     return hist.scale_by_width(li_hist(spark, path), 2.0).select("param", "bin", "density")
 
 
-@add("integrals", f"{HIST} SELECT param, sum(content) AS integral, sum(content * (hi - lo)) AS width_integral FROM hist GROUP BY param",
-     "integral width_integral")
+@add("integrals", f"{HIST} SELECT param, sum(content) AS integral, sum(content * (hi - lo)) AS width_integral, sum(content) AS integral_with_overflow FROM hist GROUP BY param",
+     "integral width_integral integral_with_overflow")
 def _(spark, path):
     return hist.integrals(li_hist(spark, path))
 

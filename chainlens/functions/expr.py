@@ -30,7 +30,28 @@ def linspace(lo: float, hi: float, n: int) -> list[float]:
 
 def logspace(lo: float, hi: float, n: int) -> list[float]:
     """n + 1 edges equally spaced in the logarithm."""
-    return [lo * (hi / lo) ** (i / n) for i in range(n + 1)]
+    return [lo] + [lo * (hi / lo) ** (i / n) for i in range(1, n)] + [hi]
+
+
+def axis_edges(records: Sequence[float | dict]) -> list[float]:
+    """Edges of an axis given by numbers and by records of ranges, in order.
+
+    A range is ``{"linspace": {"nb": n, "low": a, "up": b}}`` or the same with
+    ``logspace``; where it begins at the edge before it, that edge is not repeated.
+    """
+    edges: list[float] = []
+    for record in records:
+        if isinstance(record, dict):
+            (kind, given), = record.items()
+            if kind not in ("linspace", "logspace"):
+                raise ValueError(f"a range is linspace or logspace, not {kind}")
+            new = (linspace if kind == "linspace" else logspace)(float(given["low"]), float(given["up"]), int(given["nb"]))
+        else:
+            new = [float(record)]
+        edges += new[1:] if edges and new[0] == edges[-1] else new
+    if any(b <= a for a, b in zip(edges, edges[1:])):
+        raise ValueError("edges do not rise")
+    return edges
 
 
 def uniform_bin(x: Column, lo, hi, nbins: int) -> Column:
@@ -79,12 +100,6 @@ def edge_bin(x: Column, edges: Sequence[float]) -> Column:
     return F.when((x >= edges[0]) & (x < edges[-1]), search(0, len(edges) - 2))
 
 
-def bin_lo(bin_: Column, lo, hi, nbins: int) -> Column:
-    return F.lit(lo) + bin_ * (F.lit(hi) - F.lit(lo)) / F.lit(nbins)
-
-
-def total(columns: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns) if columns else F.lit(0.0)
 
 
 def product(columns: Sequence[Column]) -> Column:
@@ -112,13 +127,6 @@ def starts_with_any(column: Column, prefixes: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 
-def to_long(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
-            name: str = "param", value: str = "value") -> DataFrame:
-    """Unpivot wide double columns; used after aggregation wherever possible."""
-    return df.select(
-        *keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]
-    ).unpivot(list(keys), list(columns), name, value)
-
 
 # -- labels -----------------------------------------------------------------
 

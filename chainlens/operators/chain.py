@@ -43,11 +43,6 @@ def exclude(params: DataFrame, types: Sequence[str] = (), names: Sequence[str] =
     )
 
 
-def select_parameters(chain: DataFrame, params: DataFrame, keep: Sequence[str] = ("chain_id", "step")) -> DataFrame:
-    """The columns of the listed parameters and the keys; the scan reads only these."""
-    names = {r.branch for r in params.select("branch").collect()}
-    return chain.select(*keep, *[c for c in chain.columns if c in names])
-
 
 def with_entry_index(chain: DataFrame, contiguous: bool = False, block: int = ENTRY_BLOCK,
                      per_chain: dict[str, Column] | None = None) -> DataFrame:

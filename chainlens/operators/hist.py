@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainlens.functions.expr import edge_bin, inner_bin, normal, number, row_keys, weight_column
@@ -253,28 +253,68 @@ def best_fit_2d(hist2d: DataFrame, keys: Sequence[str] = ("param_x", "param_y"))
     return hist2d.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
 
 
-def normalise(hist: DataFrame, keys: Sequence[str] = ("param",)) -> DataFrame:
+def measure(hist: DataFrame) -> Column:
+    """Width of a bin, or area (volume) of a box whose ``lo`` and ``hi`` are arrays."""
+    if not dict(hist.dtypes)["lo"].startswith("array"):
+        return F.col("hi") - F.col("lo")
+    return F.aggregate(F.zip_with("hi", "lo", lambda a, b: a - b), F.lit(1.0), lambda m, w: m * w)
+
+
+def normalise(hist: DataFrame, keys: Sequence[str] = ("param",), by_measure: bool = False) -> DataFrame:
+    """Content over the integral; with ``by_measure``, density over bins or boxes of any size."""
     whole = Window.partitionBy(*keys)
-    return hist.withColumn("density", F.try_divide("content", F.sum("content").over(whole)))
+    if not by_measure:
+        return hist.withColumn("density", F.try_divide("content", F.sum("content").over(whole)))
+    size = measure(hist)
+    total = F.sum(F.col("content") * size).over(whole)
+    return hist.withColumn("density", F.try_divide(F.col("content"), size * total))
 
 
 def scale_by_width(hist: DataFrame, scale: float = 1.0) -> DataFrame:
-    return hist.withColumn("density", F.try_divide(F.col("content"), (F.col("hi") - F.col("lo")) * scale))
+    """Content per unit of width, or of area for boxes."""
+    return hist.withColumn("density", F.try_divide(F.col("content"), measure(hist) * scale))
 
 
 def integrals(hist: DataFrame, keys: Sequence[str] = ("param",)) -> DataFrame:
-    """Integral and width-weighted integral of each histogram."""
+    """Integral with and without overflow, and the one weighted by width or area, of each histogram.
+
+    Rows without edges hold what lies outside the axes.
+    """
+    inside = F.col("lo").isNotNull()
     return hist.groupBy(*keys).agg(
-        F.sum("content").alias("integral"),
-        F.sum(F.col("content") * (F.col("hi") - F.col("lo"))).alias("width_integral"),
+        F.sum(F.when(inside, F.col("content")).otherwise(0.0)).alias("integral"),
+        F.sum(F.when(inside, F.col("content") * measure(hist)).otherwise(0.0)).alias("width_integral"),
+        F.sum("content").alias("integral_with_overflow"),
     )
 
 
 def ratio(top: DataFrame, bottom: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Bin by bin ratio; null where the denominator is 0."""
+    """Bin by bin ratio, null where the denominator is 0, and its error if the numerator has ``err``."""
     below = bottom.select(*keys, F.col("content").alias("below"))
-    return top.join(below, list(keys)).withColumn(
-        "ratio", F.try_divide("content", "below"))
+    out = top.join(below, list(keys)).withColumn("ratio", F.try_divide("content", "below"))
+    if "err" not in top.columns:
+        return out
+    return out.withColumn("ratio_err", F.when(F.col("below") > 0, F.try_divide("err", "below")))
+
+
+def project_axes(spectra: DataFrame, axes: Sequence[dict], keys: Sequence[str] = ("sample_id",),
+                 values: Sequence[str] = ("mc", "w2")) -> DataFrame:
+    """(keys, dim, bin, values): every dimension's projection of spectra over the bins of ``axes``.
+
+    ``axes`` are configuration records (sample_id, dim, edges), the first dimension
+    fastest; keys hold sample_id. Works alike on toys, points, variations and data.
+    """
+    sizes: dict[int, list[int]] = {}
+    for axis in sorted(axes, key=lambda a: (a["sample_id"], a["dim"])):
+        sizes.setdefault(axis["sample_id"], []).append(len(axis["edges"]) - 1)
+    places = F.array().cast("array<struct<dim:int,bin:int>>")
+    for sample, ns in sizes.items():
+        strides = [int(np.prod(ns[:d])) for d in range(len(ns))]
+        here = F.array(*[F.struct(F.lit(d).alias("dim"), (F.floor(F.col("bin") / s) % n).cast("int").alias("bin"))
+                         for d, (n, s) in enumerate(zip(ns, strides))])
+        places = F.when(F.col("sample_id") == sample, here).otherwise(places)
+    return spectra.select(*keys, *values, F.inline(places)).groupBy(*keys, "dim", "bin").agg(*[
+        F.sum(v).alias(v) for v in values])
 
 
 def hist_iqr(hist: DataFrame, keys: Sequence[str] = ("param",)) -> DataFrame:

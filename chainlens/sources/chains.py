@@ -167,6 +167,19 @@ def merge_chains(spark: SparkSession, paths: Sequence[str], out: str,
     return spark.read.parquet(out)
 
 
+def starting_point(chain: DataFrame, params: Sequence[str], config: str | None = None, current: str | None = None) -> DataFrame:
+    """(chain_id, step, LogL, params) of the last entry of each chain, to go on from.
+
+    With both configuration texts, they must agree but for the lines that may differ.
+    """
+    if config is not None and current is not None:
+        texts = chain.sparkSession.createDataFrame([(config, current)], "a string, b string")
+        if not texts.select(normalised_config(F.col("a")) == normalised_config(F.col("b"))).first()[0]:
+            raise ValueError("the configuration of the chain and the current one are different")
+    kept = ["step", *[c for c in ("LogL",) if c in chain.columns], *params]
+    return chain.groupBy("chain_id").agg(F.max_by(F.struct(*kept), "step").alias("_l")).select("chain_id", "_l.*")
+
+
 def write_postfit(postfit: DataFrame, out: str, mode: str = "errorifexists") -> None:
     """Save the table of prior, mean, Gaussian and highest-density values."""
     postfit.write.mode(mode).parquet(out)

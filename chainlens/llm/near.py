@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainlens.llm.batches import bounded
 from chainlens.llm.graph import components
 from chainlens.llm.words import digest, raw_text, shingle_sets, slices
 from chainlens.session import stored
@@ -38,7 +39,7 @@ def signatures(items: DataFrame, signer: Signer, width: int = 5) -> DataFrame:
                     "bands": pa.array([next(rows) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 })
 
-    return items.select("id", "text").mapInArrow(
+    return bounded(items.select("id", "text")).mapInArrow(
         run, f"id {kind}, n_shingles long, key binary, bands array<long>")
 
 
@@ -55,7 +56,7 @@ def full_sets(items: DataFrame, width: int = 5) -> DataFrame:
                     "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
                 })
 
-    return items.select("text").mapInArrow(run, "key binary, shingles array<long>")
+    return bounded(items.select("text")).mapInArrow(run, "key binary, shingles array<long>")
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -76,22 +77,24 @@ def linked_keys(signed: DataFrame, items: DataFrame, percent: int, width: int =
     of the other groups that could be similar by size. So no colliding pair is left out,
     but a bucket of keys that belong together costs one comparison a key.
     """
-    keys = signed.where("key is not null and id is not null").groupBy("key").agg(
-        F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    buckets = keys.select("key", "n", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(
-        F.min("key").alias("lo"), F.max("key").alias("hi"),
-        F.min_by("n", "key").alias("lo_n")).where("lo <> hi").select("bucket", "lo", "lo_n")
-    cand = stored(buckets.join(shared, "bucket"), "buckets")
+    full = signed.where("key is not null and id is not null")
+    buckets = full.select("key", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    # Buckets of more than one key, by a number of the key so that this is a hash aggregate.
+    number = F.xxhash64("key")
+    shared = buckets.groupBy("bucket").agg(F.min(number).alias("lo"), F.max(number).alias("hi")).where("lo <> hi")
+    cand = stored(buckets.join(shared.select("bucket"), "bucket", "left_semi").distinct(), "buckets")
+    wanted = stored(cand.select("key").distinct(), "keys")
+    lowest = cand.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("l")).select(
+        "bucket", F.col("l.key").alias("lo"), F.col("l.n").alias("lo_n"))
 
     def near(m: str, n: str):
         return 100 * F.least(m, n) >= percent * F.greatest(m, n)
 
-    wanted = cand.select("key").distinct().join(keys.select("key", "id"), "key").select("id").distinct()
-    sets = stored(full_sets(items.join(wanted, "id", "left_semi"), width)
-                  .join(cand.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "sets")
+    ids = full.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")).select("id").distinct()
+    sets = stored(full_sets(items.join(ids, "id", "left_semi"), width)
+                  .join(wanted, "key", "left_semi").dropDuplicates(["key"]), "sets")
 
-    first = cand.where((F.col("key") != F.col("lo")) & near("n", "lo_n")).select(
+    first = cand.join(lowest, "bucket").where((F.col("key") != F.col("lo")) & near("n", "lo_n")).select(
         F.col("lo").alias("a"), F.col("key").alias("b")).distinct()
     links = stored(_checked(first, sets, percent), "links")
     # Keys apart from the largest group of their bucket.
@@ -125,8 +128,7 @@ def _apart(cand: DataFrame, label: DataFrame) -> DataFrame:
         F.count("*").alias("size"), F.max(F.struct(F.xxhash64("key").alias("h"), "key", "n")).alias("some"),
         F.min(F.struct("key", "n")).alias("lowest"))
     by_bucket = groups.groupBy("bucket").agg(
-        F.count("*").alias("groups"), F.max(F.struct("size", "root", "some")).alias("large"),
-        F.max(F.struct("size", "root")).alias("_"))
+        F.count("*").alias("groups"), F.max(F.struct("size", "root", "some")).alias("large"))
     by_bucket = by_bucket.where("groups > 1").select(
         "bucket", F.col("large.root").alias("large"), F.col("large.some.key").alias("big"),
         F.col("large.some.n").alias("big_n"))

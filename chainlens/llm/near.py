@@ -14,6 +14,8 @@ from chainlens.llm.graph import components
 from chainlens.llm.words import digest, raw_text, shingle_sets, slices
 from chainlens.session import stored
 
+BITS = 16  # words of 64
+
 Signer = Callable[[list[np.ndarray]], np.ndarray]
 
 
@@ -44,7 +46,11 @@ def signatures(items: DataFrame, signer: Signer, width: int = 5) -> DataFrame:
 
 
 def full_sets(items: DataFrame, width: int = 5) -> DataFrame:
-    """(key, shingles) of items (id, text) that have words."""
+    """(key, shingles, bits) of items (id, text) that have words.
+
+    ``bits`` has, for each of 1024 classes of shingles, whether the set holds an odd
+    number of them: two sets differ in at least as many shingles as bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,9 +60,16 @@ def full_sets(items: DataFrame, width: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "key": pa.array([digest(s) for s in sets], pa.binary()),
                     "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    "bits": pa.array([_parity(s) for s in sets], pa.struct([(f"w{i}", pa.int64()) for i in range(BITS)])),
                 })
 
-    return bounded(items.select("text")).mapInArrow(run, "key binary, shingles array<long>")
+    kind = ", ".join(f"w{i}: long" for i in range(BITS))
+    return bounded(items.select("text")).mapInArrow(run, f"key binary, shingles array<long>, bits struct<{kind}>")
+
+
+def _parity(values: np.ndarray) -> dict[str, int]:
+    odd = np.bincount((values % np.uint64(64 * BITS)).astype(np.int64), minlength=64 * BITS) & 1
+    return {f"w{i}": w for i, w in enumerate(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())}
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -84,33 +97,40 @@ def linked_keys(signed: DataFrame, items: DataFrame, percent: int, width: int =
     shared = buckets.groupBy("bucket").agg(F.min(number).alias("lo"), F.max(number).alias("hi")).where("lo <> hi")
     cand = stored(buckets.join(shared.select("bucket"), "bucket", "left_semi").distinct(), "buckets")
     wanted = stored(cand.select("key").distinct(), "keys")
-    lowest = cand.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("l")).select(
-        "bucket", F.col("l.key").alias("lo"), F.col("l.n").alias("lo_n"))
-
-    def near(m: str, n: str):
-        return 100 * F.least(m, n) >= percent * F.greatest(m, n)
-
     ids = full.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")).select("id").distinct()
     sets = stored(full_sets(items.join(ids, "id", "left_semi"), width)
                   .join(wanted, "key", "left_semi").dropDuplicates(["key"]), "sets")
 
-    first = cand.join(lowest, "bucket").where((F.col("key") != F.col("lo")) & near("n", "lo_n")).select(
-        F.col("lo").alias("a"), F.col("key").alias("b")).distinct()
+    # Shingles that stand in one set only can't be common: what is left bounds every similarity of a key.
+    alone = sets.select(number.alias("k"), F.explode("shingles").alias("s")).groupBy("s").agg(
+        F.count("*").alias("c"), F.min("k").alias("k")).where("c = 1").groupBy("k").agg(F.count("*").alias("alone"))
+    known = sets.select("key", "bits").join(alone, number == F.col("k"), "left")
+    cand = cand.join(known, "key").select(
+        "bucket", "key", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), "bits")
+    cand = stored(cand.where(100 * F.col("m") >= percent * F.col("n")), "buckets")
+    lowest = cand.groupBy("bucket").agg(F.min(F.struct("key", "n", "m", "bits")).alias("lo"))
+
+    def near(a: str, b: str):
+        """Whether two keys can be similar: exact bounds by common shingles and by different ones."""
+        common, total = F.least(f"{a}m", f"{b}m"), F.col(f"{a}n") + F.col(f"{b}n")
+        differ = sum((F.bit_count(F.col(f"{a}bits.w{i}").bitwiseXOR(F.col(f"{b}bits.w{i}"))) for i in range(BITS)), F.lit(0))
+        return (100 * common >= percent * (total - common)) & (100 * (total - differ) >= percent * (total + differ))
+
+    first = cand.join(lowest, "bucket").where((F.col("key") != F.col("lo.key")) & near("", "lo.")).select(
+        F.col("lo.key").alias("a"), F.col("key").alias("b")).distinct()
     links = stored(_checked(first, sets, percent), "links")
     # Keys apart from the largest group of their bucket.
     apart = stored(_apart(cand, components(links)), "apart")
-    second = apart.where(near("n", "big_n")).select("big", "key").union(
-        apart.where((F.col("key") != F.col("least")) & near("n", "least_n")).select("least", "key"))
-    second = second.select(F.least("big", "key").alias("a"), F.greatest("big", "key").alias("b")).distinct()
+    second = apart.where(near("", "big.")).select("big.key", F.col("key").alias("other")).union(
+        apart.where((F.col("key") != F.col("least.key")) & near("", "least.")).select("least.key", "key"))
+    second = second.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
     more = stored(links.union(_checked(second, sets, percent)), "links")
 
     label = components(more)
-    apart = _apart(cand, label).select("bucket", "key", "n", "root")
-    member = _labelled(cand, label).select(
-        "bucket", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    last = apart.join(member, "bucket").where(
-        (F.col("root") != F.col("root2")) & near("n", "n2")).select(
-        F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+    apart = _apart(cand, label).select("bucket", "key", "n", "m", "bits", "root")
+    member = _labelled(cand, label).select("bucket", F.struct("key", "n", "m", "bits", "root").alias("by"))
+    last = apart.join(member, "bucket").where((F.col("root") != F.col("by.root")) & near("", "by.")).select(
+        F.least("key", "by.key").alias("a"), F.greatest("key", "by.key").alias("b")).distinct()
     last = last.join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
     found = stored(more.union(_checked(last, sets, percent)), "links")
     return components(found).select(F.col("id").alias("key"), "root")
@@ -125,15 +145,11 @@ def _apart(cand: DataFrame, label: DataFrame) -> DataFrame:
     """Keys outside the largest group of their bucket, with a member of that and the least of these."""
     rows = _labelled(cand, label)
     groups = rows.groupBy("bucket", "root").agg(
-        F.count("*").alias("size"), F.max(F.struct(F.xxhash64("key").alias("h"), "key", "n")).alias("some"),
-        F.min(F.struct("key", "n")).alias("lowest"))
-    by_bucket = groups.groupBy("bucket").agg(
-        F.count("*").alias("groups"), F.max(F.struct("size", "root", "some")).alias("large"))
-    by_bucket = by_bucket.where("groups > 1").select(
-        "bucket", F.col("large.root").alias("large"), F.col("large.some.key").alias("big"),
-        F.col("large.some.n").alias("big_n"))
-    lowest = groups.join(by_bucket.select("bucket", "large"), "bucket").where("root <> large").groupBy("bucket").agg(
-        F.min("lowest").alias("lowest")).select(
-        "bucket", F.col("lowest.key").alias("least"), F.col("lowest.n").alias("least_n"))
-    return rows.join(by_bucket, "bucket").where("root <> large").join(lowest, "bucket").select(
-        "bucket", "key", "n", "root", "big", "big_n", "least", "least_n")
+        F.count("*").alias("size"), F.max(F.struct(F.xxhash64("key").alias("h"), "key", "n", "m", "bits")).alias("some"),
+        F.min(F.struct("key", "n", "m", "bits")).alias("lowest"))
+    large = groups.groupBy("bucket").agg(
+        F.count("*").alias("groups"), F.max(F.struct("size", "root", "some")).alias("large")).where("groups > 1").select(
+        "bucket", F.col("large.root").alias("large"), F.col("large.some").alias("big"))
+    least = groups.join(large, "bucket").where("root <> large").groupBy("bucket").agg(F.min("lowest").alias("least"))
+    return rows.join(large, "bucket").where("root <> large").join(least, "bucket").select(
+        "bucket", "key", "n", "m", "bits", "root", "big", "least")

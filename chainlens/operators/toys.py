@@ -289,33 +289,36 @@ def rate_significance(rates: DataFrame) -> DataFrame:
 
 def rate_correlation(toys: DataFrame, by: str = "sample_id", keys: Sequence[str] = (),
                      value: str = "mc") -> DataFrame:
-    """Correlation over toys of the integrals of samples, modes or bins.
+    """Correlation over toys of the integrals of samples, modes or bins; absent rates are 0.
 
-    Rates of a toy become one short vector; each task sums its vectors to one
-    matrix, so pairs are shuffled per task and not per toy.  What reaches the
-    driver is one mean per sample, mode or bin.
+    Rates of a toy become one short vector; each task sums its vectors to one matrix over
+    the labels it meets, so pairs are shuffled per task and not per toy, and no label
+    reaches the driver. A matrix has the labels of one group squared.
     """
     keys = list(keys)
     rates = toys.groupBy("toy", *keys, by).agg(F.sum(value).alias("r"))
-    n_toys = toys.select("toy").distinct().count()
-    labels: dict[tuple, dict] = {}
-    for row in rates.groupBy(*keys, by).agg(F.sum("r").alias("s")).collect():
-        labels.setdefault(tuple(row[k] for k in keys), {})[row[by]] = row["s"] / n_toys
+    n = float(toys.select("toy").distinct().count())
     packed = rates.groupBy("toy", *keys).agg(
         F.collect_list(by).alias("names"), F.collect_list("r").alias("rates"))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        labels: dict[tuple, dict] = {}
         sums: dict[tuple, np.ndarray] = {}
         for pdf in batches:
             groups = pdf.groupby(keys, sort=False) if keys else [((), pdf)]
             for key, part in groups:
                 key = tuple(k.item() if hasattr(k, "item") else k for k in key)
-                place = {name: i for i, name in enumerate(labels[key])}
+                place = labels.setdefault(key, {})
+                for names in part["names"]:
+                    for name in names:
+                        place.setdefault(name, len(place))
                 x = np.zeros((len(part), len(place)))
                 for r, (names, values) in enumerate(zip(part["names"], part["rates"])):
-                    x[r, [place[n] for n in names]] = values
-                x -= np.array(list(labels[key].values()))
-                sums[key] = sums.get(key, 0.0) + x.T @ x
+                    x[r, [place[name] for name in names]] = values
+                total = np.zeros((len(place), len(place)))
+                if key in sums:
+                    total[:len(sums[key]), :len(sums[key])] = sums[key]
+                sums[key] = total + x.T @ x
         for key, m in sums.items():
             i, j = np.triu_indices(len(m))
             names = np.array(list(labels[key]), dtype=object)
@@ -328,6 +331,14 @@ def rate_correlation(toys: DataFrame, by: str = "sample_id", keys: Sequence[str]
     types = dict(toys.dtypes)
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"i {types[by]}, j {types[by]}, s double"])
     sums = packed.mapInPandas(partial, schema).groupBy(*keys, "i", "j").agg(F.sum("s").alias("s"))
+    # Labels that no task saw together have a sum of 0; the frame is the result's size by definition.
+    listed = rates.groupBy(*keys).agg(F.sort_array(F.collect_set(by)).alias("_l")).withColumn("i", F.explode("_l"))
+    frame = listed.withColumn("j", F.explode(F.filter("_l", lambda x: x >= F.col("i")))).drop("_l")
+    sums = frame.join(sums, [*keys, "i", "j"], "left").fillna(0.0, ["s"])
+    means = broadcast_if_small(rates.groupBy(*keys, by).agg((F.sum("r") / n).alias("m")))
+    for side in "ij":
+        sums = sums.join(means.select(*keys, F.col(by).alias(side), F.col("m").alias(f"_m{side}")), [*keys, side])
+    sums = sums.withColumn("s", F.col("s") - n * F.col("_mi") * F.col("_mj"))
     # A window partition is one row or column of a matrix.
     own = F.when(F.col("i") == F.col("j"), F.col("s"))
     scaled = sums.withColumn("_vi", F.max(own).over(Window.partitionBy(*keys, "i"))).withColumn(

@@ -25,6 +25,7 @@ def local_session(cores: int | str = "8", memory: str = "12g") -> SparkSession:
 
 
 _local_folder: list[str] = []
+_written: list[str] = []
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -46,5 +47,16 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     the loss of executors, and have sizes the planner knows.
     """
     path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def forget_stored(spark: SparkSession) -> int:
+    """Delete the tables that ``stored`` wrote in this process, once no result reads them; their number."""
+    for path in _written:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    n = len(_written)
+    _written.clear()
+    return n

@@ -146,7 +146,7 @@ def merge_chains(spark: SparkSession, paths: Sequence[str], out: str,
     """Concatenate chain files after comparing their configuration.
 
     ``configs`` is (path, config); ``integrals`` is (path, hist, integral).
-    Empty files are skipped.  ``force`` merges in spite of a difference and
+    Empty files add no rows.  ``force`` merges in spite of a difference and
     overwrites the output.
     """
     if not force:
@@ -157,8 +157,6 @@ def merge_chains(spark: SparkSession, paths: Sequence[str], out: str,
     parts = []
     for i, path in enumerate(paths):
         part = spark.read.parquet(path)
-        if part.isEmpty():
-            continue
         if "chain_id" not in part.columns:
             part = part.withColumn("chain_id", F.lit(i))
         parts.append(part)

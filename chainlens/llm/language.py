@@ -27,13 +27,13 @@ def normal(text: str) -> str:
 
 
 def learned_pieces(docs: DataFrame, pieces: int = PIECES, chars: int = PIECE_CHARS) -> dict[str, bytes]:
-    """Dictionary content by language, from documents (doc_id, text, lang).
+    """Dictionary content by language, from documents (text, lang).
 
-    A fixed number of pieces a language: documents are dealt by a hash into ``pieces``
-    bins, and of each bin the document of smallest hash gives ``chars`` characters from a
-    place that the hash names. So the driver gets ``pieces * chars`` characters a language.
+    A fixed number of pieces a language: texts are dealt by their hash into ``pieces``
+    bins, and of each bin the text of smallest hash (one of 200 characters or more, if
+    there is any) gives ``chars`` characters from a place that the hash names. So the driver gets ``pieces * chars`` characters a language.
     """
-    h = F.xxhash64("doc_id", "text")
+    h = F.xxhash64("text")
     size = F.char_length("text")
     at = F.pmod(F.shiftright(h, 20), F.greatest(F.lit(1), size - chars)).cast("int") + 1
     rows = docs.where("lang is not null and text is not null").select(

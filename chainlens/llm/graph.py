@@ -24,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(
             F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = now.join(least, now["v"] == least["k"]).select("u", F.col("m").alias("v")).where("u <> v").distinct()
+        large = now.join(least, now["v"] == least["k"]).select("u", F.col("m").alias("v")).where("u <> v")
         # Small star: smaller neighbours and the node go to the smallest one.
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(

@@ -85,10 +85,10 @@ def linked_keys(signed: DataFrame, items: DataFrame, percent: int, width: int =
     """(key, root) of set keys that are linked with another key, by exact Jaccard similarity.
 
     ``signed`` is a written result of :func:`signatures`. Equal sets are one key. In a
-    bucket every key is held against one leader first; keys outside the bucket's largest
-    group against another member; what is still apart is then held against all members
-    of the other groups that could be similar by size. So no colliding pair is left out,
-    but a bucket of keys that belong together costs one comparison a key.
+    bucket every key is held against two leaders first. Keys outside the bucket's largest
+    group are then held against all members of the other groups. Before sets are
+    compared, exact bounds of the overlap leave out pairs that can't be similar. So no
+    colliding pair is left out, but keys that belong together cost one comparison each.
     """
     full = signed.where("key is not null and id is not null")
     buckets = full.select("key", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
@@ -108,7 +108,8 @@ def linked_keys(signed: DataFrame, items: DataFrame, percent: int, width: int =
     cand = cand.join(known, "key").select(
         "bucket", "key", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), "bits")
     cand = stored(cand.where(100 * F.col("m") >= percent * F.col("n")), "buckets")
-    lowest = cand.groupBy("bucket").agg(F.min(F.struct("key", "n", "m", "bits")).alias("lo"))
+    leader = F.struct("key", "n", "m", "bits")
+    leaders = cand.groupBy("bucket").agg(F.min(leader).alias("lo"), F.max(leader).alias("hi")).where("lo.key <> hi.key")
 
     def near(a: str, b: str):
         """Whether two keys can be similar: exact bounds by common shingles and by different ones."""
@@ -116,40 +117,34 @@ def linked_keys(signed: DataFrame, items: DataFrame, percent: int, width: int =
         differ = sum((F.bit_count(F.col(f"{a}bits.w{i}").bitwiseXOR(F.col(f"{b}bits.w{i}"))) for i in range(BITS)), F.lit(0))
         return (100 * common >= percent * (total - common)) & (100 * (total - differ) >= percent * (total + differ))
 
-    first = cand.join(lowest, "bucket").where((F.col("key") != F.col("lo.key")) & near("", "lo.")).select(
-        F.col("lo.key").alias("a"), F.col("key").alias("b")).distinct()
+    first = cand.join(leaders, "bucket").select("key", "n", "m", "bits", F.explode(F.array("lo", "hi")).alias("by"))
+    first = first.where((F.col("key") != F.col("by.key")) & near("", "by.")).select(
+        F.least("key", "by.key").alias("a"), F.greatest("key", "by.key").alias("b")).distinct()
     links = stored(_checked(first, sets, percent), "links")
-    # Keys apart from the largest group of their bucket.
-    apart = stored(_apart(cand, components(links)), "apart")
-    second = apart.where(near("", "big.")).select("big.key", F.col("key").alias("other")).union(
-        apart.where((F.col("key") != F.col("least.key")) & near("", "least.")).select("least.key", "key"))
-    second = second.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-    more = stored(links.union(_checked(second, sets, percent)), "links")
-
-    label = components(more)
-    apart = _apart(cand, label).select("bucket", "key", "n", "m", "bits", "root")
-    member = _labelled(cand, label).select("bucket", F.struct("key", "n", "m", "bits", "root").alias("by"))
-    last = apart.join(member, "bucket").where((F.col("root") != F.col("by.root")) & near("", "by.")).select(
+    rows = stored(cand.join(_hubs(links), "key", "left").withColumn("hub", F.coalesce("hub", "key")), "buckets")
+    # Keys outside the largest hub of their bucket, against all members of other hubs.
+    sizes = rows.groupBy("bucket", "hub").agg(F.count("*").alias("size"))
+    large = sizes.groupBy("bucket").agg(F.count("*").alias("hubs"), F.max(F.struct("size", "hub")).alias("large")).where(
+        "hubs > 1").select("bucket", F.col("large.hub").alias("large"))
+    mixed_ = rows.join(large, "bucket")
+    member = mixed_.select("bucket", F.struct("key", "n", "m", "bits", "hub").alias("by"))
+    last = mixed_.where("hub <> large").join(member, "bucket").where((F.col("hub") != F.col("by.hub")) & near("", "by.")).select(
         F.least("key", "by.key").alias("a"), F.greatest("key", "by.key").alias("b")).distinct()
-    last = last.join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
-    found = stored(more.union(_checked(last, sets, percent)), "links")
+    found = links.union(_checked(last, sets, percent))
     return components(found).select(F.col("id").alias("key"), "root")
 
 
-def _labelled(cand: DataFrame, label: DataFrame) -> DataFrame:
-    return cand.join(label.withColumnRenamed("id", "key"), "key", "left").withColumn(
-        "root", F.coalesce("root", "key"))
-
+def _hubs(links: DataFrame, steps: int = 4) -> DataFrame:
+    """(key, hub) of linked keys: the smallest key within ``steps`` links.
 
-def _apart(cand: DataFrame, label: DataFrame) -> DataFrame:
-    """Keys outside the largest group of their bucket, with a member of that and the least of these."""
-    rows = _labelled(cand, label)
-    groups = rows.groupBy("bucket", "root").agg(
-        F.count("*").alias("size"), F.max(F.struct(F.xxhash64("key").alias("h"), "key", "n", "m", "bits")).alias("some"),
-        F.min(F.struct("key", "n", "m", "bits")).alias("lowest"))
-    large = groups.groupBy("bucket").agg(
-        F.count("*").alias("groups"), F.max(F.struct("size", "root", "some")).alias("large")).where("groups > 1").select(
-        "bucket", F.col("large.root").alias("large"), F.col("large.some").alias("big"))
-    least = groups.join(large, "bucket").where("root <> large").groupBy("bucket").agg(F.min("lowest").alias("least"))
-    return rows.join(large, "bucket").where("root <> large").join(least, "bucket").select(
-        "bucket", "key", "n", "m", "bits", "root", "big", "least")
+    Keys of one hub are in one component; a component may have several hubs, which costs
+    comparisons but loses none.
+    """
+    ends = links.select(F.explode(F.array(
+        F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")),
+        F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), F.col("b").alias("b")))).alias("e"))
+    near_ = ends.select(F.col("e.a").alias("key"), F.col("e.b").alias("to"))
+    hubs = near_.groupBy("key").agg(F.min("to").alias("hub"))
+    for _ in range(steps - 1):
+        hubs = near_.join(hubs.withColumnRenamed("key", "to"), "to").groupBy("key").agg(F.min("hub").alias("hub"))
+    return hubs

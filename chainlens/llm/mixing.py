@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from chainlens.session import stored
 
 BLOCKS, SHARDS, LIMIT, SEED = 512, 64, 3, 7
+PART_WORDS = 2_000_000  # of a shard that one task shuffles, about
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -134,6 +135,11 @@ def allocate(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, limit:
     repeated count each. Result columns replace columns of these names. An empty
     table gives an empty result.
     """
+    return _allocated(docs, blocks, shards, limit, seed)[0]
+
+
+def _allocated(docs: DataFrame, blocks: int, shards: int, limit: int, seed: int) -> tuple[DataFrame, int]:
+    """:func:`allocate`, and the number of words of all documents, which is that of the mix."""
     slim = stored(_sized(docs.select("doc_id", "text", "source"), blocks, seed).select(
         "source", "_size", "_row", "_block"), "sizes")
     plan = stored(block_plan(slim, blocks, shards, limit, seed), "plan").withColumnsRenamed(
@@ -150,23 +156,30 @@ def allocate(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, limit:
     ours = ("size", "source_size", "target", "taken", "copies")
     rows = rows.withColumn("copies", copies).select(
         "doc", F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"), "copies")
-    return rows.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c not in ours], *ours)
+    rows = rows.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c not in ours], *ours)
+    return rows, slim.agg(F.sum("_size")).first()[0] or 0
 
 
 def mix(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, limit: int = LIMIT,
-        seed: int = SEED) -> DataFrame:
+        seed: int = SEED, part_words: int = PART_WORDS) -> DataFrame:
     """The mixture: one row per copy taken, dealt to ``shard`` and shuffled inside it.
 
-    Adds copy, shard and words to the documents' columns; ``text`` of a copy that is
-    taken in part ends with its last taken word. Edge cases as in :func:`allocate`.
+    Adds copy, shard, part and words to the documents' columns; ``text`` of a copy that is
+    taken in part ends with its last taken word. A shard of more than ``part_words`` words
+    is shuffled in parts, to which its rows are dealt by a hash, so that a task's size does
+    not grow with the corpus. Edge cases as in :func:`allocate`.
     """
-    ours = ("copy", "shard", "words")
-    rows = allocate(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("doc")), blocks, shards, limit, seed)
+    ours = ("copy", "shard", "part", "words")
+    rows, total = _allocated(
+        docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("doc")), blocks, shards, limit, seed)
+    parts = max(1, -(-total // (shards * part_words)))
     rows = rows.select("doc_id", "text", "size", "doc", F.explode("copies").alias("c")).select("*", "c.*")
-    parts = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     text = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(
-        F.array_join(F.slice(parts, F.lit(1), F.col("words").cast("int")), ""))
-    rows = rows.withColumn("text", text).repartition(shards, "shard").sortWithinPartitions(
-        "shard", _draw(seed, "doc_id", "copy", "text"))
+        F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), ""))
+    place = _draw(seed + 1, "doc_id", "copy", "text")
+    rows = rows.withColumn("part", F.pmod(place, F.lit(parts)).cast("int")).withColumn("text", text)
+    rows = rows.repartition(shards * parts, "shard", "part").sortWithinPartitions(
+        "shard", "part", _draw(seed, "doc_id", "copy", "text"))
     return rows.select(*[F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns if c not in ours],
                        *ours)

@@ -90,8 +90,35 @@ def op10_skip_chain_pii(spark: SparkSession, path: str) -> DataFrame:
     return crf.find(docs, crf.fitted(crf.observations(docs))).drop("text")
 
 
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _components_sql(items: str, percent: int) -> str:
+    """CTEs from ``items`` (id, text) to ``sets`` (id, n) and ``roots`` (id, root), by all common shingles."""
+    return rf"""{items}, words AS (SELECT id, list_filter(regexp_split_to_array({_LOWER.format('text')}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM items),
+ full_sets AS (SELECT id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')]
+   ELSE list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) END AS s FROM words),
+ sets AS (SELECT id, len(s) AS n FROM full_sets), each AS (SELECT id, unnest(s) AS x FROM full_sets),
+ common AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM each a JOIN each b ON a.x = b.x AND a.id < b.id GROUP BY ALL),
+ links AS (SELECT a, b FROM common JOIN sets p ON p.id = a JOIN sets q ON q.id = b WHERE 100 * c >= {percent} * (p.n + q.n - c)),
+ ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+ reached(id, root) AS (SELECT id, id FROM items UNION SELECT ends.b, reached.root FROM reached JOIN ends ON ends.a = reached.id WHERE reached.root < ends.b),
+ roots AS (SELECT id, min(root) AS root FROM reached GROUP BY id)"""
+
+
+OP8_SQL = f"""WITH RECURSIVE {_components_sql('items AS (SELECT doc_id AS id, text FROM documents)', 85)}
+ SELECT id AS doc_id, n AS n_shingles, root AS component_id, id = root AS kept FROM sets JOIN roots USING (id)"""
+
+OP9_SQL = f"""WITH RECURSIVE lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
+ long_lines AS (SELECT row_number() OVER (ORDER BY doc_id, line) AS id, doc_id, CAST(line AS INTEGER) AS line, text FROM lines
+   WHERE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) >= 50), {_components_sql('items AS (SELECT id, text FROM long_lines)', 80)},
+ g AS (SELECT root, count(*) AS n_paragraphs FROM roots GROUP BY root)
+ SELECT l.doc_id, l.line, n AS n_shingles, f.doc_id AS first_doc_id, f.line AS first_line, n_paragraphs, l.id <> f.id AS removed
+ FROM roots JOIN g USING (root) JOIN long_lines l ON l.id = roots.id JOIN long_lines f ON f.id = root JOIN sets ON sets.id = l.id WHERE n_paragraphs > 1"""
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_importance_resampling, op2_decontaminate, op3_mix_sources, op4_tiff_pages, op5_warc_derivatives,
     op6_format_chats, op7_compression_language, op8_circulant_minhash, op9_repeated_paragraphs,
     op10_skip_chain_pii)}
-ORACLE: dict[str, str] = {"op6_format_chats": OP6_SQL}
+ORACLE: dict[str, str] = {"op6_format_chats": OP6_SQL, "op8_circulant_minhash": OP8_SQL, "op9_repeated_paragraphs": OP9_SQL}

@@ -360,7 +360,7 @@ def _(spark, path):
 
 @add("prior_violin")
 def _(spark, path):
-    return hist.prior_violin(ev_chain(spark, path), {"root": (8.0, 3.0), "k": (50.0, 25.0)})
+    return hist.prior_violin(ev_chain(spark, path), {"val": (50.0, 20.0), "root": (8.0, 3.0), "k": (50.0, 25.0)})
 
 
 @add("mode_bin", f"""{HIST} SELECT param, bin, lo, hi, content FROM (SELECT *, row_number() OVER (PARTITION BY param

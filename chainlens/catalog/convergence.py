@@ -58,7 +58,7 @@ def _(spark, path):
     return ops.batch_variance_test(ops.batched_means(ev_chain(spark, path), EV, NB, contiguous=True), NB, True)
 
 
-LAGS = 150
+LAGS = 1000
 ACF = f"""WITH {EV1}, c AS (SELECT step, {', '.join(f'{p} - avg({p}) OVER () AS {p}' for p in EV)} FROM ch),
  s AS (SELECT CAST(l.range AS INTEGER) AS lag, {', '.join(f'sum(a.{p} * b.{p}) AS {p}' for p in EV)}
  FROM c a, range({LAGS}) l, c b WHERE b.step = a.step + l.range GROUP BY 1),
@@ -103,14 +103,14 @@ def _(spark, path):
 
 
 @add("power_spectrum", f"""WITH {EV1}, z AS (SELECT count(*) - count(*) % 2 AS n, least(10000, count(*)) // 2 AS half FROM ch),
- f AS (SELECT j.range AS j, sum(root * cos(2 * pi() * ((j.range * step) % n) / n)) AS re_a, sum(root * sin(2 * pi() * ((j.range * step) % n) / n)) AS im_a,
- sum(k * cos(2 * pi() * ((j.range * step) % n) / n)) AS re_b, sum(k * sin(2 * pi() * ((j.range * step) % n) / n)) AS im_b
- FROM ch, z, range(5000) j WHERE step < n AND j.range < half GROUP BY 1),
- p AS (SELECT 'root' AS param, j, (re_a * re_a + im_a * im_a) / n AS power FROM f, z UNION ALL SELECT 'k', j, (re_b * re_b + im_b * im_b) / n FROM f, z),
+ t AS (SELECT j.range AS j, n, cos(2 * pi() * ((j.range * step) % n) / n) AS c, sin(2 * pi() * ((j.range * step) % n) / n) AS s, val, root, k
+   FROM ch, z, range(5000) j WHERE step < n AND j.range < half),
+ f AS (SELECT j, {', '.join(f'sum({p} * c) AS {p}_re, sum({p} * s) AS {p}_im' for p in EV)} FROM t GROUP BY 1),
+ p AS ({' UNION ALL '.join(f"SELECT '{p}' AS param, j, ({p}_re * {p}_re + {p}_im * {p}_im) / n AS power FROM f, z" for p in EV)}),
  both_sides AS (SELECT param, j, power FROM p WHERE j < (SELECT half FROM z) - 1 OR j = 0 UNION ALL SELECT param, -j, power FROM p WHERE j > 0)
  SELECT 0 AS chain_id, param, CAST(j AS INTEGER) AS j, 2 * pi() * j / (SELECT n FROM z) AS k, power FROM both_sides""", "k power", digits=7)
 def _(spark, path):
-    return ops.power_spectrum(ev_chain(spark, path), ["root", "k"], block=4096)
+    return ops.power_spectrum(ev_chain(spark, path), EV, block=4096)
 
 
 @add("power_spectrum_fit")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainlens.functions.expr import edge_bin, inner_bin, is_equal_width
+from chainlens.session import stored
 
 # A side is broadcast only after its rows and their bytes were counted.
 BROADCAST_BYTES = 32 << 20
@@ -111,6 +113,12 @@ def assign_bin_uniform(events: DataFrame, axes: Sequence[dict]) -> DataFrame:
     )
 
 
+def fine_grid(boxes: DataFrame, dims: int, most: int = 32) -> int:
+    """Cells per dimension that leave about one box in a cell: two per box along a side, ``most`` at most."""
+    n = boxes.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    return max(2, min(most, math.ceil(2 * n ** (1 / dims))))
+
+
 def _cells(boxes: DataFrame, dims: int, grid: int):
     """Extent and cell width per sample and dimension, as columns of the boxes."""
     extent = boxes.groupBy("sample_id").agg(*[
@@ -139,15 +147,17 @@ def box_cells(boxes: DataFrame, dims: int, grid: int = 32) -> DataFrame:
 
 
 def assign_bin_boxes(events: DataFrame, boxes: DataFrame, variables: Sequence[str],
-                     grid: int = 32, keep_outside: bool = False) -> DataFrame:
+                     grid: int | None = None, keep_outside: bool = False) -> DataFrame:
     """Add ``bin``: the first box with lo < x <= hi on every axis.
 
     An event meets one coarse cell by an equi-join and is tested only against
-    the boxes of that cell, so no event is duplicated.
+    the boxes of that cell, so no event is duplicated. The cells are written once; their
+    number follows the number of boxes unless ``grid`` gives it per dimension.
     """
     dims = len(variables)
+    grid = grid or fine_grid(boxes, dims)
     extent, cell = _cells(boxes, dims, grid)
-    cells = box_cells(boxes, dims, grid)
+    cells = stored(box_cells(boxes, dims, grid), "cells")
     keyed = events.join(F.broadcast(extent), "sample_id", "left")  # one row per sample
     for d, v in enumerate(variables):
         keyed = keyed.withColumn(f"_c{d}", cell(F.col(v), d))
@@ -187,13 +197,16 @@ def overlapping_bins(boxes: DataFrame, dims: int, grid: int = 32) -> DataFrame:
 def gap_points(boxes: DataFrame, dims: int, points: int = 100, grid: int = 32) -> DataFrame:
     """Midpoints of a regular grid over a sample's extent that no box covers."""
     extent, _ = _cells(boxes, dims, grid)
-    mesh = extent
+    samples = [r.asDict() for r in extent.collect()]  # one row per sample
+    # Points are numbered, so that they are made in parallel and not from one row per sample.
+    mesh = boxes.sparkSession.range(points ** dims).withColumn("_e", F.explode(F.array(*[
+        F.struct(F.lit(e["sample_id"]).cast(dict(boxes.dtypes)["sample_id"]).alias("sample_id"), *[
+            F.lit(float(e[f"_{m}{d}"])).alias(f"_{m}{d}") for d in range(dims) for m in ("min", "max")]) for e in samples]))).select(
+        "id", "_e.*")
     names = []
     for d in range(dims):
-        width = (F.col(f"_max{d}") - F.col(f"_min{d}")) / points
-        mesh = mesh.withColumn(f"_i{d}", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(
-            f"x{d}", 0.5 * ((F.col(f"_min{d}") + F.col(f"_i{d}") * width)
-                            + (F.col(f"_min{d}") + (F.col(f"_i{d}") + 1) * width)))
+        i, width = F.floor(F.col("id") / points ** d) % points, (F.col(f"_max{d}") - F.col(f"_min{d}")) / points
+        mesh = mesh.withColumn(f"x{d}", 0.5 * ((F.col(f"_min{d}") + i * width) + (F.col(f"_min{d}") + (i + 1) * width)))
         names.append(f"x{d}")
     mesh = mesh.select("sample_id", *names)
     return assign_bin_boxes(mesh, boxes, names, grid, keep_outside=True).filter("bin is null").drop("bin")

@@ -310,7 +310,8 @@ def list_weights(lists: DataFrame, factors: DataFrame, n_points: int, chunk: int
     is an error. An empty list weighs 1 at every point.
     """
     last = (n_points - 1) // chunk
-    packed = pack_factors(factors.select("point", "factor", "f"), n_points, chunk)
+    # Written once: it is measured and joined.
+    packed = stored(pack_factors(factors.select("point", "factor", "f"), n_points, chunk), "factors")
     every_chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))
     spread = lists.filter(F.size("factors") > 0).select("factors", F.explode("factors").alias("factor")).select(
         "factors", "factor", every_chunk.alias("chunk"))
@@ -369,6 +370,9 @@ def shift_events(events: DataFrame, shifts: dict[str, Callable[[dict[str, Column
                  points: DataFrame) -> DataFrame:
     """Events at every point with kinematic values moved by functional parameters.
 
+    One row per event and point by definition; spectra at points whose factors do not move
+    events come cheaper from ``predict_spectra``.
+
     ``points`` is wide (point, <param>...) with point = 0..n-1.  ``shifts`` maps
     a variable to a function of the columns, nominal kinematics and parameters
     of the point alike; every function sees nominal values.

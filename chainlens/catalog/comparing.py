@@ -178,6 +178,12 @@ def _(spark, path):
     return ops.jarlskog_posterior(osc_chain(spark, path), OSC, "Weight")
 
 
+@add("jarlskog_outside", f"""WITH {ORDERINGS} SELECT ordering, phase_prior, sum(CASE WHEN J < -0.01::DOUBLE THEN w0 ELSE 0.0 END) AS below, sum(CASE WHEN J >= 0.01::DOUBLE THEN w0 ELSE 0.0 END) AS above
+ FROM jw GROUP BY ALL""", "below above", digits=7)
+def _(spark, path):
+    return ops.jarlskog_outside(osc_chain(spark, path), OSC, "Weight", 0.01)
+
+
 @add("jarlskog_intervals", f"""{JHIST}, kept AS (SELECT * FROM (SELECT *, coalesce(sum(content) OVER (PARTITION BY ordering, phase_prior
  ORDER BY content DESC, bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(content) OVER (PARTITION BY ordering, phase_prior) AS total
  FROM hist WHERE content > 0), (VALUES (0.99), (0.90), (0.68)) t(level) WHERE before / total < level)

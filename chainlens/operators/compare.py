@@ -95,6 +95,14 @@ def jarlskog_posterior_2d(chain: DataFrame, columns: dict[str, str], weight: str
                              keys=("ordering", "phase_prior"))
 
 
+def jarlskog_outside(chain: DataFrame, columns: dict[str, str], weight: str | None = None, limit: float = 0.05) -> DataFrame:
+    """Weights of J below and above the histograms' axis, per ordering and phase prior."""
+    labelled = with_orderings(with_jarlskog(chain, columns, weight), columns)
+    at = lambda test: F.sum(F.when(test, F.col("_jw")).otherwise(0.0))
+    return labelled.groupBy("ordering", "phase_prior").agg(
+        at(F.col("J") < -limit).alias("below"), at(F.col("J") >= limit).alias("above"))
+
+
 def with_jarlskog(chain: DataFrame, columns: dict[str, str], weight: str | None) -> DataFrame:
     w = F.col(weight) if weight else F.lit(1.0)
     value = jarlskog(*[F.col(columns[c]) for c in ("sin2_12", "sin2_23", "sin2_13", "delta")])

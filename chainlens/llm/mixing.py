@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from chainlens.session import stored
 
 BLOCKS, SHARDS, LIMIT, SEED = 512, 64, 3, 7
-PART_WORDS = 2_000_000  # of a shard that one task shuffles, about
+PART_WORDS = 16_000_000  # of a shard that one task shuffles: about 100 MB
 WORD = r"[^\x20\x09-\x0D]+"
 
 

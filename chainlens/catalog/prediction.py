@@ -547,7 +547,7 @@ def _(spark, path):
     return toys.toy_violin(toy_table(spark, path), bins=model_bins(spark))
 
 
-@add("violin_summary", f"{VIOLIN}, w AS (SELECT *, n_toys AS weight FROM v) {moments_sql('sample_id, bin', 'content=content', 'w')}", "content_mean content_rms", digits=10)
+@add("violin_summary", f"{VIOLIN}, w AS (SELECT *, n_toys AS weight FROM v) {moments_sql('sample_id, bin', 'content=content', 'w')}", "content_mean content_rms", digits=7)
 def _(spark, path):
     return toys.violin_summary(toys.toy_violin(toy_table(spark, path), bins=model_bins(spark)))
 

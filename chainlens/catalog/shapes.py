@@ -34,7 +34,7 @@ def _(spark, path):
 
 
 @add("integrals_boxes", f"{BOXES} SELECT sample_id, sum(content) FILTER (bin IS NOT NULL) AS integral, sum(content * area) AS width_integral, sum(content) AS integral_with_overflow FROM h GROUP BY 1",
-     "integral width_integral integral_with_overflow")
+     "integral width_integral integral_with_overflow", digits=12)
 def _(spark, path):
     h = box_hist(spark, path).select("sample_id", "bin", "lo", "hi", "content")
     everything = event_sample(spark, path).groupBy("sample_id").agg(F.sum("w0").alias("all"))
@@ -85,7 +85,7 @@ def _(spark, path):
 
 
 @add("sigma_variations_by_channel", f"WITH {SIGMA_SQL.split('sp AS (')[0].replace('sample_id, mode,', 'sample_id, channel,')}"
-     " sp AS (SELECT scanned, sigma, sample_id, channel, bin, sum(w) AS mc, sum(w * w) AS w2 FROM sw WHERE w > 0 GROUP BY ALL) SELECT * FROM sp", "sigma mc w2", digits=11)
+     " sp AS (SELECT scanned, sigma, sample_id, channel, bin, sum(w) AS mc, sum(w * w) AS w2 FROM sw WHERE w > 0 GROUP BY ALL) SELECT * FROM sp", "sigma mc w2", digits=12)
 def _(spark, path):
     matched = events.match_norms(binned_sample(spark, path), NORMS, None, {"modes": "mode", "channels": "channel"})
     keys = ("sample_id", "channel", "bin")

@@ -264,8 +264,8 @@ def spectra(spark, path):
     return ops.fill_spectra(binned_sample(spark, path), bins=model_bins(spark))
 
 
-def data_spectrum(spark, path):
-    counted = binned_sample(spark, path).groupBy("sample_id", "bin").agg(F.count(F.lit(1)).cast("double").alias("data"))
+def data_spectrum(spark, path, binned=None):
+    counted = (binned or binned_sample(spark, path)).groupBy("sample_id", "bin").agg(F.count(F.lit(1)).cast("double").alias("data"))
     return model_bins(spark).join(counted, ["sample_id", "bin"], "left").fillna(0.0)
 
 

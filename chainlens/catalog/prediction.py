@@ -66,11 +66,11 @@ SPLINE_SQL = f"""{SAMPLE_SQL}, kn AS (SELECT sample_id, channel, mode, CASE WHEN
  kt AS (SELECT kn.*, kx AS x, least(greatest(1 + kx * t * 8 - kx * kx * u * 2, 0.6), 1.6) AS y FROM kn, (VALUES {KNOT_ROWS}) k(kx))"""
 
 
-def knots(spark, path):
+def knots(spark, path, binned=None):
     """Responses per (sample, channel, mode, coarse bin), with slopes taken from the events."""
     x = F.col("x")
     first = x < 20.5
-    keyed = event_sample(spark, path).filter((x >= 0.5) & (x < 50.5)).withColumn("b1", F.when(first, 0).otherwise(1))
+    keyed = (binned or event_sample(spark, path)).filter((x >= 0.5) & (x < 50.5)).withColumn("b1", F.when(first, 0).otherwise(1))
     number = (F.col("sample_id") * 1000 + (F.ascii("mode") - 65) * 20 + F.when(F.col("channel") == "F", 0).otherwise(10) + F.col("b1"))
     keys = ["sample_id", "channel", "mode", "b1"]
     stats = keyed.groupBy(*keys, number.alias("spline_id")).agg(F.avg("tax").alias("t"), (F.avg("w0") - 0.9).alias("u"))
@@ -81,8 +81,8 @@ def knots(spark, path):
 KEYS = ("spline_id", "sample_id", "channel", "mode", "b1")
 
 
-def built(spark, path, method="linear"):
-    packed = splines.pack_knots(knots(spark, path), KEYS, 0.6, 1.6)
+def built(spark, path, method="linear", binned=None):
+    packed = splines.pack_knots(knots(spark, path, binned), KEYS, 0.6, 1.6)
     return stored(splines.build_splines(packed, method, KEYS).withColumn("param", F.lit("shape")), "splines")
 
 
@@ -183,9 +183,9 @@ def _(spark, path):
 SPLINE_AXES = [("x", [0.5, 20.5, 50.5])]
 
 
-def labelled(spark, path, responses=None):
+def labelled(spark, path, responses=None, binned=None):
     """Binned events with their norms and splines."""
-    matched = events.match_norms(binned_sample(spark, path), NORMS, None, {"modes": "mode", "channels": "channel"})
+    matched = events.match_norms(binned or binned_sample(spark, path), NORMS, None, {"modes": "mode", "channels": "channel"})
     table_ = (responses or built(spark, path)).select(*KEYS)
     return splines.match_splines(matched, table_, SPLINE_AXES)
 
@@ -213,9 +213,11 @@ WEIGHTED = f"""{SPLINE_SQL}, {POINT_SQL}, {VALUE_SQL}, {EV_ID}, wt AS (SELECT pt
  dat AS (SELECT sample_id, {X_BIN_SQL} AS bin, count(*)::DOUBLE AS data FROM es GROUP BY ALL)"""
 
 
-def predicted(spark, path):
-    responses = built(spark, path)
-    summed = stored(predict.signatures(labelled(spark, path, responses), spline_ids="spline_ids"), "signatures")
+def predicted(spark, path, binned=None):
+    """Spectra at the points; the events are joined and binned once for knots, signatures and data."""
+    binned = binned or stored(binned_sample(spark, path), "events")
+    responses = built(spark, path, binned=binned)
+    summed = stored(predict.signatures(labelled(spark, path, responses, binned), spline_ids="spline_ids"), "signatures")
     return predict.predict_spectra(summed, factors(spark, responses), len(POINTS))
 
 
@@ -285,7 +287,8 @@ def _(spark, path):
 @add("llh_scan", f"""WITH {WEIGHTED} SELECT point, pr.sample_id, 2 * sum({poisson_sql()}) AS llh FROM pr JOIN dat ON pr.sample_id = dat.sample_id AND pr.bin = dat.bin
  GROUP BY point, ROLLUP (pr.sample_id)""", "llh", digits=7)
 def _(spark, path):
-    return toys.llh_scan(predicted(spark, path), data_spectrum(spark, path))
+    binned = stored(binned_sample(spark, path), "events")
+    return toys.llh_scan(predicted(spark, path, binned), data_spectrum(spark, path, binned))
 
 
 @add("llh_scan_empty_bins", f"""{HALVES}, pt AS (SELECT * FROM (VALUES (0, 1.0::DOUBLE), (1, 1.25::DOUBLE), (2, 0.5::DOUBLE)) t(point, f)),
@@ -309,8 +312,9 @@ SHAPE_PRIOR = "0.5 * (shape / CAST(1.0 AS DOUBLE)) * (shape / CAST(1.0 AS DOUBLE
  2 * 0.5 * sh * sh AS "shape_LLH", a + b + c + 2 * 0.5 * sh * sh AS "Total_LLH" FROM p JOIN pt USING (point)""",
      'norm_a norm_n norm_o shape "sample_0_LLH" "sample_1_LLH" "sample_2_LLH" "Sample_LLH" "shape_LLH" "Total_LLH"', digits=7)
 def _(spark, path):
+    binned = stored(binned_sample(spark, path), "events")
     at = predict.prior_llh(wide_points(spark), ["shape"], [0.0], np.eye(1), name="shape_prior")
-    return toys.llh_map(at, predicted(spark, path), data_spectrum(spark, path), [0, 1, 2],
+    return toys.llh_map(at, predicted(spark, path, binned), data_spectrum(spark, path, binned), [0, 1, 2],
                         systematics={"shape": "shape_prior"}).drop("shape_prior")
 
 

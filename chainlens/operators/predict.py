@@ -402,11 +402,11 @@ def prior_terms(columns: Sequence[str], prior: Sequence[float], inverse: np.ndar
     matrix = np.asarray(inverse, float)[np.ix_(kept, kept)]
 
     @F.pandas_udf("double")
-    def quadratic(x: pd.Series) -> pd.Series:
-        d = np.stack(x.to_numpy()).astype(float) - centre
-        return pd.Series(0.5 * ((d @ matrix) * d).sum(1))
+    def quadratic(*x: pd.Series) -> pd.Series:
+        d = np.column_stack([c.to_numpy(dtype=float) for c in x]) - centre
+        return pd.Series(((0.5 * d @ matrix) * d).sum(1))
 
-    return quadratic(F.array(*[F.col(columns[i]).cast("double") for i in kept]))
+    return quadratic(*[F.col(columns[i]).cast("double") for i in kept])
 
 
 def penalty_term(chain: DataFrame, columns: Sequence[str], prior: Sequence[float], cov: np.ndarray,

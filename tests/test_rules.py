@@ -214,3 +214,13 @@ def test_starting_points(spark):
     assert got == {0: (3, 8.0, 0.3), 1: (2, 7.0, 0.2)}
     with pytest.raises(ValueError):
         chains.starting_point(table, ["x"], "a: 1", "a: 2")
+
+
+def test_stored_tables_can_be_forgotten(spark):
+    from pathlib import Path
+
+    from chainlens.session import checkpoint_folder, forget_stored, stored
+    table = stored(spark.range(5), "once")
+    assert table.count() == 5 and list(Path(checkpoint_folder(spark).removeprefix("file://")).glob("once-*"))
+    assert forget_stored(spark) > 0
+    assert not list(Path(checkpoint_folder(spark).removeprefix("file://")).glob("once-*"))

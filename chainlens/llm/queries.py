@@ -22,7 +22,8 @@ def op1_importance_resampling(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, path: str) -> DataFrame:
-    return spaced.overlaps(_read(spark, path, "documents"), _read(spark, path, "benchmark")).select(
+    return spaced.overlaps(_read(spark, path, "documents"), _read(spark, path, "benchmark"),
+                           tolerant_from=spaced.LEAST_TOKENS).select(
         "doc_id", "item_id", "n_tokens", "n_matched")
 
 

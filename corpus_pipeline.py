@@ -24,7 +24,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
-    return spaced.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return spaced.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), tolerant_from=spaced.LEAST_TOKENS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import random
 import re
+from itertools import combinations
 
 from chainlens.llm import spaced
 
@@ -63,3 +65,47 @@ def test_odd_tables(spark, docs, no_docs, clashing):
     assert spaced.overlaps(docs, none).count() == 0 and spaced.clean(docs, none).count() == docs.count()
     out = spaced.clean(clashing, bench)
     assert out.columns == clashing.columns and out.count() == clashing.count() - 1
+
+
+def test_substitutions_anywhere_are_found(spark):
+    """Every pattern of a fifth of the tokens for items of 5 to 14 tokens; beyond, as many drawn patterns."""
+    rng, bench, rows, k = random.Random(5), [], [], 0
+    for n in range(5, 32):
+        words = [f"i{n}w{j}" for j in range(n)]
+        bench.append((n, " ".join(words)))
+        every = list(combinations(range(n), n // 5))
+        for gone in every if n < 15 else [rng.sample(range(n), n // 5) for _ in range(150)]:
+            new = [f"x{k}y{j}" if j in gone else w for j, w in enumerate(words)]
+            rows.append((100 * k + n, f"before {k} {' '.join(new)} behind {k}"))
+            k += 1
+        new = [f"x{n}y{j}" if j <= n // 5 else w for j, w in enumerate(words)]
+        rows.append((100 * k + 99, " ".join(new)))  # one more than a fifth
+        k += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    found = spaced.overlaps(docs, items, tolerant_from=spaced.LEAST_TOKENS).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == sorted((d, d % 100) for d, _ in rows if d % 100 != 99)
+
+
+def test_no_pattern_of_substitutions_hits_every_seed():
+    """For each length, the least number of substitutions after which no mask fits, over all patterns."""
+    for n in range(spaced.LEAST_TOKENS, 61):
+        masks = [m for m in spaced.MASKS if len(m) <= n] + [m for m, a, b in spaced.LIGHT_MASKS if a <= n < b]
+        states = {0: 0}  # last nine tokens, substituted ones as 1, and the fewest substitutions so far
+        for end in range(1, n + 1):
+            after = {}
+            for state, count in states.items():
+                for new in (0, 1):
+                    window = state << 1 | new
+                    if all(len(m) > end or window & int(m, 2) for m in masks):
+                        after[window & 511] = min(after.get(window & 511, n), count + new)
+            states = after
+        assert min(states.values()) > n // 5
+
+
+def test_scripts_without_spaces(spark):
+    item = "\u6625\u7720\u4e0d\u89ba\u6653\u8655\u8655\u805e\u557c\u9ce5"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"abc{item}def"), (2, item[:4] + "\u4e00" + item[5:]), (3, item[:7])], "doc_id long, text string")
+    got = spaced.overlaps(docs, bench, tolerant_from=spaced.LEAST_TOKENS).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_matched) for r in got) == [(1, 10, 10), (2, 10, 9)]

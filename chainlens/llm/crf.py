@@ -24,6 +24,7 @@ from chainlens.llm.batches import bounded
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
 CERTAIN, ROUNDS, DAMPING = 0.95, 30, 0.5
+TAIL, MOST_DIGITS = 7, 21  # last digits that make numbers similar; of a card or phone with a trunk prefix
 
 # Patterns of the kinds; possessive digits and look-behinds keep the same matches in linear time.
 _LOCAL_BACK = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -96,11 +97,48 @@ def _key(token: str) -> str:
     return token.lower()
 
 
+def _number(token: str) -> str:
+    """The digits of a token without letters and @, else nothing."""
+    return "" if "@" in token or any(c.isalpha() for c in token) else "".join(_DIGITS.findall(token))
+
+
+def _grouped(text: str, free: list[tuple[int, int, int]], numbers: dict[str, int]) -> tuple[list[tuple[int, int, int]], dict[int, int]]:
+    """Free tokens, where runs of digit groups that repeat a number or its end are one node; shapes of repeats by start.
+
+    ``numbers`` has the digits of base spans and their shapes. Groups may lack the
+    number's first digits, or have zeros before. Of each last group the longest run
+    counts. A repeat has the shape of what it repeats, however it is written.
+    """
+    tails = {n[k:]: shape for n, shape in numbers.items() for k in range(len(n) - TAIL + 1)}
+    shapes: dict[int, int] = {}
+    if not tails:
+        return free, shapes
+    digits = [_number(text[s:e]) for s, e, _ in free]
+    out, i = [], len(free) - 1
+    while i >= 0:
+        seen, first, k, shape = "", i, i, None
+        while digits[k] and len(seen) + len(digits[k]) <= MOST_DIGITS:
+            seen = digits[k] + seen
+            like = tails.get(seen, tails.get(seen.lstrip("0")))
+            if like is not None:
+                first, shape = k, like
+            if k == 0 or free[k][0] - free[k - 1][1] > 2:
+                break
+            k -= 1
+        out.append((free[first][0], free[i][1], -1))
+        if shape is not None:
+            shapes[free[first][0]] = shape
+        i = first - 1
+    return out[::-1], shapes
+
+
 def nodes(text: str, base: list[tuple[str, int, int]]) -> dict[str, np.ndarray] | None:
     """Tokens of a text: start, end, shape, label (-1: not in a base span) and edges.
 
     A base span is one node, so that a number written in groups equals one written
-    without; other tokens that it does not touch are nodes of their own.
+    without; other tokens that it does not touch are nodes of their own, or in groups if
+    they repeat a card or phone. Skip edges join equal keys, and numbers with the same
+    last seven digits.
     """
     spans, free = [], []
     for kind, s, e in base:
@@ -116,29 +154,38 @@ def nodes(text: str, base: list[tuple[str, int, int]]) -> dict[str, np.ndarray]
             k += 1
         if k == len(spans) or spans[k][0] >= s + len(token):
             free.append((s, s + len(token), -1))
+    numbers = {_number(text[s:e]): _shape(text[s:e]) for s, e, kind in spans if LABELS[kind] in ("card", "phone")}
+    free, shapes = _grouped(text, free, numbers)
     every = sorted(spans + free)
     if not every:
         return None
     start, end, label = (np.array(x) for x in zip(*every))
     keys = [_key(text[s:e]) for s, e, _ in every]
-    shape = np.array([_shape(text[s:e]) for s, e, _ in every])
+    ends = [n[-TAIL:] if len(n) >= TAIL else "" for n in (_number(text[s:e]) for s, e, _ in every)]
+    shape = np.array([shapes[s] if s in shapes else _shape(text[s:e]) for s, e, _ in every])
     chain = np.flatnonzero(start[1:] - end[:-1] <= 2)
     last: dict[str, int] = {}
+    alike: dict[str, int] = {}
     skips = []
-    for i, key in enumerate(keys):  # each to the one before: as many edges as nodes at most
+    for i, (key, tail) in enumerate(zip(keys, ends)):  # each to the ones before: two edges a node at most
         if len(key) >= 4:
             if key in last:
                 skips.append((last[key], i))
+            if tail and tail in alike and alike[tail] != last.get(key):
+                skips.append((alike[tail], i))
             last[key] = i
+            if tail:
+                alike[tail] = i
     return {"start": start, "end": end, "label": label, "shape": shape, "chain": np.stack([chain, chain + 1], 1),
-            "skip": np.array(skips, np.int64).reshape(-1, 2), "keys": np.array(keys, object)}
+            "skip": np.array(skips, np.int64).reshape(-1, 2), "keys": np.array(keys, object),
+            "ends": np.array(ends, object)}
 
 
 def observations(docs: DataFrame) -> DataFrame:
     """(shape, label, before, behind, same, n): counts of tokens by their label and their neighbours'.
 
-    Over all documents; a free token that repeats one of a base span has no known label
-    and is left out. At most 96 x 5 x 6 x 6 x 6 rows, summed in each task first.
+    Over all documents; a free token that repeats one of a base span, or its last digits, has
+    no known label and is left out. At most 96 x 5 x 6 x 6 x 6 rows, summed in each task first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +200,8 @@ def observations(docs: DataFrame) -> DataFrame:
                     continue
                 label = np.maximum(g["label"], 0)
                 known = {k for k, y in zip(g["keys"], g["label"]) if y > 0}
-                usable = [y > 0 or k not in known for k, y in zip(g["keys"], g["label"])]
+                known |= {t for t, y in zip(g["ends"], g["label"]) if y > 0 and t}
+                usable = [y > 0 or not (k in known or t in known) for k, t, y in zip(g["keys"], g["ends"], g["label"])]
                 sides = np.full((3, len(label)), 5)  # 5: no such neighbour
                 sides[0][g["chain"][:, 1]] = label[g["chain"][:, 0]]
                 sides[1][g["chain"][:, 0]] = label[g["chain"][:, 1]]
@@ -233,8 +281,8 @@ def marginals(g: dict[str, np.ndarray], w: dict[str, np.ndarray]) -> np.ndarray:
 def added_spans(text: str, base: list[tuple[str, int, int]], w: dict[str, np.ndarray],
                 certain: float = CERTAIN) -> list[tuple[str, int, int]]:
     """Free tokens that the field labels, with at least the probability ``certain``."""
-    if not base:
-        return []  # nothing is observed that a label could come from
+    if not _MARK.search(text):
+        return []
     g = nodes(text, base)
     if g is None or not (g["label"] < 0).any():
         return []
@@ -298,7 +346,8 @@ def redact(docs: DataFrame, weights: dict[str, np.ndarray], certain: float = CER
             for t in batch.column("text"):
                 text = t.as_py()
                 base = base_spans(text or "")
-                texts.append(redacted(text, [*base, *added_spans(text, base, weights, certain)]) if base else text)
+                spans = [*base, *added_spans(text or "", base, weights, certain)]
+                texts.append(redacted(text, spans) if spans else text)
             at = names.index("text")
             columns = [*batch.columns[:at], pa.array(texts, batch.schema.field("text").type), *batch.columns[at + 1:]]
             yield pa.RecordBatch.from_arrays(columns, names)

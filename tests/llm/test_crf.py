@@ -108,3 +108,27 @@ def test_odd_tables(no_docs, docs, clashing):
     out = crf.find(clashing, weights)
     assert out.where("key = 'own key'").count() == docs.count() and "own spans" not in {r.spans for r in out.collect()}
     assert crf.redact(clashing, weights).columns == clashing.columns
+
+
+def test_grouped_and_shortened_repeats(table):
+    weights = crf.fitted(crf.observations(table))
+    repeats = ["49 30 1234567", "49 30 123 45 67", "030 1234567", "0049 30 123-4567", "30 123 4567", "(030) 1234567", "301234567"]
+    for repeat in repeats:
+        text = f"call +49 30 1234567 or later {repeat} in room 12"
+        found = [text[s:e] for _, s, e in crf.added_spans(text, crf.base_spans(text), weights)]
+        assert found == [repeat.strip("(")]
+        assert crf.redacted(text, [*crf.base_spans(text), *crf.added_spans(text, crf.base_spans(text), weights)]).count("[PHONE]") == 2
+    text = "+49 30 1234567, rooms 12 49 30 1234567 30 1234567 7 and 49 30 7654321"
+    g = crf.nodes(text, crf.base_spans(text))
+    assert [text[s:e] for s, e in zip(g["start"], g["end"])] == [
+        "+49 30 1234567", "12", "49 30 1234567", "30 1234567", "7", "49", "30", "7654321"]
+    assert g["skip"].tolist() == [[0, 2], [2, 3]]
+
+
+def test_documents_without_base_spans_have_a_field(spark):
+    weights = {k: np.zeros((96 if k == "shape" else 5, 5)) for k in ("shape", "chain", "skip")}
+    weights["shape"][crf._shape("15550109999"), 4] = 9.0
+    docs = spark.createDataFrame([(1, "call 15550109999 now"), (2, "room 12"), (3, None)], "doc_id long, text string")
+    assert not crf.base_spans("call 15550109999 now")
+    assert {r.doc_id: r.spans for r in crf.find(docs, weights).collect()} == {1: "phone:5:16", 2: "", 3: ""}
+    assert {r.doc_id: r.text for r in crf.redact(docs, weights).collect()} == {1: "call [PHONE] now", 2: "room 12", 3: None}

@@ -91,6 +91,26 @@ def _(spark, path):
     return ops.average_autocorrelation(_acf(spark, path))
 
 
+# All lags of the operator's default; the SQL above has LAGS of them. A test holds these against sums over a small chain.
+def _acf_all(spark, path):
+    return ops.autocorrelation(ev_chain(spark, path), EV)
+
+
+@add("autocorrelation_all_lags")
+def _(spark, path):
+    return _acf_all(spark, path)
+
+
+@add("effective_sample_size_all_lags")
+def _(spark, path):
+    return ops.effective_sample_size(_acf_all(spark, path), ev_chain(spark, path))
+
+
+@add("average_autocorrelation_all_lags")
+def _(spark, path):
+    return ops.average_autocorrelation(_acf_all(spark, path))
+
+
 def _geweke(param: str) -> str:
     return f"""SELECT 0 AS chain_id, '{param}' AS param, CAST(t.k AS INTEGER) AS k, abs(avg(ch.{param}) - max(u.m)) / sqrt(var_pop(ch.{param}) + max(u.v)) AS t_score
  FROM thr t JOIN ch ON ch.step < t.thr, (SELECT avg({param}) AS m, var_pop({param}) AS v FROM ch WHERE step > 0.5 * (SELECT max(step) FROM ch)) u GROUP BY t.k"""

@@ -167,3 +167,26 @@ def test_all_diagnostics_run(ar1):
     tables = diagnostics.diagnose(chain.filter("step % 2 = 0"), ["x", "y"], nlags=120)
     assert all(t.limit(1).count() == 1 for t in tables.values())
     assert diagnostics.between_chains(chain, ["x"]).count() == 1
+
+
+def test_registered_queries_with_all_lags(spark, tmp_path):
+    """Each of the default's 25,000 lags, against sums over a chain that has a few more steps."""
+    from chainlens.catalog import QUERIES
+    n, lags = 25_400, 25_000
+    events = spark.range(n).select(
+        F.col("id").alias("event_id"), F.lit(0).cast("long").alias("user_id"), F.lit("a").alias("event_type"),
+        (F.lit(50.0) + 40 * F.sin(F.col("id") / 700) + F.col("id") % 13).alias("value"),
+        F.concat(F.lit("k"), (F.col("id") * 7919 % 101).cast("string")).alias("props"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    rows = events.orderBy("event_id").toPandas()
+    x = {"val": rows["value"].to_numpy(), "root": np.sqrt(rows["value"].to_numpy()),
+         "k": rows["props"].str[1:].astype(float).to_numpy()}
+    want = {p: acf(v, lags) for p, v in x.items()}
+    got = QUERIES["autocorrelation_all_lags"](spark, str(tmp_path)).toPandas()
+    for p in x:
+        r = got[got["param"] == p].sort_values("lag")
+        assert r["lag"].tolist() == list(range(lags)) and np.allclose(r["r"], want[p], atol=1e-9)
+    for r in QUERIES["effective_sample_size_all_lags"](spark, str(tmp_path)).collect():
+        assert r["ess"] == pytest.approx(n / (1 + 2 * want[r["param"]].sum()), rel=1e-6)
+    mean = QUERIES["average_autocorrelation_all_lags"](spark, str(tmp_path)).toPandas().sort_values("lag")
+    assert np.allclose(mean["mean_r"], np.mean(list(want.values()), axis=0), atol=1e-9) and len(mean) == lags

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlens.llm import chat, circulant, crf, language, mixing, paragraphs, quality, spaced, tiff, warc
+from chainlens.llm import (chat, circulant, crf, language, merkle, mixing, negatives, packing, paragraphs, quality,
+                           spaced, tiff, warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,6 +92,24 @@ def op10_skip_chain_pii(spark: SparkSession, path: str) -> DataFrame:
     return crf.find(docs, crf.fitted(crf.observations(docs))).drop("text")
 
 
+def op11_merkle_manifest(spark: SparkSession, path: str) -> DataFrame:
+    more = F.when(merkle.tampered(), F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return merkle.manifest(_read(spark, path, "documents"), {"n_chars": more})
+
+
+def op12_hard_negatives(spark: SparkSession, path: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _read(spark, path, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return negatives.mine(negatives.quantised(rows, 256), F.col("vec_id") % 50 == 0)
+
+
+def op13_pack_windows(spark: SparkSession, path: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack(_read(spark, path, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -118,8 +137,52 @@ OP9_SQL = f"""WITH RECURSIVE lines AS (SELECT doc_id, unnest(string_split(text,
  FROM roots JOIN g USING (root) JOIN long_lines l ON l.id = roots.id JOIN long_lines f ON f.id = root JOIN sets ON sets.id = l.id WHERE n_paragraphs > 1"""
 
 
+OP11_SQL = """WITH RECURSIVE each AS (SELECT doc_id, lang, n_chars, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-')
+    || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+    coalesce(strlen(text) || ':' || text, '-') AS z,
+    list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT))),
+      lambda crc, c: list_reduce(list_prepend(xor(crc, c), list_transform(range(8), lambda i: CAST(i AS UBIGINT))),
+        lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, CAST(3988292384 AS UBIGINT)) ELSE x // 2 END)) AS crc FROM documents),
+  leaves AS (SELECT doc_id, lang, sha256(a || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') || z) AS leaf,
+    sha256(a || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || CAST(n_chars + 1 AS VARCHAR), '-') || z) AS more,
+    coalesce(xor(crc, CAST(4294967295 AS UBIGINT)) % 7 = 0, false) AS hit FROM each),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+  low AS (SELECT lang, 0 AS h, 0 AS level, i, leaf AS d, count(*) OVER (PARTITION BY lang) AS n FROM placed
+    UNION ALL SELECT lang, 0, level + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), any_value((n + 1) // 2) FROM low WHERE n > 1 GROUP BY lang, level, i // 2),
+  tops AS (SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM low WHERE n = 1),
+  high AS (SELECT 0 AS level, g AS i, subroot AS d, count(*) OVER () AS n FROM tops
+    UNION ALL SELECT level + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), any_value((n + 1) // 2) FROM high WHERE n > 1 GROUP BY level, i // 2),
+  way AS (SELECT p.doc_id, p.i AS k, p.lang, 0 AS level, p.i AS i, CASE WHEN hit THEN more ELSE leaf END AS f, '' AS s FROM placed p
+    UNION ALL SELECT w.doc_id, w.k, w.lang, w.level + 1, w.i // 2,
+      sha256(CASE WHEN o.d IS NULL THEN w.f WHEN w.i % 2 = 0 THEN w.f || o.d ELSE o.d || w.f END), w.s || coalesce(o.d, '')
+    FROM way w JOIN low me ON me.lang IS NOT DISTINCT FROM w.lang AND me.level = w.level AND me.i = w.i AND me.n > 1
+    LEFT JOIN low o ON o.lang IS NOT DISTINCT FROM w.lang AND o.level = w.level AND o.i = xor(w.i, 1)),
+  up AS (SELECT w.doc_id, w.k, w.lang, 0 AS level, t.g AS i, w.f, w.s FROM way w JOIN tops t ON t.lang IS NOT DISTINCT FROM w.lang
+      JOIN low me ON me.lang IS NOT DISTINCT FROM w.lang AND me.level = w.level AND me.n = 1
+    UNION ALL SELECT w.doc_id, w.k, w.lang, w.level + 1, w.i // 2,
+      sha256(CASE WHEN o.d IS NULL THEN w.f WHEN w.i % 2 = 0 THEN w.f || o.d ELSE o.d || w.f END), w.s || coalesce(o.d, '')
+    FROM up w JOIN high me ON me.level = w.level AND me.i = w.i AND me.n > 1 LEFT JOIN high o ON o.level = w.level AND o.i = xor(w.i, 1)),
+  ends AS (SELECT u.* FROM up u JOIN high h ON h.level = u.level AND h.n = 1)
+ SELECT p.doc_id, p.leaf, t.subroot, h.d AS root, sha256(e.s) AS proof_sha256, e.f AS folded_root, e.f = h.d AS verified
+ FROM placed p JOIN tops t ON t.lang IS NOT DISTINCT FROM p.lang JOIN ends e ON e.k = p.i AND e.lang IS NOT DISTINCT FROM p.lang
+   JOIN high h ON h.n = 1"""
+
+OP12_SQL = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM e a JOIN e b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id),
+  p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+ SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+   vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+ WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_importance_resampling, op2_decontaminate, op3_mix_sources, op4_tiff_pages, op5_warc_derivatives,
     op6_format_chats, op7_compression_language, op8_circulant_minhash, op9_repeated_paragraphs,
-    op10_skip_chain_pii)}
-ORACLE: dict[str, str] = {"op6_format_chats": OP6_SQL, "op8_circulant_minhash": OP8_SQL, "op9_repeated_paragraphs": OP9_SQL}
+    op10_skip_chain_pii, op11_merkle_manifest, op12_hard_negatives, op13_pack_windows)}
+ORACLE: dict[str, str] = {"op6_format_chats": OP6_SQL, "op8_circulant_minhash": OP8_SQL, "op9_repeated_paragraphs": OP9_SQL,
+                          "op11_merkle_manifest": OP11_SQL, "op12_hard_negatives": OP12_SQL}

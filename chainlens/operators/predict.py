@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from chainlens.functions.expr import OUT_OF_BOUNDS_LLH
 from chainlens.operators.binning import broadcast_if_small, join_hot
 from chainlens.operators.chain import random_draws
+from chainlens.operators.product import block_spectra
 from chainlens.session import stored
 
 POINT_CHUNK = 64
@@ -340,16 +341,11 @@ def predict_spectra(summed: DataFrame, factors: DataFrame, n_points: int,
                     keys: Sequence[str] = ("sample_id", "bin"), chunk: int = POINT_CHUNK) -> DataFrame:
     """Spectra (point, keys, mc, w2) of all points from signatures and factors.
 
-    Weights are worked out once per distinct list of factors and meet the
-    signatures by an equi-join on the list.  Signatures are read twice: pass
-    them stored, so that the events are read once.
+    Signatures meet the factors in blocks, as a sparse times a dense matrix
+    (``product.block_spectra``). Pass them stored, so that the events are read once and
+    blocks do not change when a task is repeated.
     """
-    keys = list(keys)
-    weights = list_weights(summed.select("factors").distinct(), factors, n_points, chunk)
-    rows = _at_points(summed.join(weights, "factors"), [*keys, "sw", "sw2"])
-    return rows.filter("weight > 0").groupBy("point", *keys).agg(
-        F.sum(F.col("sw") * F.col("weight")).alias("mc"),
-        F.sum(F.col("sw2") * F.col("weight") * F.col("weight")).alias("w2"))
+    return block_spectra(summed, pack_factors(factors.select("point", "factor", "f"), n_points, chunk), n_points, keys, chunk)
 
 
 def reweight_events(events: DataFrame, factors: DataFrame, n_points: int, key: str = "event_id",

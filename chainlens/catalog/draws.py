@@ -221,6 +221,37 @@ def _(spark, path):
     return hist.posterior_hist(odd_chain(spark, path), ["a", "b", "c"], 8).filter("content > 0").select("param", "bin", "content")
 
 
+INF_SQL = f"""WITH {LI_SQL}, od AS (SELECT CASE WHEN qty % 7 = 0 THEN 'inf'::DOUBLE WHEN qty % 11 = 0 THEN '-inf'::DOUBLE ELSE qty END AS a,
+ CASE WHEN tax = 0.01 THEN 'nan'::DOUBLE WHEN disc = 0.02 THEN 'inf'::DOUBLE ELSE price END AS b FROM ch), l AS (
+ SELECT 'a' AS param, a AS v FROM od WHERE isfinite(a) UNION ALL SELECT 'b', b FROM od WHERE isfinite(b))"""
+
+
+def infinite_chain(spark, path):
+    """qty with infinite values of both signs, price with infinite ones and NaN."""
+    inf = float("inf")
+    return li_chain(spark, path).select(
+        F.when(F.col("qty") % 7 == 0, inf).when(F.col("qty") % 11 == 0, -inf).otherwise(F.col("qty")).alias("a"),
+        F.when(F.col("tax") == 0.01, float("nan")).when(F.col("disc") == 0.02, inf).otherwise(F.col("price")).alias("b"))
+
+
+@add("posterior_hist_infinite_values", f"""{INF_SQL}, r AS (SELECT param, min(v) AS lo, max(v) AS hi FROM l GROUP BY param)
+ SELECT l.param, CAST(least(floor(8 * (v - lo) / (hi - lo)), 7) AS INTEGER) AS bin, count(*)::DOUBLE AS content FROM l JOIN r ON l.param = r.param WHERE v < hi GROUP BY ALL""", "content")
+def _(spark, path):
+    return hist.posterior_hist(infinite_chain(spark, path), ["a", "b"], 8).filter("content > 0").select("param", "bin", "content")
+
+
+@add("exact_medians_infinite_values", f"{INF_SQL} SELECT param, median(v) AS median FROM l GROUP BY param", "median")
+def _(spark, path):
+    found = convergence.exact_medians(infinite_chain(spark, path), ["a", "b"], bins=8, leaf=500)
+    return spark.createDataFrame(list(found.items()), "param string, median double")
+
+
+@add("value_problems_infinite", f"""{INF_SQL} SELECT 'a' AS param, count(*) AS n, 0 AS n_null, count(*) FILTER (NOT isfinite(a)) AS n_nan FROM od
+ UNION ALL SELECT 'b', count(*), 0, count(*) FILTER (NOT isfinite(b)) FROM od""")
+def _(spark, path):
+    return hist.value_problems(infinite_chain(spark, path), ["a", "b"])
+
+
 def _odd_cov(spark, path, method):
     return moments.covariance(odd_chain(spark, path), ["a", "b", "disc"], "Weight", method=method).select("param_i", "param_j", "cov")
 

@@ -14,7 +14,7 @@ from chainlens.catalog.registry import (
     AXES, EV, LI, LI_SQL, SAMPLE_SQL, X_BIN_SQL, add, ev_chain, ev_sql, event_sample, li_chain, table, toy_sql,
 )
 from chainlens.functions.numeric import normal_pvalue
-from chainlens.operators import binning, chain as chain_ops, events, hist, moments, predict, splines, toys
+from chainlens.operators import binning, chain as chain_ops, events, hist, moments, predict, product, splines, toys
 from chainlens.plans import predictive as plans
 from chainlens.session import stored
 
@@ -284,6 +284,33 @@ def _(spark, path):
     return events.fill_spectra(binning.assign_bin_uniform(shifted, AXES), keys=("point", "sample_id", "bin"))
 
 
+def moved_points(spark, path):
+    """A point for each nation: a scale and an offset."""
+    key = F.col("n_nationkey")
+    return table(spark, path, "nation").select(key.cast("long").alias("point"), (0.9 + key / 100.0).alias("scale"), ((key % 7) / 5.0 - 0.6).alias("moved"))
+
+
+MOVED_SQL = f"""{ES}, sh AS (SELECT CAST(n_nationkey AS BIGINT) AS point, CAST(0.9 AS DOUBLE) + n_nationkey / CAST(100 AS DOUBLE) AS scale,
+ (n_nationkey % 7) / CAST(5 AS DOUBLE) - CAST(0.6 AS DOUBLE) AS moved FROM nation)"""
+
+
+@add("shifted_spectra", f"""{MOVED_SQL}, m AS (SELECT point, sample_id, x * scale + moved AS x, w0 FROM es, sh) SELECT point, sample_id, {X_BIN_SQL} AS bin, sum(w0) AS mc, sum(w0 * w0) AS w2
+ FROM m WHERE x >= 0.5 AND x < 50.5 AND w0 > 0 AND (sample_id <> 1 OR (x >= 5.5 AND x < 40.5)) GROUP BY ALL""", "mc w2")
+def _(spark, path):
+    return product.shifted_spectra(event_sample(spark, path), {"x": lambda c: c["x"] * c["scale"] + c["moved"]}, moved_points(spark, path),
+                                   AXES, [{"sample_id": 1, "var": "x", "lo": 5.5, "hi": 40.5}])
+
+
+@add("shifted_spectra_2d", f"""{MOVED_SQL}, m AS (SELECT point, sample_id, x * scale + moved AS x, y * (2 - scale) AS y, w0 FROM es, sh)
+ SELECT point, sample_id, CAST(CASE WHEN x < 10.5 THEN 0 WHEN x < 30.5 THEN 1 ELSE 2 END + 3 * CASE WHEN y < 20000 THEN 0 ELSE 1 END AS INTEGER) AS bin, sum(w0) AS mc, sum(w0 * w0) AS w2
+ FROM m WHERE x >= 0.5 AND x < 50.5 AND y >= 1000 AND y < 90000 AND w0 > 0 GROUP BY ALL""", "mc w2")
+def _(spark, path):
+    axes = [{"sample_id": s, "dim": d, "var": v, "edges": e} for s in range(3)
+            for d, (v, e) in enumerate((("x", [0.5, 10.5, 30.5, 50.5]), ("y", [1000.0, 20000.0, 90000.0])))]
+    shifts = {"x": lambda c: c["x"] * c["scale"] + c["moved"], "y": lambda c: c["y"] * (2 - c["scale"])}
+    return product.shifted_spectra(event_sample(spark, path), shifts, moved_points(spark, path), axes, cells=60)
+
+
 @add("llh_scan", f"""WITH {WEIGHTED} SELECT point, pr.sample_id, 2 * sum({poisson_sql()}) AS llh FROM pr JOIN dat ON pr.sample_id = dat.sample_id AND pr.bin = dat.bin
  GROUP BY point, ROLLUP (pr.sample_id)""", "llh", digits=7)
 def _(spark, path):
@@ -609,6 +636,45 @@ def _(spark, path):
     return toys.information_criteria(table_, toy_data(spark, path), mean, 4)
 
 
+# Data that keep no zero counts, and a toy (-1) without events; events from x = 30.5 on are in no data.
+SPARSE = f"""{TOYS.replace("hits AS (SELECT sample_id", "hits0 AS (SELECT sample_id", 1).replace("dat AS (SELECT s.range", "hits AS (SELECT * FROM hits0 WHERE bin < 6), dat AS (SELECT s.range", 1).replace("every_toy AS (SELECT DISTINCT toy FROM es)", "every_toy AS (SELECT DISTINCT toy FROM es UNION SELECT -1)", 1)},
+ tw AS (SELECT *, CAST(1.0 AS DOUBLE) AS weight FROM toys)"""
+
+
+def sparse(spark, path):
+    """(toys, every toy, data): the data without rows for empty bins, and a toy without events."""
+    table_ = toy_table(spark, path)
+    every = table_.select("toy").distinct().union(spark.range(1).select((F.col("id") - 1).alias("toy"))).withColumn("weight", F.lit(1.0))
+    binned = binned_sample(spark, path)
+    n = every.count()
+    counted = binned.where("bin < 6").groupBy("sample_id", "bin").agg(F.ceil(F.count(F.lit(1)) / n).cast("double").alias("data"))
+    return table_.withColumn("weight", F.lit(1.0)), every, counted
+
+
+@add("predictive_mean_empty_toy", f"{SPARSE} {moments_sql('sample_id, bin', 'mc=mc w2=w2')}", "mc_mean mc_rms w2_mean w2_rms", digits=8)
+def _(spark, path):
+    table_, every, _ = sparse(spark, path)
+    return toys.predictive_mean(table_, info=every)
+
+
+@add("information_criteria_sparse_data", f"""{SPARSE}, pm AS ({moments_sql('sample_id, bin', 'mc=mc w2=w2')}), b AS (SELECT 2 * sum({poisson_sql('data', 'mc_mean')}) AS d_hat, sum(data) AS n_data, count(*) AS n_bins
+ FROM dat JOIN pm USING (sample_id, bin)), l AS (SELECT toys.sample_id, toys.bin, -({poisson_sql()}) AS ll FROM toys JOIN dat ON toys.sample_id = dat.sample_id AND toys.bin = dat.bin),
+ t AS (SELECT *, max(ll) OVER (PARTITION BY sample_id, bin) AS top FROM l),
+ q AS (SELECT avg(ll) AS m, avg(ll * ll) AS q, max(top) + ln(avg(exp(ll - top))) AS lppd FROM t GROUP BY sample_id, bin), w AS (SELECT sum(lppd) AS lppd, sum(q - m * m) AS p_waic, -2 * sum(m) AS d_bar FROM q)
+ SELECT d_hat, d_bar, 4 * ln(n_bins) + d_hat AS bic_bins, p_waic, -2 * (lppd - p_waic) AS waic FROM b, w""", "d_hat d_bar bic_bins p_waic waic", digits=7)
+def _(spark, path):
+    table_, every, data = sparse(spark, path)
+    out = toys.information_criteria(table_, data, toys.predictive_mean(table_, info=every), 4, info=every)
+    return out.select("d_hat", "d_bar", "bic_bins", "p_waic", "waic")
+
+
+@add("fluctuated_deviances_sparse_data", f"{SPARSE} SELECT toy, toys.sample_id, 2 * sum({poisson_sql()}) AS data_llh FROM toys JOIN dat USING (sample_id, bin) GROUP BY toy, toys.sample_id", "data_llh", digits=7)
+def _(spark, path):
+    table_, every, data = sparse(spark, path)
+    out = toys.fluctuated_deviances(table_.drop("weight"), data, toys.predictive_mean(table_, info=every), info=every)
+    return out.select("toy", "sample_id", "data_llh")
+
+
 # WAIC on whole data counts: likelihoods of thousands per bin, which no exponential holds.
 BIG = f"""{TOYS}, big AS (SELECT dat.sample_id, dat.bin, coalesce(n, 0)::DOUBLE AS data FROM dat LEFT JOIN hits USING (sample_id, bin)),
  l AS (SELECT toys.sample_id, toys.bin, -({poisson_sql()}) AS ll FROM toys JOIN big ON toys.sample_id = big.sample_id AND toys.bin = big.bin),

@@ -190,6 +190,6 @@ def row_keys(chain: DataFrame) -> list[str]:
 
 
 def number(column: str) -> Column:
-    """The column as a double, with NaN as null."""
+    """The column as a double, with NaN and infinite values as null."""
     x = F.col(column).cast("double")
-    return F.when(~F.isnan(x), x)
+    return F.when(F.abs(x) < float("inf"), x)  # NaN is above infinity

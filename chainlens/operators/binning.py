@@ -14,6 +14,8 @@ from chainlens.session import stored
 
 # A side is broadcast only after its rows and their bytes were counted.
 BROADCAST_BYTES = 32 << 20
+# A key with more rows than this is dealt out; equal rows go in shares.
+HEAVY_ROWS, SHARE, HEAVY_BYTES = 50_000, 10_000, 32 << 20
 
 
 def _bytes_of(df: DataFrame) -> Column:
@@ -32,24 +34,70 @@ def broadcast_if_small(df: DataFrame, most: int | None = None) -> DataFrame:
     A row has 16 bytes at least, so rows beyond the limit are not even counted.
     """
     most = BROADCAST_BYTES if most is None else most
-    size = df.limit(most // 16 + 1).agg(F.sum(_bytes_of(df))).first()[0] or 0
-    return F.broadcast(df) if size <= most else df
+    return F.broadcast(df) if _size(df, most) <= most else df
+
+
+def _size(df: DataFrame, most: int) -> int:
+    """Bytes of the table, or of as many rows as surely exceed ``most``."""
+    return df.limit(most // 16 + 1).agg(F.sum(_bytes_of(df))).first()[0] or 0
+
+
+def heavy_keys(big: DataFrame, keys: Sequence[str], most: int | None = None) -> DataFrame:
+    """The keys that more than ``most`` rows have, and how many (``_n``)."""
+    most = HEAVY_ROWS if most is None else most
+    return big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+
+
+def _marked(df: DataFrame, heavy: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``_heavy``, whether the row has a heavy key; null is a key like any other."""
+    other = heavy.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.lit(True).alias("_hit"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return df.join(F.broadcast(other), same, "left").withColumn("_heavy", F.coalesce("_hit", F.lit(False))).drop(
+        "_hit", *[f"_k_{k}" for k in keys])
+
+
+def dealt(marked: DataFrame, salts: int) -> DataFrame:
+    """Replace ``_heavy`` by ``_salt`` and ``_copies``: rows with heavy keys are dealt to the salts.
+
+    The salt follows from the row's own values. Equal rows are counted first and dealt in
+    shares, so they spread as well, and a task that is repeated, with its rows in
+    another order, deals them alike.
+    """
+    columns = [c for c in marked.columns if c != "_heavy"]
+    light = marked.where(~F.col("_heavy")).drop("_heavy").withColumns(
+        {"_salt": F.lit(0).cast("long"), "_copies": F.lit(1).cast("long")})
+    n = F.col("_n")
+    shares = F.ceil(n / SHARE).cast("long")
+    rows = marked.where("_heavy").groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)))
+    return light.unionByName(rows.select(
+        *columns, F.pmod(F.xxhash64(*columns) + F.col("_share"), F.lit(salts)).alias("_salt"),
+        F.least(F.lit(SHARE).cast("long"), n - F.col("_share") * SHARE).alias("_copies")))
 
 
 def join_hot(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 32) -> DataFrame:
     """Equi-join of events to a lookup table whose keys may be very unevenly hit.
 
-    A lookup table of checked size is broadcast. A larger one is repeated per salt, and
-    rows are dealt to the salts by their place in their task (not by their values, which
-    may all be equal), so that a hot key is spread. A repeated task deals its rows to
-    other salts at most; the joined rows are the same.
+    A lookup table of checked size is broadcast. For a larger one the rows per key are counted;
+    only those of heavy keys are dealt to salts (:func:`dealt`), and only these keys of the
+    lookup table are repeated per salt. If these are too many to broadcast, keys count as
+    heavy from more rows on, until they are not.
     """
+    keys = list(keys)
     hinted = broadcast_if_small(small)
     if hinted is not small:
-        return big.join(hinted, list(keys), how)
-    salted = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+        return big.join(hinted, keys, how)
+    found = heavy = stored(heavy_keys(big, keys), "heavy")
+    if found.isEmpty():
+        return big.join(small, keys, how)
+    most = HEAVY_ROWS
+    while _size(heavy, HEAVY_BYTES) > HEAVY_BYTES:
+        most *= 64
+        heavy = found.where(F.col("_n") > most)
+    last = F.when(F.col("_heavy"), F.lit(salts - 1)).otherwise(F.lit(0)).cast("long")
+    repeated = _marked(small, heavy, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("_heavy")
+    joined = dealt(_marked(big, heavy, keys), salts).join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return joined.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_copies")
 
 
 def axis_bin(x: Column, edges: Sequence[float]) -> Column:

@@ -351,8 +351,8 @@ def exact_medians(df: DataFrame, columns: Sequence[str], bins: int = 4096, leaf:
     Each round counts values in ``bins`` slices of the bracket that holds the
     middle ranks and narrows the bracket to that slice; a bracket with few
     distinct values is finished by counting (column, value) pairs.  Per round
-    only brackets, one per column, and slice counts reach the driver. Null and NaN are
-    left out; a column without other values has no median. The columns are written to the
+    only brackets, one per column, and slice counts reach the driver. Null, NaN and infinite
+    values are left out; a column without other values has no median. The columns are written to the
     shared folder once, so rounds read them and not the chain.
     """
     df = stored(df.select(*[number(c).alias(c) for c in columns]), "columns")

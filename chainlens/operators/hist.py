@@ -14,7 +14,7 @@ from chainlens.functions.numeric import fit_curve
 
 
 def column_ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Min and max per column from one scan, NaN left out; two numbers per parameter reach the driver."""
+    """Min and max per column from one scan, NaN and infinite values left out; two numbers per parameter reach the driver."""
     row = df.agg(*[f(number(c)).alias(f"{n}_{i}") for i, c in enumerate(columns)
                    for n, f in (("lo", F.min), ("hi", F.max))]).first()
     return {c: (float(row[f"lo_{i}"]), float(row[f"hi_{i}"])) for i, c in enumerate(columns)
@@ -22,10 +22,13 @@ def column_ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[floa
 
 
 def value_problems(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(param, n, n_null, n_nan) of each column: values that no histogram or range counts."""
+    """(param, n, n_null, n_nan) of each column: values that no histogram or range counts.
+
+    An infinite value is one that is not a number, too.
+    """
     count = lambda test: F.sum(F.when(test, 1).otherwise(0))
     row = df.agg(F.count(F.lit(1)).alias("n"), *[e for i, c in enumerate(columns) for e in (
-        count(F.col(c).isNull()).alias(f"u{i}"), count(F.isnan(F.col(c).cast("double"))).alias(f"a{i}"))])
+        count(F.col(c).isNull()).alias(f"u{i}"), count(F.col(c).isNotNull() & number(c).isNull()).alias(f"a{i}"))])
     return row.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("param"), F.col("n"), F.col(f"u{i}").alias("n_null"), F.col(f"a{i}").alias("n_nan"))
         for i, c in enumerate(columns)])))
@@ -55,7 +58,7 @@ def posterior_hist(chain: DataFrame, columns: Sequence[str], nbins: int = 70,
 
     Automatic ranges run from the minimum to the maximum of the chain, so the
     maximum itself is overflow; a constant parameter gets an axis of width 1 about its
-    value. NaN and null are in no bin (``value_problems`` counts them), and a parameter
+    value. Null, NaN and infinite values are in no bin (``value_problems`` counts them), and a parameter
     without any other value has no bins.  Values are binned in wide form; only small
     integers are unpivoted, and partial sums of at most parameters x bins rows
     per task are shuffled.

@@ -77,7 +77,7 @@ def gram(chain: DataFrame, columns: Sequence[str], weight: str | None = None,
     columns is left out of all sums, whatever the method.
     """
     w = weight_column(weight).cast("double")
-    complete = w.isNotNull() & ~F.isnan(w)
+    complete = w.isNotNull() & (F.abs(w) < float("inf"))
     for c in columns:
         complete = complete & number(c).isNotNull()
     chain = chain.filter(complete)

@@ -407,18 +407,37 @@ def prior_terms(columns: Sequence[str], prior: Sequence[float], inverse: np.ndar
 
 def penalty_term(chain: DataFrame, columns: Sequence[str], prior: Sequence[float], cov: np.ndarray,
                  sets: Sequence[dict], flat: Sequence[bool] | None = None) -> DataFrame:
-    """Penalty of each named set per step.
+    """Penalty of each named set per step; the columns go to Python once for all sets.
 
     A set record has ``set``, ``prefixes`` and ``exclude``: with exclude the
-    set holds the parameters that match no prefix.
+    set holds the parameters that match no prefix. A row has a null for sets of which it lacks a value.
     """
     inverse = np.linalg.inv(np.asarray(cov, float))
-    added = {}
+    kept = {}
     for record in sets:
         hit = [c.startswith(tuple(record["prefixes"])) for c in columns]
         use = [not h for h in hit] if record.get("exclude") else hit
-        added[f"penalty_{record['set']}"] = prior_terms(columns, prior, inverse, flat, use)
-    return chain.withColumns(added)
+        kept[f"penalty_{record['set']}"] = [i for i in range(len(columns)) if use[i] and not (flat and flat[i])]
+    wanted = sorted({i for on in kept.values() for i in on})
+    filled = {name: on for name, on in kept.items() if on}
+    added = {name: F.lit(0.0) for name in kept if name not in filled}
+    if not filled:
+        return chain.withColumns(added)
+    centre = np.array([prior[i] for i in wanted], float)
+    parts = {name: [wanted.index(i) for i in on] for name, on in filled.items()}
+
+    @F.pandas_udf(", ".join(f"`{name}` double" for name in filled))
+    def quadratic(*x: pd.Series) -> pd.DataFrame:
+        d = np.column_stack([c.to_numpy(dtype=float) for c in x]) - centre
+        out = {}
+        for name, at in parts.items():
+            own = d[:, at]
+            out[name] = ((0.5 * own @ inverse[np.ix_(filled[name], filled[name])]) * own).sum(1)
+        return pd.DataFrame(out)
+
+    found = chain.withColumn("_penalties", quadratic(*[F.col(columns[i]).cast("double") for i in wanted]))
+    return found.withColumns({name: F.col("_penalties")[name] for name in filled} | added).drop("_penalties").select(
+        *chain.columns, *kept)
 
 
 def prior_llh(chain: DataFrame, columns: Sequence[str], prior: Sequence[float], cov: np.ndarray,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -106,7 +107,7 @@ def _fluctuate(spectra: DataFrame, mean: str, name: str, seed: int, keys: Sequen
     @F.pandas_udf(ArrayType(DoubleType()))
     def draw(ids: pd.Series, means: pd.Series) -> pd.Series:
         return pd.Series([
-            draw_one(np.random.default_rng([seed, *map(int, k)]), np.maximum(np.asarray(m, float), 0.0)).astype(float)
+            draw_one(np.random.default_rng([seed, *(int(x) & 0xFFFFFFFFFFFFFFFF for x in k)]), np.maximum(np.asarray(m, float), 0.0)).astype(float)
             for k, m in zip(ids, means)])
 
     rest = [c for c in spectra.columns if c not in keys and c != "bin"]
@@ -175,13 +176,14 @@ def weighted_moments(df: DataFrame, keys: Sequence[str], values: dict[str, str],
 
 
 def predictive_mean(toys: DataFrame, keys: Sequence[str] = ("sample_id", "bin"), weight: str = "weight",
-                    bins: DataFrame | None = None) -> DataFrame:
+                    bins: DataFrame | None = None, info: DataFrame | None = None) -> DataFrame:
     """Weighted mean and RMS of content and of squared weights per bin over all toys.
 
-    A toy without events in a bin counts there with 0. With ``bins`` (keys), bins that no
-    toy fills are in the result, too.
+    A toy without events in a bin counts there with 0; with ``info`` (toy and its weight), so does
+    one without any event. With ``bins`` (keys), bins that no toy fills are in the result, too.
     """
-    out = weighted_moments(toys, keys, {"mc": "mc", "w2": "w2"}, weight, total_weight(toys, weight))
+    every = toys if info is None else info
+    out = weighted_moments(toys, keys, {"mc": "mc", "w2": "w2"}, weight, total_weight(every, weight))
     if bins is None:
         return out
     return bins.select(*keys).distinct().join(out, list(keys), "left").fillna(0.0)
@@ -211,13 +213,13 @@ def beta_study(toys: DataFrame, data: DataFrame, stat: str = "barlow_beeston",
 
 
 def toy_violin(toys: DataFrame, keys: Sequence[str] = ("sample_id",), nbins: int = 400,
-               bins: DataFrame | None = None) -> DataFrame:
+               bins: DataFrame | None = None, info: DataFrame | None = None) -> DataFrame:
     """Count of toys per bin and content bin; content runs from 0 to 1.05 x the largest.
 
-    Toys without events in a bin are in its first content bin. With ``bins`` (keys, bin),
+    Toys, or those of ``info`` (toy), without events in a bin are in its first content bin. With ``bins`` (keys, bin),
     bins that no toy fills are there, too, if their sample has any events.
     """
-    n = toys.select("toy").distinct().count()
+    n = (toys if info is None else info).select("toy").distinct().count()
     top = toys.groupBy(*keys).agg((F.max("mc") * 1.05).alias("_top"))
     content = F.least(uniform_bin(F.col("mc"), F.lit(0.0), F.col("_top"), nbins), F.lit(nbins - 1))
     counts = toys.join(F.broadcast(top), list(keys)).groupBy(  # one row per sample
@@ -245,15 +247,17 @@ def with_totals(per_toy: DataFrame, values: Sequence[str]) -> DataFrame:
     return twice.groupBy("toy", "sample_id").agg(*[F.sum(v).alias(v) for v in values])
 
 
-def event_rates(toys: DataFrame, data: DataFrame | None = None, weight: str | None = None) -> DataFrame:
+def event_rates(toys: DataFrame, data: DataFrame | None = None, weight: str | None = None,
+                info: DataFrame | None = None) -> DataFrame:
     """Rates per toy, then mean, sigma, fractional error and P(rate >= data) over all toys.
 
     A null sample is the total of all samples. A toy without events in a sample has rate 0
-    there. ``weight`` names the toys' weight column.
+    there, and so has one of ``info`` (toy and its weight) that has no events at all. ``weight``
+    names the toys' weight column.
     """
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     rates = with_totals(toys.groupBy("toy", "sample_id").agg(F.sum("mc").alias("rate")), ["rate"])
-    every = toys.groupBy("toy").agg(F.first(w).alias("weight"))
+    every = (toys if info is None else info).groupBy("toy").agg(F.first(w).alias("weight"))
     rates = rates.join(every, "toy")
     total = every.agg(F.sum("weight")).first()[0] or 0.0
     if data is None:
@@ -356,20 +360,32 @@ def deviance(toys: DataFrame, data: DataFrame, stat: str, name: str = "llh", col
     return every_bin_llh(toys, data, "toy", stat, column).select("toy", "sample_id", (2 * F.col("llh")).alias(name))
 
 
+def in_every_bin(data: DataFrame, *predictions: DataFrame) -> DataFrame:
+    """The data (sample_id, bin, data) with a row of 0 for bins that only the predictions have.
+
+    So results do not depend on whether zero counts are stored.
+    """
+    keys = ["sample_id", "bin"]
+    seen = reduce(DataFrame.unionByName, [p.select(*keys) for p in predictions]).distinct()
+    return data.select(*keys, "data").join(broadcast_if_small(seen), keys, "full").fillna(0.0, ["data"])
+
+
 def information_criteria(toys: DataFrame, data: DataFrame, predicted: DataFrame, n_params: int,
-                         stat: str = "poisson") -> DataFrame:
+                         stat: str = "poisson", info: DataFrame | None = None) -> DataFrame:
     """BIC by events and by bins, DIC and WAIC, with effective parameter numbers.
 
     ``predicted`` (sample_id, bin, mc_mean, w2_mean) gives the point estimate. All bins of
-    the data count, with a prediction of 0 where a toy or the estimate has none. Means of
-    likelihoods are taken about the largest one of the bin, so they do not underflow.
+    the data, the toys and the estimate count, with 0 where one of them has none, and all toys of
+    ``info`` (toy), those without any event included. Means of likelihoods are taken about
+    the largest one of the bin, so they do not underflow.
     """
     none = F.lit(0.0)
+    data = stored(in_every_bin(data, toys, predicted), "data")  # a row per bin, read three times
     best = data.join(predicted.select("sample_id", "bin", "mc_mean", "w2_mean"), ["sample_id", "bin"], "left").fillna(
         0.0, ["mc_mean", "w2_mean"]).withColumn("_l", stats.bin_llh(stat, F.col("data"), F.col("mc_mean"), F.col("w2_mean")))
     point = best.agg((2 * F.sum("_l")).alias("d_hat"), F.sum("data").alias("n_data"),
                      F.count(F.lit(1)).alias("n_bins"))
-    n_toys = toys.select("toy").distinct().count()
+    n_toys = (toys if info is None else info).select("toy").distinct().count()
     keys = ["sample_id", "bin"]
     empty = data.select(*keys, "data", (-stats.bin_llh(stat, F.col("data"), none, none)).alias("ll0"))
     joined = binned_llh(toys.join(broadcast_if_small(empty), keys), stat).withColumn("ll", -F.col("llh"))
@@ -422,10 +438,15 @@ def predictive_pvalue(chi2: DataFrame, info: DataFrame | None = None, nbins: int
 
 
 def fluctuated_deviances(toys: DataFrame, data: DataFrame, predicted: DataFrame, stat: str = "poisson",
-                         seed: int = 1, standard: bool = True) -> DataFrame:
-    """-2lnL per toy and sample of data, a fluctuated toy, and a fluctuated prediction."""
+                         seed: int = 1, standard: bool = True, info: DataFrame | None = None) -> DataFrame:
+    """-2lnL per toy and sample of data, a fluctuated toy, and a fluctuated prediction.
+
+    All bins of the data, the toys and the prediction count, with 0 where one of them has none, and
+    all toys of ``info`` (toy), those without any event included.
+    """
     fluctuate = poisson_fluctuate if standard else multinomial_fluctuate
-    drawn = fluctuate(every_toy_bin(toys, data), "mc", "fluct_draw", seed)
+    data = stored(in_every_bin(data, toys, predicted), "data")
+    drawn = fluctuate(every_toy_bin(toys, data, info), "mc", "fluct_draw", seed)
     keys = ["sample_id", "bin"]
     with_pred = drawn.join(broadcast_if_small(predicted.select(*keys, "mc_mean")), keys, "left").fillna(0.0, ["mc_mean"])
     both = fluctuate(with_pred, "mc_mean", "fluct_pred", seed + 1)
@@ -439,14 +460,14 @@ def fluctuated_deviances(toys: DataFrame, data: DataFrame, predicted: DataFrame,
         against("fluct_pred").alias("pred_llh"))
 
 
-def every_toy_bin(toys: DataFrame, bins: DataFrame) -> DataFrame:
-    """Toys with a row for every bin (sample_id, bin), 0 where there were no events.
+def every_toy_bin(toys: DataFrame, bins: DataFrame, info: DataFrame | None = None) -> DataFrame:
+    """Toys, or those of ``info``, with a row for every bin (sample_id, bin), 0 where there were no events.
 
     A row per toy and bin by nature, for draws in every bin; made in parallel from the
     toys' numbers and one list of bins.
     """
     places = bins.select("sample_id", "bin").distinct().agg(F.collect_list(F.struct("sample_id", "bin")).alias("_b"))
-    listed = toys.select("toy").distinct().withColumn("_1", F.lit(1)).join(
+    listed = (toys if info is None else info).select("toy").distinct().withColumn("_1", F.lit(1)).join(
         F.broadcast(places.withColumn("_1", F.lit(1))), "_1")  # one row: the bins of a model
     frame = listed.select("toy", F.inline("_b"))
     return frame.join(toys.select("toy", "sample_id", "bin", "mc", "w2"), ["toy", "sample_id", "bin"], "left").fillna(

@@ -32,15 +32,15 @@ def predictive_summary(toy_spectra: DataFrame, info: DataFrame, data: DataFrame,
     for every table.
     """
     weighted = toys.with_weights(toy_spectra, info)
-    predicted = toys.predictive_mean(weighted)
-    chi2 = toys.fluctuated_deviances(toy_spectra, data, predicted, stat, seed)
+    predicted = toys.predictive_mean(weighted, info=info)
+    chi2 = toys.fluctuated_deviances(toy_spectra, data, predicted, stat, seed, info=info)
     return {
-        "violin": toys.toy_violin(toy_spectra),
+        "violin": toys.toy_violin(toy_spectra, info=info),
         "mean": predicted,
-        "rates": toys.rate_significance(toys.event_rates(toy_spectra, data)),
+        "rates": toys.rate_significance(toys.event_rates(weighted, data, "weight", info)),
         "rate_correlation": toys.rate_correlation(toy_spectra),
         "beta": toys.beta_study(weighted, data),
-        "criteria": toys.information_criteria(toy_spectra, data, predicted, n_params, stat),
+        "criteria": toys.information_criteria(toy_spectra, data, predicted, n_params, stat, info),
         "pvalue_draw": toys.predictive_pvalue(
             chi2.select("toy", "sample_id", "data_llh", F.col("draw_llh").alias("fluct_llh")), info),
         "pvalue_prediction": toys.predictive_pvalue(

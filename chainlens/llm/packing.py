@@ -11,6 +11,7 @@ import json
 import os
 import re
 import struct
+import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -84,7 +85,6 @@ class Ids:
     """
 
     def __init__(self, path: str, end_id: int = END_ID, most: int = CACHED_WORDS):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -95,7 +95,14 @@ class Ids:
         known = (says.get("normalizer") or {}).get("normalizers") == NORMAL and len(steps) == 2 and (
             steps[0].get("type"), steps[0].get("behavior"), steps[0].get("invert")) == ("Split", "Removed", True) and (
             BYTES.items() <= steps[1].items())
-        self.pattern = regex.compile(steps[0]["pattern"]["Regex"]) if known else None
+        # The file's pattern with the classes of simple characters written out.
+        kinds = [(chr(c), unicodedata.category(chr(c))[0]) for c in range(ord(SIMPLE))]
+        classes = {r"\p{L}": "".join(c for c, k in kinds if k == "L"), r"\p{N}": "".join(c for c, k in kinds if k == "N"),
+                   r"\s": "\t-\r \x85\xa0"}
+        said = steps[0]["pattern"]["Regex"] if known else ""
+        for name, letters in classes.items():
+            said = said.replace(name, letters)
+        self.pattern = re.compile(said) if known else None
         self.special = [t["content"] for t in says.get("added_tokens") or []]
         # Bytes as characters: printable ones stand for themselves, others follow from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]

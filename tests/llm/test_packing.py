@@ -11,8 +11,11 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+TOKENIZER = tokenizers.Tokenizer.from_file(PATH)
+
+
 def whole_ids(text):
-    return [*tokenizers.Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, 2]
+    return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def checked(rows, docs, length, slack):
@@ -23,9 +26,8 @@ def checked(rows, docs, length, slack):
         by_sequence.setdefault(r.sequence_id, []).append(r)
         assert len(r.ids) == 4 * r.length > 0
     want = {}
-    tokenizer = tokenizers.Tokenizer.from_file(PATH)
     for d in docs:
-        ids = [*tokenizer.encode(d.text or "", add_special_tokens=False).ids, 2]
+        ids = [*TOKENIZER.encode(d.text or "", add_special_tokens=False).ids, 2]
         want.setdefault((d.doc_id, len(ids)), []).append(ids)
     assert set(by_doc) == set(want)
     for key, pieces in by_doc.items():

@@ -268,6 +268,38 @@ def _(spark, path):
     return ops.reweight_graph_2d(pts, "x", "dm2", NORMAL, INVERTED).groupBy("x", "dm2", "Weight").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Graphs of scattered points: one per nation, chi2 from its keys; the second is the first upside down.
+SCATTERED = """pts AS (SELECT n_nationkey AS i, ((n_nationkey * 37 + 11) % 101) / CAST(1000 AS DOUBLE) AS px, CAST(0.001 AS DOUBLE) + ((n_nationkey * 53 + 5) % 97) / CAST(40000 AS DOUBLE) AS py,
+   CAST(n_regionkey + n_nationkey % 7 AS DOUBLE) / 3 AS z FROM nation),
+ u AS (SELECT i, px, py, z, (px - min(px) OVER ()) / (max(px) OVER () - min(px) OVER ()) AS sx, (py - min(py) OVER ()) / (max(py) OVER () - min(py) OVER ()) AS sy FROM pts),
+ t AS (SELECT a.i AS a, b.i AS b, c.i AS c, sign((b.sx - a.sx) * (c.sy - a.sy) - (b.sy - a.sy) * (c.sx - a.sx)) AS o FROM u a JOIN u b ON a.i < b.i JOIN u c ON b.i < c.i),
+ d AS (SELECT * FROM t WHERE o <> 0 AND NOT EXISTS (SELECT 1 FROM u p, u a, u b, u c WHERE a.i = t.a AND b.i = t.b AND c.i = t.c AND p.i NOT IN (t.a, t.b, t.c) AND
+   t.o * (((a.sx - p.sx) * (a.sx - p.sx) + (a.sy - p.sy) * (a.sy - p.sy)) * ((b.sx - p.sx) * (c.sy - p.sy) - (b.sy - p.sy) * (c.sx - p.sx))
+        - ((b.sx - p.sx) * (b.sx - p.sx) + (b.sy - p.sy) * (b.sy - p.sy)) * ((a.sx - p.sx) * (c.sy - p.sy) - (a.sy - p.sy) * (c.sx - p.sx))
+        + ((c.sx - p.sx) * (c.sx - p.sx) + (c.sy - p.sy) * (c.sy - p.sy)) * ((a.sx - p.sx) * (b.sy - p.sy) - (a.sy - p.sy) * (b.sx - p.sx))) > 1e-12)),
+ q AS (SELECT DISTINCT x, dm2 FROM pt),
+ w AS (SELECT q.x, q.dm2, (b.py - c.py) * (a.px - c.px) + (c.px - b.px) * (a.py - c.py) AS det, (b.py - c.py) * (q.x - c.px) + (c.px - b.px) * (abs(q.dm2) - c.py) AS l1,
+   (c.py - a.py) * (q.x - c.px) + (a.px - c.px) * (abs(q.dm2) - c.py) AS l2, a.z AS za, b.z AS zb, c.z AS zc
+   FROM q, d JOIN u a ON a.i = d.a JOIN u b ON b.i = d.b JOIN u c ON c.i = d.c),
+ chi AS (SELECT x, dm2, avg((l1 * za + l2 * zb + (det - l1 - l2) * zc) / det) AS c FROM w WHERE l1 / det >= -1e-12 AND l2 / det >= -1e-12 AND (l1 + l2) / det <= 1 + 1e-12 GROUP BY ALL),
+ r AS (SELECT min(px) AS x0, max(px) AS x1, min(py) AS y0, max(py) AS y1 FROM pts)"""
+
+
+@add("reweight_scattered_2d", f"""WITH pt AS (SELECT l_discount + l_quantity / CAST(2000 AS DOUBLE) AS x, (CASE WHEN l_returnflag = 'A' THEN -1 ELSE 1 END) * (CAST(0.0012 AS DOUBLE) + l_tax / CAST(40 AS DOUBLE)) AS dm2
+ FROM lineitem), {SCATTERED}
+ SELECT pt.x, pt.dm2, CASE WHEN pt.x > x0 AND pt.x < x1 AND abs(pt.dm2) > y0 AND abs(pt.dm2) < y1 THEN exp(-0.5 * coalesce(c, 0) * CASE WHEN pt.dm2 > 0 THEN 1 ELSE 2 END) ELSE 0 END AS "Weight",
+ count(*) AS n FROM pt CROSS JOIN r LEFT JOIN chi ON chi.x = pt.x AND chi.dm2 = pt.dm2 GROUP BY ALL""", "x dm2 Weight", digits=7)
+def _(spark, path):
+    key = F.col("n_nationkey")
+    graph = [tuple(r) for r in table(spark, path, "nation").select(
+        ((key * 37 + 11) % 101) / 1000.0, F.lit(0.001) + ((key * 53 + 5) % 97) / 40000.0, (F.col("n_regionkey") + key % 7) / 3.0).collect()]  # one point per nation
+    pts = table(spark, path, "lineitem").select(
+        (F.col("l_discount") + F.col("l_quantity") / 2000.0).alias("x"),
+        (F.when(F.col("l_returnflag") == "A", -1).otherwise(1) * (F.lit(0.0012) + F.col("l_tax") / 40.0)).alias("dm2"))
+    out = ops.reweight_scattered_2d(pts, "x", "dm2", graph, [(x, y, 2 * z) for x, y, z in graph])
+    return out.groupBy("x", "dm2", "Weight").agg(F.count(F.lit(1)).alias("n"))
+
+
 # -- histograms ----------------------------------------------------------------
 
 HIST = f"WITH {LI_SQL}, {hist_sql(LI, weight='Weight')}"

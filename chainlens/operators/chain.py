@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainlens.functions.expr import edge_bin, normal, product, row_keys, starts_with_any, uniform
+from chainlens.operators.scattered import interpolated
 
 ENTRY_BLOCK = 1 << 20
 
@@ -245,3 +246,23 @@ def reweight_graph_2d(chain: DataFrame, x: str, dm2: str, normal: dict, inverted
     chi2 = a + b * dx + c * dy + d * dx * dy
     return chain.withColumn("_cell", place).withColumn(
         name, F.coalesce(F.exp(-0.5 * chi2), F.lit(0.0))).drop("_cell")
+
+
+def reweight_scattered_2d(chain: DataFrame, x: str, dm2: str, normal: Sequence[tuple[float, float, float]],
+                          inverted: Sequence[tuple[float, float, float]], name: str = "Weight",
+                          beyond_hull: float = 0.0) -> DataFrame:
+    """exp(-chi2/2) of 2D graphs of scattered points (x, abs(dm2), chi2), chosen by the sign of the mass splitting.
+
+    chi2 is linear in each Delaunay triangle. Outside the open range of a graph's points the weight
+    is 0; within it but beyond their hull chi2 is ``beyond_hull``. A row without x or dm2 weighs 0.
+    """
+    u, v, out = F.col(x), F.abs(F.col(dm2)), chain
+    weight = F.lit(0.0)
+    for column, graph, chosen in (("_chi2_i", inverted, F.col(dm2) <= 0), ("_chi2_n", normal, F.col(dm2) > 0)):
+        if not graph:
+            continue
+        xs, ys = [float(p[0]) for p in graph], [float(p[1]) for p in graph]
+        out = interpolated(out, u, v, graph, column, beyond_hull)
+        inside = chosen & (u > min(xs)) & (u < max(xs)) & (v > min(ys)) & (v < max(ys))
+        weight = F.when(inside, F.exp(-0.5 * F.col(column))).otherwise(weight)
+    return out.withColumn(name, weight).drop("_chi2_i", "_chi2_n")

@@ -11,11 +11,12 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from chainlens.catalog.chains import li_hist
+from chainlens.catalog.chains import MODEL_SQL, POSTFIT, li_hist, li_model
 from chainlens.catalog.comparing import BOUNDS
 from chainlens.catalog.event_samples import binned_sample, event_sample
 from chainlens.catalog.prediction import TOYS, NORMS, toy_data, toy_table
-from chainlens.catalog.registry import EV, LI, LI_SQL, SAMPLE_SQL, add, ev_chain, ev_sql, li_chain, table
+from chainlens.catalog.registry import (EV, LI, LI_SQL, SAMPLE_SQL, add, ev_chain, ev_sql, li_chain, long_sql,
+                                        table)
 from chainlens.operators import chain as chain_ops
 from chainlens.operators import convergence, events, hist, moments, predict, toys
 from chainlens.plans import predictive as plans
@@ -188,6 +189,25 @@ def _(spark, path):
     return merged.groupBy("chain_id").agg(F.count(F.lit(1)).alias("n"), F.sum("val").alias("total"))
 
 
+@add("postfit_on_disk", f"""WITH {LI_SQL}, {MODEL_SQL}, lng AS ({long_sql(LI, weight='Weight')}), pf AS ({POSTFIT})
+ SELECT param, prior, error, mean, rms, FALSE AS is_fixed FROM pf JOIN pm ON param = name""", "prior error mean rms")
+def _(spark, path):
+    """The post-fit table written and read back."""
+    place = _place(spark)
+    chains.write_postfit(hist.postfit_summary(li_chain(spark, path), LI, "Weight", li_model(spark)), place)
+    return spark.read.parquet(place)
+
+
+@add("merged_chains_same_id", f"WITH {ev_sql(3)}, b AS (SELECT chain_id, val FROM ch UNION ALL SELECT 3 + chain_id, val FROM ch WHERE chain_id < 2) SELECT CAST(chain_id AS INTEGER) AS chain_id, count(*) AS n, sum(val) AS total FROM b GROUP BY chain_id", "total")
+def _(spark, path):
+    place = _place(spark)
+    chain = ev_chain(spark, path, 3).drop("event_type")
+    chain.write.parquet(f"{place}/in_0")
+    chain.filter("chain_id < 2").write.parquet(f"{place}/in_1")
+    merged = chains.merge_chains(spark, [f"{place}/in_0", f"{place}/in_1"], f"{place}/out")
+    return merged.groupBy("chain_id").agg(F.count(F.lit(1)).alias("n"), F.sum("val").alias("total"))
+
+
 @add("same_chain_id_in_two_files", f"WITH {ev_sql()}, b AS (SELECT 0 AS chain_id, val FROM ch UNION ALL SELECT 1, val FROM ch) SELECT CAST(chain_id AS INTEGER) AS chain_id, count(*) AS n, sum(val) AS total FROM b GROUP BY chain_id", "total")
 def _(spark, path):
     place = _place(spark)

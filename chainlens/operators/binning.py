@@ -14,8 +14,8 @@ from chainlens.session import stored
 
 # A side is broadcast only after its rows and their bytes were counted.
 BROADCAST_BYTES = 32 << 20
-# A key with more rows than this is dealt out; equal rows go in shares.
-HEAVY_ROWS, SHARE, HEAVY_BYTES = 50_000, 10_000, 32 << 20
+# A key with more rows than this is dealt out; equal rows go in shares, small enough to reach every salt.
+HEAVY_ROWS, SHARE, HEAVY_BYTES = 50_000, 1_000, 32 << 20
 
 
 def _bytes_of(df: DataFrame) -> Column:

@@ -63,7 +63,11 @@ def read_chain(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     If two files name the same ``chain_id``, they are different chains all the same: all
     chains are then numbered anew, by file and old number.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
+    return union_chains(_told_apart(spark, [paths] if isinstance(paths, str) else list(paths)))
+
+
+def _told_apart(spark: SparkSession, paths: Sequence[str]) -> list[DataFrame]:
+    """The files' chains, numbered anew if two files name the same one; null is a number like any other."""
     parts = []
     for i, path in enumerate(paths):
         part = spark.read.parquet(path)
@@ -71,14 +75,19 @@ def read_chain(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
             part = part.withColumn("chain_id", F.lit(i))
         parts.append(part)
     if len(parts) == 1:
-        return parts[0]
-    named = [sorted(r[0] for r in part.select("chain_id").distinct().collect()) for part in parts]  # one row per chain
+        return parts
+    named = [sorted((r[0] for r in part.select("chain_id").distinct().collect()), key=lambda c: (c is not None, c))
+             for part in parts]  # one row per chain
     if len({c for ids in named for c in ids}) < sum(map(len, named)):
         first = 0
         for i, (part, ids) in enumerate(zip(parts, named)):
-            place = F.array_position(F.lit(ids), F.col("chain_id")).cast("int") - 1 + first
-            parts[i], first = part.withColumn("chain_id", place), first + len(ids)
-    return union_chains(parts)
+            place = F.lit(None).cast("int")
+            if ids:
+                known = [c for c in ids if c is not None]
+                place = F.when(F.col("chain_id").isNull(), first).otherwise(
+                    F.array_position(F.lit(known or [0]), F.col("chain_id")).cast("int") - 1 + first + len(ids) - len(known))
+            parts[i], first = part.withColumn("chain_id", place.cast("int")), first + len(ids)
+    return parts
 
 
 def chain_summary(chain: DataFrame) -> DataFrame:
@@ -146,6 +155,7 @@ def merge_chains(spark: SparkSession, paths: Sequence[str], out: str,
     """Concatenate chain files after comparing their configuration.
 
     ``configs`` is (path, config); ``integrals`` is (path, hist, integral).
+    Files that name the same ``chain_id`` stay different chains, as in ``read_chain``.
     Empty files add no rows.  ``force`` merges in spite of a difference and
     overwrites the output.
     """
@@ -154,13 +164,7 @@ def merge_chains(spark: SparkSession, paths: Sequence[str], out: str,
             raise ValueError("configurations of the chains differ")
         if integrals is not None and integral_conflicts(integrals).filter("conflict").count():
             raise ValueError("stored histogram integrals of the chains differ")
-    parts = []
-    for i, path in enumerate(paths):
-        part = spark.read.parquet(path)
-        if "chain_id" not in part.columns:
-            part = part.withColumn("chain_id", F.lit(i))
-        parts.append(part)
-    merged = union_chains(parts)
+    merged = union_chains(_told_apart(spark, paths))
     merged.write.mode("overwrite" if force else "errorifexists").parquet(out)
     return spark.read.parquet(out)
 

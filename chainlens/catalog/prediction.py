@@ -275,6 +275,34 @@ def _(spark, path):
     return predict.reweight_events(tagged, predict.norm_factors(values, norms), 3, weight="Weight", keep=()).select("point", "event_id", "w")
 
 
+# Draws that are as narrow as the last digits: every toy is the prediction at the second point.
+@add("prior_toys_narrow", f"WITH {WEIGHTED} SELECT CAST(t.range AS BIGINT) AS toy, sample_id, bin, mc, w2 FROM pr, range(8) t WHERE point = 1", "mc w2", digits=6)
+def _(spark, path):
+    binned = stored(binned_sample(spark, path), "events")
+    params = [{"name": p, "prior": x} for p, x in zip(PARAMS, POINTS[1])]
+    out, _ = plans.toys_from_prior(binned, params, np.diag([1e-18] * 4), NORMS, {"modes": "mode", "channels": "channel"}, 8,
+                                   built(spark, path, binned=binned), SPLINE_AXES)
+    return out
+
+
+# Independent norms: the mean total over toys is the nominal one, up to a few of its errors.
+@add("prior_toys_check", f"WITH {SAMPLE_SQL} SELECT 300 AS n_toys, sum(w0) AS nominal, TRUE AS mean_fits, TRUE AS spread_fits, TRUE AS fixed_stays FROM es", "nominal")
+def _(spark, path):
+    params = [{"name": "norm_a", "prior": 1.0}, {"name": "norm_n", "prior": 1.0}, {"name": "norm_o", "prior": 1.0, "fixed": True}]
+    out, info = plans.toys_from_prior(binned_sample(spark, path), params, np.diag([0.01, 0.04, 0.01]), NORMS, {"modes": "mode", "channels": "channel"}, 300)
+    sample = event_sample(spark, path)
+    x = F.col("x")
+    parts = sample.agg(F.sum("w0").alias("nominal"), F.sum(F.when(F.col("mode") == "A", F.col("w0"))).alias("a"),
+                       F.sum(F.when((F.col("mode") == "N") & (x > 10) & (x <= 40), F.col("w0"))).alias("b"))
+    sigma = F.sqrt(0.01 * F.col("a") * F.col("a") + 0.04 * F.col("b") * F.col("b"))
+    rates = out.groupBy("toy").agg(F.sum("mc").alias("rate")).agg(F.avg("rate").alias("m"), F.stddev("rate").alias("s"), F.count(F.lit(1)).cast("int").alias("n_toys"))
+    stays = info.agg(F.min(F.col("norm_o") == 1.0).alias("fixed_stays"))
+    # Single rows side by side.
+    return rates.crossJoin(parts).crossJoin(stays).select(
+        "n_toys", "nominal", (F.abs(F.col("m") - F.col("nominal")) < 5 * sigma / 300 ** 0.5).alias("mean_fits"),
+        (F.abs(F.col("s") / sigma - 1) < 0.25).alias("spread_fits"), "fixed_stays")
+
+
 @add("shift_events", f"""{ES}, sh AS (SELECT point::BIGINT AS point, scale::DOUBLE AS scale, moved::DOUBLE AS moved FROM (VALUES (0, 1.0, 0.0), (1, 1.03, 0.4), (2, 0.96, -0.7)) t(point, scale, moved)),
  m AS (SELECT point, sample_id, x * scale + moved AS x, w0 FROM es, sh) SELECT point, sample_id, {X_BIN_SQL} AS bin, sum(w0) AS mc, sum(w0 * w0) AS w2
  FROM m WHERE x >= 0.5 AND x < 50.5 GROUP BY ALL""", "mc w2")

@@ -522,3 +522,25 @@ def produce_toys(chain: DataFrame, summed: DataFrame, n: int, params: Sequence[s
     points = to_points(info.withColumnRenamed("toy", "point"), params)
     toys = predict_spectra(summed, factors_at(points), n).withColumnRenamed("point", "toy")
     return toys, info
+
+
+def prior_toys(summed: DataFrame, params: Sequence[dict], cov: np.ndarray, n: int,
+               factors_at: Callable[[DataFrame], DataFrame], seed: int = 1, groups: Sequence[str] = (),
+               names: Sequence[str] = (), max_tries: int = 10000) -> tuple[DataFrame, DataFrame]:
+    """(toys, info): toy spectra at n correlated draws from the prior, and the record of each toy.
+
+    Parameters outside ``groups`` or ``names``, and fixed ones, stay at their prior (``throw_prior``).
+    ``info`` has (toy, penalty, weight, <param>..., n_given_up); the penalty is half the quadratic form of the
+    draw, flat parameters left out. A toy whose spectrum is empty is in ``info`` alone, so pass
+    that to summaries over toys. The draws are written once: they are read for the factors and
+    for the record.
+    """
+    columns = [p["name"] for p in params]
+    drawn = throw_prior(summed.sparkSession, params, cov, n, seed, groups, names, max_tries)
+    draws = stored(drawn, "draws")
+    spectra = predict_spectra(summed, factors_at(to_points(draws, columns)), n).withColumnRenamed("point", "toy")
+    penalty = prior_terms(columns, [p["prior"] for p in params], np.linalg.inv(np.asarray(cov, float)),
+                          [bool(p.get("flat")) for p in params])
+    info = draws.withColumn("penalty", penalty).select(
+        F.col("point").alias("toy"), "penalty", F.lit(1.0).alias("weight"), *columns, "n_given_up")
+    return spectra, info

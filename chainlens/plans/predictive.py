@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainlens.operators import events as event_ops
-from chainlens.operators import predict, toys
+from chainlens.operators import predict, splines as spline_ops, toys
 from chainlens.session import stored
 
 
@@ -24,6 +24,27 @@ def toys_from_chain(chain: DataFrame, binned: DataFrame, norms: Sequence[dict],
                                 weight=weight, seed=seed, cut=cut)
 
 
+def toys_from_prior(binned: DataFrame, params: Sequence[dict], cov, norms: Sequence[dict], codes: dict[str, str], n: int,
+                    splines: DataFrame | None = None, spline_axes: Sequence[tuple[str, Sequence[float]]] = (), seed: int = 1):
+    """Spectra at n draws from the prior; returns (toys, info).
+
+    ``splines`` (built, with ``param`` and the keys of ``match_splines``) respond to the parameter they name.
+    Events are read once into stored signatures, whatever the number of toys.
+    """
+    matched = event_ops.match_norms(binned, norms, None, codes)
+    if splines is not None:
+        matched = spline_ops.match_splines(matched, splines, spline_axes)
+    summed = stored(predict.signatures(matched, spline_ids=None if splines is None else "spline_ids"), "signatures")
+
+    def factors_at(points: DataFrame) -> DataFrame:
+        found = predict.norm_factors(points, norms)
+        if splines is None:
+            return found
+        return found.unionByName(predict.spline_factors(spline_ops.evaluate_splines(splines, points)))
+
+    return predict.prior_toys(summed, params, cov, n, factors_at, seed)
+
+
 def predictive_summary(toy_spectra: DataFrame, info: DataFrame, data: DataFrame, n_params: int,
                        stat: str = "poisson", seed: int = 1) -> dict[str, DataFrame]:
     """All results that follow from stored toys, as lazy tables by name.

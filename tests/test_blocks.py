@@ -132,3 +132,29 @@ def test_a_toy_without_events_counts(spark):
     assert {r.bin: r.n for r in violin.groupBy("bin").agg(F.sum("n_toys").alias("n")).collect()} == {0: 4, 1: 4}
     data = spark.createDataFrame([(0, 0, 3.0)], "sample_id int, bin int, data double")
     assert toys.fluctuated_deviances(table, data, toys.predictive_mean(table, info=info), info=info).count() == 4
+
+
+def test_prior_toys_are_the_predictions_at_their_draws(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(s), int(b), [f"n{i}" for i in range(3) if rng.random() < .5], float(rng.uniform(1, 3)), 1.0) for s in range(2) for b in range(3) for _ in range(3)]
+    summed = signatures(spark, rows).cache()
+    norms = [{"idx": i, "name": f"p{i}"} for i in range(3)]
+    params = [{"name": "p0", "prior": 1.0}, {"name": "p1", "prior": 1.5, "fixed": True}, {"name": "p2", "prior": 0.8, "low": 0.7, "up": 0.9, "flat": True}]
+    cov = np.array([[0.04, 0, 0.01], [0, 0.01, 0], [0.01, 0, 0.04]])
+    made, info = predict.prior_toys(summed, params, cov, 50, lambda pts: predict.norm_factors(pts, norms), seed=3)
+    record = {r.toy: r for r in info.collect()}
+    assert sorted(record) == list(range(50)) and all(r.p1 == 1.5 and 0.7 <= r.p2 <= 0.9 and r.n_given_up == 0 for r in record.values())
+    inverse = np.linalg.inv(cov)[:2, :2]  # the flat one is left out
+    for r in record.values():
+        d = np.array([r.p0 - 1.0, 0.0])
+        assert r.penalty == pytest.approx(0.5 * d @ inverse @ d)
+    want = {}
+    for t, r in record.items():
+        for s, b, on, sw, _ in rows:
+            w = math.prod(r[f"p{n[1:]}"] for n in on)
+            if w > 0:
+                want[t, s, b] = want.get((t, s, b), 0.0) + sw * w
+    got = {(r.toy, r.sample_id, r.bin): r.mc for r in made.collect()}
+    assert got == pytest.approx(want)
+    again, _ = predict.prior_toys(summed, params, cov, 50, lambda pts: predict.norm_factors(pts, norms), seed=3)
+    assert plain(made.select("toy", "bin").collect()) == plain(again.select("toy", "bin").collect())

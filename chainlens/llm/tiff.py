@@ -191,6 +191,8 @@ def _directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
             tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
             if kind not in FIELD_TYPES:
                 continue
+            if not count:
+                raise ValueError(f"tag {tag} is empty")
             size, code = FIELD_TYPES[kind]
             place = at + 10 + 12 * k
             if size * count > 4:
@@ -200,12 +202,16 @@ def _directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         at, = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
 
 
+# No code read here gives more bytes for one: a code of LZW has 1.5 bytes and stands for less than 4,096.
+MOST_RATIO = 4096
+
+
 def _pixels(data: bytes, order: str, tags: dict[int, tuple]) -> np.ndarray:
     one = lambda tag, other: tags.get(tag, (other,))[0]
     width, height, samples = one(WIDTH_TAG, 0), one(HEIGHT_TAG, 0), one(SAMPLES, 1)
     bits, how, predictor = set(tags.get(BITS, (1,))), one(COMPRESSION, 1), one(PREDICTOR, 1)
     kind = {1: "u", 2: "i", 3: "f"}.get(one(FORMAT, 1))
-    if len(bits) != 1 or kind is None or min(bits) not in (8, 16, 32, 64) or width * height < 1:
+    if len(bits) != 1 or kind is None or min(bits) not in (8, 16, 32, 64) or width * height < 1 or samples < 1:
         raise ValueError("samples of this kind are not read")
     dtype = np.dtype(f"{order}{kind}{min(bits) // 8}")
     tiled = TILES in tags
@@ -218,6 +224,8 @@ def _pixels(data: bytes, order: str, tags: dict[int, tuple]) -> np.ndarray:
     across, down = -(-width // wide), -(-height // tall)
     if len(places) < planes * across * down or len(sizes) < len(places):
         raise ValueError("strips or tiles are missing")
+    if width * height * samples * dtype.itemsize > MOST_RATIO * len(data):
+        raise ValueError("the file is too short for its pixels")
     image = np.zeros((height, width, samples), dtype)
     for k in range(planes * across * down):
         plane, block = divmod(k, across * down)
@@ -243,7 +251,7 @@ def read_pages(data: bytes | None) -> Iterator[dict]:
                    "bits": image.dtype.itemsize * 8, "compression": tags.get(COMPRESSION, (1,))[0],
                    "predictor": tags.get(PREDICTOR, (1,))[0], "pixels": image.tobytes(), "error": None}
             page += 1
-    except (ValueError, KeyError, struct.error, zlib.error) as e:
+    except (ValueError, KeyError, IndexError, OverflowError, struct.error, zlib.error) as e:
         yield dict.fromkeys(("width", "height", "samples", "bits", "compression", "predictor", "pixels")) | {
             "page": page, "error": f"{type(e).__name__}: {e}"}
 

@@ -8,7 +8,6 @@ a repeated task writes the same records.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import json
@@ -29,7 +28,9 @@ _DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?
 _BREAK = re.compile(
     r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|head|body|blockquote|pre|hr|dd|dt|dl|form|option|td|th)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!?][^<>]*>")
-_TITLE = re.compile(r"<title\b[^<>]*>(.*?)</title\s*>", re.S | re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^<>]*>", re.I), re.compile(r"</title\s*>", re.I)
+_CHUNK = re.compile(rb"[0-9A-Fa-f]{1,15}")
+MOST_BODY = 1 << 28  # a body that decodes to more bytes is an error
 _LINK = re.compile(r"<(a|img|link|iframe)\b([^<>]*)>", re.I)
 _ADDRESS = re.compile(r"\b(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+))", re.I)
 _BLANK = re.compile(r"[ \t\r\f\v ]+")
@@ -74,6 +75,21 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:size]
 
 
+def _inflated(data: bytes, form: int) -> bytes:
+    """Decoded members of a body, one behind the other, of at most ``MOST_BODY`` bytes in all."""
+    parts, room = [], MOST_BODY
+    while data:
+        member = zlib.decompressobj(form)
+        parts.append(member.decompress(data, room + 1))
+        room -= len(parts[-1])
+        if room < 0:
+            raise ValueError("the decoded body is too long")
+        if not member.eof:
+            raise ValueError("the coded body is cut short")
+        data = member.unused_data.lstrip(b"\0")  # members may be padded
+    return b"".join(parts)
+
+
 def parse_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes, bytes]:
     """Status line, headers, payload as sent, and payload without transfer and content coding."""
     head, gap, sent = block.partition(b"\r\n\r\n")
@@ -87,17 +103,18 @@ def parse_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes, bytes]:
         parts, at = [], 0
         while True:
             end = body.find(b"\r\n", at)
-            size = int(body[at:end].split(b";")[0], 16) if end >= 0 else 0
+            said = body[at:end].split(b";")[0].strip() if end >= 0 else b"0"
+            if not _CHUNK.fullmatch(said):
+                raise ValueError("a chunk's size is not a number")
+            size = int(said, 16)
             if not size:
                 break
             parts.append(body[end + 2:end + 2 + size])
             at = end + 4 + size
         body = b"".join(parts)
     coding = by_name.get("content-encoding", "")
-    if coding == "gzip":
-        body = gzip.decompress(body)
-    elif coding == "deflate":
-        body = zlib.decompress(body)
+    if coding in ("gzip", "deflate"):
+        body = _inflated(body, 31 if coding == "gzip" else 15)
     return lines[0].decode("latin-1"), headers, sent, body
 
 
@@ -112,7 +129,8 @@ def plain_text(page: str) -> str:
 def links(page: str, base: str) -> tuple[str | None, list[dict[str, str]]]:
     """Title and the links of a page, with absolute addresses."""
     page = _DROPPED.sub(" ", page)
-    title = _TITLE.search(page)
+    begin = _TITLE.search(page)
+    end = _TITLE_END.search(page, begin.end()) if begin else None
     found = []
     for tag, inside in _LINK.findall(page):
         if m := _ADDRESS.search(inside):
@@ -122,7 +140,7 @@ def links(page: str, base: str) -> tuple[str | None, list[dict[str, str]]]:
             except ValueError:
                 full = address
             found.append({"path": f"{tag.lower()}@{'src' if tag.lower() in ('img', 'iframe') else 'href'}", "url": full})
-    return html.unescape(title[1]).strip() if title else None, found
+    return html.unescape(page[begin.end():end.start()]).strip() if end else None, found
 
 
 def derive(record: bytes) -> list[dict]:

@@ -83,6 +83,11 @@ def read_back(formatted: Column) -> Column:
         unescaped(m["role"]).alias("role"), unescaped(m["text"]).alias("text")))
 
 
+def learned_texts(formatted: Column, spans: Column) -> Column:
+    """What stands under the loss mask of a rendered conversation, a text for each span, unescaped."""
+    return F.transform(spans, lambda s: unescaped(F.substring(formatted, s["start"] + 1, s["end"] - s["start"])))
+
+
 def event_log(conversations: DataFrame) -> DataFrame:
     """A log whose fold is the given rows (conv_id, turn, role, text), as a chat service writes it.
 

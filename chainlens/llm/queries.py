@@ -51,11 +51,11 @@ def op6_format_chats(spark: SparkSession, path: str) -> DataFrame:
                  F.lit(saying).alias("text")) for i, r in enumerate(("user", "assistant"))])).alias("m")).select("m.*")
     rows = _read(spark, path, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     shown = chat.render(chat.fold(chat.event_log(rows)))
-    turns = shown.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"))
+    turns = shown.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"),
+                         F.array_join(chat.learned_texts(F.col("formatted"), F.col("loss_spans")), "").alias("loss"))
     line = F.transform("turns", lambda m: F.concat(m["role"], F.lit("\n"), m["text"], F.lit("\n")))
-    loss = F.array_join(F.transform(F.filter("turns", lambda m: m["role"] == chat.LEARNED), lambda m: m["text"]), "")
     return turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"),
-                        F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"), loss.alias("loss"),
+                        F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"), "loss",
                         F.char_length("formatted").cast("long").alias("formatted_chars")).select(
         "conv_id", "n_turns", "turns_sha256", F.char_length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")

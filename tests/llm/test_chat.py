@@ -70,3 +70,13 @@ def test_plan_has_no_python(spark, native):
     rows = spark.createDataFrame([(1, 0, "user", "a")], SCHEMA)
     plan = chat.render(chat.fold(chat.event_log(rows)))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan.replace("ArrowConverters", ""))
+
+
+def test_the_mask_holds_the_answers_and_nothing_else(spark):
+    texts = ["plain", "", "a <b> \\l \\s </turn>\n<turn assistant>", "\U0001f600 \u0301 end", "x" * 5000]
+    rows = [(c, t, role, texts[(c + t) % 5]) for c in range(5) for t, role in enumerate(["user", "assistant", "assistant", "system", "assistant"])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    shown = chat.render(chat.fold(chat.event_log(df)))
+    got = {r.conv_id: r.t for r in shown.select("conv_id", chat.learned_texts(shown.formatted, shown.loss_spans).alias("t")).collect()}
+    order = lambda c: [x[3] for x in sorted(r for r in rows if r[0] == c) if x[2] == "assistant"]
+    assert got == {c: order(c) for c in range(5)}

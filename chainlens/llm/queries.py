@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlens.llm import (chat, circulant, crf, language, merkle, mixing, negatives, packing, paragraphs, quality,
+from chainlens.llm import (chat, circulant, crf, language, merkle, mixing, negatives, packing, paragraphs, passages, quality,
                            spaced, tiff, warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,10 @@ def op9_repeated_paragraphs(spark: SparkSession, path: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(_read(spark, path, "documents"))
 
 
+def op9_repeated_passages(spark: SparkSession, path: str) -> DataFrame:
+    return passages.repeated_passages(_read(spark, path, "documents"))
+
+
 def op10_skip_chain_pii(spark: SparkSession, path: str) -> DataFrame:
     docs = _read(spark, path, "documents").select("doc_id", "text")
     return crf.find(docs, crf.fitted(crf.observations(docs))).drop("text")
@@ -182,7 +186,7 @@ OP12_SQL = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_importance_resampling, op2_decontaminate, op3_mix_sources, op4_tiff_pages, op5_warc_derivatives,
-    op6_format_chats, op7_compression_language, op8_circulant_minhash, op9_repeated_paragraphs,
+    op6_format_chats, op7_compression_language, op8_circulant_minhash, op9_repeated_paragraphs, op9_repeated_passages,
     op10_skip_chain_pii, op11_merkle_manifest, op12_hard_negatives, op13_pack_windows)}
 ORACLE: dict[str, str] = {"op6_format_chats": OP6_SQL, "op8_circulant_minhash": OP8_SQL, "op9_repeated_paragraphs": OP9_SQL,
                           "op11_merkle_manifest": OP11_SQL, "op12_hard_negatives": OP12_SQL}

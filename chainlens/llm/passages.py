@@ -37,18 +37,21 @@ def _shingles(words: np.ndarray) -> np.ndarray:
     return mixed(runs)
 
 
-def places(words: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Where paragraphs begin, given word hashes and the row that each word is of."""
+def _chosen(words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first word of every window and the place it chooses, which need not have ``BLOCK`` words behind it."""
     span = WINDOW + WIDTH - 1
-    if len(words) < max(span, BLOCK):
-        return np.zeros(0, np.int64)
+    if len(words) < span:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = mixed(_shingles(words), 31)
     whole = np.flatnonzero(row[:len(words) - span + 1] == row[span - 1:])
     windows = sliding_window_view(order, WINDOW)[:, ::-1]
-    at = [np.zeros(0, np.int64)]
-    for part in np.array_split(whole, len(whole) // 100_000 + 1):
-        at.append(part + WINDOW - 1 - windows[part].argmin(axis=1))
-    at = np.unique(np.concatenate(at))
+    at = [part + WINDOW - 1 - windows[part].argmin(axis=1) for part in np.array_split(whole, len(whole) // 100_000 + 1)]
+    return whole, np.concatenate(at)
+
+
+def places(words: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Where paragraphs begin, given word hashes and the row that each word is of."""
+    at = np.unique(_chosen(words, row)[1])
     at = at[at + BLOCK <= len(words)]
     return at[row[at] == row[at + BLOCK - 1]]
 
@@ -83,16 +86,29 @@ def paragraph_bands(docs: DataFrame, hashes: int = HASHES, recall: float = RECAL
     return bounded(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, at int, bucket long")
 
 
-def _ranges(hits: np.ndarray, n: int, least: int) -> np.ndarray:
-    """Starts of all runs of ``least`` words of a text of n words that hold one of the paragraphs."""
-    inside = np.zeros(n + 1, np.int64)
-    np.add.at(inside, np.clip(hits + BLOCK - least, 0, n), 1)
-    np.add.at(inside, np.clip(hits + 1, 0, n), -1)
-    return np.flatnonzero(np.cumsum(inside)[:max(n - least + 1, 0)] > 0)
+def _ranges(hits: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
+    """Starts of the runs of ``least`` words of a text that can stand elsewhere too.
+
+    A run that does has the same windows there, which choose the same paragraphs. So each
+    paragraph that lies in the run with a window that chose it has collided.
+    """
+    n = len(words)
+    if n < least:
+        return np.zeros(0, np.int64)
+    first, at = _chosen(words, np.zeros(n, np.int8))
+    collided = np.zeros(n + 1, bool)
+    collided[hits[hits < n]] = True
+    lone = ~collided[at]
+    first, at = first[lone], at[lone]
+    low = np.maximum(np.maximum(first + WINDOW + WIDTH - 1, at + BLOCK) - least, 0)
+    ruled_out = np.zeros(n + 2, np.int64)
+    np.add.at(ruled_out, low[low <= first], 1)
+    np.add.at(ruled_out, first[low <= first] + 1, -1)
+    return np.flatnonzero(np.cumsum(ruled_out)[:n - least + 1] == 0)
 
 
 def _widened(hit: DataFrame, least: int) -> DataFrame:
-    """(doc_id, at, h) of every run of ``least`` words around a colliding paragraph; h is 64 bits of its words."""
+    """(doc_id, at, h) of every run of ``least`` words whose paragraphs collide; h is 64 bits of its words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = mixed(np.arange(least, dtype=np.uint64), 51) | np.uint64(1)
         for batch in batches:
@@ -101,7 +117,7 @@ def _widened(hit: DataFrame, least: int) -> DataFrame:
                 words, first = word_hashes(data, offsets[a:b + 1])
                 for i in range(a, b):
                     own = words[first[i - a]:first[i - a + 1]]
-                    at = _ranges(np.array(batch.column("hits")[i].as_py(), np.int64), len(own), least)
+                    at = _ranges(np.array(batch.column("hits")[i].as_py(), np.int64), own, least)
                     if not len(at):
                         continue
                     h = np.zeros(len(at), np.uint64)
@@ -164,7 +180,7 @@ def _near(hit: DataFrame, least: int, percent: int) -> DataFrame:
 
 def _equal(hit: DataFrame, least: int) -> DataFrame:
     """(doc_id, start, end, other, other_at, later) of words that stand alike in several documents, with their first place."""
-    runs = stored(_widened(hit, least), "widened")
+    runs = _widened(hit, least)
     place = F.struct("doc_id", "at")
     firsts = runs.groupBy("h").agg(F.min(place).alias("lo"), F.max("doc_id").alias("hi")).where("lo.doc_id <> hi")
     rows = runs.join(firsts.select("h", "lo"), "h").select(
@@ -219,8 +235,9 @@ def repeated_passages(docs: DataFrame, percent: int = 80, least_words: int = LEA
     if least_words < WINDOW + BLOCK - 1:
         raise ValueError(f"least_words is {WINDOW + BLOCK - 1} at least")
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    bands = stored(paragraph_bands(docs, hashes, recall, percent), "paragraphs")
-    shared = bands.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
+    # Band keys are computed twice: written they are several times the input.
+    bands = paragraph_bands(docs, hashes, recall, percent)
+    shared = bands.groupBy("bucket").count().where("count > 1")
     hits = bands.join(shared.select("bucket"), "bucket", "left_semi").groupBy("doc_id").agg(
         F.collect_set("at").alias("hits"))
     hit = stored(docs.join(hits, "doc_id"), "hits")

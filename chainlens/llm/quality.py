@@ -21,7 +21,8 @@ from chainlens.llm.batches import bounded
 from chainlens.llm.words import mixed, raw_text, slices, word_hashes
 from chainlens.session import stored
 
-BUCKETS, TARGET_ROWS, SEED = 10_000, 20_000, 11
+BUCKETS, FOLDS, SEED = 10_000, 4, 11
+SMALL_ROWS = 250_000  # counted ids that are broadcast, 6 MB for 77,722 as measured
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -34,47 +35,90 @@ def _grams(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndar
     return grams.astype(np.int64), np.concatenate([row, row[:-1][inside]])
 
 
-def gram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, raw, target) counts over all documents (text, is_target); each task sums its own first."""
+def fold_counts(docs: DataFrame, folds: int, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, raw, target_0, ...) counts over all documents (text, fold); each task sums its own first.
+
+    ``fold`` is null for documents outside the target.
+    """
+    names = [f"target_{i}" for i in range(folds)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        raw, target = np.zeros(buckets, np.int64), np.zeros((folds, buckets), np.int64)
         for batch in batches:
             data, offsets = raw_text(batch.column("text"))
-            chosen = batch.column("is_target").to_numpy(zero_copy_only=False).astype(bool)
+            fold = batch.column("fold").fill_null(-1).to_numpy(zero_copy_only=False)
             for a, b in slices(offsets):
                 grams, row = _grams(data, offsets[a:b + 1], buckets)
                 raw += np.bincount(grams, minlength=buckets)
-                target += np.bincount(grams[chosen[a:b][row]], minlength=buckets)
+                own = fold[a:b][row]
+                for i in range(folds):
+                    target[i] += np.bincount(grams[own == i], minlength=buckets)
         used = np.flatnonzero(raw)
         if len(used):
-            yield pa.RecordBatch.from_pydict({"bucket": used, "raw": raw[used], "target": target[used]})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (used, raw[used], *target[:, used])], ["bucket", "raw", *names])
+
+    kinds = ", ".join(f"{c} long" for c in ("bucket", "raw", *names))
+    sums = bounded(docs.select("text", F.col("fold").cast("int").alias("fold"))).mapInArrow(run, kinds)
+    return sums.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("raw", *names)])
+
+
+def gram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, raw, target) counts over all documents (text, is_target)."""
+    return fold_counts(docs.select("text", F.when(F.col("is_target"), 0).alias("fold")), 1, buckets).withColumnRenamed(
+        "target_0", "target")
+
+
+def _log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    target, raw = target + 1.0, raw + 1.0
+    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+
 
-    sums = bounded(docs.select("text", "is_target")).mapInArrow(run, "bucket long, raw long, target long")
-    return sums.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+def _log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    target, raw = target + 1.0, raw + 1.0
+    return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
 def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """log(p_target / p_raw) of each bucket with one added to each count; ``buckets`` numbers on the driver."""
-    raw, target = np.ones(buckets), np.ones(buckets)
+    raw, target = np.zeros(buckets), np.zeros(buckets)
     for r in counts.collect():
-        raw[r.bucket] += r.raw
-        target[r.bucket] += r.target
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+        raw[r.bucket], target[r.bucket] = r.raw, r.target
+    return _log_ratio(target, raw)
+
 
+def fold_log_ratios(raw_counts: DataFrame, counts: DataFrame, folds: int, buckets: int = BUCKETS) -> np.ndarray:
+    """Log ratios by target model and bucket: row ``i`` is fitted without fold ``i``, the last one on all folds.
+
+    Raw counts are those of ``raw_counts``, the folds' those of ``counts``.
+    """
+    raw, target = np.zeros(buckets), np.zeros((folds, buckets))
+    for r in raw_counts.select("bucket", "raw").collect():
+        raw[r.bucket] = r.raw
+    for r in counts.collect():
+        target[:, r.bucket] = [r[f"target_{i}"] for i in range(folds)]
+    every = target.sum(axis=0)
+    return np.stack([*(_log_ratio(every - own, raw) for own in target), _log_ratio(every, raw)])
 
-def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """The documents with ``log_weight``, the summed log ratios of their n-grams; 0 without words."""
+
+def log_weights(docs: DataFrame, ratios: np.ndarray, model: str | None = None) -> DataFrame:
+    """The documents with ``log_weight``, the summed log ratios of their n-grams; 0 without words.
+
+    ``model`` names the column that says which row of ``ratios`` a document takes.
+    """
     names = [c for c in docs.columns if c != "log_weight"]
     docs = docs.select(*names)
+    models = np.atleast_2d(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = raw_text(batch.column("text"))
+            which = (batch.column(model).to_numpy(zero_copy_only=False) if model
+                     else np.zeros(batch.num_rows, np.int64))
             out = np.zeros(batch.num_rows)
             for a, b in slices(offsets):
-                grams, row = _grams(data, offsets[a:b + 1], len(ratios))
-                out[a:b] = np.bincount(row, ratios[grams], minlength=b - a)
+                grams, row = _grams(data, offsets[a:b + 1], models.shape[1])
+                out[a:b] = np.bincount(row, models[which[a:b][row], grams], minlength=b - a)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*names, "log_weight"])
 
     return bounded(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField("log_weight", DoubleType())]))
@@ -99,9 +143,9 @@ def kth_largest(scores: DataFrame, column: str, k: int, digits: int = 4096) -> f
     above = 0
     while True:
         step = (high - low) / digits
-        if step <= 0 or low + step == low or high - step == high:  # next to equal: few distinct values are left
+        if step <= 0 or low + step == low or high - step == high:  # next to equal: 2 * digits values at most
             near = scores.where(F.col(column).between(low, high)).groupBy(column).count().orderBy(F.desc(column))
-            for value, count in near.limit(2 * digits).collect():
+            for value, count in near.collect():
                 above += count
                 if above >= k:
                     return value
@@ -117,41 +161,40 @@ def kth_largest(scores: DataFrame, column: str, k: int, digits: int = 4096) -> f
             return low
 
 
-def target_sample(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """(doc_id, fits) of at most ``rows`` labelled good documents, the first by a hash of their id.
-
-    Three in four fit the target model, the others find the score to be reached.
-    """
+def target_sample(labels: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """(doc_id, fold) of all labelled good documents, folds by a hash of their id."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    h = F.xxhash64(F.lit(SEED), "doc_id")
-    return good.orderBy(h, "doc_id").limit(rows).select("doc_id", (F.pmod(h, F.lit(4)) != 0).alias("fits"))
+    return good.select("doc_id", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(folds)).cast("int").alias("fold"))
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, miss: float = 0.002,
-             buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, seed: int = SEED) -> DataFrame:
+             buckets: int = BUCKETS, folds: int = FOLDS, seed: int = SEED) -> DataFrame:
     """Documents with log_weight, score (log weight plus Gumbel noise) and kept.
 
-    The target model is fitted on three quarters of at most ``target_rows`` labelled good
-    documents, the raw model on all documents. ``kept`` marks the ``k`` documents of
-    largest score. Without ``k``, as many are kept as reach the score that all but a share
-    ``miss`` of the other labelled good documents reach. A document without words has log
-    weight 0. Rows that are repeated get the same score, and all of them are kept if one
-    is. Without labelled good documents all is kept. Columns log_weight, score and kept of
-    the input are replaced; others stay. An empty table gives an empty result.
+    The target model is fitted on all labelled good documents, the raw model on all
+    documents. ``kept`` marks the ``k`` documents of largest score. Without ``k``, as many
+    are kept as reach the score that all but a share ``miss`` of the labelled good documents
+    reach, each of them under a target model fitted without its fold of ``folds``. A document
+    without words has log weight 0. Rows that are repeated get the same score, and all of
+    them are kept if one is. Without labelled good documents all is kept. Columns
+    log_weight, score and kept of the input are replaced; others stay. An empty table gives
+    an empty result.
     """
     docs = docs.drop("log_weight", "score", "kept")
-    chosen = F.broadcast(target_sample(labels, target_rows).select(  # target_rows ids at most
-        F.col("doc_id").alias("_chosen"), "fits"))
-    marked = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_chosen"), "left").select(
-        "doc_id", "text", F.coalesce("fits", F.lit(False)).alias("is_target"),
-        F.coalesce(~F.col("fits"), F.lit(False)).alias("is_check"))
-    ratios = log_ratios(gram_counts(marked, buckets), buckets)
+    good = stored(target_sample(labels, folds), "good").select(F.col("doc_id").alias("_good"), "fold")
+    small = good.count() <= SMALL_ROWS
+    chosen = docs.select("doc_id", "text").join(
+        F.broadcast(good) if small else good, F.col("doc_id") == F.col("_good")).select("doc_id", "text", "fold")
+    if not small:  # texts are shuffled once only
+        chosen = stored(chosen, "chosen")
+    raw = fold_counts(docs.select("text", F.lit(None).alias("fold")), 0, buckets)
+    ratios = fold_log_ratios(raw, fold_counts(chosen, folds, buckets), folds, buckets)
     score = F.col("log_weight") + gumbel(seed, "doc_id", "log_weight")
-    slim = stored(log_weights(marked, ratios).select("is_check", score.alias("score")), "scores")
     if k is None:
-        check = slim.where("is_check")
+        check = stored(log_weights(chosen, ratios, "fold").select(score.alias("score")), "scores")
         n = check.count()
         least = kth_largest(check, "score", n - math.floor(n * miss)) if n else -math.inf
     else:
-        least = kth_largest(slim, "score", k)
-    return log_weights(docs, ratios).withColumn("score", score).withColumn("kept", F.col("score") >= F.lit(least))
+        least = kth_largest(stored(log_weights(docs.select("doc_id", "text"), ratios[-1]).select(
+            score.alias("score")), "scores"), "score", k)
+    return log_weights(docs, ratios[-1]).withColumn("score", score).withColumn("kept", F.col("score") >= F.lit(least))

@@ -83,6 +83,26 @@ def test_parts_of_a_longer_passage_stay_once(spark):
         (2, 60, 130): (2, 60, 2, False), (3, 0, 70): (2, 60, 2, True)}
 
 
+def test_band_keys_are_shuffled_once_and_runs_with_an_edit_are_not(spark, capsys):
+    """Runs that hold an edit collide in some bands only; they can't stand elsewhere and are left out before the shuffle."""
+    base = prose(11, 400).split(" ")
+    rows = []
+    for i in range(8):
+        edited = [f"new{i}" if k % 20 == i * 2 else w for k, w in enumerate(base)]  # no 21 words without an edit
+        rows.append((i, " ".join(edited), "en", "a", 0))
+    docs = spark.createDataFrame(rows, SCHEMA).select("doc_id", "text")
+    found = passages.collisions(docs)
+    found.explain()
+    assert capsys.readouterr().out.count("hashpartitioning(bucket") == 1
+    bands = passages.tuned(80, passages.HASHES, passages.RECALL)[0]
+    hit = docs.join(found, "doc_id").cache()
+    marks = [len({m // bands for m in r.hits}) for r in hit.collect()]
+    assert len(marks) == 8 and min(marks) > 10
+    assert passages._widened(hit, 51, bands).count() < 100
+    near = {r.doc_id for r in passages.repeated_passages(docs).collect()}
+    assert stretches({r[0]: r[1] for r in rows}) == set() and near <= set(range(8))
+
+
 def test_odd_tables(spark, no_docs, docs, clashing):
     assert passages.repeated_passages(no_docs).count() == 0
     assert passages.repeated_passages(clashing).exceptAll(passages.repeated_passages(docs)).count() == 0
